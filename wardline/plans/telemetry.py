@@ -220,6 +220,15 @@ SELECT seq AS log_id, ts_us,
             ELSE '{{"log_type":"alert","severity":"' || severity || '","alert_type":"' || alert_type || '"}}' END AS detail
 FROM alerts"""
 
+VIEWS["hunt_events"] = f"""
+SELECT seq, event_id, ts_us, host, sensor, severity, cmdline, parent_name, remote_ip, bytes_sent, domain, path,
+       CASE event_type WHEN 'connection' THEN 'connection' WHEN 'dns_query' THEN 'dns' WHEN 'process_new' THEN 'process_create'
+            WHEN 'file_change' THEN 'file_create'
+            ELSE {_case('seq % 7', "'auth'", "'smb'", "'rdp'", "'registry'", "'scheduled_task'", "'service_install'", "'wmi'")} END AS event_type,
+       CASE WHEN seq % 2 = 0 THEN 'outbound' ELSE 'inbound' END AS direction,
+       CASE WHEN k % 3 = 0 THEN 'failed' ELSE 'ok' END AS status, CAST(k % 2 AS INT) AS is_signed
+FROM tele"""
+
 
 def _needed(text: str) -> list[str]:
     """Views mentioned in ``text``, dependencies first."""
