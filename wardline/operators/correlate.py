@@ -24,3 +24,160 @@ def extract_entities(**columns: str) -> Column:
         else:
             tags.append(F.when(ok, F.concat(F.lit("domain:"), value)))
     return F.array_distinct(F.array_compact(F.array(*tags)))
+
+
+# --- W-16 -------------------------------------------------------------------------------------
+WINDOW_US = 300_000_000
+
+
+def correlate_alerts(alerts: DataFrame, mode: str = "exact", window_us: int = WINDOW_US, keys: list[str] | None = None) -> DataFrame:
+    """Assign each alert to an incident: (alert_id, incident_id, rule).
+
+    Needs ``alert_id, ts_us, seq, sensor, mitre_ids, entities`` and the key columns
+    (``host``).
+
+    ``exact`` replays the ordered rules per host: the first open incident that
+    shares an entity, else the first that gains a tactic, else the first whose
+    last alert has the same sensor, all within the window; else a new incident.
+    The order matters, so a host is one stream, but a quiet gap longer than the
+    window closes every incident and the stream is split there.  Rows flow through
+    the task in batches and only open incidents are held.
+
+    ``components`` joins alerts that share an entity within the window of each
+    other, transitively, and scales out over a host that is never quiet.  Both
+    modes agree when only the entity rule fires and no alert bridges two incidents.
+    """
+    keys = keys or ["host"]
+    if mode == "components":
+        return _correlate_components(alerts, window_us, keys)
+    if mode != "exact":
+        raise ValueError(mode)
+    import pandas as pd
+
+    from wardline import fixed_values as fv
+    from wardline.operators.segmented import gap_islands
+
+    columns = [*keys, "alert_id", "ts_us", "seq", "sensor", "mitre_ids", "entities"]
+    split = gap_islands(alerts.select(*columns), keys, "ts_us", "seq", window_us + 1, "_island")
+    group = [*keys, "_island"]
+    ready = split.repartition(*group).sortWithinPartitions(*group, "ts_us", "seq")
+    tactic_of = dict(fv.TECHNIQUE_TACTIC)
+    n_keys = len(group)
+
+    def assign(batches):
+        current, open_incidents = None, []
+        for pdf in batches:
+            out = []
+            for row in pdf[[*group, "alert_id", "ts_us", "sensor", "mitre_ids", "entities"]].itertuples(index=False, name=None):
+                key, (alert, ts, sensor, mitre, entities) = row[:n_keys], row[n_keys:]
+                if key != current:
+                    current, open_incidents = key, []
+                tags = set(entities) if entities is not None else set()
+                tactics = {tactic_of[m] for m in (mitre if mitre is not None else []) if m in tactic_of}
+                open_incidents = [i for i in open_incidents if ts - i["last"] <= window_us]
+                rule, home = "new", None
+                for name, test in (("entity", lambda i: not tags.isdisjoint(i["tags"])), ("tactic", lambda i: bool(tactics - i["tactics"])),
+                                   ("sensor", lambda i: i["sensor"] == sensor)):
+                    home = next((i for i in open_incidents if test(i)), None)
+                    if home is not None:
+                        rule = name
+                        break
+                if home is None:
+                    home = {"id": f"inc-{alert}", "tags": set(), "tactics": set()}
+                    open_incidents.append(home)
+                home["tags"] |= tags
+                home["tactics"] |= tactics
+                home["last"], home["sensor"] = ts, sensor
+                out.append((alert, home["id"], rule))
+            yield pd.DataFrame(out, columns=["alert_id", "incident_id", "rule"])
+
+    return ready.mapInPandas(assign, "alert_id string, incident_id string, rule string")
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(id, component) with the least id of each component.
+
+    Each round takes the least label of the neighbours and then follows the label
+    of the label, so long paths shrink quickly; labels are checkpointed per round.
+    """
+    from wardline.operators.segmented import salted_join
+    from wardline.session import checkpoint
+
+    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = checkpoint(vertices.select("id", F.col("id").alias("component")))
+    for _ in range(max_rounds):
+        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("_near"))
+        low = labels.join(near, "id", "left").select("id", F.col("component").alias("_old"), F.least("component", F.coalesce("_near", "component")).alias("component"))
+        jump = salted_join(low, low.select(F.col("id").alias("component"), F.col("component").alias("_far")), ["component"], "left")
+        labels_next = checkpoint(jump.select("id", "_old", F.least("component", F.coalesce("_far", "component")).alias("component")))
+        changed = labels_next.where("component <> _old").limit(1).count()
+        labels = labels_next.drop("_old")
+        if changed == 0:
+            return labels
+    raise RuntimeError("components did not settle")
+
+
+def _correlate_components(alerts: DataFrame, window_us: int, keys: list[str]) -> DataFrame:
+    from wardline.operators.segmented import segmented_scan, time_segment
+
+    rows = alerts.select(*keys, "alert_id", "ts_us", "seq", F.explode("entities").alias("entity"))
+    near = segmented_scan(rows, [*keys, "entity"], time_segment(F.col("ts_us")), ["ts_us", "seq"], {
+        "_prev": ("lag", F.col("alert_id")), "_prev_us": ("lag", F.col("ts_us"))})
+    edges = near.where(F.col("ts_us") - F.col("_prev_us") <= window_us).select(F.col("alert_id").alias("a"), F.col("_prev").alias("b"))
+    comp = connected_components(alerts.select(F.col("alert_id").alias("id")), edges)
+    first = alerts.join(comp, alerts["alert_id"] == comp["id"]).groupBy("component").agg(
+        F.min(F.struct("ts_us", "seq", "alert_id"))["alert_id"].alias("_first"))
+    return comp.join(first, "component").select(F.col("id").alias("alert_id"), F.concat(F.lit("inc-"), "_first").alias("incident_id"),
+                                                F.lit("component").alias("rule"))
+
+
+# --- A-12 -------------------------------------------------------------------------------------
+def campaign_members(incidents: DataFrame, entities: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """(incident_id, seed_id) of campaigns among closed incidents.
+
+    Incidents are taken in order (``ord``).  A seed takes every later unused
+    incident that shares an entity with it; so an incident is a seed exactly when
+    it shares no entity with an earlier seed.  Each round makes a seed of every
+    undecided incident that is first in all its entities and decides whatever
+    touches a seed: exact, and without bringing a group together.
+    """
+    from wardline.operators.segmented import salted_join
+    from wardline.session import checkpoint
+
+    closed = incidents.where("status = 'closed'").select("incident_id", F.struct("ord", "incident_id").alias("o"))
+    links = checkpoint(entities.join(closed, "incident_id").select("incident_id", "entity", "o").distinct())
+    undecided, seeds = links, None
+    for _ in range(max_rounds):
+        least = undecided.groupBy("entity").agg(F.min("o").alias("_least"))
+        marked = salted_join(undecided, least, ["entity"], "inner")
+        new = marked.groupBy("incident_id").agg(F.bool_and(F.col("o") == F.col("_least")).alias("_seed")).where("_seed").select("incident_id")
+        new_links = checkpoint(undecided.join(new, "incident_id", "left_semi"))
+        seeds = new_links if seeds is None else seeds.unionByName(new_links)
+        touched = salted_join(undecided, new_links.select("entity").distinct(), ["entity"], "left_semi").select("incident_id").distinct()
+        undecided = checkpoint(undecided.join(touched, "incident_id", "left_anti"))
+        if undecided.limit(1).count() == 0:
+            break
+    else:
+        raise RuntimeError("campaign seeds did not settle")
+    seeds = checkpoint(seeds)
+    owner = seeds.select("entity", F.col("o").alias("_owner"))  # one seed at most per entity
+    return salted_join(links, owner, ["entity"], "inner").groupBy("incident_id").agg(F.min("_owner").alias("_s")).select(
+        "incident_id", F.col("_s.incident_id").alias("seed_id"))
+
+
+def detect_campaigns(incidents: DataFrame, entities: DataFrame) -> DataFrame:
+    """Campaigns of at least two incidents: size, span and number of entities all members share."""
+    members = campaign_members(incidents, entities)
+    sizes = members.groupBy("seed_id").agg(F.count(F.lit(1)).alias("n_incidents")).where("n_incidents >= 2")
+    span = members.join(incidents.select("incident_id", "first_us", "last_us"), "incident_id").groupBy("seed_id").agg(
+        F.least(F.min("first_us"), F.min("last_us")).alias("first_us"), F.greatest(F.max("first_us"), F.max("last_us")).alias("last_us"))
+    common = shared_entities(members, entities).groupBy("seed_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    return sizes.join(span, "seed_id").join(common, "seed_id", "left").select(
+        F.concat(F.lit("camp-"), "seed_id").alias("campaign_id"), "seed_id", "n_incidents", "first_us", "last_us", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+
+
+def shared_entities(members: DataFrame, entities: DataFrame) -> DataFrame:
+    """(seed_id, entity) present in every member of a campaign."""
+    sizes = members.groupBy("seed_id").agg(F.count(F.lit(1)).alias("_n"))
+    held = entities.select("incident_id", "entity").distinct().join(members, "incident_id").groupBy("seed_id", "entity").agg(F.count(F.lit(1)).alias("_k"))
+    return held.join(sizes, "seed_id").where("_k = _n").select("seed_id", "entity")
