@@ -142,11 +142,13 @@ def _name(prefix: str = "") -> Column:
                               F.nullif(F.col(f"{prefix}path"), F.lit("")), F.lit("unknown")))
 
 
-def _chain(df: DataFrame, name: str, confidence: Column | None = None, evidence: list[str] | None = None) -> DataFrame:
+def _chain(df: DataFrame, name: str, confidence: Column | None = None, evidence: list[str] | None = None,
+           target: Column | None = None) -> DataFrame:
     mitre, base, severity = fv.GRAPH_CHAINS[name]
     conf = F.lit(base) if confidence is None else confidence
     counts = F.create_map(*[x for e in (evidence or []) for x in (F.lit(e), F.col(e).cast("bigint"))]) if evidence else F.create_map().cast("map<string,bigint>")
-    return df.select("host", F.lit(name).alias("chain_name"), F.col("src").alias("node_id"), conf.cast("double").alias("confidence"),
+    return df.select("host", F.lit(name).alias("chain_name"), F.col("src").alias("node_id"),
+                     (F.lit(None) if target is None else target).cast("string").alias("target_id"), conf.cast("double").alias("confidence"),
                      F.lit(severity).alias("severity"), F.array(*map(F.lit, mitre)).alias("mitre_ids"), counts.alias("evidence"))
 
 
@@ -176,7 +178,7 @@ def chain_drive_by(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.col("_exec").contains(F.col("_file")) | F.col("_file").contains(F.col("_exec")))
     hit = hit.withColumn("executions", F.col("_n") - F.when(F.col("_exec") == F.col("_browser"), 1).otherwise(0)).where("executions > 0")
     per = hit.groupBy("host", "src", "dst").agg(F.sum("executions").alias("executions"))
-    return _chain(per, "drive_by_download", evidence=["executions"])
+    return _chain(per, "drive_by_download", evidence=["executions"], target=F.col("dst"))
 
 
 def chain_credential_theft(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -226,7 +228,7 @@ def chain_fileless(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.count_if(F.col("edge_type") == "opened").alias("connections"), F.count_if(F.col("edge_type") == "modified").alias("files"))
     hit = children.join(used.where("connections > 0"), "child")
     base = fv.GRAPH_CHAINS["fileless_attack"][1]
-    return _chain(hit, "fileless_attack", F.when(F.col("files") > 0, base * 0.7).otherwise(base), ["connections", "files"])
+    return _chain(hit, "fileless_attack", F.when(F.col("files") > 0, base * 0.7).otherwise(base), ["connections", "files"], F.col("child"))
 
 
 def chain_lateral(nodes: DataFrame, min_failures: int = 3) -> DataFrame:

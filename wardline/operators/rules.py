@@ -217,9 +217,10 @@ def wmi_consumer_findings(df: DataFrame) -> DataFrame:
 
 def masquerading(name: Column, exe: Column) -> Column:
     """A well-known system binary name started from another place."""
+    allowed = F.try_element_at(F.create_map(*[
+        x for n, paths in fv.SYSTEM_BINARY_PATHS.items() for x in (F.lit(n), F.array(*map(F.lit, paths)))]), F.lower(name))
     actual = F.lower(F.replace(exe, F.lit("/"), F.lit("\\")))
-    wrong = _any([(F.lower(name) == n) & ~actual.isin(*paths) for n, paths in fv.SYSTEM_BINARY_PATHS.items()])
-    return F.coalesce((F.length(exe) > 0) & wrong, F.lit(False))
+    return F.coalesce((F.length(exe) > 0) & ~F.array_contains(allowed, actual), F.lit(False))
 
 
 def process_event_severity(name: Column, exe: Column, cmdline: Column) -> Column:
@@ -333,11 +334,12 @@ def external_address(address: Column) -> Column:
 
 
 def is_executable(path: Column) -> Column:
-    return _any([F.lower(path).endswith(e) for e in fv.EXECUTABLE_EXTENSIONS])
+    return F.lower(path).rlike("(" + "|".join(re.escape(e) for e in fv.EXECUTABLE_EXTENSIONS) + ")$")
 
 
 def _contains_any(path: Column, words: list[str]) -> Column:
-    return F.coalesce(_any([F.lower(path).contains(w) for w in words]), F.lit(False))
+    """Any of the words in the lower-cased text; one alternation evaluates the text once."""
+    return F.coalesce(F.lower(path).rlike("|".join(re.escape(w) for w in words)), F.lit(False))
 
 
 def is_credential_path(path: Column) -> Column:

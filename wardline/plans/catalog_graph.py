@@ -66,12 +66,8 @@ def _(t):
         WHERE e.edge_type = 'modified' AND lower(p.name) IN {sql_list(fv.GRAPH_BROWSERS)} AND regexp_matches(lower(x.path), '\\.(exe|dll|scr|bat|cmd|ps1|vbs|js|hta|msi)$'))
     SELECT f.host, f.src AS node_id, f.dst, count(*) AS executions FROM f JOIN n q ON q.node_type = 'process' AND q.host = f.host AND q.node_id <> f.src AND (contains(file, lower(q.name)) OR contains(lower(q.name), file)) GROUP BY ALL""")
 def _(t):
-    nodes, edges = _graph(t)
-    out = graph.chain_drive_by(nodes, edges)
-    files = edges.where("edge_type = 'modified'").select(F.col("src").alias("node_id"), "dst").join(
-        nodes.select(F.col("node_id").alias("dst"), "path").where(F.lower("path").rlike(r"\.(exe|dll|scr|bat|cmd|ps1|vbs|js|hta|msi)$")), "dst")
-    # one executable per browser process in this data, so the pair identifies the match
-    return out.select("host", "node_id", F.col("evidence")["executions"].alias("executions")).join(files.select("node_id", "dst"), "node_id").select("host", "node_id", "dst", "executions")
+    out = graph.chain_drive_by(*_graph(t))
+    return out.select("host", "node_id", F.col("target_id").alias("dst"), F.col("evidence")["executions"].alias("executions"))
 
 
 def _ev(out, *names):
@@ -196,12 +192,12 @@ def _(t):
 
 
 @query("c04_memory_findings", "C-04", """
-    WITH r AS (SELECT doc_id, NOT EXISTS (SELECT 1 FROM modules m WHERE m.pid = doc_id % 40 AND m.base = doc_id * 65536) AS free FROM documents WHERE doc_id % 5 > 0 AND doc_id % 7 > 0)
+    WITH r AS (SELECT doc_id, NOT EXISTS (SELECT 1 FROM modules m WHERE m.pid = doc_id % 40 AND m.base = doc_id * 65536 AND m.mid % 2 = 0) AS free FROM documents WHERE doc_id % 5 > 0 AND doc_id % 7 > 0)
     SELECT 'reflective_dll' AS finding, 'high' AS severity, count(*) AS n FROM r WHERE doc_id % 3 = 0 AND free HAVING count(*) > 0 UNION ALL SELECT 'dotnet_injection', 'high', count(*) FROM r WHERE doc_id % 9 = 0 AND free HAVING count(*) > 0
     UNION ALL SELECT 'rwx_region', 'medium', count(*) FROM r WHERE doc_id % 11 = 0
-    UNION ALL SELECT 'suspicious_thread', 'medium', count(*) FROM threads t WHERE start_address <> 0 AND NOT EXISTS (SELECT 1 FROM modules m WHERE m.pid = t.pid AND m.base <= t.start_address AND t.start_address < m.base + m.size)""")
+    UNION ALL SELECT 'suspicious_thread', 'medium', count(*) FROM threads t WHERE start_address <> 0 AND NOT EXISTS (SELECT 1 FROM modules m WHERE m.mid % 2 = 0 AND m.pid = t.pid AND m.base <= t.start_address AND t.start_address < m.base + m.size)""")
 def _(t):
-    return memory.memory_findings(_regions(t), t.modules, t.threads).where("finding <> 'shellcode'").groupBy("finding", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return memory.memory_findings(_regions(t), t.modules.where("mid % 2 = 0"), t.threads).where("finding <> 'shellcode'").groupBy("finding", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- correlation ---------------------------------------------------------------------------------
