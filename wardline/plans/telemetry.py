@@ -271,6 +271,15 @@ class Tables:
         self.spark, self.folder = spark, folder
         self._frames: dict[str, DataFrame] = {}
 
+    def stream(self, name: str) -> DataFrame:
+        """A view over the streaming form of its base table."""
+        from wardline.streaming.replay import table_stream
+
+        twin = Tables(self.spark, self.folder)
+        for base in ("events", "orders", "customer"):
+            twin._frames[base] = table_stream(self.spark, self.folder, base)
+        return getattr(twin, name)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in VIEWS and name not in BASE_TABLES:
             raise AttributeError(name)
