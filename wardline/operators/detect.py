@@ -142,8 +142,7 @@ def detect(*alert_tables: DataFrame, chains: DataFrame | None = None) -> DataFra
 
 def process_alerts(alerts: DataFrame) -> DataFrame:
     """Deduplicated alerts with their run size and priority (the batch form of the alert flow)."""
-    kept = dedup_alerts(alerts).select("alert_id", "run_count")
-    return alerts.join(kept, "alert_id").withColumn("priority", priority(F.col("severity"), F.col("confidence")))
+    return dedup_alerts(alerts).withColumn("priority", priority(F.col("severity"), F.col("confidence")))
 
 
 def respond(alerts: DataFrame, incidents: DataFrame, data: str = "data", min_alerts: int = 3) -> tuple[DataFrame, DataFrame]:

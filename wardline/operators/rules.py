@@ -262,7 +262,7 @@ def _group_hits(low: Column, words: list[str]) -> Column:
 
 def content_signatures(df: DataFrame, text: str, signatures: list[dict] | None = None) -> DataFrame:
     """Signature matches over whole texts with the strings that matched."""
-    low = F.lower(text)
+    low = F.col("_low")
     matches = []
     for sig in signatures or fv.CONTENT_SIGNATURES:
         parts = [_group_hits(low, words) for _, words in sig["groups"]]
@@ -272,7 +272,8 @@ def content_signatures(df: DataFrame, text: str, signatures: list[dict] | None =
         matches.append(F.when(_all(tests), F.struct(
             F.lit(sig["name"]).alias("signature"), F.lit(sig["severity"]).alias("signature_severity"),
             F.lit(sig["mitre"]).alias("mitre_id"), F.flatten(F.array(*parts)).alias("strings"))))
-    return (df.withColumn("_m", F.explode(F.array_compact(F.array(*matches))))
+    staged = df.withColumn("_low", F.lower(text))  # lower-cased once
+    return (staged.withColumn("_m", F.explode(F.array_compact(F.array(*matches))))
             .select(*df.columns, "_m.*"))
 
 

@@ -103,12 +103,24 @@ def trailing_count(df: DataFrame, keys: list[str], ts_us: str, width_us: int, na
 
 def gap_islands(df: DataFrame, keys: list[str], ts_us: str, tie: str, gap_us: int,
                 island: str = "island") -> DataFrame:
-    """Number the runs of each key that are separated by gaps of at least ``gap_us``."""
-    order = [ts_us, tie]
-    seg = time_segment(F.col(ts_us), max(gap_us, DEFAULT_SEGMENT_US))
-    lagged = segmented_scan(df, keys, seg, order, {"prev_us": ("lag", F.col(ts_us))})
-    starts = F.when(F.col("prev_us").isNull() | (F.col(ts_us) - F.col("prev_us") >= gap_us), 1).otherwise(0)
-    return segmented_scan(lagged, keys, seg, order, {island: ("sum", starts)})
+    """Number the runs of each key that are separated by gaps of at least ``gap_us``.
+
+    Breaks inside a segment are counted there; whether a segment begins with a
+    break follows from the end of the one before it.
+    """
+    work = df.withColumn("_seg", time_segment(F.col(ts_us), max(gap_us, DEFAULT_SEGMENT_US)))
+    inside = Window.partitionBy(*keys, "_seg").orderBy(ts_us, tie)
+    starts = F.when(F.col(ts_us) - F.lag(ts_us).over(inside) >= gap_us, 1).otherwise(0)
+    marked = work.withColumn("_start", starts)
+    rows = marked.withColumn("_local", F.sum("_start").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy(*keys, "_seg").agg(F.min(ts_us).alias("_a"), F.max(ts_us).alias("_b"), F.sum("_start").alias("_n"))
+    by_key = Window.partitionBy(*keys).orderBy("_seg")
+    before = F.lag("_b").over(by_key)
+    ends = ends.withColumn("_new", F.when(before.isNull() | (F.col("_a") - before >= gap_us), 1).otherwise(0))
+    carry = F.sum(F.col("_n") + F.col("_new")).over(by_key.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    ends = ends.select(*keys, "_seg", carry.alias("_carry"))
+    joined = rows.alias("l").join(ends.alias("r"), null_safe("l", "r", [*keys, "_seg"]), "inner")
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._local") + F.col("r._carry")).alias(island))
 
 
 def first_seen(df: DataFrame, keys: list[str], value: str, name: str = "first_seen") -> DataFrame:

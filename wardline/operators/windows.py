@@ -25,10 +25,8 @@ def dedup_alerts(alerts: DataFrame, keys: list[str] | None = None, window_us: in
     """
     keys = keys or ["host", "sensor", "alert_type"]
     runs = gap_islands(alerts, keys, "ts_us", "seq", window_us, "run")
-    return runs.groupBy(*keys, "run").agg(
-        F.min(F.struct("ts_us", "seq", "alert_id", "severity")).alias("_first"), F.count(F.lit(1)).alias("run_count")
-    ).select(*keys, F.col("_first.alert_id").alias("alert_id"), F.col("_first.ts_us").alias("ts_us"),
-             F.col("_first.seq").alias("seq"), F.col("_first.severity").alias("severity"), "run_count")
+    first = F.min_by(F.struct(*alerts.columns), F.struct("ts_us", "seq"))
+    return runs.groupBy(*keys, "run").agg(first.alias("_first"), F.count(F.lit(1)).alias("run_count")).select("_first.*", "run_count")
 
 
 def query_rate_60s(queries: DataFrame, keys: list[str], cap: int = 200) -> DataFrame:

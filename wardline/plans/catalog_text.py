@@ -35,7 +35,7 @@ def entropy_sql(expr: str, unit: str = "''", rounded: bool = True) -> str:
     e AS (SELECT doc_id, round(sum(-(k / total) * log2(k / total)), 4) AS entropy FROM t GROUP BY doc_id)
     SELECT d.doc_id, coalesce(e.entropy, 0.0) AS entropy FROM documents d LEFT JOIN e USING (doc_id)""")
 def _(t):
-    return t.documents.select("doc_id", text.char_entropy(F.col("text")).alias("entropy"))
+    return t.documents.select("doc_id", text.document_entropy(F.col("text")).alias("entropy"))
 
 
 @query("x02_char_entropy_ci", "X-02", """
