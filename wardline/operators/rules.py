@@ -80,17 +80,13 @@ def apply_rules(events: DataFrame, rules: list[dict] | None = None, first_only:
     """
     rules = fv.BEHAVIOUR_RULES if rules is None else rules
     columns = set(events.columns)
-    hits = F.array_compact(F.array(*[
-        F.when(rule_predicate(r, columns), F.struct(
-            F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("rule_severity"),
-            F.array(*map(F.lit, r["mitre"])).cast("array<string>").alias("rule_mitre")))
-        for r in rules
-    ]))
-    found = events.withColumn("_hits", hits).where(F.size("_hits") > 0)
+    hits = [F.when(rule_predicate(r, columns), F.struct(
+        F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("rule_severity"),
+        F.array(*map(F.lit, r["mitre"])).cast("array<string>").alias("rule_mitre"))) for r in rules]
     if first_only:
-        found = found.withColumn("_hit", F.element_at("_hits", 1))
+        found = events.withColumn("_hit", F.coalesce(*hits)).where("_hit IS NOT NULL")
     else:
-        found = found.withColumn("_hit", F.explode("_hits"))
+        found = events.withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
     return found.select(*events.columns, "_hit.*")
 
 

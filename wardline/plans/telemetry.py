@@ -36,7 +36,7 @@ VIEWS: dict[str, str] = {}
 
 VIEWS["base_ev"] = f"""
 SELECT event_id AS seq,
-       1704067200000000 + CAST(floor(({{us:ts}} - 1704067200000000) / 60.0) AS BIGINT) AS ts_us,
+       1704067200000000 + CAST(floor(({{us:ts}} - 1704067200000000) / CAST(60 AS DOUBLE)) AS BIGINT) AS ts_us,
        user_id AS uid, event_type AS et, value,
        CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k
 FROM events"""
@@ -118,7 +118,7 @@ SELECT 'alt-' || {S('seq')} AS alert_id, event_id, seq, ts_us, host, sensor,
 FROM tele WHERE value >= 15"""
 
 VIEWS["incident_alerts"] = f"""
-SELECT 'inc-' || host || '-' || {S('CAST(floor(ts_us / 600000000.0) AS BIGINT)')} AS incident_id,
+SELECT 'inc-' || host || '-' || {S('CAST(floor(ts_us / CAST(600000000 AS DOUBLE)) AS BIGINT)')} AS incident_id,
        alert_id, seq, ts_us, host, severity, title, mitre, a_pid, a_ip, a_path, a_domain
 FROM alerts"""
 
@@ -196,9 +196,9 @@ SELECT 'wl-' || {S('s_suppkey')} AS entry_id,
 FROM supplier"""
 
 VIEWS["snap"] = """
-SELECT host, CAST(floor((ts_us - 1704067200000000) / 3600000000.0) AS BIGINT) AS cycle, pid,
+SELECT host, CAST(floor((ts_us - 1704067200000000) / CAST(3600000000 AS DOUBLE)) AS BIGINT) AS cycle, pid,
        min(name) AS name, min(exe) AS exe, max(value) AS value, max(path) AS path
-FROM tele GROUP BY host, CAST(floor((ts_us - 1704067200000000) / 3600000000.0) AS BIGINT), pid"""
+FROM tele GROUP BY host, CAST(floor((ts_us - 1704067200000000) / CAST(3600000000 AS DOUBLE)) AS BIGINT), pid"""
 
 VIEWS["modules"] = f"""
 SELECT p_partkey % 40 AS pid, p_partkey * 65536 AS base, 4096 + (p_size * 1000) AS size,
