@@ -607,7 +607,7 @@ def _(t):
 
 
 @query("a22_incident_report", "A-22 SK-07", """
-    SELECT CAST(count(*) AS BIGINT) AS total_events, count(*) FILTER (log_type IN ('alert', 'alert_raised') AND json_valid(detail)) AS total_alerts, count(*) FILTER (log_type = 'action_result') AS total_actions, 0 AS n_techniques,
+    SELECT CAST(count(*) AS BIGINT) AS total_events, count(*) FILTER (log_type IN ('alert', 'alert_raised') AND json_valid(detail)) AS total_alerts, count(*) FILTER (log_type = 'action_result') AS total_actions, 0::BIGINT AS n_techniques,
         min(ts_us) AS start_us, max(ts_us) AS end_us,
         count(*) FILTER (log_type = 'alert') || ' alert(s) generated. ' || count(*) FILTER (log_type = 'action_result') || ' response action(s) taken.' AS summary
     FROM (SELECT *, CASE WHEN json_valid(detail) THEN json_extract_string(detail, '$.log_type') ELSE action END AS log_type FROM audit)""")
