@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardline import fixed_values as fv
 from wardline.operators import correlate, detect, graph, joins, memory
-from wardline.plans.catalog_tables import _BEST, mitre
+from wardline.plans.catalog_tables import _BEST, MITRE_LIST, mitre
 from wardline.plans.catalog_text import sql_case, sql_list
 from wardline.plans.registry import query
 from wardline.sources import feeds
@@ -142,12 +142,35 @@ def _(t):
     return graph.graph_neighbors(*_graph(t), "opened").select("src", "dst", "dst_type")
 
 
-@query("g10_attack_chains", "G-10 P-16")
+@query("g10_attack_chains", "G-10", f"""
+    WITH {_GRAPH}, br AS (SELECT e.host, e.src, e.dst, lower(x.path) AS file FROM e JOIN n x ON e.dst = x.node_id JOIN n p ON e.src = p.node_id
+        WHERE e.edge_type = 'modified' AND lower(p.name) IN {sql_list(fv.GRAPH_BROWSERS)} AND regexp_matches(lower(x.path), '\.(exe|dll|scr|bat|cmd|ps1|vbs|js|hta|msi)$')),
+    fl AS (SELECT e.host, src, count(*) AS files, max(ts_us) - min(ts_us) AS span, count(*) FILTER {_CRED.join(['(', ')'])} AS cred FROM e JOIN n ON dst = node_id WHERE edge_type = 'modified' GROUP BY ALL),
+    op AS (SELECT src, count(*) AS conns, count(*) FILTER (NOT (remote_ip LIKE '10.%' OR remote_ip LIKE '192.168.%')) AS ext, sum(bytes_sent) FILTER (NOT (remote_ip LIKE '10.%' OR remote_ip LIKE '192.168.%')) AS bytes FROM e JOIN n ON dst = node_id WHERE edge_type = 'opened' GROUP BY src)
+    SELECT 'drive_by_download' AS chain_name, src AS node_id, 0.85::DOUBLE AS confidence FROM (SELECT DISTINCT br.src, br.dst FROM br JOIN n q ON q.node_type = 'process' AND q.host = br.host AND q.node_id <> br.src AND (contains(file, lower(q.name)) OR contains(lower(q.name), file)))
+    UNION ALL SELECT 'credential_theft', src, 0.9 FROM fl JOIN op USING (src) JOIN n ON n.node_id = src WHERE cred > 0 AND lower(name) NOT IN {sql_list(fv.GRAPH_BROWSERS)}
+    UNION ALL SELECT 'ransomware', src, 0.95 FROM fl WHERE files >= 2 AND span <= 60000000
+    UNION ALL SELECT 'persistence_installation', src, 0.8 FROM (SELECT DISTINCT src FROM (SELECT src FROM e JOIN n ON dst = node_id WHERE edge_type = 'modified' AND lower(path) LIKE '%\\startup\\%' UNION ALL SELECT src FROM e JOIN n ON dst = node_id WHERE edge_type = 'triggered' AND code = 7045)) JOIN n ON src = node_id WHERE lower(exe) LIKE '%\\temp\\%'
+    UNION ALL SELECT 'fileless_attack', e.src, CASE WHEN coalesce(files, 0) > 0 THEN 0.595 ELSE 0.85 END FROM e JOIN n ON e.dst = node_id JOIN op ON op.src = e.dst LEFT JOIN fl ON fl.src = e.dst WHERE edge_type = 'spawned' AND lower(name) = 'powershell.exe' AND cmdline LIKE '%-enc %'
+    UNION ALL SELECT 'data_exfiltration', src, CASE WHEN bytes < 50000000 THEN 0.51 ELSE 0.85 END FROM fl JOIN op USING (src) WHERE files >= 2 AND ext > 0""")
+def _(t):
+    out = graph.attack_chains(*_graph(t), ransom_files=2, exfil_files=2)
+    return out.select("chain_name", "node_id", F.round("confidence", 6).alias("confidence"))
+
+
+_CHAINS9 = [*fv.GRAPH_CHAINS, "other"]
+
+
+@query("p16_narrate_chains", "P-16", f"""
+    SELECT alert_id, 'ATTACK DETECTED: ' || c || chr(10) || 'Severity: ' || severity || ' | Confidence: ' || (30 + k % 70) || '.0%' AS head, CASE mitre WHEN '' THEN 'N/A' ELSE replace(mitre, ',', ', ') END AS mitre
+    FROM (SELECT *, {sql_case('k % 9', dict(enumerate(_CHAINS9)))} AS c FROM alerts)""")
 def _(t):
     from wardline.operators.reports import narrate_chains
-    out = graph.attack_chains(*_graph(t), ransom_files=3, exfil_files=2)
-    told = narrate_chains(out.withColumn("matched_nodes", F.array("node_id")).withColumn("description", F.concat(F.lit("On "), "host")))
-    return told.select("host", "chain_name", "node_id", "confidence", "severity", "narrative")
+    names = F.array(*map(F.lit, _CHAINS9))
+    m = t.alerts.withColumn("chain_name", F.element_at(names, (F.col("k") % 9 + 1).cast("int"))).withColumn("mitre_ids", mitre()) \
+        .withColumn("matched_nodes", F.array("event_id")).withColumn("confidence", F.col("confidence").cast("double"))
+    told = narrate_chains(m)
+    return told.select("alert_id", F.substring_index("narrative", "\n", 2).alias("head"), F.regexp_extract("narrative", "MITRE ATT&CK: (.*)", 1).alias("mitre"))
 
 
 # --- memory ------------------------------------------------------------------------------------
@@ -206,7 +229,26 @@ def _alert_rows(t):
         "entities", correlate.extract_entities(pid="a_pid", ip="a_ip", path="a_path", domain="a_domain"))
 
 
-@query("w16_correlate_exact", "W-16")
+_TACTICS = "list_filter(list_transform(m, lambda x: " + sql_case("x", fv.TECHNIQUE_TACTIC) + "), lambda x: x IS NOT NULL)"
+FOLD_SQL = f"""
+    WITH RECURSIVE x AS (SELECT host, alert_id, ts_us, sensor, row_number() OVER (PARTITION BY host ORDER BY ts_us, seq) AS r, {MITRE_LIST} AS m,
+        list_filter(['p' || a_pid, 'i' || a_ip, 'f' || a_path, 'd' || a_domain], lambda v: v IS NOT NULL) AS e FROM alerts),
+    a AS (SELECT *, {_TACTICS} AS t FROM x),
+    f(host, r, alert_id, incident_id, rule, st) AS (
+        SELECT DISTINCT host, 0::BIGINT, '', '', '', []::STRUCT(id VARCHAR, e VARCHAR[], t VARCHAR[], l BIGINT, s VARCHAR)[] FROM a
+        UNION ALL SELECT host, r, alert_id, CASE WHEN k IS NULL THEN 'inc-' || alert_id ELSE live[k].id END,
+            CASE WHEN i1 > 0 THEN 'entity' WHEN i2 > 0 THEN 'tactic' WHEN i3 > 0 THEN 'sensor' ELSE 'new' END,
+            CASE WHEN k IS NULL THEN list_append(live, {{'id': 'inc-' || alert_id, 'e': e, 't': t, 'l': ts_us, 's': sensor}})
+            ELSE list_concat(list_concat(live[1:k - 1], [{{'id': live[k].id, 'e': list_distinct(list_concat(live[k].e, e)), 't': list_distinct(list_concat(live[k].t, t)), 'l': ts_us, 's': sensor}}]), live[k + 1:]) END
+        FROM (SELECT *, coalesce(nullif(i1, 0), nullif(i2, 0), nullif(i3, 0)) AS k FROM (SELECT *,
+            coalesce(list_position(list_transform(live, lambda i: len(list_intersect(i.e, e)) > 0), true), 0) AS i1,
+            coalesce(list_position(list_transform(live, lambda i: len(list_filter(t, lambda v: NOT list_contains(i.t, v))) > 0), true), 0) AS i2,
+            coalesce(list_position(list_transform(live, lambda i: i.s = sensor), true), 0) AS i3
+          FROM (SELECT a.*, list_filter(f.st, lambda i: a.ts_us - i.l <= 300000000) AS live FROM f JOIN a ON a.host = f.host AND a.r = f.r + 1))))
+    SELECT alert_id, incident_id, rule FROM f WHERE r > 0"""
+
+
+@query("w16_correlate_exact", "W-16", FOLD_SQL)
 def _(t):
     return correlate.correlate_alerts(_alert_rows(t)).select("alert_id", "incident_id", "rule")
 

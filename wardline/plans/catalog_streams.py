@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from wardline.functions.names import base_domain
 from wardline.operators import correlate
 from wardline.plans.catalog_rules import _DEMO_SQL, DEMO_RULES
+from wardline.plans.catalog_graph import FOLD_SQL
 from wardline.plans.catalog_tables import _BEST, mitre
+from wardline.plans.catalog_windows import CHAIN_SQL
 from wardline.plans.registry import query
 from wardline.streaming import streams
 from wardline.streaming.replay import run_to_table
@@ -47,7 +49,7 @@ def _(t):
     return out.select("host", F.unix_micros("window_start").alias("window_us"), "failed_logins")
 
 
-@query("s05_chain_stream", "S-05")
+@query("s05_chain_stream", "S-05", CHAIN_SQL)
 def _(t):
     return run_to_table(streams.chain_stream(_timed(t.stream("tele").where("sensor = 'eventlog'")), 3_000_000_000), "chains")
 
@@ -69,7 +71,7 @@ def _(t):
     return run_to_table(streams.dns_rate_stream(_timed(q)), "rates").select("seq", "rate")
 
 
-@query("s08_correlate_stream", "S-08 W-16")
+@query("s08_correlate_stream", "S-08 W-16", FOLD_SQL)
 def _(t):
     a = t.stream("alerts").withColumn("mitre_ids", mitre()).withColumn(
         "entities", correlate.extract_entities(pid="a_pid", ip="a_ip", path="a_path", domain="a_domain"))

@@ -128,7 +128,7 @@ def _(t):
 _PATTERNS = ", ".join(f"('{k}', {v[0]})" for k, v in fv.LOG_CHAINS.items())
 
 
-@query("w10_eventlog_chains", "W-10", f"""
+CHAIN_SQL = f"""
     WITH RECURSIVE pat AS (SELECT * FROM (VALUES {_PATTERNS}) v(chain, p)),
     ev AS (SELECT host, chain, p, code, ts_us, row_number() OVER (PARTITION BY host, chain ORDER BY ts_us, seq) AS r FROM (SELECT * FROM tele WHERE sensor = 'eventlog') JOIN pat ON list_contains(p, code)),
     f(host, chain, r, idx, first_us, a, b) AS (SELECT DISTINCT host, chain, 0::BIGINT, 0, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT FROM ev
@@ -136,7 +136,10 @@ _PATTERNS = ", ".join(f"('{k}', {v[0]})" for k, v in fv.LOG_CHAINS.items())
             CASE WHEN p[idx + 1] <> code THEN first_us WHEN idx + 1 = len(p) THEN NULL WHEN idx = 0 THEN ts_us ELSE first_us END,
             CASE WHEN p[idx + 1] = code AND idx + 1 = len(p) THEN first_us END, CASE WHEN p[idx + 1] = code AND idx + 1 = len(p) THEN ts_us END
         FROM f JOIN ev ON f.host = ev.host AND f.chain = ev.chain AND ev.r = f.r + 1)
-    SELECT host, chain, a AS first_us, b AS last_us FROM f WHERE b IS NOT NULL AND b - a <= 3000000000""")
+    SELECT host, chain, a AS first_us, b AS last_us FROM f WHERE b IS NOT NULL AND b - a <= 3000000000"""
+
+
+@query("w10_eventlog_chains", "W-10", CHAIN_SQL)
 def _(t):
     return win.eventlog_chains(t.tele.where("sensor = 'eventlog'"), window_us=3_000_000_000).select("host", "chain", "first_us", "last_us")
 
