@@ -98,26 +98,31 @@ def ioc_by_type(iocs: DataFrame) -> DataFrame:
 def flow_stats(connections: DataFrame, width_us: int = 30_000_000, keys: list[str] | None = None) -> DataFrame:
     """Connection statistics per key and window.
 
-    Each measure is a two-level aggregate (count the distinct values first), so a
-    crowded window is combined map-side instead of collected.
+    Equal connections are counted once, map-side; every measure is an aggregate of
+    those counts, which Spark computes and shuffles once for all of them.
     """
     keys = keys or ["host"]
     k = [*keys, "window_us"]
     rows = connections.withColumn("window_us", F.floor(F.col("ts_us") / width_us).cast("bigint") * width_us)
-    base = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("total_connections"))
-    ips = rows.where(F.length("remote_ip") > 0).groupBy(*k, "remote_ip").agg(F.lit(1).alias("_one"))
-    first = ips.groupBy(*keys, "remote_ip").agg(F.min("window_us").alias("window_us"))
-    ports = rows.where(F.col("remote_port") > 0).groupBy(*k, "remote_port").agg(F.count(F.lit(1)).alias("_n"))
-    n = F.sum("_n")
+    tuples = rows.groupBy(*k, "remote_ip", "remote_port", "conn_status", "protocol").agg(F.count(F.lit(1)).alias("_n"))
+    # Conditions stay inside the aggregates and every branch reads the count: a
+    # pushed filter or a pruned count would make the branch scan the events again
+    base = tuples.groupBy(*k).agg(F.sum("_n").alias("total_connections"))
+    known = (F.length("remote_ip") > 0) & (F.col("_n") > 0)
+    ips = tuples.groupBy(*k, "remote_ip").agg(F.sum("_n").alias("_n"))
+    first = tuples.groupBy(*keys, "remote_ip").agg(F.min("window_us").alias("window_us"), F.sum("_n").alias("_n"))
+    ports = tuples.groupBy(*k, "remote_port").agg(F.sum("_n").alias("_n"))
+    open_port = F.col("remote_port") > 0
+    n = F.sum(F.when(open_port, F.col("_n")))
     port_agg = ports.groupBy(*k).agg(
-        F.count(F.lit(1)).alias("unique_remote_ports"),
-        (F.round(F.log2(n) - F.sum(F.col("_n") * F.log2("_n")) / n, 4) + 0.0).alias("port_entropy"))
-    mapped = lambda c, name: rows.groupBy(*k, c).agg(F.count(F.lit(1)).alias("_n")).groupBy(*k).agg(
+        F.count_if(open_port).alias("unique_remote_ports"),
+        (F.round(F.log2(n) - F.sum(F.when(open_port, F.col("_n") * F.log2("_n"))) / n, 4) + 0.0).alias("port_entropy"))
+    mapped = lambda c, name: tuples.groupBy(*k, c).agg(F.sum("_n").alias("_n")).groupBy(*k).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "_n")))).alias(name))
     return (
-        base.join(ips.groupBy(*k).agg(F.count(F.lit(1)).alias("unique_remote_ips")), k, "left")
+        base.join(ips.groupBy(*k).agg(F.count_if(known).alias("unique_remote_ips")), k, "left")
         .join(port_agg, k, "left")
-        .join(first.groupBy(*k).agg(F.count(F.lit(1)).alias("new_destination_rate")), k, "left")
+        .join(first.groupBy(*k).agg(F.count_if(known).alias("new_destination_rate")), k, "left")
         .join(mapped("conn_status", "connections_by_status"), k, "left")
         .join(mapped("protocol", "connections_by_protocol"), k, "left")
         .na.fill(0, ["unique_remote_ips", "unique_remote_ports", "new_destination_rate"])
@@ -287,11 +292,11 @@ def feedback_multiplier(feedback: DataFrame) -> DataFrame:
 
 def _errors_since_success(runs: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Errors after the last success of each key: two aggregates, no window."""
-    from wardline.operators.segmented import dimension_join
+    from wardline.operators.segmented import salted_join
 
     at = F.struct(*order)
     last = runs.groupBy(key).agg(F.max(F.when(F.col("ok") == 1, at)).alias("_last"))
-    failed = dimension_join(runs.where("ok = 0"), last, [key], "inner").where(
+    failed = salted_join(runs.where("ok = 0"), last, [key], "inner").where(
         F.col("_last").isNull() | (at > F.col("_last")))
     return failed.groupBy(key).agg(F.count(F.lit(1)).alias("consecutive_errors"), F.max_by("error", at).alias("last_error"))
 

@@ -145,7 +145,7 @@ def campaign_members(incidents: DataFrame, entities: DataFrame, max_rounds: int
     from wardline.session import checkpoint
 
     closed = incidents.where("status = 'closed'").select("incident_id", F.struct("ord", "incident_id").alias("o"))
-    links = checkpoint(entities.join(closed, "incident_id").select("incident_id", "entity", "o").distinct())
+    links = checkpoint(salted_join(entities, closed, ["incident_id"], "inner").select("incident_id", "entity", "o").distinct())
     undecided, seeds = links, None
     for _ in range(max_rounds):
         least = undecided.groupBy("entity").agg(F.min("o").alias("_least"))
@@ -179,5 +179,7 @@ def detect_campaigns(incidents: DataFrame, entities: DataFrame) -> DataFrame:
 def shared_entities(members: DataFrame, entities: DataFrame) -> DataFrame:
     """(seed_id, entity) present in every member of a campaign."""
     sizes = members.groupBy("seed_id").agg(F.count(F.lit(1)).alias("_n"))
-    held = entities.select("incident_id", "entity").distinct().join(members, "incident_id").groupBy("seed_id", "entity").agg(F.count(F.lit(1)).alias("_k"))
+    from wardline.operators.segmented import salted_join
+
+    held = salted_join(entities.select("incident_id", "entity").distinct(), members, ["incident_id"], "inner").groupBy("seed_id", "entity").agg(F.count(F.lit(1)).alias("_k"))
     return held.join(sizes, "seed_id").where("_k = _n").select("seed_id", "entity")

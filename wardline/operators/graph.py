@@ -170,7 +170,8 @@ def chain_drive_by(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     base = lambda c: F.regexp_extract(c, r"([^\\/]*)$", 1)
     files = _far(nodes, edges, "modified", "path").where("dst_type = 'file'").where(rules.is_executable(F.col("path")))
-    written = files.join(_procs(nodes, "name", "exe", "path").where(_name("p_").isin(*fv.GRAPH_BROWSERS)), "src").withColumn("_browser", _name("p_"))
+    browsers = _procs(nodes, "name", "exe", "path").where(_name("p_").isin(*fv.GRAPH_BROWSERS))
+    written = salted_join(files, browsers, ["src"], "inner").withColumn("_browser", _name("p_"))
     written = written.select("host", "src", "dst", "_browser", F.lower("path").alias("_file")).withColumn("_base", base(F.col("_file")))
     ran = nodes.where("node_type = 'process'").select("host", _name().alias("_exec")).groupBy("host", "_exec").agg(
         F.count(F.lit(1)).alias("_n")).withColumn("_base", base(F.col("_exec")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardline import fixed_values as fv
 from wardline.functions.scoring import lookup, payload_get
 from wardline.functions.text import decode_powershell
-from wardline.operators.segmented import dimension_join, segmented_scan, time_segment
+from wardline.operators.segmented import salted_join, segmented_scan, time_segment
 
 
 # --- projections -----------------------------------------------------------------------
@@ -281,4 +281,4 @@ def close_incident(incidents: DataFrame, requests: DataFrame) -> DataFrame:
 def rolling_window(df: DataFrame, keys: list[str], width_us: int = 600_000_000) -> DataFrame:
     """Rows within the width before the newest row of their series."""
     newest = df.groupBy(*keys).agg(F.max("ts_us").alias("_max"))
-    return dimension_join(df, newest, keys, "inner").where(F.col("ts_us") >= F.col("_max") - width_us).drop("_max")
+    return salted_join(df, newest, keys, "inner").where(F.col("ts_us") >= F.col("_max") - width_us).drop("_max")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardline import fixed_values as fv
 from wardline.functions.scoring import critical_path, severity_of_file_change
 from wardline.functions.text import jaccard_distance
-from wardline.operators.segmented import dimension_join
+from wardline.operators.segmented import dimension_join, salted_join
 
 
 def diff_snapshots(snap: DataFrame, key: list[str], value: str | None = None, scope: list[str] | None = None,
@@ -23,7 +23,7 @@ def diff_snapshots(snap: DataFrame, key: list[str], value: str | None = None, sc
     cycles = snap.select(*scope, cycle).distinct()
     order = Window.partitionBy(*scope).orderBy(cycle)
     cycles = cycles.select(*scope, cycle, F.lead(cycle).over(order).alias("_next"), F.lag(cycle).over(order).alias("_prev"))
-    listed = dimension_join(snap, cycles, [*scope, cycle], "inner")
+    listed = salted_join(snap, cycles, [*scope, cycle], "inner")
     hashed = F.col(value) if value else F.lit(1)
     now = listed.where("_prev IS NOT NULL").select(*scope, cycle, *key, hashed.alias("_now"), *[F.col(c).alias(f"_n_{c}") for c in carry])
     before = listed.where("_next IS NOT NULL").select(*scope, F.col("_next").alias(cycle), *key, hashed.alias("_old"), *[F.col(c).alias(f"_o_{c}") for c in carry])

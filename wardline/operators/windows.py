@@ -76,7 +76,7 @@ def fft_periodicity(events: DataFrame, keys: list[str], min_events: int = 10) ->
     its span however busy the key is.
     """
     span = events.groupBy(*keys).agg(F.min("ts_us").alias("_t0"), F.max("ts_us").alias("_t1"), F.count(F.lit(1)).alias("_n"))
-    joined = dimension_join(events.select(*keys, "ts_us"), span.where(F.col("_n") >= min_events), keys, "inner")
+    joined = salted_join(events.select(*keys, "ts_us"), span.where(F.col("_n") >= min_events), keys, "inner")
     second = F.floor((F.col("ts_us") - F.col("_t0")) / 1e6).cast("bigint")
     counts = joined.groupBy(*keys, "_t0", "_t1", second.alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
     fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
