@@ -144,7 +144,7 @@ def _(t):
 
 @query("g10_attack_chains", "G-10", f"""
     WITH {_GRAPH}, br AS (SELECT e.host, e.src, e.dst, lower(x.path) AS file FROM e JOIN n x ON e.dst = x.node_id JOIN n p ON e.src = p.node_id
-        WHERE e.edge_type = 'modified' AND lower(p.name) IN {sql_list(fv.GRAPH_BROWSERS)} AND regexp_matches(lower(x.path), '\.(exe|dll|scr|bat|cmd|ps1|vbs|js|hta|msi)$')),
+        WHERE e.edge_type = 'modified' AND lower(p.name) IN {sql_list(fv.GRAPH_BROWSERS)} AND regexp_matches(lower(x.path), '\\.(exe|dll|scr|bat|cmd|ps1|vbs|js|hta|msi)$')),
     fl AS (SELECT e.host, src, count(*) AS files, max(ts_us) - min(ts_us) AS span, count(*) FILTER {_CRED.join(['(', ')'])} AS cred FROM e JOIN n ON dst = node_id WHERE edge_type = 'modified' GROUP BY ALL),
     op AS (SELECT src, count(*) AS conns, count(*) FILTER (NOT (remote_ip LIKE '10.%' OR remote_ip LIKE '192.168.%')) AS ext, sum(bytes_sent) FILTER (NOT (remote_ip LIKE '10.%' OR remote_ip LIKE '192.168.%')) AS bytes FROM e JOIN n ON dst = node_id WHERE edge_type = 'opened' GROUP BY src)
     SELECT 'drive_by_download' AS chain_name, src AS node_id, 0.85::DOUBLE AS confidence FROM (SELECT DISTINCT br.src, br.dst FROM br JOIN n q ON q.node_type = 'process' AND q.host = br.host AND q.node_id <> br.src AND (contains(file, lower(q.name)) OR contains(lower(q.name), file)))

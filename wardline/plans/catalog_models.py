@@ -57,10 +57,11 @@ def _(t):
 
 @query("m07_url_classifier", "M-07")
 def _(t):
-    # weak label: words of bait pages in the address
-    rows = t.pages.select("page_id", "url", F.col("url").rlike("pills|cheap|login|casino|free").cast("int").alias("truth"))
+    # weak label: bait words and odd suffixes in the addresses of pages and queried names
+    names = t.tele.select(F.concat(F.lit("http://"), "domain", F.lit("/")).alias("url")).distinct()
+    rows = t.pages.select("url").distinct().unionByName(names).withColumn("truth", F.col("url").rlike(r"pills|cheap|\.xyz|zx\.com").cast("int"))
     model = models.url_classifier_fit(rows, "url", "truth", trees=40, depth=10)
-    return models.url_classifier_predict(model, rows).select("page_id", "truth", "label", F.round("p", 6).alias("p"), "confidence")
+    return models.url_classifier_predict(model, rows).select("url", "truth", "label", F.round("p", 6).alias("p"), "confidence")
 
 
 @query("m09_anomaly_cascade", "M-09 M-04 M-05")
