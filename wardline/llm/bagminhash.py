@@ -140,18 +140,22 @@ def _linked(pairs: DataFrame, bags_of: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, pivots: int = 16) -> DataFrame:
-    """One row (doc_id, class_id) for each row of ``docs``; class_id is the least doc_id of the class."""
+    """One row (doc_id, text_hash, class_id, first) for each row of ``docs``.
+
+    class_id is the least doc_id of the class; ``first`` marks the rows that may stand for it, which
+    are equal in doc_id and text.
+    """
     kind = "node binary, keys array<long>"
-    rows = written(docs.select("doc_id", scalar(_sketch, kind)(F.col("text")).alias("s")).select("doc_id", "s.node", "s.keys"), "sketches")
+    rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), scalar(_sketch, kind)(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.node", "s.keys"), "sketches")
     nodes = rows.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    named = nodes.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
+    named = nodes.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("keys").alias("keys"))
     spread = named.select("node", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     active = written(spread.join(shared, "key"), "buckets")  # a node has a key once at most, but for equal keys of two bands
     members = active.select("node").distinct()
     # one row's text per node: every copy has the same words, so the least doc_id's row will do
     chosen = members.join(named.select("node", "least"), "node")
-    texts = docs.select("doc_id", "text").join(chosen.select(F.col("least").alias("doc_id")).distinct(), "doc_id")
+    texts = docs.select("doc_id", "text").join(chosen.select("least.doc_id").distinct(), "doc_id")
     bagged = texts.select(scalar(_sketch, kind)(F.col("text")).alias("s"), scalar(_bag_bytes, "binary")(F.col("text")).alias("bag")).select("s.node", "bag")
     bags_of = written(bagged.join(members, "node", "left_semi").dropDuplicates(["node"]), "bags")
 
@@ -185,12 +189,27 @@ def classes(docs: DataFrame, pivots: int = 16) -> DataFrame:
     else:
         member = member.withColumn("root", F.lit(None).cast("binary"))
     member = member.withColumn("root", F.coalesce("root", "node"))
-    class_of = member.groupBy("root").agg(F.min("least").alias("class_id"))
-    by_node = member.join(class_of, "root").select("node", "class_id")
-    return rows.select("doc_id", "node").join(by_node, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    class_of = member.groupBy("root").agg(F.min("least").alias("best"))
+    by_node = member.join(class_of, "root").select("node", "best")
+    out = rows.select("doc_id", "text_hash", "node").join(by_node, "node", "left")
+    alone = F.col("best").isNull() | F.col("doc_id").isNull()
+    return out.select(
+        "doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"),
+        (alone | ((F.col("doc_id") == F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash")))).alias("first"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class; rows with a null doc_id or without words all stay."""
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row")).withColumn("text_hash", F.xxhash64("text"))
+    found = classes(docs)
+    losers = found.where("NOT first").select("doc_id", "text_hash").distinct()
+    rows = rows.join(losers, ["doc_id", "text_hash"], "left_anti")
+    exempt = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x80-\x{10FFFF}]"), F.lit(False))
+    rows = rows.withColumn("own", F.when(exempt, F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["doc_id", "text_hash", "own"]).select("row.*")
 
 
 @query("op5_bagminhash")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id, kept: one document of each class stays."""
-    return classes(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("first").alias("kept"))

@@ -153,6 +153,12 @@ def matched(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFr
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item."""
+    rows = docs.select("text", F.struct("*").alias("row"))
+    return matched(rows, benchmark).where(F.size("matches") == 0).select("row.*")
+
+
 @query("op7_simhash_windows")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (ascending), similarity (the best; null if none)."""

@@ -187,6 +187,13 @@ def score(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]]) -> Dat
     return with_stats(docs).withColumn("score", compile_rules(*model)).drop("_stats")
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``docs`` without the rows that the classifier, trained on their labelled part, rejects."""
+    model = train(docs, labels)
+    rows = docs.select("text", F.struct("*").alias("row"))
+    return score(rows, model).where(F.col("score") >= threshold).select("row.*")
+
+
 @query("op2_rule_ensemble")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -20,7 +20,7 @@ A byte is removed if a string of ``length`` bytes that covers it also starts els
 
 Texts are whole UTF-8 byte strings, null counts as empty, and equal texts share one
 digest (so repeated rows and repeated ids need no care).  Empty tables give an empty result.
-Columns other than doc_id and text are not read, unless ``keep`` passes them on.
+Other columns are passed on or not read.
 """
 
 from __future__ import annotations
@@ -297,7 +297,10 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` whose texts lack their repeated bytes; cut characters at the edges of a span go whole."""
+    """``docs`` whose texts lack their repeated bytes; cut characters at the edges of a span go whole.
+
+    ``n_chars``, where there is such a column, is that of the new text.
+    """
 
     def cut(text: pa.Array, removed: pa.Array) -> pa.Array:
         out = []
@@ -305,7 +308,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out.append(t.as_py() if not r.is_valid else _kept(t.as_py().encode(), _union(r.as_py())).decode("utf-8", "ignore"))
         return pa.array(out, pa.string())
 
-    return _apply2(docs, cut, "string", "text")
+    columns = docs.columns
+    done = _apply2(docs.select("text", F.struct("*").alias("row")), cut, "string", "new")
+    kind = dict(docs.dtypes)
+    size = F.length("new")
+    return done.select(*[F.col("new").alias(c) if c == "text" else size.cast(kind[c]).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in columns])
 
 
 def _apply2(docs: DataFrame, fn, kind: str, name: str) -> DataFrame:
