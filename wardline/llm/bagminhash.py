@@ -33,6 +33,7 @@ from wardline.llm.registry import query
 from wardline.llm.tables import scalar, table, written
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
+BROADCAST_PAIRS = 100_000
 SALT = np.uint64(0xD1B54A32D192ED03)
 SHINGLE_BITS = np.uint64(48)
 
@@ -133,9 +134,18 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(pairs: DataFrame, bags_of: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose bags overlap enough."""
-    joined = pairs.join(bags_of.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
-    joined = joined.join(bags_of.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
+    """The pairs (a, b) of nodes whose bags overlap enough.
+
+    Few pairs, by count, are broadcast so that only their own bags move.
+    """
+    few = pairs.count() <= BROADCAST_PAIRS
+    side = F.broadcast(pairs) if few else pairs
+    left = bags_of.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")).join(side, "a")
+    if few:
+        right = bags_of.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")).join(side, "b")
+        joined = left.join(right, ["a", "b"])
+    else:
+        joined = left.join(bags_of.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
     return joined.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a binary, b binary")
 
 
@@ -178,6 +188,7 @@ def classes(docs: DataFrame, pivots: int = 16) -> DataFrame:
         chosen = written(chosen, "pivots")
         pairs = (state.join(chosen, "key").where("root != pivot_root")
                  .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+        pairs = written(pairs, "pairs")
         new = _linked(pairs, bags_of)
         edges = written(new if edges is None else new.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a != b")), "links")
         roots = written(components(edges), "roots")

@@ -73,52 +73,74 @@ def _contexts(text: pa.Array) -> pa.Array:
     row, anchor, name, start, end = contexts(data, offsets)
     cut = np.searchsorted(row, np.arange(len(text) + 1)).astype(np.int32)
     items = pa.StructArray.from_arrays([pa.array(anchor), pa.array(name), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["anchor", "ctx", "start", "end"])
-    return pa.ListArray.from_arrays(pa.array(cut), items)
+    found = pa.ListArray.from_arrays(pa.array(cut), items)
+    name = [hashlib.md5(data[a:b]).digest() for a, b in zip(offsets, offsets[1:])]
+    return pa.StructArray.from_arrays([pa.array(name, pa.binary()), found], ["digest", "c"])
 
 
 # ------------------------------------------------------------------ suffix arrays
 
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffixes in order (of their first ``depth`` bytes at least), by Larsson-Sadakane refinement.
+def _order(major: np.ndarray, minor: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order by (major, minor), both below ``2**bits``: values are sorted with their places packed in."""
+    if 3 * bits <= 63:
+        return np.sort((major << (2 * bits)) | (minor << bits) | np.arange(len(major))) & ((1 << bits) - 1)
+    return np.lexsort((minor, major))
 
-    ``text``: integers below 2**16.  Ranks come from 4 symbols first; then every group of
-    equal rank is sorted by the rank ``h`` symbols later, and ``h`` doubles.
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffixes in order, by Larsson-Sadakane refinement; ``text`` holds integers below 256.
+
+    Ranks come from the first symbols that fit beside a place in 63 bits; then every group of equal rank
+    is sorted by the rank ``h`` symbols later, and ``h`` doubles.
     """
     n = len(text)
-    padded = np.zeros(n + 4, dtype=np.uint64)
-    padded[:n] = text.astype(np.uint64) + np.uint64(1)
-    key = (padded[:n] << np.uint64(48)) | (padded[1 : n + 1] << np.uint64(32)) | (padded[2 : n + 2] << np.uint64(16)) | padded[3 : n + 3]
-    order = np.argsort(key)
-    sorted_key = key[order]
+    bits = max(int(n + 1).bit_length(), 1)
+    h = max((63 - bits) // 8, 1)
+    padded = np.zeros(n + h, dtype=np.int64)
+    padded[:n] = text
+    key = np.zeros(n, dtype=np.int64)
+    for j in range(h):
+        key = (key << 8) | padded[j : n + j]
+    packed = np.sort((key << bits) | np.arange(n))
+    order, sorted_key = packed & ((1 << bits) - 1), packed >> bits
     head = np.r_[True, sorted_key[1:] != sorted_key[:-1]] if n else np.zeros(0, dtype=bool)
-    rank = np.zeros(n + 1, dtype=np.int64)  # 0: past the end
-    # rank of a group: place of its first member, plus 1
+    # a suffix shorter than h ties with longer ones that go on with 0: the place past the end ranks lowest
     place = np.arange(n)
+    rank = np.zeros(n + h + 1, dtype=np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, place, 0)) + 1
-    h = 4
-    while n and (depth is None or h < depth):
-        group = np.cumsum(head) - 1
-        size = np.bincount(group)
-        loose = np.flatnonzero(size[group] > 1)
-        if len(loose) == 0:
-            break
+    loose = np.flatnonzero(~(head & np.r_[head[1:], True])) if n else place
+    while len(loose):
         suffix = order[loose]
-        later = rank[np.minimum(suffix + h, n)]
-        by = np.argsort((group[loose] << 32) | later)
-        suffix, later = suffix[by], later[by]
+        group = rank[suffix]
+        by = _order(group, rank[np.minimum(suffix + h, n)], bits)
+        suffix = suffix[by]
+        later = rank[np.minimum(suffix + h, n)]  # groups stay where they were: only their members move
         order[loose] = suffix
-        same = np.r_[False, (group[loose][1:] == group[loose][:-1]) & (later[1:] == later[:-1])]
+        same = np.r_[False, (group[1:] == group[:-1]) & (later[1:] == later[:-1])]
         head[loose] = ~same
-        rank[order[loose]] = np.maximum.accumulate(np.where(head, place, 0))[loose] + 1
+        first = np.maximum.accumulate(np.where(same, 0, loose))
+        rank[suffix] = first + 1
+        last = np.r_[~same[1:], True]
+        loose = loose[same | ~last]
         h *= 2
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int | None = None, lane: int = 256) -> np.ndarray:
+def _leading(x: np.ndarray) -> np.ndarray:
+    """Number of leading zero bytes of 64-bit words."""
+    out = np.zeros(len(x), dtype=np.int64)
+    for half in (32, 16, 8):
+        zero = (x >> np.uint64(64 - half)) == 0
+        out += np.where(zero, half // 8, 0)
+        x = np.where(zero, x << np.uint64(half), x)
+    return out + (x == 0)
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, most: int | None = None, lane: int = 1024) -> np.ndarray:
     """Common prefix of each suffix with the one before it in ``order`` (0 for the first), up to ``most``.
 
-    Kasai's walk in text order, in lanes of ``lane`` places side by side: the prefix at a
-    place is at least the one before it less 1.
+    Kasai's walk in text order, in lanes of ``lane`` places side by side, eight symbols a step: the prefix at a
+    place is at least the one before it less 1.  ``order`` has to be complete.
     """
     n = len(text)
     most = n if most is None else most
@@ -126,38 +148,41 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int | None = None
         return np.zeros(0, dtype=np.int64)
     before = np.full(n, -1, dtype=np.int64)
     before[order[1:]] = order[:-1]
+    padded = np.zeros(n + most + 16, dtype=np.uint64)
+    padded[:n] = text
+    eight = np.zeros(n + most + 8, dtype=np.uint64)
+    for j in range(8):
+        eight = (eight << np.uint64(8)) | padded[j : j + len(eight)]
     lanes = np.arange(0, n, lane)
-    padded = np.r_[text.astype(np.int64), np.array([-1])]
     found = np.zeros(n, dtype=np.int64)
     h = np.zeros(len(lanes), dtype=np.int64)
     for t in range(min(lane, n)):
+        if lanes[-1] + t >= n:  # only the last lane can end early
+            lanes, h = lanes[:-1], h[:-1]
         i = lanes + t
-        inside = i < n
-        i = i[inside]
         j = before[i]
-        k = np.where(j >= 0, np.maximum(h[inside] - 1, 0), 0)
+        k = np.maximum(h - 1, 0)
         go = np.flatnonzero((j >= 0) & (k < most))
+        a, b = i[go], j[go]
         while len(go):
-            a, b = i[go] + k[go], j[go] + k[go]
-            ok = (a < n) & (b < n)
-            ok &= padded[np.minimum(a, n)] == padded[np.minimum(b, n)]
-            go = go[ok]
-            k[go] += 1
-            go = go[k[go] < most]
-        found[i] = k
-        h[inside] = k
+            step = _leading(eight[a + k[go]] ^ eight[b + k[go]])
+            k[go] += step
+            on = (step == 8) & (k[go] < most)
+            go, a, b = go[on], a[on], b[on]
+        h = np.where(j >= 0, np.minimum(np.minimum(k, most), n - np.maximum(i, j)), 0)
+        found[i] = h
     return found[order]
 
 
 def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Window starts of the pieces in suffix order: (piece, place, class, repeated)."""
     sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-    text = np.zeros(int(sizes.sum() + len(pieces)), dtype=np.int64)
+    text = np.zeros(int(sizes.sum() + len(pieces)), dtype=np.int64)  # bytes of UTF-8 are below 0xF8, so one more fits
     offset = np.cumsum(sizes + 1) - sizes - 1
     body = np.ones(len(text), dtype=bool)
     body[offset + sizes] = False  # an end mark of 0 after each piece
     text[body] = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64) + 1
-    order = suffix_array(text)  # in full: Kasai's bound does not hold for ties
+    order = suffix_array(text)
     prefix = common_prefixes(text, order, length)
     piece = np.searchsorted(offset, order, side="right") - 1
     place = order - offset[piece]
@@ -250,8 +275,9 @@ def _merge(rows: pa.Table) -> pa.Table:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(digest, start, end): spans of bytes to remove, by md5 of the text; spans of a text may overlap."""
-    digest = F.unhex(F.md5(F.col("text").cast("binary")))
-    found = docs.select(digest.alias("digest"), F.explode(scalar(_contexts, "array<struct<anchor: long, ctx: long, start: int, end: int>>")(F.col("text"))).alias("c"))
+    # the digest comes with the contexts, or the plan would take it once for each of them
+    kind = "digest binary, c array<struct<anchor: long, ctx: long, start: int, end: int>>"
+    found = docs.select(scalar(_contexts, kind)(F.col("text")).alias("f")).select("f.digest", F.explode("f.c").alias("c"))
     seen = written(found.select("digest", "c.*"), "contexts")
     by_context = seen.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "start", "end")).alias("one"))
     by_anchor = (by_context.groupBy("anchor").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("single")).where("`all` > 1"))
@@ -261,6 +287,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # the contexts that need their bytes, one copy of each
     need = state.where("single > 0").select("anchor", "ctx", "kinds", "one.digest", "one.start", "one.end")
     need = need.groupBy("digest").agg(F.collect_list(F.struct("anchor", "ctx", "kinds", "start", "end")).alias("need"))  # at most the contexts of one text
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
     texts = docs.select(digest.alias("digest"), F.col("text").cast("binary").alias("bytes")).join(need, "digest")
     cut = texts.select("digest", "bytes", F.explode("need").alias("w")).select(
         "digest", "w.*", F.substring("bytes", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("bytes")).dropDuplicates(["anchor", "ctx"])
