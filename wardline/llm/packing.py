@@ -26,39 +26,56 @@ from pyspark.sql import functions as F
 from wardline.llm.registry import query
 from wardline.llm.tables import scalar, table, written
 
-CAPACITY, STRIPES, CACHE, CHUNK = 2048, 64, 300_000, 256
+CAPACITY, STRIPES, CACHE, CORES, CHUNK = 2048, 64, 300_000, 700_000, 256
 #: Fixed value: white space as the tokenizers' pattern ``\s`` has it.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_MARKS = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~\""
 _ODD = re.compile("[\x1c-\x1f]")
 _TOKENIZERS: dict[str, tuple] = {}
 
 
 def tokenizer(path: str) -> tuple:
-    """(tokenizer, cache of encoded words), kept per worker."""
+    """(tokenizer, ids of words, ids of bare lower-case words), kept per worker."""
     if path not in _TOKENIZERS:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
+        _TOKENIZERS[path] = (Tokenizer.from_file(path), {}, {})
     return _TOKENIZERS[path]
 
 
+def _parts(word: str) -> tuple[str, ...]:
+    """Parts that the tokenizer encodes one by one: the letters of a Latin word in lower case, and ASCII marks after it."""
+    core = word.rstrip(_MARKS)
+    if core.isalpha() and (core.isascii() or (max(core) < "\u0370" and "\u0130" not in core)):
+        return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
+    return (word,)
+
+
 def encoded(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers, without the end id.
 
-    The vocabulary's words never span white space, so white-space runs are encoded once and kept.
+    The vocabulary's words never span white space, so a white-space run is encoded once and kept; runs
+    that differ in case or in marks at the end share the encoding of their letters.
     """
-    tok, cache = tokenizer(path)
+    tok, cache, cores = tokenizer(path)
     split = [WHITE.split(t) if _ODD.search(t) else t.split() for t in texts]
-    new = list(dict.fromkeys(w for words in split for w in words if w not in cache))
+    new = {w for words in split for w in words if w not in cache}
     if len(cache) + len(new) > CACHE:
         cache.clear()
-        new = list({w for words in split for w in words})
-    for a in range(0, len(new), 5000):
-        for w, e in zip(new[a : a + 5000], tok.encode_batch_fast(new[a : a + 5000], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+        new = {w for words in split for w in words}
+    parts = {w: _parts(w) for w in new}
+    unknown = list({p for ps in parts.values() for p in ps if p not in cores})
+    if len(cores) + len(unknown) > CORES:
+        cores.clear()
+        unknown = list({p for ps in parts.values() for p in ps})
+    for a in range(0, len(unknown), 5000):
+        for p, e in zip(unknown[a : a + 5000], tok.encode_batch_fast(unknown[a : a + 5000], add_special_tokens=False)):
+            cores[p] = np.array(e.ids, dtype="<u4").tobytes()
+    for w, ps in parts.items():
+        cache[w] = cores[ps[0]] if len(ps) == 1 else cores[ps[0]] + cores[ps[1]]
     return [b"".join([cache[w] for w in words]) for words in split]
 
 
