@@ -95,16 +95,15 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """
     n = len(text)
     bits = max(int(n + 1).bit_length(), 1)
-    h = max((63 - bits) // 8, 1)
+    h = max((63 - bits) // 9, 1)
     padded = np.zeros(n + h, dtype=np.int64)
-    padded[:n] = text
+    padded[:n] = text + 1
     key = np.zeros(n, dtype=np.int64)
     for j in range(h):
-        key = (key << 8) | padded[j : n + j]
+        key = (key << 9) | padded[j : n + j]
     packed = np.sort((key << bits) | np.arange(n))
     order, sorted_key = packed & ((1 << bits) - 1), packed >> bits
     head = np.r_[True, sorted_key[1:] != sorted_key[:-1]] if n else np.zeros(0, dtype=bool)
-    # a suffix shorter than h ties with longer ones that go on with 0: the place past the end ranks lowest
     place = np.arange(n)
     rank = np.zeros(n + h + 1, dtype=np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, place, 0)) + 1

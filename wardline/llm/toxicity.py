@@ -19,10 +19,12 @@ both classes among the labels every score is their share (0.5 without labels).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,8 +134,8 @@ def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
             ctx.select(F.col("ctx").alias("gram"), (F.col("s_toxic") + F.col("s_ordinary")).alias("weight"), F.log(left("toxic") / left("ordinary")).alias("llr")))
 
 
-def _slots(rows: DataFrame) -> np.ndarray:
-    """At most SLOTS numbers: the weighted mean ratio of each hash slot."""
+def _slots(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most SLOTS (slot, number): the weighted mean ratio of each hash slot."""
 
     def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,17 +144,29 @@ def _slots(rows: DataFrame) -> np.ndarray:
 
     by = rows.mapInArrow(number, "slot int, weight long, llr double").groupBy("slot")
     got = by.agg((F.sum(F.col("llr") * F.col("weight")) / F.sum("weight")).cast("float").alias("llr")).toArrow()
-    out = np.full(SLOTS, np.nan, dtype=np.float32)
-    out[got.column("slot").to_numpy()] = got.column("llr").to_numpy()
-    return out
+    return got.column("slot").to_numpy(), got.column("llr").to_numpy()
 
 
-def with_ratios(docs: DataFrame, gram_llr: np.ndarray, ctx_llr: np.ndarray) -> DataFrame:
+_DENSE: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _dense(model: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The two tables by slot (the second 0 where empty), unpacked once in a worker."""
+    name, *parts = model
+    if name not in _DENSE:
+        _DENSE.clear()
+        tables = [np.full(SLOTS, np.nan, dtype=np.float32), np.zeros(SLOTS, dtype=np.float32)]
+        for table_, (slot, llr) in zip(tables, parts):
+            table_[slot] = llr
+        _DENSE[name] = tuple(tables)
+    return _DENSE[name]
+
+
+def with_ratios(docs: DataFrame, model: Broadcast) -> DataFrame:
     """``docs`` with ``_r``: the normalised log-likelihood ratios of each text."""
-    tables = docs.sparkSession.sparkContext.broadcast((gram_llr, np.nan_to_num(ctx_llr)))
 
     def measure(text: pa.Array) -> pa.Array:
-        by_gram, by_ctx = tables.value
+        by_gram, by_ctx = _dense(model.value)
         row, word, gram, word_row = events(text)
         n = len(text)
         if len(row):
@@ -195,11 +209,11 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
     cls = F.when(part >= 2, F.coalesce("y", F.lit(2))).otherwise(2).cast("long")
     counts = written(count(known.select("text", cls.alias("cls"))), "toxicity-counts")
     grams, contexts = ratios(counts)
-    by_gram, by_ctx = _slots(grams), _slots(contexts)
-    sample = with_ratios(known.where((part == 1) & F.col("y").isNotNull()), by_gram, by_ctx).select("y", "_r", F.xxhash64("doc_id").alias("h"), "doc_id")
+    model = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, _slots(grams), _slots(contexts)))
+    sample = with_ratios(known.where((part == 1) & F.col("y").isNotNull()), model).select("y", "_r", F.xxhash64("doc_id").alias("h"), "doc_id")
     picked = sample.orderBy("h", "doc_id").limit(SAMPLE).select("y", "_r.*").toPandas()
     x, y = picked[FEATURES].to_numpy(float), picked["y"].to_numpy(float)
-    rows = with_ratios(docs, by_gram, by_ctx)
+    rows = with_ratios(docs, model)
     if len(y) == 0 or y.min() == y.max():
         return rows.withColumn("score", F.lit(float(y.mean()) if len(y) else 0.5)).drop("_r")
     centre, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
