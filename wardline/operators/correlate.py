@@ -94,7 +94,7 @@ def correlate_alerts(alerts: DataFrame, mode: str = "exact", window_us: int = WI
     return ready.mapInPandas(assign, "alert_id string, incident_id string, rule string")
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) with the least id of each component.
 
     Each round takes the least label of the neighbours and then follows the label
@@ -105,7 +105,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
 
     both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpoint(vertices.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("_near"))
         low = labels.join(near, "id", "left").select("id", F.col("component").alias("_old"), F.least("component", F.coalesce("_near", "component")).alias("component"))
         jump = salted_join(low, low.select(F.col("id").alias("component"), F.col("component").alias("_far")), ["component"], "left")
@@ -114,7 +114,6 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         labels = labels_next.drop("_old")
         if changed == 0:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def _correlate_components(alerts: DataFrame, window_us: int, keys: list[str]) -> DataFrame:
@@ -132,7 +131,7 @@ def _correlate_components(alerts: DataFrame, window_us: int, keys: list[str]) ->
 
 
 # --- A-12 -------------------------------------------------------------------------------------
-def campaign_members(incidents: DataFrame, entities: DataFrame, max_rounds: int = 200) -> DataFrame:
+def campaign_members(incidents: DataFrame, entities: DataFrame) -> DataFrame:
     """(incident_id, seed_id) of campaigns among closed incidents.
 
     Incidents are taken in order (``ord``).  A seed takes every later unused
@@ -147,7 +146,7 @@ def campaign_members(incidents: DataFrame, entities: DataFrame, max_rounds: int
     closed = incidents.where("status = 'closed'").select("incident_id", F.struct("ord", "incident_id").alias("o"))
     links = checkpoint(salted_join(entities, closed, ["incident_id"], "inner").select("incident_id", "entity", "o").distinct())
     undecided, seeds = links, None
-    for _ in range(max_rounds):
+    while True:
         least = undecided.groupBy("entity").agg(F.min("o").alias("_least"))
         marked = salted_join(undecided, least, ["entity"], "inner")
         new = marked.groupBy("incident_id").agg(F.bool_and(F.col("o") == F.col("_least")).alias("_seed")).where("_seed").select("incident_id")
@@ -157,8 +156,6 @@ def campaign_members(incidents: DataFrame, entities: DataFrame, max_rounds: int
         undecided = checkpoint(undecided.join(touched, "incident_id", "left_anti"))
         if undecided.limit(1).count() == 0:
             break
-    else:
-        raise RuntimeError("campaign seeds did not settle")
     seeds = checkpoint(seeds)
     owner = seeds.select("entity", F.col("o").alias("_owner"))  # one seed at most per entity
     return salted_join(links, owner, ["entity"], "inner").groupBy("incident_id").agg(F.min("_owner").alias("_s")).select(

@@ -20,7 +20,7 @@ def make_alert(df: DataFrame, alert_type: Column, title: Column, severity: Colum
     """Uniform alert rows; the id is a hash of event, type and engine, so reruns agree."""
     no_ids = F.array().cast("array<string>")
     return df.select(
-        F.concat(F.lit("alt-"), F.substring(F.sha2(F.concat_ws("|", "event_id", alert_type, F.lit(engine)), 256), 1, 16)).alias("alert_id"),
+        F.concat(F.lit("alt-"), F.sha2(F.concat_ws("|", "event_id", alert_type, F.lit(engine)), 256)).alias("alert_id"),
         "event_id", "ts_us", "seq", "host", "sensor", alert_type.alias("alert_type"), severity.alias("severity"), title.alias("title"),
         F.concat(F.lit(f"Detected by {engine} at "), F.round(F.col("ts_us") / 1e6).cast("bigint").cast("string")).alias("description"),
         confidence.cast("double").alias("confidence"), F.lit("new").alias("status"), F.lit(engine).alias("engine"),
@@ -48,7 +48,7 @@ def dns_threats(queries: DataFrame, iocs: DataFrame | None = None) -> DataFrame:
 def dns_alerts(queries: DataFrame, iocs: DataFrame | None = None) -> DataFrame:
     hits = dns_threats(queries, iocs)
     ids = F.coalesce(*[F.when(F.col("threat") == t, F.array(*map(F.lit, m)).cast("array<string>")) for t, (_, m) in fv.DNS_THREATS.items()])
-    title = F.concat(F.lit("DNS threat: "), "threat", F.lit(" — "), F.substring("domain", 1, 60))
+    title = F.concat(F.lit("DNS threat: "), "threat", F.lit(" — "), F.col("domain"))
     return make_alert(hits, F.concat(F.lit("dns_"), "threat"), title, lookup(F.col("threat"), {t: s for t, (s, _) in fv.DNS_THREATS.items()}),
                       F.col("confidence"), "dns_analyzer", ids)
 
@@ -116,7 +116,7 @@ def anomaly_cascade(scored: DataFrame, verifier: bool = True) -> DataFrame:
 def url_alerts(predictions: DataFrame) -> DataFrame:
     """Alerts of URLs classified as malicious or suspicious (columns url, label, confidence)."""
     hits = predictions.where("label <> 'benign'")
-    return make_alert(hits, F.concat(F.lit("url_"), "label"), F.concat(F.initcap("label"), F.lit(" URL detected: "), F.substring("url", 1, 80)),
+    return make_alert(hits, F.concat(F.lit("url_"), "label"), F.concat(F.initcap("label"), F.lit(" URL detected: "), F.col("url")),
                       F.when(F.col("label") == "malicious", "high").otherwise("medium"), F.round("confidence", 3), "url_classifier")
 
 

@@ -86,11 +86,15 @@ def _double(ptr: DataFrame, keys: list[str]) -> DataFrame:
 def hierarchy(procs: DataFrame, scope: list[str] | None = None, pid: str = "pid", ppid: str = "ppid") -> DataFrame:
     """Depth and root of every process by pointer doubling (logarithmic rounds).
 
+    A pid that occurs more than once in a scope is one process, its latest row (by ``ts_us``
+    if there is one, else the greatest parent).
     A process without a known parent, or its own parent, is a root of depth 0.
     So is every member of a parent cycle; what hangs below a cycle counts from it.
     ``in_cycle`` marks those members.
     """
     scope = scope or ["host"]
+    latest = F.struct("ts_us", ppid) if "ts_us" in procs.columns else F.struct(ppid)
+    procs = procs.groupBy(*scope, pid).agg(F.max(latest)[ppid].alias(ppid))
     known = procs.select(*scope, F.col(pid).alias(ppid), F.lit(True).alias("_known"))
     base = salted_join(procs.select(*scope, pid, ppid), known, [*scope, ppid], "left")
     is_root = F.col("_known").isNull() | (F.coalesce(F.col(ppid), F.lit(0)) == 0) | (F.col(ppid) == F.col(pid))

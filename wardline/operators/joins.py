@@ -36,28 +36,24 @@ def enrich_by_keys(events: DataFrame, iocs: DataFrame, keys: list[str], prefix:
                    id_col: str, preferred: list[str] | None = None, gate: Column | None = None) -> DataFrame:
     """Add ``<prefix>match/_source/_severity`` from the first or last key that hits.
 
-    Small indicator tables are broadcast once per key (no shuffle).  Larger ones
-    are met by the exploded keys, reduced to one hit per event and joined back.
+    Every key column is joined by itself: to a broadcast table if a count proves the
+    indicators few, else by the salted join.  Rows are never matched through an id, so
+    repeated and NULL ids keep their own hits either way.
     """
     keys = [k for k in keys if k in events.columns]
     dim, small = bounded_broadcast(ioc_by_value(iocs, preferred))
     gate = F.lit(True) if gate is None else gate
     names = [f"{prefix}_match", f"{prefix}_source", f"{prefix}_severity"]
-    if small:
-        out = events
-        hits = []
-        for i, k in enumerate(keys):
-            side = dim.select(F.col("value").alias(f"_k{i}"), F.struct("source", "severity").alias(f"_h{i}"))
-            out = out.withColumn(f"_k{i}", F.when(gate, F.nullif(F.col(k).cast("string"), F.lit("")))).join(side, f"_k{i}", "left")
-            hits.append(F.col(f"_h{i}"))
-        hit = F.coalesce(*(reversed(hits) if last_wins else hits))
-        return out.select(*events.columns, hit.isNotNull().alias(names[0]), hit["source"].alias(names[1]), hit["severity"].alias(names[2]))
-    pairs = events.where(gate).select(id_col, F.posexplode(F.array(*[F.col(k).cast("string") for k in keys])).alias("_pos", "value"))
-    found = salted_join(pairs.where(F.length("value") > 0), dim, ["value"], "inner")
-    pick = F.max_by if last_wins else F.min_by
-    best = found.groupBy(id_col).agg(pick(F.struct("source", "severity"), "_pos").alias("_hit"))
-    return events.join(best, id_col, "left").select(
-        *events.columns, F.col("_hit").isNotNull().alias(names[0]), F.col("_hit.source").alias(names[1]), F.col("_hit.severity").alias(names[2]))
+    out, hits = events, []
+    for i, k in enumerate(keys):
+        side = dim.select(F.col("value").alias(f"_k{i}"), F.struct("source", "severity").alias(f"_h{i}"))
+        keyed = out.withColumn(f"_k{i}", F.when(gate, F.nullif(F.col(k).cast("string"), F.lit(""))))
+        out = keyed.join(side, f"_k{i}", "left") if small else salted_join(keyed, side, [f"_k{i}"], "left")
+        hits.append(F.col(f"_h{i}"))
+    if not hits:
+        return events.select("*", F.lit(False).alias(names[0]), *[F.lit(None).cast("string").alias(n) for n in names[1:]])
+    hit = F.coalesce(*(reversed(hits) if last_wins else hits))
+    return out.select(*events.columns, hit.isNotNull().alias(names[0]), hit["source"].alias(names[1]), hit["severity"].alias(names[2]))
 
 
 def enrich_network(events: DataFrame, iocs: DataFrame, id_col: str) -> DataFrame:

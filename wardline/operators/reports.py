@@ -224,7 +224,7 @@ def report_iocs(audit: DataFrame) -> DataFrame:
     a = audit_entries(audit).where("log_type = 'alert'").select(
         *[F.coalesce(F.get_json_object("details", f"$.{k}"), F.lit("")).alias(k) for k in ("alert_type", "target", "title")])
     kind = F.col("alert_type")
-    name = F.substring(F.trim(F.element_at(F.split("title", ":"), -1)), 1, 100)
+    name = F.trim(F.element_at(F.split("title", ":"), -1))
     pairs = F.array_compact(F.array(
         F.when((kind.contains("ip") | kind.contains("network")) & (F.length("target") > 0),
                F.struct(F.lit("ip").alias("type"), F.col("target").alias("value"))),

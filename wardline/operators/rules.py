@@ -121,7 +121,7 @@ def compile_sigma(rule: dict) -> dict:
     sensor, event_type = fv.SIGMA_LOGSOURCES.get(tuple(rule["logsource"]), ("", ""))
     found = [re.search(r"t(\d{4}(?:\.\d{3})?)", t, re.I) for t in rule.get("tags", [])]
     return dict(
-        id=f"sigma_{rule['id'] or rule['title'][:30]}", severity=fv.SIGMA_LEVELS.get(rule.get("level"), "medium"),
+        id=f"sigma_{rule['id'] or rule['title']}", severity=fv.SIGMA_LEVELS.get(rule.get("level"), "medium"),
         mitre=[f"T{m.group(1)}" for m in found if m], sensor=sensor, event_type=event_type, any_of=groups,
     )
 

@@ -89,16 +89,23 @@ def trailing_count(df: DataFrame, keys: list[str], ts_us: str, width_us: int, na
                    include_start: bool = False) -> DataFrame:
     """Rows of the same key in the trailing window ending at each row.
 
-    Each row is read by its own and the next width-sized bucket, so a window
-    partition holds two widths of one key and never the whole key.
-    ``include_start`` keeps rows exactly ``width_us`` old.
+    A row adds 1 at its time and takes it back when it leaves the window, so the count is
+    one running sum (a growing frame, linear in the rows).  A row counts in its own and the
+    next width-sized bucket: a window partition holds two widths of one key and never the
+    whole key.  ``include_start`` keeps rows exactly ``width_us`` old.  Rows without a time are dropped.
     """
     reach = width_us if include_start else width_us - 1
-    here = F.floor(F.col(ts_us) / width_us).cast("bigint")
-    spread = df.withColumn("_bucket", F.explode(F.array(here, here + 1)))
-    frame = Window.partitionBy(*keys, "_bucket").orderBy(ts_us).rangeBetween(-reach, 0)
-    counted = spread.withColumn(name, F.count(F.lit(1)).over(frame))
-    return counted.where(F.col("_bucket") == here).drop("_bucket")
+    t = F.col(ts_us)
+    here = F.floor(t / width_us).cast("bigint")
+    entry = lambda b, at, w, row: F.struct(b.alias("b"), at.cast("bigint").alias("at"), F.lit(w).alias("w"), row.alias("row"))
+    row = F.struct(*[F.col(c) for c in df.columns])
+    none = F.lit(None).cast(df.select(row.alias("r")).schema["r"].dataType)
+    # a row leaves at t + reach + 1, which is never in its own bucket
+    steps = F.array(entry(here, t, 1, row), entry(here + 1, t, 1, none), entry(here + 1, t + reach + 1, -1, none))
+    spread = df.where(t.isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(steps).alias("_e"))
+    frame = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))], "_e.b").orderBy("_e.at").rangeBetween(Window.unboundedPreceding, 0)
+    counted = spread.withColumn("_n", F.sum("_e.w").over(frame)).where("_e.row IS NOT NULL")
+    return counted.select(*[F.col(f"_e.row.{c}") for c in df.columns], F.col("_n").alias(name))
 
 
 def gap_islands(df: DataFrame, keys: list[str], ts_us: str, tie: str, gap_us: int,

@@ -29,10 +29,9 @@ def dedup_alerts(alerts: DataFrame, keys: list[str] | None = None, window_us: in
     return runs.groupBy(*keys, "run").agg(first.alias("_first"), F.count(F.lit(1)).alias("run_count")).select("_first.*", "run_count")
 
 
-def query_rate_60s(queries: DataFrame, keys: list[str], cap: int = 200) -> DataFrame:
-    """Queries of the same domain in the 60 s up to each query; the history holds ``cap`` entries."""
-    counted = trailing_count(queries, keys, "ts_us", 60_000_000, "_rate")
-    return counted.withColumn("rate", F.least("_rate", F.lit(cap))).drop("_rate")
+def query_rate_60s(queries: DataFrame, keys: list[str]) -> DataFrame:
+    """Queries of the same domain in the 60 s up to each query."""
+    return trailing_count(queries, keys, "ts_us", 60_000_000, "rate")
 
 
 def _gaps(events: DataFrame, keys: list[str]) -> DataFrame:

@@ -285,7 +285,7 @@ def _(t):
 # --- composites --------------------------------------------------------------------------------------
 _DOM = f"""q AS (SELECT *, array_to_string(string_split(domain, '.')[-2:], '.') AS base, CASE WHEN len(string_split(domain, '.')) > 2 THEN array_to_string(string_split(domain, '.')[:-3], '.') ELSE '' END AS sub,
         string_split(domain, '.')[-2] AS lab FROM tele WHERE event_type = 'dns_query'),
-    rt AS (SELECT *, least(count(*) OVER (PARTITION BY base ORDER BY ts_us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW), 200) AS rate FROM q),
+    rt AS (SELECT *, count(*) OVER (PARTITION BY base ORDER BY ts_us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS rate FROM q),
     u AS (SELECT DISTINCT sub AS s FROM q UNION SELECT DISTINCT lab FROM q), ch AS (SELECT s, unnest(regexp_extract_all(lower(s), '(?s).')) AS c FROM u), hh AS (SELECT s, c, count(*) AS k FROM ch GROUP BY ALL),
     en AS (SELECT s, round(sum(-(k / length(s)) * log2(k / length(s))), 4) AS entropy FROM hh GROUP BY s),
     bp AS (SELECT s, unnest(list_transform(range(1, length(s)), lambda i: substr(lower(s), i, 2))) AS bg FROM u),
@@ -346,7 +346,7 @@ def _(t):
 
 
 @query("c07_make_alert", "C-07", """
-    SELECT event_id, 'alt-' || substr(sha256(event_id || '|rule_x|demo'), 1, 16) AS alert_id, 'Detected by demo at ' || CAST(round(ts_us / 1e6) AS BIGINT) AS description FROM tele WHERE severity = 'critical'""")
+    SELECT event_id, 'alt-' || sha256(event_id || '|rule_x|demo') AS alert_id, 'Detected by demo at ' || CAST(round(ts_us / 1e6) AS BIGINT) AS description FROM tele WHERE severity = 'critical'""")
 def _(t):
     out = detect.make_alert(t.tele.where("severity = 'critical'"), F.lit("rule_x"), F.col("name"), F.col("severity"), F.lit(0.5), "demo")
     return out.select("event_id", "alert_id", "description")

@@ -100,7 +100,7 @@ def _(t):
 
 @query("sc09_ioc_blocklists", "SC-09", """
     SELECT 'ip' AS ioc_type, 'feodotracker' AS source, '10.2.' || c_custkey AS value FROM customer WHERE c_custkey % 4 > 0
-    UNION ALL SELECT 'url', 'phishtank', substr(url || html, 1, 500) FROM pages""")
+    UNION ALL SELECT 'url', 'phishtank', url || html FROM pages""")
 def _(t):
     ip = F.concat(F.lit("10.2."), "c_custkey")
     k = F.col("c_custkey") % 4
@@ -149,7 +149,7 @@ def _(t):
 @query("sk06_export_stix", "SK-06", """
     SELECT ioc_type, value, CASE ioc_type WHEN 'ip' THEN '[ipv4-addr:value = ''' || value || ''']' WHEN 'domain' THEN '[domain-name:value = ''' || value || ''']'
         WHEN 'url' THEN '[url:value = ''' || value || ''']' ELSE '[file:hashes.''SHA-256'' = ''' || value || ''']' END AS pattern,
-        'IOC: ' || substr(value, 1, 50) AS name FROM ioc""")
+        'IOC: ' || value AS name FROM ioc""")
 def _(t):
     out = sinks.export_stix(t.ioc.withColumn("ioc_type", F.col("ioc_type")), "2024-01-01T00:00:00Z")
     return out.select("ioc_type", "value", F.get_json_object("object", "$.pattern").alias("pattern"), F.get_json_object("object", "$.name").alias("name"))
@@ -616,7 +616,7 @@ def _(t):
 
 
 @query("a22_report_iocs", "A-22", """
-    SELECT DISTINCT 'domain' AS type, substr(trim(string_split(title, ':')[-1]), 1, 100) AS value FROM alerts WHERE alert_type LIKE '%dns%' AND title LIKE '%:%'
+    SELECT DISTINCT 'domain' AS type, trim(string_split(title, ':')[-1]) AS value FROM alerts WHERE alert_type LIKE '%dns%' AND title LIKE '%:%'
     UNION SELECT 'ip', a_ip FROM alerts WHERE alert_type LIKE '%network%' AND a_ip IS NOT NULL""")
 def _(t):
     a = sinks.audit_alerts(t.alerts.withColumn("mitre_ids", mitre())).withColumn("log_id", F.col("ts_us"))

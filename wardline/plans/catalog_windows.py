@@ -22,7 +22,7 @@ def _(t):
 
 
 @query("w02_query_rate_60s", "W-02", """
-    SELECT seq, least(count(*) OVER (PARTITION BY base ORDER BY ts_us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW), 200) AS rate
+    SELECT seq, count(*) OVER (PARTITION BY base ORDER BY ts_us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS rate
     FROM (SELECT seq, ts_us, array_to_string(string_split(domain, '.')[-2:], '.') AS base FROM tele WHERE event_type = 'dns_query')""")
 def _(t):
     from wardline.functions.names import base_domain

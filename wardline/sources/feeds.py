@@ -79,15 +79,14 @@ def parse_blocklist_ips(entries: DataFrame) -> DataFrame:
 
 
 def parse_blocklist_urls(rows: DataFrame) -> DataFrame:
-    """URL values are stored cut to 500 characters."""
     return rows.where(F.length("url") > 0).select(*_ioc(
-        "url", F.substring("url", 1, 500), "phishtank", F.lit("high"), target=F.coalesce("target", F.lit(""))))
+        "url", F.col("url"), "phishtank", F.lit("high"), target=F.coalesce("target", F.lit(""))))
 
 
-def read_ioc_blocklists(spark: SparkSession, ip_json: str, url_csv: str, max_rows: int = 5000) -> DataFrame:
-    """The two offline lists; the URL list stops after ``max_rows`` lines, as its loader does."""
+def read_ioc_blocklists(spark: SparkSession, ip_json: str, url_csv: str) -> DataFrame:
+    """The two offline lists; every line of the URL list is read."""
     ips = spark.read.schema("ip_address STRING, ip STRING, status STRING").option("multiLine", True).json(ip_json)
-    urls = spark.read.option("header", True).csv(url_csv).limit(max_rows)
+    urls = spark.read.option("header", True).csv(url_csv)
     return parse_blocklist_ips(ips).unionByName(parse_blocklist_urls(urls))
 
 
@@ -113,7 +112,7 @@ def parse_stix_objects(objects: DataFrame, source: str = "stix") -> DataFrame:
         "_hit.ioc_type", "_hit.value", F.lit(source).alias("source"),
         stix_severity(F.col("labels"), F.col("object_marking_refs")).alias("severity"),
         F.to_json(F.struct(F.col("id").alias("stix_id"), F.col("name").alias("stix_name"),
-                           F.substring("description", 1, 200).alias("stix_description"),
+                           F.col("description").alias("stix_description"),
                            F.col("pattern").alias("stix_pattern"), "labels")).alias("metadata"))
 
 

@@ -54,7 +54,7 @@ def export_stix(iocs: DataFrame, created: str) -> DataFrame:
             F.lit("indicator").alias("type"), F.lit("2.1").alias("spec_version"),
             F.concat(F.lit("indicator--"), F.sha2(F.concat_ws("|", "ioc_type", "value"), 256)).alias("id"),
             F.lit(created).alias("created"), F.lit(created).alias("modified"),
-            F.concat(F.lit("IOC: "), F.substring("value", 1, 50)).alias("name"), F.col("pattern"),
+            F.concat(F.lit("IOC: "), F.col("value")).alias("name"), F.col("pattern"),
             F.lit("stix").alias("pattern_type"), F.lit(created).alias("valid_from"),
             F.array(F.lit("malicious-activity")).alias("labels"))).alias("object"))
 
