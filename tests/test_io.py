@@ -22,7 +22,7 @@ def test_feed_files(spark, tmp_path):
     (tmp_path / "block.json").write_text(json.dumps([{"ip_address": "3.3.3.3", "status": "on"}, {"ip": "4.4.4.4"}, {"status": "x"}]))
     (tmp_path / "block.csv").write_text("url,target\nhttp://" + "b" * 600 + ",t\n,x\n")
     got = feeds.read_ioc_blocklists(spark, str(tmp_path / "block.json"), str(tmp_path / "block.csv")).collect()
-    assert sorted(len(r.value) for r in got) == [7, 7, 500]
+    assert sorted(len(r.value) for r in got) == [7, 7, 607]  # kept whole
     (tmp_path / "stix.json").write_text(json.dumps({"type": "bundle", "objects": [
         {"type": "indicator", "id": "i1", "pattern": "[file:hashes.'sha-256' = 'ff'] AND [url:value = 'u']", "labels": ["x"], "name": "n"}, {"type": "malware", "id": "m"}, {"type": "indicator", "id": "i2", "pattern": "[mutex:name = 'q']"}]}))
     assert [(r.ioc_type, r.value) for r in feeds.read_stix_bundle(spark, str(tmp_path / "stix.json")).collect()] == [("url", "u")]
