@@ -34,6 +34,7 @@ from wardline.llm.tables import scalar, table, written
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 BROADCAST_PAIRS = 100_000
+PART = 64  # members that meet one copy of a pivot's text
 SALT = np.uint64(0xD1B54A32D192ED03)
 SHINGLE_BITS = np.uint64(48)
 
@@ -91,7 +92,7 @@ def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def _sketch(text: pa.Array) -> pa.Array:
-    """node (16 bytes naming the sequence of words), keys; nulls for a row without words."""
+    """node (16 bytes naming the sequence of words; null for a row without words), shingles counted with repeats, keys."""
     row, word = words(*lowered(text))
     n = len(text)
     many = np.bincount(row, minlength=n)
@@ -108,7 +109,8 @@ def _sketch(text: pa.Array) -> pa.Array:
     none = many == 0
     node = pa.array([None if x else b for x, b in zip(none, np.ascontiguousarray(name).view("V16").ravel().tolist())], pa.binary())
     offsets = pa.array(np.arange(n + 1, dtype=np.int32) * BANDS)
-    return pa.StructArray.from_arrays([node, pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))], ["node", "keys"])
+    size = pa.array(np.maximum(many - WORDS + 1, 1).astype(np.int32))
+    return pa.StructArray.from_arrays([node, size, pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))], ["node", "size", "keys"])
 
 
 def _bag_bytes(text: pa.Array) -> pa.Array:
@@ -127,26 +129,32 @@ def overlap(a: bytes, b: bytes) -> float:
 
 
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x, y = b.column("bag_a"), b.column("bag_b")
-        keep = pa.array([overlap(x[i].as_py(), y[i].as_py()) >= SIMILARITY for i in range(b.num_rows)], pa.bool_())
-        yield b.select(["a", "b"]).filter(keep)
-
-
-def _linked(pairs: DataFrame, bags_of: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose bags overlap enough.
-
-    Few pairs, by count, are broadcast so that only their own bags move.
+    """Rows in order of (pivot, part, member): the pivot's own row leads each part, and its bag is all that is held."""
+    lead, lead_bag = None, None
+    for b in blocks(batches, "text"):
+        pivots, nodes, keep = b.column("pivot").to_pylist(), b.column("node").to_pylist(), []
+        for i, (member, bag) in enumerate(zip(b.column("member").to_pylist(), _bag_bytes(b.column("text")).to_pylist())):
+            if not member:
+                lead, lead_bag = pivots[i], bag
+            elif lead == pivots[i] and overlap(lead_bag, bag) >= SIMILARITY:
+                keep.append(i)
+        yield pa.record_batch([pa.array([pivots[i] for i in keep], pa.binary()), pa.array([nodes[i] for i in keep], pa.binary())], ["a", "b"])
+
+
+def _linked(pairs: DataFrame, texts_of: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` (pivot, node) whose bags overlap enough.
+
+    Texts move, as they are far smaller on disk than their bags: each member's once for a pair, the pivot's once
+    for ``PART`` members or so, which also splits a pivot of many members over tasks.  Few pairs, by count, are
+    broadcast so that only their own texts move.
     """
-    few = pairs.count() <= BROADCAST_PAIRS
-    side = F.broadcast(pairs) if few else pairs
-    left = bags_of.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")).join(side, "a")
-    if few:
-        right = bags_of.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")).join(side, "b")
-        joined = left.join(right, ["a", "b"])
-    else:
-        joined = left.join(bags_of.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
-    return joined.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a binary, b binary")
+    parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), "node")
+    leads = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("pivot").alias("node"))
+    todo = written(dealt.union(leads), "comparisons")
+    few = todo.count() <= BROADCAST_PAIRS
+    rows = texts_of.join(F.broadcast(todo) if few else todo, "node").select("pivot", "part", "member", "node", "text")
+    return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member").mapInArrow(_verify, "a binary, b binary")
 
 
 def classes(docs: DataFrame, pivots: int = 16) -> DataFrame:
@@ -155,19 +163,18 @@ def classes(docs: DataFrame, pivots: int = 16) -> DataFrame:
     class_id is the least doc_id of the class; ``first`` marks the rows that may stand for it, which
     are equal in doc_id and text.
     """
-    kind = "node binary, keys array<long>"
-    rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), scalar(_sketch, kind)(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.node", "s.keys"), "sketches")
+    kind = "node binary, size int, keys array<long>"
+    rows = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), scalar(_sketch, kind)(F.col("text")).alias("s")).select("doc_id", "text_hash", "s.*"), "sketches")
     nodes = rows.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    named = nodes.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("keys").alias("keys"))
-    spread = named.select("node", F.explode("keys").alias("key"))
+    named = nodes.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    spread = named.select("node", "size", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     active = written(spread.join(shared, "key"), "buckets")  # a node has a key once at most, but for equal keys of two bands
     members = active.select("node").distinct()
-    # one row's text per node: every copy has the same words, so the least doc_id's row will do
-    chosen = members.join(named.select("node", "least"), "node")
-    texts = docs.select("doc_id", "text").join(chosen.select("least.doc_id").distinct(), "doc_id")
-    bagged = texts.select(scalar(_sketch, kind)(F.col("text")).alias("s"), scalar(_bag_bytes, "binary")(F.col("text")).alias("bag")).select("s.node", "bag")
-    bags_of = written(bagged.join(members, "node", "left_semi").dropDuplicates(["node"]), "bags")
+    # one row's text per node: every copy has the same words, so the least row's will do
+    chosen = members.join(named.select("node", "least.*"), "node")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    texts_of = written(texts.join(chosen, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     roots = None  # (node, root) of the nodes that have links
     edges = None
@@ -177,22 +184,24 @@ def classes(docs: DataFrame, pivots: int = 16) -> DataFrame:
             state = active.withColumn("root", F.col("node"))
         else:
             state = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key")
-        state = written(state.join(mixed, "key").join(sizes, ["key", "root"]), "bucket-state")
+        counts = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+        mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key")
+        state = written(state.join(mixed, "key").join(counts, ["key", "root"]), "bucket-state")
         if state.isEmpty():
             break
         # pivots: members of the smallest components, at most ``width`` a bucket
         chosen = (state.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(width)).alias("class"))
-                  .agg(F.min(F.struct("size", "node", "root")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root")))
+                  .agg(F.min(F.struct("n", "node", "root", "size")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.size").alias("pivot_size")))
         chosen = written(chosen, "pivots")
-        pairs = (state.join(chosen, "key").where("root != pivot_root")
-                 .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-        pairs = written(pairs, "pairs")
-        new = _linked(pairs, bags_of)
+        # sizes further apart than the similarity cannot reach it; a pair of two pivots comes up from both sides
+        pairs = (state.join(chosen, "key").where(f"root != pivot_root AND least(size, pivot_size) >= {SIMILARITY}D * greatest(size, pivot_size) - 1e-6D")
+                 .groupBy(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
+                 .agg(F.min("pivot").alias("pivot"))
+                 .select("pivot", F.when(F.col("pivot") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("node")))
+        new = _linked(written(pairs, "pairs"), texts_of)
         edges = written(new if edges is None else new.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a != b")), "links")
         roots = written(components(edges), "roots")
-        active = written(state.select("key", "node").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), "buckets")
+        active = written(state.select("key", "node", "size").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), "buckets")
         width = pivots
     member = named.select("node", "least")
     if roots is not None:
