@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,32 +27,98 @@ from pyspark.sql import functions as F
 from wardline.llm.registry import query
 from wardline.llm.tables import scalar, table, written
 
-CAPACITY, STRIPES, CACHE, CORES, CHUNK = 2048, 64, 300_000, 700_000, 256
+CAPACITY, STRIPES, CHUNK = 2048, 64, 256
+WORDS, PARTS = 1_000_000, 700_000  # kept encodings per worker
 #: Fixed value: white space as the tokenizers' pattern ``\s`` has it.
 WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _MARKS = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~\""
 _ODD = re.compile("[\x1c-\x1f]")
-_TOKENIZERS: dict[str, tuple] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def tokenizer(path: str) -> tuple:
-    """(tokenizer, ids of words, ids of bare lower-case words), kept per worker."""
-    if path not in _TOKENIZERS:
+class _Numbered(dict):
+    """Numbers for strings in order of their first look-up; ``fresh`` lists those without an entry in the store yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
+
+
+class Encoder:
+    """A tokenizer with the ids of the words and word parts it has met, kept per worker and bounded in number."""
+
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {}, {})
-    return _TOKENIZERS[path]
-
-
-def _parts(word: str) -> tuple[str, ...]:
-    """Parts that the tokenizer encodes one by one: the letters of a Latin word in lower case, and ASCII marks after it."""
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.parts = _Numbered(), _Numbered()
+        self.of_word = np.zeros((0, 2), dtype=np.int32)  # the two parts of each word
+        self.parts[""], self.ids = 0, np.zeros(0, dtype="<u4")  # ids of all parts, part after part
+        self.first, self.size = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def _learn(self) -> None:
+        """Encode what has been numbered since the last call."""
+        pairs = [self.parts[p] for w in self.words.fresh for p in _parts(w)]
+        self.of_word = np.concatenate([self.of_word, np.array(pairs, dtype=np.int32).reshape(-1, 2)])
+        fresh = self.parts.fresh
+        self.words.fresh, self.parts.fresh = [], []
+        ids, size = [self.ids], np.zeros(len(fresh), dtype=np.int64)
+        kind = [_plain(p) for p in fresh]
+        plain, other = [i for i, k in enumerate(kind) if k], [i for i, k in enumerate(kind) if not k]
+        order = plain + other
+        for a in range(0, len(plain), 2000):  # many letter runs in one text, one of its words each
+            some = plain[a : a + 2000]
+            e = self.tokenizer.encode(" ".join([fresh[i] for i in some]), add_special_tokens=False)
+            size[some] = np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(some))
+            ids.append(np.array(e.ids, dtype="<u4"))
+        for a in range(0, len(other), 2000):
+            for i, e in zip(other[a : a + 2000], self.tokenizer.encode_batch_fast([fresh[i] for i in other[a : a + 2000]], add_special_tokens=False)):
+                size[i] = len(e.ids)
+                ids.append(np.array(e.ids, dtype="<u4"))
+        first = np.zeros(len(fresh), dtype=np.int64)
+        first[order] = len(self.ids) + np.cumsum(size[order]) - size[order]
+        self.ids = np.concatenate(ids)
+        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, number of ids of each word)."""
+        if len(self.words) > WORDS or len(self.parts) > PARTS:
+            self.forget()
+        number = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.words.fresh:
+            self._learn()
+        part = self.of_word[number].ravel()
+        size = self.size[part]
+        at = np.repeat(self.first[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return self.ids[at], size.reshape(-1, 2).sum(axis=1)
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def _plain(part: str) -> bool:
+    """A run of Latin letters, which the tokenizer takes as one word."""
+    return part.isalpha() and (part.isascii() or (max(part) < "\u0370" and "\u0130" not in part))
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """Two parts that the tokenizer encodes one by one: the letters of a Latin word in lower case, and ASCII marks after it."""
     core = word.rstrip(_MARKS)
-    if core.isalpha() and (core.isascii() or (max(core) < "\u0370" and "\u0130" not in core)):
-        return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
-    return (word,)
+    return (core.lower(), word[len(core) :]) if _plain(core) else (word, "")
 
 
 def encoded(texts: list[str], path: str) -> list[bytes]:
@@ -60,23 +127,11 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
     The vocabulary's words never span white space, so a white-space run is encoded once and kept; runs
     that differ in case or in marks at the end share the encoding of their letters.
     """
-    tok, cache, cores = tokenizer(path)
     split = [WHITE.split(t) if _ODD.search(t) else t.split() for t in texts]
-    new = {w for words in split for w in words if w not in cache}
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-        new = {w for words in split for w in words}
-    parts = {w: _parts(w) for w in new}
-    unknown = list({p for ps in parts.values() for p in ps if p not in cores})
-    if len(cores) + len(unknown) > CORES:
-        cores.clear()
-        unknown = list({p for ps in parts.values() for p in ps})
-    for a in range(0, len(unknown), 5000):
-        for p, e in zip(unknown[a : a + 5000], tok.encode_batch_fast(unknown[a : a + 5000], add_special_tokens=False)):
-            cores[p] = np.array(e.ids, dtype="<u4").tobytes()
-    for w, ps in parts.items():
-        cache[w] = cores[ps[0]] if len(ps) == 1 else cores[ps[0]] + cores[ps[1]]
-    return [b"".join([cache[w] for w in words]) for words in split]
+    ids, size = encoder(path).encode(list(chain.from_iterable(split)))
+    ends = np.r_[0, np.cumsum(size)][np.cumsum([0, *map(len, split)])] * 4
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
