@@ -11,7 +11,7 @@ cannot matter once all registers are filled; rows with an open register double i
 
 Texts are compared by their words in lower case (runs of letters and digits).  Texts with equal words form one
 node.  In each band bucket pivots are compared with all members of other components, a
-bounded number of pivots a round, until no bucket holds an uncompared pair of different
+bounded number of pivots a round (at first one, the member that shares most buckets), until no bucket holds an uncompared pair of different
 components; links that would join a component to itself are not needed for the classes.
 
 Rows without words or with a null doc_id are alone in a class of their own.  Repeated rows
@@ -34,7 +34,7 @@ from wardline.llm.tables import scalar, table, written
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 BROADCAST_PAIRS = 100_000
-PART = 64  # members that meet one copy of a pivot's text
+PART = 256  # members that meet one copy of the pivots' texts
 SALT = np.uint64(0xD1B54A32D192ED03)
 SHINGLE_BITS = np.uint64(48)
 
@@ -128,36 +128,67 @@ def overlap(a: bytes, b: bytes) -> float:
     return float(both / max(x[:, 1].sum() + y[:, 1].sum() - both, 1))
 
 
+class Pivots:
+    """The bags of some texts, joined into one list sorted by shingle."""
+
+    def __init__(self, names: list[bytes], held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.names = names
+        shingle = np.concatenate([s for s, _ in held])
+        order = np.argsort(shingle, kind="stable")
+        self.shingle, self.weight = shingle[order], np.concatenate([w for _, w in held])[order]
+        self.owner = np.repeat(np.arange(len(held)), [len(s) for s, _ in held])[order]
+        self.total = np.array([w.sum() for _, w in held])
+
+    def near(self, shingle: np.ndarray, weight: np.ndarray) -> list[bytes]:
+        """Names of the texts whose weighted Jaccard similarity with the bag is high enough."""
+        low = np.searchsorted(self.shingle, shingle, "left")
+        many = np.searchsorted(self.shingle, shingle, "right") - low
+        at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        both = np.bincount(self.owner[at], np.minimum(self.weight[at], np.repeat(weight, many)), minlength=len(self.total))
+        return [self.names[i] for i in np.flatnonzero(both / np.maximum(self.total + weight.sum() - both, 1) >= SIMILARITY).tolist()]
+
+
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (pivot, part, member): the pivot's own row leads each part, and its bag is all that is held."""
-    lead, lead_bag = None, None
+    """Rows in order of (group, part, member): the group's pivots lead each part, and their bags are all that is held."""
+    at, names, held, pivots = None, [], [], None
     for b in blocks(batches, "text"):
-        pivots, nodes, keep = b.column("pivot").to_pylist(), b.column("node").to_pylist(), []
-        for i, (member, bag) in enumerate(zip(b.column("member").to_pylist(), _bag_bytes(b.column("text")).to_pylist())):
+        row, shingle, weight, _ = bags(b.column("text"))
+        cut = np.searchsorted(row, np.arange(b.num_rows + 1)).tolist()
+        found: tuple[list[bytes], list[bytes]] = ([], [])
+        here = zip(*(b.column(c).to_pylist() for c in ("group", "part", "member", "node", "pivots")))
+        for (group, part, member, node, asked), i, j in zip(here, cut, cut[1:]):
+            if at != (group, part):
+                at, names, held, pivots = (group, part), [], [], None
             if not member:
-                lead, lead_bag = pivots[i], bag
-            elif lead == pivots[i] and overlap(lead_bag, bag) >= SIMILARITY:
-                keep.append(i)
-        yield pa.record_batch([pa.array([pivots[i] for i in keep], pa.binary()), pa.array([nodes[i] for i in keep], pa.binary())], ["a", "b"])
+                names.append(node)
+                held.append((shingle[i:j].copy(), weight[i:j].copy()))
+                continue
+            pivots = pivots or Pivots(names, held)
+            for name in set(asked).intersection(pivots.near(shingle[i:j], weight[i:j])):
+                found[0].append(name)
+                found[1].append(node)
+        yield pa.record_batch([pa.array(c, pa.binary()) for c in found], ["a", "b"])
 
 
 def _linked(pairs: DataFrame, texts_of: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` (pivot, node) whose bags overlap enough.
+    """The pairs (a, b) of ``pairs`` (group, pivot, node; few pivots a group) whose bags overlap enough.
 
-    Texts move, as they are far smaller on disk than their bags: each member's once for a pair, the pivot's once
-    for ``PART`` members or so, which also splits a pivot of many members over tasks.  Few pairs, by count, are
-    broadcast so that only their own texts move.
+    Texts move, as they are far smaller on disk than their bags: each member's once for a group with all the pivots it
+    meets there, each pivot's once for ``PART`` members or so, which also splits a group of many members over tasks.
+    Few pairs, by count, are broadcast so that only their own texts move.
     """
-    parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), "node")
-    leads = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("pivot").alias("node"))
+    few = pairs.count() <= BROADCAST_PAIRS
+    members = pairs.groupBy("group", "node").agg(F.collect_list("pivot").alias("pivots"))  # at most the pivots of a bucket
+    parts = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    dealt = members.join(parts, "group").select("group", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), "node", "pivots")
+    leads = pairs.select("group", "pivot").distinct().join(parts, "group").select(
+        "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("pivot").alias("node"), F.array().cast("array<binary>").alias("pivots"))
     todo = written(dealt.union(leads), "comparisons")
-    few = todo.count() <= BROADCAST_PAIRS
-    rows = texts_of.join(F.broadcast(todo) if few else todo, "node").select("pivot", "part", "member", "node", "text")
-    return rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "member").mapInArrow(_verify, "a binary, b binary")
+    rows = texts_of.join(F.broadcast(todo) if few else todo, "node").select("group", "part", "member", "node", "pivots", "text")
+    return rows.repartition("group", "part").sortWithinPartitions("group", "part", "member").mapInArrow(_verify, "a binary, b binary")
 
 
-def classes(docs: DataFrame, pivots: int = 16) -> DataFrame:
+def classes(docs: DataFrame, pivots: int = 64) -> DataFrame:
     """One row (doc_id, text_hash, class_id, first) for each row of ``docs``.
 
     class_id is the least doc_id of the class; ``first`` marks the rows that may stand for it, which
@@ -168,16 +199,16 @@ def classes(docs: DataFrame, pivots: int = 16) -> DataFrame:
     nodes = rows.where("node IS NOT NULL AND doc_id IS NOT NULL")
     named = nodes.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     spread = named.select("node", "size", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    active = written(spread.join(shared, "key"), "buckets")  # a node has a key once at most, but for equal keys of two bands
-    members = active.select("node").distinct()
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    active = written(spread.join(shared, "key"), "shared-keys")  # a node has a key once at most, but for equal keys of two bands
+    members = active.groupBy("node").agg(F.sum("n").alias("degree"))  # the text that others were made from meets the most
+    active = written(active.drop("n").join(members, "node"), "buckets")
     # one row's text per node: every copy has the same words, so the least row's will do
-    chosen = members.join(named.select("node", "least.*"), "node")
+    chosen = members.select("node").join(named.select("node", "least.*"), "node")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts_of = written(texts.join(chosen, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     roots = None  # (node, root) of the nodes that have links
-    edges = None
     width = 1
     while True:
         if roots is None:
@@ -185,23 +216,25 @@ def classes(docs: DataFrame, pivots: int = 16) -> DataFrame:
         else:
             state = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         counts = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key")
+        mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members")).where("roots > 1").drop("roots")
         state = written(state.join(mixed, "key").join(counts, ["key", "root"]), "bucket-state")
         if state.isEmpty():
             break
-        # pivots: members of the smallest components, at most ``width`` a bucket
+        # pivots: members of the smallest components, of the highest degree first, at most ``width`` a bucket
         chosen = (state.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(width)).alias("class"))
-                  .agg(F.min(F.struct("n", "node", "root", "size")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.size").alias("pivot_size")))
+                  .agg(F.min(F.struct("n", (-F.col("degree")).alias("d"), "node", "root", "size")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.size").alias("pivot_size")))
         chosen = written(chosen, "pivots")
+        # a pair is compared in one group: that of its pivot at first, then that of its largest bucket
+        group = F.struct(F.lit(0).alias("rank"), F.xxhash64("pivot").alias("group")) if width == 1 else F.struct((-F.col("members")).alias("rank"), F.col("key").alias("group"))
         # sizes further apart than the similarity cannot reach it; a pair of two pivots comes up from both sides
         pairs = (state.join(chosen, "key").where(f"root != pivot_root AND least(size, pivot_size) >= {SIMILARITY}D * greatest(size, pivot_size) - 1e-6D")
                  .groupBy(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
-                 .agg(F.min("pivot").alias("pivot"))
-                 .select("pivot", F.when(F.col("pivot") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("node")))
-        new = _linked(written(pairs, "pairs"), texts_of)
-        edges = written(new if edges is None else new.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a != b")), "links")
-        roots = written(components(edges), "roots")
-        active = written(state.select("key", "node", "size").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), "buckets")
+                 .agg(F.min(F.struct(group.alias("group"), "pivot", "node")).alias("m")).select("m.group.group", "m.pivot", "m.node"))
+        new = written(_linked(written(pairs, "pairs"), texts_of), "new-links")
+        if not new.isEmpty():
+            edges = new if roots is None else new.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a != b"))
+            roots = written(components(edges), "roots")
+        active = written(state.select("key", "node", "size", "degree").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), "buckets")
         width = pivots
     member = named.select("node", "least")
     if roots is not None:
