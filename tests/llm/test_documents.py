@@ -150,6 +150,43 @@ def test_leaks(spark, odd, none):
     assert leaks.clean(none, benchmark).count() == 0 and leaks.clean(odd, benchmark.where("false")).count() == odd.count()
 
 
+def test_leaks_match_brute_force_at_the_threshold():
+    """Words replaced at an edge, passages cut short at a text's ends and halves in the other order, at the similarity or just below."""
+    rng = random.Random(5)
+    item_texts, texts = [], []
+
+    def fresh(n, at):
+        return [f"{at}{rng.randrange(10**9)}" for _ in range(n)]
+
+    for n in (4, 5, 13, 22, 31, 40, 76, 148, 199):
+        for repeats in (0, max(0, (n - 4) // 9)):
+            w = ["same"] * repeats + fresh(n - repeats, "w")
+            i, k = len(item_texts), max(0, (n - 4) // 9)
+            item_texts.append(w)
+            for lost in (k, k + 1):
+                texts += [fresh(30, "x") + fresh(lost, "y") + w[lost:] + fresh(30, "x"), fresh(30, "x") + w[: n - lost] + fresh(lost + 30, "x")]
+                texts += [fresh(30, "x") + w[: n - 2 * lost], w[2 * lost:] + fresh(30, "x"), w[lost: n - lost]]
+            texts += [w[n // 2:] + w[: n // 2], fresh(9, "x") + w[n // 2:] + w[: n // 2] + fresh(9, "x"), fresh(9, "x") + w[: n // 2] + fresh(1, "x") + w[n // 2:]]
+    index = leaks.Index(list(range(len(item_texts))), [" ".join(w) for w in item_texts])
+    got = [{m["item_id"]: m["similarity"] for m in sorted(found, key=lambda m: m["similarity"])} for found in index.matches(pa.array([" ".join(t) for t in texts])).to_pylist()]
+    bags = [bag(" ".join(w)) for w in item_texts]
+    some = 0
+    for t, found in zip(texts, got):
+        want = {}
+        for i, w in enumerate(item_texts):
+            if not set(w) & set(t):
+                continue
+            best = 0.0
+            for s in range(-len(w) + 1, len(t)):
+                b = bag(" ".join(t[max(s, 0): s + len(w)]))
+                best = max(best, (b & bags[i]).total() / (b | bags[i]).total())
+            if best >= 0.8:
+                want[i] = best
+        some += len(want)
+        assert found == want
+    assert some >= 70
+
+
 def test_packing_round_trip(spark, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -1,12 +1,12 @@
-"""Benchmark decontamination by SimHash of item-sized windows and multi-index Hamming blocks.
+"""Benchmark decontamination by item-sized windows and exact counts of shared word shingles.
 
-Only windows that share a word shingle with an item of their own length can reach the
-required shingle similarity, so windows are laid where such a shingle puts the item: its
-start is the shingle's place less its place in the item.  Each window, as many words long as the
-item, has a 64-bit SimHash of its words weighted by count.  Items are filed by ``BLOCKS`` blocks
-of their fingerprints, with all values within ``RADIUS // BLOCKS`` bits: any fingerprint within ``RADIUS``
-bits agrees that well in some block (pigeonhole).  Candidates within the radius are verified
-by the exact weighted Jaccard similarity of word shingles, ``SIMILARITY`` or more.
+A window is as many words long as the item (less where the text begins or ends) and matches if the weighted
+Jaccard similarity of their word shingles is ``SIMILARITY`` or more.  For that, ``SHARE`` of the shingles of both
+have to be shared, so the places of a text whose shingle an item has are counted: windows with fewer such places
+cannot match, and all others are compared exactly.  Moving a window to its first such place (or, at a text's begin,
+its end to its last) loses no shared shingle, so windows at these places, and those where a shared shingle puts the
+item, hold the best similarity; which windows match is not estimated.  Of overlapping windows that match one item the best is
+reported.
 
 Items are read in blocks of ``ITEMS`` against all documents, so what a task holds is bounded.  Items and texts without words match
 nothing; items shorter than a shingle use one shingle of all their words.  Repeated items are reported each;
@@ -15,35 +15,22 @@ repeated documents are each examined.  Null ids pass through.  Other columns of
 
 from __future__ import annotations
 
-from itertools import combinations
+from bisect import bisect
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.arrays import lowered, mix, shingles, words
+from wardline.llm.arrays import lowered, shingles, words
 from wardline.llm.registry import query
 from wardline.llm.tables import scalar, table
 
-WORDS, SIMILARITY, RADIUS, BLOCKS, ITEMS = 5, 0.8, 11, 4, 50_000
-_BITS = 64 // BLOCKS
+WORDS, SIMILARITY, ITEMS = 5, 0.8, 50_000
+SHARE = SIMILARITY / (1 + SIMILARITY)  # of both shingle counts together: shared / (a + b - shared) >= SIMILARITY
 MATCH = "array<struct<item_id: long, first_word: int, n_words: int, similarity: double>>"
 
 
-def simhash(word: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Fingerprints of the runs of ``word`` that begin at ``first`` (each run has a word)."""
-    if len(first) == 0:
-        return np.zeros(0, dtype=np.uint64)
-    bits = np.unpackbits(mix(word).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
-    return np.packbits(np.add.reduceat(bits, first, axis=0) > 0, axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-def neighbours(bits: int, radius: int) -> np.ndarray:
-    """Masks of at most ``radius`` of ``bits`` bits."""
-    return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)], dtype=np.uint64)
-
-
 def bag(word: np.ndarray) -> dict[int, int]:
     _, s = shingles(np.zeros(len(word), dtype=np.int64), word, WORDS)
     keys, n = np.unique(s, return_counts=True)
@@ -55,8 +42,22 @@ def weighted_jaccard(a: dict[int, int], b: dict[int, int]) -> float:
     return both / max(sum(a.values()) + sum(b.values()) - both, 1)
 
 
+def apart(found: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """The best (-similarity, begin, end), and of the others in that order those that overlap none before."""
+    begins: list[int] = []
+    ends: list[int] = []
+    out = []
+    for x in sorted(found):
+        k = bisect(begins, x[1])
+        if (k == 0 or ends[k - 1] <= x[1]) and (k == len(begins) or x[2] <= begins[k]):
+            begins.insert(k, x[1])
+            ends.insert(k, x[2])
+            out.append(x)
+    return out
+
+
 class Index:
-    """Items by shingle and by fingerprint block."""
+    """Items by shingle."""
 
     def __init__(self, ids: list[int | None], texts: list[str | None]) -> None:
         row, word = words(*lowered(pa.array(texts, pa.string())))
@@ -75,64 +76,53 @@ class Index:
         self.key, self.item, self.place = key[order], item[order], place[order]
         self.filter = np.zeros(1 << 16, dtype=bool)
         self.filter[(self.key & np.uint64(0xFFFF)).astype(np.int64)] = True
-        self.print = simhash(word, cut[use])
-        masks = neighbours(_BITS, RADIUS // BLOCKS)
-        self.files = []
-        for b in range(BLOCKS):
-            value = ((self.print >> np.uint64(b * _BITS)) & np.uint64((1 << _BITS) - 1))[:, None] ^ masks[None, :]
-            owner = np.repeat(np.arange(len(use)), len(masks))
-            order = np.argsort(value.ravel(), kind="stable")
-            self.files.append((value.ravel()[order], owner[order]))
-
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(fingerprint number, item) within the radius, each once."""
-        found = [np.zeros(0, dtype=np.int64)]
-        n = max(len(self.ids), 1)
-        for b, (value, owner) in enumerate(self.files):
-            v = (prints >> np.uint64(b * _BITS)) & np.uint64((1 << _BITS) - 1)
-            lo, hi = np.searchsorted(value, v, "left"), np.searchsorted(value, v, "right")
-            which = np.repeat(np.arange(len(prints)), hi - lo)
-            at = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-            item = owner[at]
-            near = np.bitwise_count(prints[which] ^ self.print[item]) <= RADIUS
-            found.append(which[near] * n + item[near])
-        code = np.unique(np.concatenate(found))
-        return code // n, code % n
 
     def matches(self, text: pa.Array) -> pa.Array:
         row, word = words(*lowered(text))
         start = np.searchsorted(row, np.arange(len(text) + 1))
-        laid = [np.zeros((0, 3), dtype=np.int64)]
+        out: list[list[dict]] = [[] for _ in range(len(text))]
         for width in self.widths.tolist():
             if len(row) < width:
                 continue
-            key = self._runs(row, word, width)
-            hit = np.flatnonzero((row[: len(key)] == row[width - 1 :]) & self.filter[(key & np.uint64(0xFFFF)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.key, key[hit], "left"), np.searchsorted(self.key, key[hit], "right")
-            many = hi - lo
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-            place = np.repeat(hit, many)
-            same = np.minimum(self.length[self.item[at]], WORDS) == width
-            at, place = at[same], place[same]
-            r = row[place]
-            begin = np.maximum(place - self.place[at], start[r])
-            end = np.minimum(place - self.place[at] + self.length[self.item[at]], start[r + 1])
-            laid.append(np.stack([r, begin, end], axis=1))
-        window = np.unique(np.concatenate(laid), axis=0)
-        out: list[list[dict]] = [[] for _ in range(len(text))]
-        for a in range(0, len(window), 20_000):
-            part = window[a : a + 20_000]
-            length = part[:, 2] - part[:, 1]
-            first = np.cumsum(length) - length
-            source = np.arange(length.sum()) - np.repeat(first, length) + np.repeat(part[:, 1], length)
-            for w, item in zip(*(x.tolist() for x in self.candidates(simhash(word[source], first)))):
-                r, b, e = part[w].tolist()
+            best: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+            for item, b, e in self._windows(row, word, start, width).tolist():
                 likeness = weighted_jaccard(bag(word[b:e]), self.bags[item])
                 if likeness >= SIMILARITY:
-                    out[r].append({"item_id": self.ids[item], "first_word": b - int(start[r]), "n_words": e - b, "similarity": likeness})
+                    best.setdefault((int(row[b]), item), []).append((-likeness, b, e))
+            for (r, item), found in best.items():
+                for worse, b, e in apart(found):
+                    out[r].append({"item_id": self.ids[item], "first_word": b - int(start[r]), "n_words": e - b, "similarity": -worse})
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64())]))
         return pa.array(out, kind)
 
+    def _windows(self, row: np.ndarray, word: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+        """(item, begin, end) of windows with enough places whose shingle of ``width`` words the item has."""
+        key = self._runs(row, word, width)
+        hit = np.flatnonzero((row[: len(key)] == row[width - 1 :]) & self.filter[(key & np.uint64(0xFFFF)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.key, key[hit], "left"), np.searchsorted(self.key, key[hit], "right")
+        many = hi - lo
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+        place = np.repeat(hit, many)
+        same = np.minimum(self.length[self.item[at]], WORDS) == width
+        at, place = at[same], place[same]
+        # each (item, place) once, by item and place
+        n = len(word) + 1
+        hits = np.unique(self.item[at] * n + place)
+        item, p = hits // n, hits % n
+        length = self.length[item]
+        begin, end = start[row[p]], start[row[p] + 1]
+        aligned = place - self.place[at]
+        whose, r = self.item[at], row[place]
+        early = np.flatnonzero(p + width - begin < length)
+        laid = np.concatenate([
+            np.stack([item, p, np.minimum(p + length, end)], axis=1),
+            np.stack([item[early], begin[early], p[early] + width], axis=1),
+            np.stack([whose, np.maximum(aligned, start[r]), np.minimum(aligned + self.length[whose], start[r + 1])], axis=1)])
+        item, b, e = laid.T
+        shared = np.searchsorted(hits, item * n + np.maximum(e - width + 1, b)) - np.searchsorted(hits, item * n + b)
+        both = (self.length[item] - width + 1) + np.maximum(e - b - width + 1, 1)
+        return np.unique(laid[shared >= SHARE * both - 1e-6], axis=0)
+
     @staticmethod
     def _runs(row: np.ndarray, word: np.ndarray, width: int) -> np.ndarray:
         """The shingle hash of every run of ``width`` words, whatever rows it spans."""
