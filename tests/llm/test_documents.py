@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wardline.llm import bagminhash, leaks, packing, quality, slots, suffix_arrays, toxicity
@@ -257,6 +258,30 @@ def test_toxicity_accuracy_and_edge_rows(spark, odd, none, no_labels):
     assert toxicity.score(none, no_labels).count() == 0
 
 
+def test_toxicity_ratios_are_kept_by_whole_gram(spark, odd):
+    """Each text has the ratios of a plain sum over its own grams, by the broadcast and by the joins; an unseen gram backs off."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij\u00e9", k=rng.randrange(1, 12)))
+    texts = [" ".join(word() for _ in range(30)) for _ in range(60)]
+    seen = spark.createDataFrame([(t, k % 3) for k, t in enumerate(texts)], "text string, cls long").unionByName(odd.select("text", F.lit(2).cast("long").alias("cls"))).cache()
+    counts = toxicity.count(seen).cache()
+    by_gram, by_ctx = ({r.gram: r.llr for r in x.collect()} for x in toxicity.ratios(counts))
+    want = Counter()
+    for t, in seen.select("text").collect():
+        sums, size, n = [], 0, 0
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").lower().encode()):
+            g, s = 0, 0.0
+            for b in w:
+                g = (g << 8 | b) & (1 << 48) - 1
+                s += by_gram.get(g, by_ctx.get(g >> 8, 0.0))
+            sums.append((s, len(w)))
+        want[tuple(round(x, 9) + 0.0 for x in (sum(s for s, _ in sums) / max(sum(k for _, k in sums), 1), max([0.0, *(s / (k + 2) for s, k in sums)]), np.log1p(len(sums))))] += 1
+    assert len(want) > 60
+    for most in (10**6, 0):
+        got = toxicity.with_ratios(seen, toxicity.model(counts, most)).select("_r.*").collect()
+        assert Counter(tuple(round(x, 9) + 0.0 for x in r) for r in got) == want
+
+
 def test_pipeline_runs(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = corpus_pipeline.run(spark, small).toPandas()

@@ -8,8 +8,9 @@ one class lacks is smoothed alike in both, and unseen variants of a toxic stem s
     P_c(b | h) = max(n_c(hb) - D, 0) / n_c(h) + D * types_c(h) / n_c(h) * shared(b | h')
 
 Where an event is unseen in both classes the shared part cancels and only the context's
-backoff weights remain; both ratios are kept by hash slot, at most ``SLOTS`` numbers each
-whatever the corpus.  A text has two length-normalised log-likelihood ratios, per byte of
+backoff weights remain.  Both ratios are kept by whole gram, none is merged with another or dropped: as many
+numbers as the corpus has grams in a class.  Up to ``BROADCAST_GRAMS`` of them are broadcast; more are joined to the
+grams of the distinct words by salted shuffles, with the same results.  A text has two length-normalised log-likelihood ratios, per byte of
 the text and per byte of its most toxic word; a logistic fit on a fold kept out of the
 counts makes the score.  Counting covers every document; that fit takes ``SAMPLE`` rows at most.
 
@@ -19,7 +20,6 @@ both classes among the labels every score is their share (0.5 without labels).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,17 +28,21 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.arrays import WORD_BYTE, blocks, lowered, mix, runs
+from wardline.llm.arrays import WORD_BYTE, blocks, lowered, runs, utf8
 from wardline.llm.registry import query
 from wardline.llm.tables import fold, scalar, table, with_label, written
+from wardline.operators.segmented import salted_join
 
-ORDER, SLOTS, SAMPLE, DISCOUNT, FLUSH = 6, 1 << 22, 50_000, 0.75, 1 << 20
+ORDER, SAMPLE, DISCOUNT, FLUSH, BROADCAST_GRAMS = 6, 50_000, 0.75, 1 << 20, 4_000_000
 FEATURES = ["per_byte", "worst", "log_words"]
 
 
 def events(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, word number, gram, word row): ``gram`` packs the byte and its ORDER-1 predecessors in the word."""
-    data, offsets = lowered(text)
+    return _events(*lowered(text))
+
+
+def _events(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     start, end = runs(WORD_BYTE[data], offsets)
     length = end - start
     word = np.repeat(np.arange(len(start)), length)
@@ -53,10 +57,6 @@ def events(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return word_row[word] if len(word) else word, word, gram, word_row
 
 
-def _slot(gram: np.ndarray) -> np.ndarray:
-    return (mix(gram.astype(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """gram, toxic, ordinary, total: counted per task, flushed when the table of distinct grams is large."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -117,7 +117,7 @@ def shared_model(counts: DataFrame) -> DataFrame:
 
 
 def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, weight, llr) of events seen in a class, and (ctx, weight, llr) of their backoff weights."""
+    """(gram, llr) of events seen in a class, and (gram: their context, llr) of backoff weights."""
     seen = counts.where(F.col("toxic") + F.col("ordinary") > 0).withColumn("ctx", F.shiftright("gram", 8))
     ctx = seen.groupBy("ctx").agg(*[e for c in ("toxic", "ordinary") for e in (F.sum(c).alias(f"s_{c}"), F.sum((F.col(c) > 0).cast("long")).alias(f"v_{c}"))])
 
@@ -130,50 +130,52 @@ def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     full = (seen.join(ctx, "ctx").withColumn("low_gram", F.col("gram").bitwiseAND(F.lit((1 << 8 * (ORDER - 1)) - 1)))
             .join(shared_model(counts).withColumnRenamed("gram", "low_gram"), "low_gram"))
-    return (full.select("gram", (F.col("toxic") + F.col("ordinary")).alias("weight"), F.log(p("toxic") / p("ordinary")).alias("llr")),
-            ctx.select(F.col("ctx").alias("gram"), (F.col("s_toxic") + F.col("s_ordinary")).alias("weight"), F.log(left("toxic") / left("ordinary")).alias("llr")))
-
-
-def _slots(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most SLOTS (slot, number): the weighted mean ratio of each hash slot."""
+    return (full.select("gram", F.log(p("toxic") / p("ordinary")).alias("llr")),
+            ctx.select(F.col("ctx").alias("gram"), F.log(left("toxic") / left("ordinary")).alias("llr")))
 
-    def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot = _slot(b.column("gram").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), b.column("weight"), b.column("llr")], ["slot", "weight", "llr"])
 
-    by = rows.mapInArrow(number, "slot int, weight long, llr double").groupBy("slot")
-    got = by.agg((F.sum(F.col("llr") * F.col("weight")) / F.sum("weight")).cast("float").alias("llr")).toArrow()
-    return got.column("slot").to_numpy(), got.column("llr").to_numpy()
+def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = rows.toArrow()
+    gram, llr = (got.column(c).to_numpy() for c in ("gram", "llr"))
+    order = np.argsort(gram)
+    return gram[order], llr[order]
 
 
-_DENSE: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+def model(counts: DataFrame, most: int = BROADCAST_GRAMS) -> Broadcast | DataFrame:
+    """The two tables of :func:`ratios` sorted by gram, or if that is over ``most`` grams, (gram, llr) of every gram of ``counts``."""
+    grams, contexts = ratios(counts)
+    if counts.where(F.col("toxic") + F.col("ordinary") > 0).count() <= most:
+        return counts.sparkSession.sparkContext.broadcast((_sorted(grams), _sorted(contexts)))
+    # a context has at most 256 grams here, as each gram is one row
+    every = counts.select("gram", F.shiftright("gram", 8).alias("ctx")).join(grams, "gram", "left").join(
+        contexts.select(F.col("gram").alias("ctx"), F.col("llr").alias("_backoff")), "ctx", "left")
+    return written(every.select("gram", F.coalesce("llr", "_backoff", F.lit(0.0)).alias("llr")), "toxicity-ratios")
 
 
-def _dense(model: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """The two tables by slot (the second 0 where empty), unpacked once in a worker."""
-    name, *parts = model
-    if name not in _DENSE:
-        _DENSE.clear()
-        tables = [np.full(SLOTS, np.nan, dtype=np.float32), np.zeros(SLOTS, dtype=np.float32)]
-        for table_, (slot, llr) in zip(tables, parts):
-            table_[slot] = llr
-        _DENSE[name] = tuple(tables)
-    return _DENSE[name]
+def _found(table_: tuple[np.ndarray, np.ndarray], gram: np.ndarray) -> np.ndarray:
+    """The number of each gram; NaN for one that the table lacks."""
+    key, llr = table_
+    if len(key) == 0:
+        return np.full(len(gram), np.nan)
+    at = np.minimum(np.searchsorted(key, gram), len(key) - 1)
+    return np.where(key[at] == gram, llr[at], np.nan)
 
 
-def with_ratios(docs: DataFrame, model: Broadcast) -> DataFrame:
+def with_ratios(docs: DataFrame, known: Broadcast | DataFrame) -> DataFrame:
     """``docs`` with ``_r``: the normalised log-likelihood ratios of each text."""
+    if isinstance(known, DataFrame):
+        return _joined_ratios(docs, known)
 
     def measure(text: pa.Array) -> pa.Array:
-        by_gram, by_ctx = _dense(model.value)
+        by_gram, by_ctx = known.value
         row, word, gram, word_row = events(text)
         n = len(text)
         if len(row):
-            llr = by_gram[_slot(gram)].astype(np.float64)
+            distinct, which = np.unique(gram, return_inverse=True)
+            llr = _found(by_gram, distinct)
             new = np.isnan(llr)
-            llr[new] = by_ctx[_slot(gram[new] >> 8)]
-            per_word, length = np.bincount(word, llr), np.bincount(word)
+            llr[new] = np.nan_to_num(_found(by_ctx, distinct[new] >> 8))
+            per_word, length = np.bincount(word, llr[which]), np.bincount(word)
             total = np.bincount(word_row, per_word, minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
             worst = np.zeros(n)
             np.maximum.at(worst, word_row, per_word / (length + 2))
@@ -185,6 +187,43 @@ def with_ratios(docs: DataFrame, model: Broadcast) -> DataFrame:
     return docs.withColumn("_r", scalar(measure, ", ".join(f"{f} double" for f in FEATURES))(F.col("text")))
 
 
+def _words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_id, word: every word of every text."""
+    for part in blocks(batches, "text"):
+        data, offsets = lowered(part.column("text"))
+        flag = WORD_BYTE[data]
+        start, end = runs(flag, offsets)
+        cut = np.r_[0, np.cumsum(end - start)]
+        word = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cut.astype(np.int64).tobytes()), pa.py_buffer(data[flag].tobytes())])
+        row = np.searchsorted(offsets, start, side="right") - 1
+        yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(row, pa.int64())), word.cast(pa.binary())], ["_id", "word"])
+
+
+def _word_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """w, gram, n: the distinct grams of each word."""
+    for part in blocks(batches, "word"):
+        row, _, gram, _ = _events(*utf8(part.column("word").cast(pa.large_binary()).cast(pa.large_string())))
+        order = np.lexsort((gram, row))
+        row, gram = row[order], gram[order]
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])][: len(row)])
+        n = np.diff(np.r_[first, len(row)])
+        yield pa.RecordBatch.from_arrays([part.column("w").take(pa.array(row[first], pa.int64())), pa.array(gram[first]), pa.array(n, pa.int64())], ["w", "gram", "n"])
+
+
+def _joined_ratios(docs: DataFrame, llr: DataFrame) -> DataFrame:
+    """:func:`with_ratios` by shuffles: grams of distinct words are joined to ``llr``, and sums of words to the texts' words."""
+    rows = written(docs.withColumn("_id", F.monotonically_increasing_id()), "toxicity-texts")
+    words = rows.select("_id", "text").mapInArrow(_words, "_id long, word binary").groupBy("_id", "word").agg(F.count(F.lit(1)).alias("k"))
+    words = written(words.withColumn("w", F.unhex(F.md5("word"))), "toxicity-words")
+    grams = words.select("w", "word").dropDuplicates(["w"]).mapInArrow(_word_grams, "w binary, gram long, n long")
+    sums = salted_join(grams, llr, ["gram"], "left").groupBy("w").agg(F.sum(F.col("n") * F.coalesce("llr", F.lit(0.0))).alias("s"))
+    length = F.octet_length("word")
+    by_text = salted_join(words, sums, ["w"], "left").groupBy("_id").agg(
+        (F.sum(F.col("k") * F.col("s")) / F.sum(F.col("k") * length)).alias("per_byte"), F.greatest(F.max(F.col("s") / (length + 2)), F.lit(0.0)).alias("worst"),
+        F.log1p(F.sum("k")).alias("log_words"))
+    return rows.join(by_text, "_id", "left").withColumn("_r", F.struct(*[F.coalesce(f, F.lit(0.0)).alias(f) for f in FEATURES])).drop("_id", *FEATURES)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
     """Weights (intercept first) by Newton steps."""
     a = np.c_[np.ones(len(x)), x]
@@ -199,7 +238,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """``docs`` (doc_id, text) with ``score``; labels come only from rows whose fold of 5 is not 0.
 
     Fold 1 fits the logistic weights, folds 2 to 4 give the class counts.
@@ -208,12 +247,11 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
     known = with_label(docs.select("doc_id", "text"), labels, label)
     cls = F.when(part >= 2, F.coalesce("y", F.lit(2))).otherwise(2).cast("long")
     counts = written(count(known.select("text", cls.alias("cls"))), "toxicity-counts")
-    grams, contexts = ratios(counts)
-    model = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, _slots(grams), _slots(contexts)))
-    sample = with_ratios(known.where((part == 1) & F.col("y").isNotNull()), model).select("y", "_r", F.xxhash64("doc_id").alias("h"), "doc_id")
+    by_gram = model(counts, broadcast_grams)
+    sample = with_ratios(known.where((part == 1) & F.col("y").isNotNull()), by_gram).select("y", "_r", F.xxhash64("doc_id").alias("h"), "doc_id")
     picked = sample.orderBy("h", "doc_id").limit(SAMPLE).select("y", "_r.*").toPandas()
     x, y = picked[FEATURES].to_numpy(float), picked["y"].to_numpy(float)
-    rows = with_ratios(docs, model)
+    rows = with_ratios(docs, by_gram)
     if len(y) == 0 or y.min() == y.max():
         return rows.withColumn("score", F.lit(float(y.mean()) if len(y) else 0.5)).drop("_r")
     centre, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
