@@ -34,6 +34,25 @@ def test_main_text(model):
         "A & B First long paragraph of the text, with more words in it. Second one, also of some length, ends here.", "", ""]
 
 
+def test_attributes_of_real_pages_are_no_labels(model):
+    text = "First long paragraph of the text, with more words in it, and a second sentence."
+    page = f'<body><article data-year="2024"><h1 data-youtube="a">Head line</h1><p data-yt>{text}</p><p data-y="x">{text}</p><p x-data-y="7">{text}</p></article></body>'
+    assert html_text.extract([page], model) == [f"Head line {text} {text} {text}"]
+    assert set(Page(page).label) == {None} and Page('<p data-y="1">a</p>').label == [None, 1] and Page('<p data-y="1">a</p>', labels=False).label == [None, None]
+
+
+def test_formulas_and_fallback_content_are_read(model):
+    long = "of the text, with many more words in it, and then a second sentence that ends here."
+    math = '<math display="inline"><semantics><mrow><mi>e</mi><mo>=</mo><msup><mi>m</mi><mn>2</mn></msup></mrow></semantics></math>'
+    page = (f"<article><h1>Head line</h1><p>First paragraph {math} {long}</p><noscript><p>Second paragraph {long}</p></noscript>"
+            f"<p>Third paragraph {long}</p><object data=x><p>Fourth paragraph {long}</p></object></article>")
+    assert html_text.extract([page], model) == [f"Head line First paragraph e=m2 {long} Second paragraph {long} Third paragraph {long} Fourth paragraph {long}"]
+    for tag in ("noscript", "object", "audio", "video", "canvas"):
+        p = Page(f"<p>one <{tag}>two</{tag}> three</p><div>four</div>")
+        assert [(p.tag[n], t.strip()) for n, t in p.pieces] == [("p", "one"), (tag, "two"), ("p", "three"), ("div", "four")]
+        assert Page(f"<p>one <{tag}>two</p><div>four</div>").parent == [-1, 0, 1, 0]
+
+
 def test_held_out_pages(model):
     import re
 

@@ -10,7 +10,12 @@ import numpy as np
 #: Element kinds of HTML.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("script style noscript template svg math iframe object canvas audio video select textarea button title head".split())
+DROPPED = set("script style template svg iframe select textarea button title head".split())
+#: Blocks that may stand in a paragraph without ending it.
+FALLBACK = set("noscript object audio video canvas".split())
+#: Marks of formulas: their text belongs to the block around them.
+MATH = set("""math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle
+    msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml""".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 TAGS = "body article main section div p h1 h2 h3 ul li table tr td blockquote pre figure nav header footer aside form dl address details".split()
@@ -41,9 +46,9 @@ _AREA = [TAGS.index(name) for name in AREAS]
 
 
 class Page:
-    """Nodes in page order: tag, parent, depth, families, own text pieces and link letters, label of training pages."""
+    """Nodes in page order: tag, parent, depth, families, own text pieces and link letters, label of training pages (if ``labels``)."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, labels: bool = True) -> None:
         self.tag, self.parent, self.depth, self.family, self.label = ["body"], [-1], [0], [np.zeros(len(FAMILIES))], [None]
         self.text: list[list[str]] = [[]]
         self.pieces: list[tuple[int, str]] = []  # (node, text) in page order
@@ -77,7 +82,7 @@ class Page:
                     close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
                     at = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else at)
                 continue
-            if tag in ("html", "head"):
+            if tag in ("html", "head") or tag in MATH:
                 continue
             if tag == "body":
                 if not closing:
@@ -99,10 +104,10 @@ class Page:
                     if self.tag[stack[k]] == tag:
                         del stack[k:]
                         break
-                    if tag == "p" or (tag in ("li", "td", "th", "tr", "dt", "dd") and self.tag[stack[k]] in SCOPE[tag]):
+                    if (tag == "p" and self.tag[stack[k]] not in FALLBACK) or (tag in ("li", "td", "th", "tr", "dt", "dd") and self.tag[stack[k]] in SCOPE[tag]):
                         break
                 continue
-            if self.tag[stack[-1]] == "p":
+            if self.tag[stack[-1]] == "p" and tag not in FALLBACK:
                 stack.pop()
             for k in range(len(stack) - 1, 0, -1):
                 name = self.tag[stack[k]]
@@ -116,7 +121,7 @@ class Page:
             self.depth.append(len(stack))
             self.tag.append(tag)
             self.family.append(self._families(rest) if rest else np.zeros(len(FAMILIES)))
-            self.label.append(self._label(rest) if "data-y" in rest else None)
+            self.label.append(self._label(rest) if labels and "data-y" in rest else None)
             self.text.append([])
             self.links.append(0)
             self.inline.append(0)
@@ -141,8 +146,9 @@ class Page:
         return out
 
     @staticmethod
-    def _label(rest: str) -> int:
-        return int(re.search(r'data-y="(\d)"', rest).group(1))
+    def _label(rest: str) -> int | None:
+        m = re.search(r'(?<![\w-])data-y="(\d)"', rest)
+        return int(m.group(1)) if m else None
 
     def features(self) -> np.ndarray:
         n = len(self.tag)

@@ -5,7 +5,8 @@ page has features of its own text, its subtree (size, density, links, sentences)
 itself and its ancestors, depth and siblings.  The log-odds are decoded over the tree: the choice
 of the greatest total such that nothing below a dropped element is kept.
 
-Null or empty html gives an empty text.  Unclosed and misnested mark-up is read as far as it goes.  Repeated rows
+Formulas are text of the block around them; fallback content (noscript, object, audio, video, canvas) is judged like any
+block.  Null or empty html gives an empty text.  Unclosed and misnested mark-up is read as far as it goes.  Repeated rows
 give repeated rows; other columns of ``pages`` are left alone.  Work is per page; nothing is shuffled.
 """
 
@@ -40,7 +41,7 @@ def extract(sources: list[str | None], model: Boosted) -> list[str]:
     """The main text of each page."""
     out: list[str] = []
     for a in range(0, len(sources), BATCH):
-        read = [Page(s) if s else None for s in sources[a : a + BATCH]]
+        read = [Page(s, labels=False) if s else None for s in sources[a : a + BATCH]]
         some = [p for p in read if p is not None]
         odds = model.predict(np.vstack([p.features() for p in some])) if some else np.zeros(0)
         at = 0
