@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,44 @@ def test_beacon_stream_alerts_once(spark, tmp_path):
     assert [(r.dest, r.n_events, r.score) for r in out] == [("d", 15, 1.0)]
 
 
+def test_hot_keys_are_counted_whole(spark, tmp_path):
+    """More than 200 queries in a minute, and a beacon that is steady only after more than 500 other contacts."""
+    rng = random.Random(4)
+    times = [S + k * 1000 for k in range(700)]
+    df = spark.createDataFrame([("b", t, k) for k, t in enumerate(times)], "base string, ts_us bigint, seq bigint").withColumn("ts", F.timestamp_micros("ts_us"))
+    df.coalesce(1).write.parquet(str(tmp_path / "q"))
+    s = streams.with_event_time(spark.readStream.schema(df.schema).parquet(str(tmp_path / "q")))
+    assert sorted(r.rate for r in run_to_table(streams.dns_rate_stream(s), "q").collect()) == list(range(1, 701))
+
+    at = [S]
+    for _ in range(510):
+        at.append(at[-1] + int(10 ** rng.uniform(5, 9)))
+    at += [at[-1] + k * 60 * S for k in range(1, 2701)]
+    want = None
+    for n in range(15, len(at) + 1):
+        gaps = np.diff(np.array(at[:n], dtype=float))
+        m = np.median(gaps)
+        score = 0.4 * (1 - min(gaps.std() / m, 1)) + 0.6 * ((gaps >= 0.8 * m) & (gaps <= 1.2 * m)).mean()
+        if score >= 0.5:
+            want = (n, round(score, 9))
+            break
+    assert want and want[0] > 2500
+    df = spark.createDataFrame([("h", "d", t, k) for k, t in enumerate(at)], "host string, dest string, ts_us bigint, seq bigint").withColumn("ts", F.timestamp_micros("ts_us"))
+    df.coalesce(1).write.parquet(str(tmp_path / "c"))
+    s = streams.with_event_time(spark.readStream.schema(df.schema).parquet(str(tmp_path / "c")))
+    assert [(r.n_events, round(r.score, 9)) for r in run_to_table(streams.beacon_stream(s), "c").collect()] == [want]
+
+
+def test_process_dna_keeps_all_members(spark):
+    from wardline.operators import aggregates as agg
+
+    ev = spark.range(2000).select(F.lit("p").alias("process_hash"), F.lit("n").alias("process_name"), F.col("id").alias("ts_us"), F.concat(F.lit("f"), F.col("id") % 900).alias("file"), F.lit("").alias("endpoint"),
+                                  F.lit(None).cast("string").alias("child"), F.lit("d").alias("dll"), F.lit("").alias("registry_key"))
+    r = agg.process_dna(ev).first()
+    assert (r.observations, r.n_files, r.first_files, r.n_endpoints, r.n_children, r.n_dlls, r.first_children) == (2000, 900, "f0", 0, 0, 1, None)
+    assert agg.process_dna_members(ev).count() == 901
+
+
 def test_alert_and_graph_sinks(spark, tmp_path):
     al = spark.createDataFrame([("a1", "e1", 0, 0, "h", "network", "x", "high", "t", 0.5, ["T1"]), ("a2", "e2", 5 * S, 1, "h", "network", "x", "high", "t", 0.5, ["T1"])],
                                "alert_id string, event_id string, ts_us bigint, seq bigint, host string, sensor string, alert_type string, severity string, title string, confidence double, mitre_ids array<string>")

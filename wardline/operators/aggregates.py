@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline import fixed_values as fv
@@ -216,29 +216,27 @@ def incident_stats(incidents: DataFrame) -> DataFrame:
 DNA_SETS = {"files": "file", "endpoints": "endpoint", "children": "child", "dlls": "dll", "registry": "registry_key"}
 
 
-def process_dna(events: DataFrame, cap: int = 500) -> DataFrame:
-    """Behaviour profile per executable hash: five sets of at most ``cap`` sorted members.
+def process_dna_members(events: DataFrame) -> DataFrame:
+    """Distinct (process_hash, kind, value) of the five sets of :data:`DNA_SETS`, all of them; a busy program's members stay rows."""
+    return events.select("process_hash", F.explode(F.array_compact(F.array(*[
+        F.when(F.length(F.col(c)) > 0, F.struct(F.lit(s).alias("kind"), F.col(c).alias("value")))
+        for s, c in DNA_SETS.items()]))).alias("m")).select("process_hash", "m.kind", "m.value").distinct()
+
 
-    Distinct members are found first, then ranked in 64 sub-groups so that no
-    hash's members pass through one task before the cap is applied.
+def process_dna(events: DataFrame) -> DataFrame:
+    """Behaviour profile per executable hash: size ``n_…`` and least member ``first_…`` of each of the five sets.
+
+    The members are rows of :func:`process_dna_members`.
     """
     from wardline.functions.scoring import sigmoid_confidence
 
     base = events.groupBy("process_hash").agg(
         F.min("process_name").alias("process_name"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
         F.count(F.lit(1)).alias("observations")).withColumn("confidence", sigmoid_confidence(F.col("observations")))
-    members = events.select("process_hash", F.explode(F.array_compact(F.array(*[
-        F.when(F.length(F.col(c)) > 0, F.struct(F.lit(s).alias("kind"), F.col(c).alias("value")))
-        for s, c in DNA_SETS.items()]))).alias("m")).select("process_hash", "m.kind", "m.value").distinct()
-    part = Window.partitionBy("process_hash", "kind", "_sub").orderBy("value")
-    whole = Window.partitionBy("process_hash", "kind").orderBy("value")
-    kept = (members.withColumn("_sub", F.pmod(F.hash("value"), F.lit(64)))
-            .withColumn("_r", F.row_number().over(part)).where(F.col("_r") <= cap)
-            .withColumn("_r", F.row_number().over(whole)).where(F.col("_r") <= cap))
-    sets = kept.groupBy("process_hash").pivot("kind", list(DNA_SETS)).agg(F.sort_array(F.collect_list("value")))
-    empty = F.array().cast("array<string>")
+    sets = process_dna_members(events).groupBy("process_hash").agg(*[
+        e for s in DNA_SETS for e in (F.count_if(F.col("kind") == s).alias(f"n_{s}"), F.min(F.when(F.col("kind") == s, F.col("value"))).alias(f"first_{s}"))])
     return base.join(sets, "process_hash", "left").select(
-        *base.columns, *[F.coalesce(s, empty).alias(s) for s in DNA_SETS])
+        *base.columns, *[e for s in DNA_SETS for e in (F.coalesce(f"n_{s}", F.lit(0)).alias(f"n_{s}"), F.col(f"first_{s}"))])
 
 
 def reputation_delta(ioc_match: Column, total_connections: Column, first_contact: Column, port: Column,

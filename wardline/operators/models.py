@@ -113,11 +113,9 @@ class IsolationForest:
         unit = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 40)) / float(1 << 40)
         share = min(1.0, 1.5 * sample / n)
         base = df.select(row_id, F.col(vector).cast("array<double>").alias("v"))
-        if share * trees < 1.0:  # large tables: a row serves one tree at most
-            picked = base.where(unit(row_id, F.lit(seed)) < share * trees).withColumn(
-                "tree", F.pmod(F.xxhash64(row_id, F.lit(seed + 1)), F.lit(trees)).cast("int"))
-        else:
-            picked = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(unit(row_id, "tree", F.lit(seed)) < share)
+        # every (row, tree) is drawn by itself, whatever the row count
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: unit(row_id, tree, F.lit(seed)) < share)
+        picked = base.withColumn("tree", F.explode(drawn))
         limit = math.ceil(math.log2(sample))
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:

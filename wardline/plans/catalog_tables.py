@@ -520,8 +520,10 @@ def _dna(t):
         any_value(n_endpoints) AS n_endpoints, any_value(children) AS children, 0 AS n_registry FROM s LEFT JOIN f USING (process_hash) LEFT JOIN e USING (process_hash) LEFT JOIN c USING (process_hash) GROUP BY s.process_hash""")
 def _(t):
     d = agg.process_dna(_dna(t))
-    return d.select("process_hash", "observations", F.round("confidence", 9).alias("confidence"), F.size("files").cast("bigint").alias("n_files"), F.col("files")[0].alias("first_file"),
-                    F.size("endpoints").cast("bigint").alias("n_endpoints"), F.array_join("children", ",").alias("children"), F.size("registry").alias("n_registry"))
+    children = agg.process_dna_members(_dna(t)).where("kind = 'children'").groupBy("process_hash").agg(F.array_join(F.sort_array(F.collect_list("value")), ",").alias("children"))
+    return d.join(children, "process_hash", "left").select(
+        "process_hash", "observations", F.round("confidence", 9).alias("confidence"), F.col("n_files").cast("bigint").alias("n_files"), F.col("first_files").alias("first_file"),
+        F.col("n_endpoints").cast("bigint").alias("n_endpoints"), F.coalesce("children", F.lit("")).alias("children"), F.col("n_registry").cast("int").alias("n_registry"))
 
 
 @query("a15_reputation_fold", "A-15", """

@@ -9,6 +9,8 @@ batch in event-time order.  On a cluster set
 from __future__ import annotations
 
 import json
+import math
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -117,40 +119,54 @@ def chain_stream(log: DataFrame, window_us: int = 300_000_000) -> DataFrame:
     return _stateful(log.select("host", "ts", "ts_us", "seq", "code"), ["host"], "host string, chain string, first_us bigint, last_us bigint", step)
 
 
-def beacon_stream(contacts: DataFrame, min_events: int = 15, keep: int = 500, threshold: float = 0.5) -> DataFrame:
-    """Beacon alert per destination on the first crossing; the last ``keep`` contact times are held."""
-    import numpy as np
+def beacon_stream(contacts: DataFrame, min_events: int = 15, threshold: float = 0.5) -> DataFrame:
+    """Beacon alert per destination on the first crossing; all contact times are held until then."""
 
     def step(key, memory, rows):
-        out = []
+        if memory.get("alerted"):
+            return []
         times = memory.get("times", [])
-        for ts in rows["ts_us"]:
-            times = (times + [int(ts)])[-keep:]
-            if memory.get("alerted") or len(times) < min_events:
+        gaps = sorted(b - a for a, b in zip(times, times[1:]))
+        total, squares = sum(gaps), sum(g * g for g in gaps)
+        for ts in (int(x) for x in rows["ts_us"]):
+            k = bisect_right(times, ts)
+            times.insert(k, ts)
+            old = [times[k + 1] - times[k - 1]] if 0 < k < len(times) - 1 else []
+            for gap in old:
+                del gaps[bisect_left(gaps, gap)]
+            new = [b - a for a, b in zip(times[max(k - 1, 0):k + 1], times[max(k, 1):k + 2])]
+            for gap in new:
+                insort(gaps, gap)
+            total += sum(new) - sum(old)
+            squares += sum(g * g for g in new) - sum(g * g for g in old)
+            n = len(gaps)
+            if len(times) < min_events or n == 0:
                 continue
-            gaps = np.diff(np.sort(np.array(times, dtype=float)))
-            median = float(np.median(gaps))
+            median = (gaps[(n - 1) // 2] + gaps[n // 2]) / 2
             if median == 0:
                 continue
-            share = float(((gaps >= 0.8 * median) & (gaps <= 1.2 * median)).mean())
-            score = 0.4 * (1.0 - min(float(gaps.std()) / median, 1.0)) + 0.6 * share
+            share = (bisect_right(gaps, 1.2 * median) - bisect_left(gaps, 0.8 * median)) / n
+            spread = math.sqrt(n * squares - total * total) / n
+            score = 0.4 * (1.0 - min(spread / median, 1.0)) + 0.6 * share
             if score >= threshold:
+                memory.pop("times", None)
                 memory["alerted"] = True
-                out.append((key[0], key[1], int(ts), score, len(times)))
+                return [(key[0], key[1], ts, score, len(times))]
         memory["times"] = times
-        return out
+        return []
 
     return _stateful(contacts.select("host", "dest", "ts", "ts_us", "seq"), ["host", "dest"],
                      "host string, dest string, ts_us bigint, score double, n_events int", step, 86_400_000)
 
 
-def dns_rate_stream(queries: DataFrame, cap: int = 200) -> DataFrame:
-    """Exact trailing 60 s query rate per base domain, at most ``cap`` times held."""
+def dns_rate_stream(queries: DataFrame) -> DataFrame:
+    """Exact trailing 60 s query rate per base domain; all times of the last 60 s are held."""
 
     def step(key, memory, rows):
         times, out = memory.get("times", []), []
         for ts, seq in zip(rows["ts_us"], rows["seq"]):
-            times = [x for x in times if x > ts - 60_000_000][-(cap - 1):] + [int(ts)]
+            del times[:bisect_right(times, int(ts) - 60_000_000)]
+            insort(times, int(ts))
             out.append((key[0], int(seq), int(ts), len(times)))
         memory["times"] = times
         return out
