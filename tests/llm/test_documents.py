@@ -137,6 +137,24 @@ def test_repeats_edge_rows(odd, none):
     assert suffix_arrays.without_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [168, 169, 856, 857, 1024, 1025, 5000])
+def test_anchors_of_blocks_longer_than_their_place_bits(n):
+    keys = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
+    keys[n // 2:] = keys[: n - n // 2]  # the same hashes again, far away
+    high = keys >> np.uint64(10)
+    want = [s + int(np.argmin(high[s: s + 169])) for s in range(n - 168)]
+    assert suffix_arrays._anchors(keys, 169, bits=10).tolist() == want
+
+
+def test_texts_longer_than_the_place_bits_share_anchors(monkeypatch):
+    monkeypatch.setattr(suffix_arrays._anchors, "__defaults__", (12,))
+    rng = np.random.default_rng(1)
+    passage = rng.integers(97, 123, 600, dtype=np.uint8)
+    data = np.concatenate([rng.integers(97, 123, 3000, dtype=np.uint8), passage, rng.integers(97, 123, 9000, dtype=np.uint8), passage])
+    _, _, name, start, _ = suffix_arrays.contexts(data, np.array([0, len(data)]))
+    assert len(set(name.tolist())) < len(name) and start.max() > 1 << 12
+
+
 def test_leaks(spark, odd, none):
     item = "seven small boats left the harbour at dawn and none of the sailors knew which of the islands they would reach before the storm came in from the north west"
     w = item.split()

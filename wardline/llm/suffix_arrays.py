@@ -39,11 +39,28 @@ from wardline.llm.tables import scalar, table, written
 LENGTH, GRAM = 200, 32
 SHARD_BYTES, SPLIT = 1 << 20, 1000  # text of a shard; contexts of one anchor in a shard
 RANGES = 256
-PLACE_BITS = 26
+PLACE_BITS = 26  # of a place in one piece of a block; a longer block is read in pieces that overlap
 
 
 # ------------------------------------------------------------------ anchors and contexts
 
+def _anchors(keys: np.ndarray, width: int, bits: int = PLACE_BITS) -> np.ndarray:
+    """Place of the leftmost least hash (without its ``bits`` lowest bits) of every ``width`` places.
+
+    Places are packed beside the hashes, so at most ``2**bits`` are read at once; pieces overlap by a window, so each is whole in one.
+    """
+    if width > 1 << bits:
+        raise ValueError(f"a window of {width} places needs more than {bits} bits")
+    mask = np.uint64((1 << bits) - 1)
+    step = (1 << bits) - width + 1
+    found = [np.zeros(0, dtype=np.int64)]
+    for a in range(0, len(keys) - width + 1, step):
+        part = keys[a : a + step + width - 1]
+        order = moving_min((part & ~mask) | np.arange(len(part), dtype=np.uint64), width)
+        found.append((order & mask).astype(np.int64) + a)
+    return np.concatenate(found)
+
+
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(row, anchor, context hash, first window start, end of its last window), places within the row."""
     none = np.zeros(0, dtype=np.int64)
@@ -51,9 +68,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
         return none, none, none, none, none
     spans = Spans(data)
     keys = spans.fixed(gram)
-    mask = np.uint64((1 << PLACE_BITS) - 1)
-    order = moving_min((keys & ~mask) | np.arange(len(keys), dtype=np.uint64), length - gram + 1)
-    anchor = (order & mask).astype(np.int64)  # of every window start
+    anchor = _anchors(keys, length - gram + 1)  # of every window start
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     whole = np.arange(len(anchor)) + length <= offsets[row + 1]
     fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]
