@@ -8,9 +8,10 @@ their hash.  The group roots, ordered by group, become the root in the same way.
 *Building.*  ``LEVELS`` levels are built at once in blocks of ``FAN ** LEVELS`` nodes; each round's rows are written.
 A stored node row names its node (tree, level, pos), links to the ancestor ``LEVELS`` levels above and holds the
 runs' other members on the way (``path``: left and right digests per level), for less than that where the tree ends.
-*Climbing.*  A ``WITH RECURSIVE`` query starts with one row per leaf and joins the stored rows on the link: each step folds the
-leaf's hash through the runs and adds their siblings.  Rows of upper levels are repeated per salt, so that the many leaves
-beneath one node do not meet in one task.
+*Climbing.*  A ``WITH RECURSIVE`` query starts with the stored row of every leaf and joins the stored rows above on the link: each step
+folds the leaf's hash through the runs.  Above a leaf's first block the siblings are those of the block's first leaf, so
+only its climb appends them, and they come back to the others by a join.  Rows of upper levels are repeated per salt,
+so that the many leaves beneath one node do not meet in one task.
 
 Null ids come first in their group and are never tampered with; null groups are one group, the first.  Repeated rows
 are leaves each; rows that are equal in id and group are ordered by leaf.  Empty and long texts are values like any
@@ -19,8 +20,10 @@ other.  An empty table gives an empty result; other columns are not part of a le
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,94 +80,117 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
             .select(*rows.columns, "gid", "tree", "pos", "n"))
 
 
-def _hashed_runs(nodes: Column) -> Column:
-    """The level above an array of hex digests."""
-    starts = F.sequence(F.lit(0), F.ceil(F.size(nodes) / FAN).cast("int") - 1)
-    return F.transform(starts, lambda i: F.sha2(F.array_join(F.slice(nodes, i * FAN + 1, F.lit(FAN)), "").cast("binary"), 256))
+NODE = "struct<top: binary, paths: array<struct<path: array<struct<l: binary, r: binary>>>>>"
 
 
-def _round(nodes: DataFrame, level: int, levels: int, up: list[Column]) -> DataFrame:
-    """Node rows of one round; ``up``: what the nodes of a finished tree link to."""
+def _block(digests: list[bytes], n: int, levels: int) -> dict:
+    """The levels above one block of a tree level of ``n`` nodes: the block's last digest and, per node, its runs' other members."""
+    built = [digests]
+    while len(built) <= levels and n > FAN ** (len(built) - 1):
+        low = built[-1]
+        built.append([hashlib.sha256(b"".join(low[i : i + FAN]).hex().encode()).digest() for i in range(0, len(low), FAN)])
+    paths = []
+    for j in range(len(digests)):
+        path = []
+        for level in built[:-1]:
+            start = j // FAN * FAN
+            path.append({"l": b"".join(level[start:j]), "r": b"".join(level[j + 1 : start + FAN])})
+            j //= FAN
+        paths.append({"path": path})
+    return {"top": built[-1][0], "paths": paths}
+
+
+def _round(nodes: DataFrame, level: int, levels: int, up: list[Column], extra: list[str]) -> DataFrame:
+    """Node rows of one round; ``up``: what the nodes of a finished tree link to; ``extra``: columns of the nodes to keep.
+
+    ``first`` is the gid of the block's first node, if the nodes have one.
+    """
     span = FAN**levels
+    kind = pa.struct([("top", pa.binary()), ("paths", pa.list_(pa.struct([("path", pa.list_(pa.struct([("l", pa.binary()), ("r", pa.binary())])))])))])
+
+    def built(digests: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array([_block(d, m, levels) for d, m in zip(digests.to_pylist(), n.to_pylist())], kind)
+
     block = F.floor(F.col("pos") / span).cast("long")
     work = nodes.groupBy("tree", block.alias("block")).agg(
-        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "digest"))).alias("members"))
-    work = work.withColumn("l0", F.transform("members.digest", hexed))
-    for t in range(1, levels + 1):
-        work = work.withColumn(f"l{t}", _hashed_runs(F.col(f"l{t - 1}")))
-    whole = reduce(lambda other, t: F.when(F.col("n") > FAN**t, F.col(f"l{t + 1}")[0]).otherwise(other), range(levels), F.col("l0")[0])
-    work = work.withColumn("top", F.unhex(whole))
-
-    def run(t: int, j: Column) -> Column:
-        at = F.floor(j / FAN**t).cast("int")
-        inner = F.pmod(at, F.lit(FAN))
-        cut = lambda start, n: F.unhex(F.array_join(F.slice(F.col(f"l{t}"), start, n), ""))
-        return F.when(F.col("n") > FAN**t, F.struct(cut(at - inner + 1, inner).alias("l"), cut(at + 2, F.lit(FAN - 1) - inner).alias("r")))
-
-    path = F.array_compact(F.array(*[run(t, F.col("j")) for t in range(levels)]))
+        F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "digest", *extra))).alias("members"))  # at most ``span``
+    work = work.withColumn("b", F.arrow_udf(built, NODE)(F.col("members.digest"), F.col("n")))
     done = F.col("n") <= span
-    linked = work.select("tree", "block", "n", "top", F.posexplode("members").alias("j", "m"), *[f"l{t}" for t in range(levels)])
     goal = [F.when(done, u).otherwise(v) for u, v in zip(up, [F.col("tree"), F.lit(level + 1), F.col("block")])]
-    return linked.select(
-        "tree", F.lit(level).alias("level"), "m.pos", "m.digest", path.alias("path"),
-        goal[0].cast("long").alias("p_tree"), goal[1].cast("int").alias("p_level"), goal[2].cast("long").alias("p_pos"),
-        "block", "n", "top", done.alias("ends"))
+    first = F.col("members")[0]["gid"] if "gid" in extra else F.lit(None).cast("long")
+    return work.select("tree", "block", "n", F.col("b.top").alias("top"), first.alias("first"),
+                       F.explode(F.arrays_zip("members", F.col("b.paths").alias("paths"))).alias("m")).select(
+        "tree", F.lit(level).alias("level"), "m.members.pos", "m.members.digest", "m.paths.path", *[f"m.members.{e}" for e in extra], "first",
+        goal[0].cast("long").alias("p_tree"), goal[1].cast("int").alias("p_level"), goal[2].cast("long").alias("p_pos"), "block", "n", "top", done.alias("ends"))
+
+
+PATH = "array<struct<l: binary, r: binary>>"
 
 
-def build(leaves: DataFrame, many: bool, levels: int = LEVELS) -> DataFrame:
-    """The stored node rows of all trees, from leaves (tree, pos, n, digest); ``many``: the groups have a tree above them."""
-    kept: list[DataFrame] = []
+def build(leaves: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """The stored rows of the leaves and those of the nodes above, from leaves (gid, key, tree, pos, n, digest, found)."""
+    spark, span, extra = leaves.sparkSession, FAN**levels, ["gid", "key", "found"]
+    upper: list[DataFrame] = []
 
-    def grow(nodes: DataFrame, up: list[Column]) -> DataFrame:
+    def grow(nodes: DataFrame, up: list[Column], level: int) -> DataFrame:
         """Rounds until every tree is one node; returns the roots (tree, digest)."""
-        roots, level = [nodes.where("n = 1").select("tree", "digest")], 0
+        roots = [nodes.where("n = 1").select("tree", "digest")]
         nodes = nodes.where("n > 1")
         while (most := nodes.agg(F.max("n")).first()[0]) is not None:
-            rows = written(_round(nodes, level, levels, up), "merkle-nodes")
-            kept.append(rows)
-            tops = rows.where(F.col("pos") % FAN**levels == 0)
+            rows = written(_round(nodes, level, levels, up, [c for c in extra if c in nodes.columns]), "merkle-nodes")
+            upper.append(rows)
+            tops = rows.where(F.col("pos") % span == 0)
             roots.append(tops.where("ends").select("tree", F.col("top").alias("digest")))
-            nodes = tops.where("NOT ends").select("tree", F.col("block").alias("pos"), F.ceil(F.col("n") / FAN**levels).cast("long").alias("n"), F.col("top").alias("digest"))
+            nodes = tops.where("NOT ends").select("tree", F.col("block").alias("pos"), F.ceil(F.col("n") / span).cast("long").alias("n"), F.col("top").alias("digest"))
             level += 1
-            if most <= FAN**levels:
+            if most <= span:
                 break
         return reduce(DataFrame.union, roots)
 
-    start = [F.lit(TOP_TREE), F.lit(0), F.col("tree")] if many else [F.lit(None)] * 3
-    roots = grow(leaves.select("tree", "pos", "n", "digest"), start)
+    many = (leaves.agg(F.max("tree")).first()[0] or 0) > 0
+    above = [F.lit(TOP_TREE), F.lit(0), F.col("tree")] if many else [F.lit(None)] * 3
+    roots = grow(leaves, above, 0)
+    lone = leaves.where("n = 1").select(
+        *extra, "digest", F.col("gid").alias("first"), F.array().cast(PATH).alias("path"), above[0].cast("long").alias("p_tree"), above[1].cast("int").alias("p_level"),
+        above[2].cast("long").alias("p_pos"), "tree", F.lit(False).alias("ends"), F.lit(None).cast("binary").alias("top"))
+    base = upper.pop(0) if upper else None
+    base = lone if base is None else base.select(lone.columns).union(lone)
     if many:
         roots = written(roots, "merkle-roots")
-        top = roots.select(F.lit(TOP_TREE).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(roots.count()).cast("long").alias("n"), "digest")
-        grow(top, [F.lit(None)] * 3)
-    if not kept:
-        return leaves.sparkSession.createDataFrame([], "tree long, level int, pos long, digest binary, path array<struct<l: binary, r: binary>>, p_tree long, p_level int, p_pos long, subroot binary, root binary")
-    rows = reduce(DataFrame.union, kept)
-    end = F.when(F.col("ends"), F.col("top"))
-    return rows.select("tree", "level", "pos", "digest", "path", "p_tree", "p_level", "p_pos",
-                       F.when(F.col("tree") != TOP_TREE, end).alias("subroot"), F.when(F.col("tree") == TOP_TREE, end).alias("root"))
-
-
-_CLIMB = """
-WITH RECURSIVE climb (gid, step, tree, level, pos, salt, folded, siblings, subroot, root) AS (
-  SELECT gid, 0, tree, level, pos, CAST(pmod(gid, salts) AS INT), folded, X'', CAST(NULL AS BINARY), CAST(NULL AS BINARY) FROM {start}
+        grow(roots.select(F.lit(TOP_TREE).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(roots.count()).cast("long").alias("n"), "digest"), [F.lit(None)] * 3, 0)
+    columns = ["tree", "level", "pos", "path", "p_tree", "p_level", "p_pos", "ends", "top"]
+    if not upper:
+        return base, spark.createDataFrame([], f"tree long, level int, pos long, path {PATH}, p_tree long, p_level int, p_pos long, ends boolean, top binary")
+    return base, reduce(DataFrame.union, [u.select(columns) for u in upper])
+
+
+_FOLD = "aggregate({0}.path, {1}, (h, x) -> unhex(sha2(CAST(concat(lower(hex(x.l)), lower(hex(h)), lower(hex(x.r))) AS BINARY), 256)))"
+_CLIMB = f"""
+WITH RECURSIVE climb (gid, lead, step, tree, level, pos, salt, folded, siblings, subroot, root) AS (
+  SELECT gid, gid = first, 0, p_tree, p_level, p_pos, CAST(pmod(gid, p_salts) AS INT), {_FOLD.format("b", "coalesce(b.found, b.digest)")},
+    X'', CASE WHEN gid = first AND ends THEN top END, CAST(NULL AS BINARY) FROM {{base}} b
   UNION ALL
-  SELECT c.gid, c.step + 1, n.p_tree, n.p_level, n.p_pos, CAST(pmod(c.gid, n.p_salts) AS INT),
-    aggregate(n.path, c.folded, (h, x) -> unhex(sha2(CAST(concat(lower(hex(x.l)), lower(hex(h)), lower(hex(x.r))) AS BINARY), 256))),
-    aggregate(n.path, X'', (s, x) -> concat(s, x.l, x.r)), n.subroot, n.root
-  FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.pos = n.pos AND c.salt = n.salt
+  SELECT c.gid, c.lead, c.step + 1, n.p_tree, n.p_level, n.p_pos, CAST(pmod(c.gid, n.p_salts) AS INT), {_FOLD.format("n", "c.folded")},
+    CASE WHEN c.lead THEN aggregate(n.path, X'', (s, x) -> concat(s, x.l, x.r)) END,
+    CASE WHEN c.lead AND n.ends AND n.tree <> {TOP_TREE} THEN n.top END, CASE WHEN c.lead AND n.ends AND n.tree = {TOP_TREE} THEN n.top END
+  FROM climb c JOIN {{nodes}} n ON c.tree = n.tree AND c.level = n.level AND c.pos = n.pos AND c.salt = n.salt
 )
-SELECT gid, step, folded, siblings, subroot, root FROM climb
+SELECT gid, lead, step, tree IS NULL AS ended, folded, siblings, subroot, root FROM climb WHERE lead OR tree IS NULL
 """
 
 
-def climb(start: DataFrame, nodes: DataFrame) -> DataFrame:
-    """gid, folded, siblings, subroot, root of every row of ``start`` (gid, tree, level, pos, folded), one row per step."""
-    spark = start.sparkSession
+def climb(base: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``base`` with folded_root, the siblings above the first block, subroot and root."""
+    spark = base.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the query has as many rows as leaves and steps
-    tree, level = F.col("tree"), F.col("level")
-    salted = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), salts_of(tree, level) - 1)))
-    salted = salted.withColumn("p_salts", salts_of(F.col("p_tree"), F.col("p_level")))
-    return spark.sql(_CLIMB, start=start.withColumn("salts", salts_of(tree, level)), nodes=salted.drop("digest"))
+    salts = salts_of(F.col("p_tree"), F.col("p_level"))
+    salted = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), salts_of(F.col("tree"), F.col("level")) - 1)))
+    start = base.select("gid", "first", "found", "digest", "path", "p_tree", "p_level", "p_pos", "ends", "top", salts.alias("p_salts"))
+    rows = written(spark.sql(_CLIMB, base=start, nodes=salted.withColumn("p_salts", salts)), "merkle-climb")
+    leads = rows.where("lead").groupBy(F.col("gid").alias("first")).agg(
+        F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("s"), F.max("subroot").alias("subroot"), F.max("root").alias("root"))
+    leads = leads.withColumn("above", F.aggregate("s", F.lit(b""), lambda all_, x: F.concat(all_, x["siblings"]))).drop("s")
+    return base.join(rows.where("ended").select("gid", F.col("folded").alias("folded_root")), "gid").join(leads, "first")
 
 
 def verified(docs: DataFrame, altered: Column, group: str = "source", key: str = "doc_id", fields: list[str] = FIELDS, levels: int = LEVELS) -> DataFrame:
@@ -176,19 +202,11 @@ def verified(docs: DataFrame, altered: Column, group: str = "source", key: str =
     found = F.when(~altered.eqNullSafe(F.col(fields[-1])), sha(now))
     leaves = docs.select(F.col(key).alias("key"), F.col(group).alias("grp"), sha(leaf_text([F.col(f) for f in fields])).alias("digest"), found.alias("found"))
     leaves = written(numbered(leaves, "grp", ["key", "digest"]), "merkle-leaves")
-    many = (leaves.agg(F.max("tree")).first()[0] or 0) > 0
-    nodes = build(leaves, many, levels)
-    lone = F.col("n") == 1
-    top = F.lit(TOP_TREE if many else None).cast("long")
-    start = leaves.select("gid", F.when(lone, top).otherwise(F.col("tree")).alias("tree"), F.lit(0).alias("level"),
-                          F.when(lone, F.col("tree")).otherwise(F.col("pos")).alias("pos"), F.coalesce("found", "digest").alias("folded"))
-    steps = climb(start, nodes).groupBy("gid").agg(
-        F.max_by("folded", "step").alias("folded_root"), F.array_sort(F.collect_list(F.struct("step", "siblings"))).alias("s"),
-        F.max("subroot").alias("subroot"), F.max("root").alias("root"))
-    joined = leaves.select("gid", "key", "digest").join(steps, "gid")
+    base, nodes = build(leaves, levels)
+    own = F.aggregate("path", F.lit(b""), lambda all_, x: F.concat(all_, x["l"], x["r"]))
     subroot = F.coalesce("subroot", "digest")
-    return joined.select(F.col("key").alias(key), F.col("digest").alias("leaf"), subroot.alias("subroot"), F.coalesce(F.col("root"), subroot).alias("root"),
-                         F.aggregate("s", F.lit(b""), lambda all_, x: F.concat(all_, x["siblings"])).alias("siblings"), "folded_root")
+    return climb(base, nodes).select(F.col("key").alias(key), F.col("digest").alias("leaf"), subroot.alias("subroot"), F.coalesce(F.col("root"), subroot).alias("root"),
+                       F.concat(own, "above").alias("siblings"), "folded_root")
 
 
 _SQL = r"""
