@@ -150,9 +150,9 @@ def _count(candidates: Broadcast | None) -> Callable[[Iterable[pa.RecordBatch]],
                     at, gram = at[use], gram[use]
                 key = mix(gram + mix(lang[at].astype(np.uint64) + np.uint64(1)))
                 _, first, group, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                check = w.checks(at, k)
-                if (check != check[first][group]).any():  # two phrases of one hash: count by both
-                    _, first, n = np.unique(np.stack([key, check]), axis=1, return_index=True, return_counts=True)
+                check = np.stack([w.checks(at, k), lang[at].astype(np.uint64)])
+                if (check != check[:, first][:, group]).any():  # two phrases of one hash: count by all that is known of them
+                    _, first, n = np.unique(np.concatenate([key[None], check]), axis=1, return_index=True, return_counts=True)
                 yield batch(at[first], gram[first], w.texts(at[first], k), k, n)
 
     return count
