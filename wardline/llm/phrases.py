@@ -6,8 +6,8 @@ Per language (null: ``und``) every phrase of 1 to ``WORDS`` words with ``SUPPORT
 1. A document belongs to one of ``SHARDS`` shards by its id.  A shard's local support is ``SUPPORT`` times the shard's share of the
    language's bytes, rounded up; a phrase below it in every shard is below ``SUPPORT`` in all.  With a fixed support a shard must be
    large to exclude anything, so there are few, and each is mined by many tasks: a task counts the phrases of a block of text
-   by 64-bit hashes, and a shuffle by (language and shard, hash) adds them up.  Longer phrases are counted only where
-   all their pairs of words are locally frequent (a set of more than ``BROADCAST`` is not sent to the tasks; then all are counted).
+   by 64-bit hashes, and a shuffle by (language and shard, hash) adds them up.  First words, then pairs of locally frequent words,
+   then longer phrases of locally frequent pairs (a set of more than ``BROADCAST`` is not sent to the tasks; then all are counted).
 2. The hashes that are locally frequent anywhere are the candidates; two phrases of one hash only make one more candidate.
 3. All candidates are counted in all documents by their text, again block by block (more than ``BROADCAST`` candidates
    meet the counts by a join instead).  Within a block, a second hash tells phrases of one hash apart.
@@ -33,7 +33,7 @@ from wardline.llm.registry import query
 from wardline.llm.tables import table, written
 
 WORDS, SUPPORT, COVER, TOP = 4, 30, 80, 2000
-SHARDS, BROADCAST, BLOCK = 4, 4_000_000, 4 << 20
+SHARDS, BROADCAST, BLOCK, HELD = 4, 4_000_000, 1 << 20, 1_000_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER[9] = 32  # a tab parts words as a blank does
@@ -101,29 +101,35 @@ class Members:
         return out
 
 
-def _mine(short: bool, pairs: Broadcast | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of the phrases of one and two words (``short``), else of longer ones whose pairs are all in ``pairs``."""
+def _mine(lengths: tuple[int, ...], parts: int, known: Broadcast | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the phrases of ``lengths`` words whose parts of ``parts`` words are all in ``known`` (null: of all phrases)."""
+
+    def counts(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        cell, gram = (np.concatenate(c) for c in zip(*held))
+        _, first, n = np.unique(mix(gram ^ cell), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(cell[first].view(np.int64)), pa.array(gram[first].view(np.int64)), pa.array(n.astype(np.int64))], ["cell", "gram", "n"])
 
     def mine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
         for b in blocks(batches, "text", BLOCK):
             w = Words(b.column("text"))
             cell = b.column("cell").to_numpy().view(np.uint64)[w.row]
-            frequent = None
-            for k, at, gram in w.grams(2 if short else WORDS):
-                key = mix(gram ^ cell[at])
-                if not short:
-                    if k == 2 and pairs is not None:
-                        frequent = np.zeros(len(w.word) + WORDS, dtype=bool)
-                        frequent[at[pairs.value.has(key)]] = True
-                    if k < 3:
-                        continue
-                    if frequent is not None:
-                        use = np.logical_and.reduce([frequent[at + j] for j in range(k - 1)])
-                        at, gram, key = at[use], gram[use], key[use]
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[at[first]].view(np.int64)), pa.array(gram[first].view(np.int64)), pa.array(np.full(len(n), k, dtype=np.int32)), pa.array(n.astype(np.int64))],
-                    ["cell", "gram", "k", "n"])
+            frequent = np.zeros(len(w.word) + WORDS, dtype=bool)
+            for k, at, gram in w.grams(max(lengths)):
+                if k == parts and known is not None:
+                    frequent[at[known.value.has(mix(gram ^ cell[at]))]] = True
+                if k not in lengths:
+                    continue
+                if known is not None:
+                    use = np.logical_and.reduce([frequent[at + j] for j in range(k - parts + 1)])
+                    at, gram = at[use], gram[use]
+                held.append((cell[at], gram))
+                many += len(at)
+            if many >= HELD:
+                yield counts(held)
+                held, many = [], 0
+        if held:
+            yield counts(held)
 
     return mine
 
@@ -177,17 +183,19 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     need = share.select("cell", F.floor((F.lit(support).cast("decimal(20,0)") * F.col("m") + whole - 1) / whole).cast("long").alias("need"))
     need = written(need.groupBy("cell").agg(F.min("need").alias("need")), "phrase-supports")
 
-    def local(mine) -> DataFrame:
-        found = rows.select("text", "cell").mapInArrow(mine, "cell long, gram long, k int, n long")
-        found = found.groupBy("cell", "gram", "k").agg(F.sum("n").alias("n"))
-        return written(found.join(need, "cell").where("n >= need").select("cell", "gram", "k"), "phrase-candidates")
-
-    short = local(_mine(True, None))
-    pairs = _sent(short.where("k = 2").select("cell", "gram"), broadcast)
-    if pairs is not None:
-        cell, gram = (pairs.column(c).to_numpy().view(np.uint64) for c in ("cell", "gram"))
-        pairs = spark.sparkContext.broadcast(Members(mix(gram ^ cell)))
-    candidates = written(short.union(local(_mine(False, pairs))).select("gram").distinct(), "phrase-union")
+    def frequent(lengths: tuple[int, ...], parts: int, known: DataFrame | None) -> DataFrame:
+        sent = None if known is None else _sent(known, broadcast)
+        if sent is not None:
+            cell, gram = (sent.column(c).to_numpy().view(np.uint64) for c in ("cell", "gram"))
+            sent = spark.sparkContext.broadcast(Members(mix(gram ^ cell)))
+        found = rows.select("text", "cell").mapInArrow(_mine(lengths, parts, sent), "cell long, gram long, n long")
+        found = found.groupBy("cell", "gram").agg(F.sum("n").alias("n"))
+        return written(found.join(need, "cell").where("n >= need").select("cell", "gram"), "phrase-candidates")
+
+    words = frequent((1,), 0, None)
+    pairs = frequent((2,), 1, words)
+    longer = frequent(tuple(range(3, WORDS + 1)), 2, pairs)
+    candidates = written(words.union(pairs).union(longer).select("gram").distinct(), "phrase-union")
     few = _sent(candidates, broadcast)
     if few is not None:
         few = spark.sparkContext.broadcast(Members(few.column("gram").to_numpy()))
