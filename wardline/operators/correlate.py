@@ -131,31 +131,92 @@ def _correlate_components(alerts: DataFrame, window_us: int, keys: list[str]) ->
 
 
 # --- A-12 -------------------------------------------------------------------------------------
-def campaign_members(incidents: DataFrame, entities: DataFrame) -> DataFrame:
+REPLAY_ROWS = 200_000
+
+
+def _replay(frames):
+    """Ids of the seeds among link rows (incident_id, entity) that come in incident order."""
+    import pandas as pd
+
+    taken: set = set()
+    current, held = None, []
+
+    def close():
+        if current is not None and taken.isdisjoint(held):
+            taken.update(held)
+            return [current]
+        return []
+
+    for frame in frames:
+        seeds = []
+        for incident, entity in zip(frame["incident_id"], frame["entity"]):
+            if incident != current:
+                seeds += close()
+                current, held = incident, []
+            held.append(entity)
+        yield pd.DataFrame({"incident_id": seeds}, dtype="object")
+    yield pd.DataFrame({"incident_id": close()}, dtype="object")
+
+
+def _forced(undecided: DataFrame) -> DataFrame:
+    """Seeds that can be told at once: incidents first in all their entities, and those at an even distance from one
+    of them along single links, where an incident has one earlier undecided neighbour only.
+
+    Such an incident is a seed exactly if that neighbour is none, so a chain is settled by pointer doubling.
+    """
+    from wardline.operators.segmented import salted_join
+    from wardline.session import checkpoint
+
+    least = undecided.groupBy("entity").agg(F.min("o").alias("_first"))
+    marked = salted_join(undecided, least, ["entity"], "inner")
+    second = marked.where("o > _first").groupBy("entity").agg(F.min("o").alias("_second"))
+    marked = salted_join(marked, second, ["entity"], "left")
+    later = F.col("o") > F.col("_first")
+    told = checkpoint(marked.groupBy("incident_id").agg(
+        F.max(F.when(later, F.col("_first.incident_id"))).alias("up"),
+        F.bool_and(~later | ((F.col("o") == F.col("_second")))).alias("_second_only"),
+        F.count_distinct(F.when(later, F.col("_first.incident_id"))).alias("_n")))
+    first = told.where("_n = 0").select("incident_id")
+    links = checkpoint(told.where("_n = 1 AND _second_only").select("incident_id", "up", F.lit(True).alias("odd")))
+    while True:
+        far = links.select(F.col("incident_id").alias("up"), F.col("up").alias("_up"), F.col("odd").alias("_odd"))
+        longer = checkpoint(links.join(far, "up", "left").select(
+            "incident_id", F.coalesce("_up", "up").alias("up"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"), F.col("_up").isNotNull().alias("_moved")))
+        links, moved = longer.drop("_moved"), longer.where("_moved").limit(1).count()
+        if moved == 0:
+            break
+    even = links.where("NOT odd").join(first.select(F.col("incident_id").alias("up")), "up", "left_semi").select("incident_id")
+    return first.unionByName(even)
+
+
+def campaign_members(incidents: DataFrame, entities: DataFrame, replay_rows: int = REPLAY_ROWS) -> DataFrame:
     """(incident_id, seed_id) of campaigns among closed incidents.
 
     Incidents are taken in order (``ord``).  A seed takes every later unused
     incident that shares an entity with it; so an incident is a seed exactly when
-    it shares no entity with an earlier seed.  Each round makes a seed of every
-    undecided incident that is first in all its entities and decides whatever
-    touches a seed: exact, and without bringing a group together.
+    it shares no entity with an earlier seed.  Each round finds the seeds that are certain, drops
+    whatever touches them and goes on with the rest: exact, and without bringing a group together.
+    Once a count proves that at most ``replay_rows`` links are left, one task replays them in order.
     """
     from wardline.operators.segmented import salted_join
     from wardline.session import checkpoint
 
     closed = incidents.where("status = 'closed'").select("incident_id", F.struct("ord", "incident_id").alias("o"))
     links = checkpoint(salted_join(entities, closed, ["incident_id"], "inner").select("incident_id", "entity", "o").distinct())
-    undecided, seeds = links, None
-    while True:
-        least = undecided.groupBy("entity").agg(F.min("o").alias("_least"))
-        marked = salted_join(undecided, least, ["entity"], "inner")
-        new = marked.groupBy("incident_id").agg(F.bool_and(F.col("o") == F.col("_least")).alias("_seed")).where("_seed").select("incident_id")
+    undecided, seeds = links, links.limit(0)
+    while (left := undecided.count()) > 0:
+        if left <= replay_rows:
+            ordered = undecided.repartition(1).sortWithinPartitions("o").select("incident_id", "entity")
+            kind = links.schema["incident_id"].dataType.simpleString()
+            new, settled = ordered.mapInPandas(_replay, f"incident_id {kind}"), True
+        else:
+            new, settled = _forced(undecided), False
         new_links = checkpoint(undecided.join(new, "incident_id", "left_semi"))
-        seeds = new_links if seeds is None else seeds.unionByName(new_links)
+        seeds = seeds.unionByName(new_links)
+        if settled:
+            break
         touched = salted_join(undecided, new_links.select("entity").distinct(), ["entity"], "left_semi").select("incident_id").distinct()
         undecided = checkpoint(undecided.join(touched, "incident_id", "left_anti"))
-        if undecided.limit(1).count() == 0:
-            break
     seeds = checkpoint(seeds)
     owner = seeds.select("entity", F.col("o").alias("_owner"))  # one seed at most per entity
     return salted_join(links, owner, ["entity"], "inner").groupBy("incident_id").agg(F.min("_owner").alias("_s")).select(

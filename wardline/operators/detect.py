@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +37,23 @@ def dns_threats(queries: DataFrame, iocs: DataFrame | None = None) -> DataFrame:
     else:
         q = q.withColumn("ioc_source", F.lit(None).cast("string"))
     q = q.withColumn("_tunnel", names.tunnel_confidence(F.col("domain"), F.col("rate"))).withColumn("_dga", names.dga_confidence(F.col("_base")))
-    threat = lambda n, c: F.struct(F.lit(n).alias("threat"), c.alias("confidence"))
-    found = F.coalesce(
-        F.when(F.col("ioc_source").isNotNull(), threat("known_malicious", F.lit(0.95))),
-        F.when(F.col("_tunnel") >= 0.6, threat("tunneling", F.least(F.col("_tunnel"), F.lit(1.0)))),
-        F.when(F.col("_dga") >= 0.6, threat("dga", F.col("_dga"))),
-        F.when(rules.doh_evasion(F.col("remote_ip"), F.col("remote_port"), F.col("name")), threat("doh_evasion", F.lit(0.8))),
-        F.when(names.suspicious_tld(F.col("domain")), threat("suspicious_tld", F.lit(0.4))))
+    found = F.coalesce(F.when(F.col("ioc_source").isNotNull(), _threat("known_malicious", F.lit(0.95))), _own_dns_threat())
     return q.withColumn("_t", found).where("_t IS NOT NULL").withColumn("threat", F.col("_t.threat")).withColumn("confidence", F.col("_t.confidence")).drop("_t")
 
 
+def _threat(name: str, confidence: Column) -> Column:
+    return F.struct(F.lit(name).alias("threat"), confidence.cast("double").alias("confidence"))
+
+
+def _own_dns_threat() -> Column:
+    """What a query tells by itself, from the columns _tunnel and _dga and those of the query."""
+    return F.coalesce(
+        F.when(F.col("_tunnel") >= 0.6, _threat("tunneling", F.least(F.col("_tunnel"), F.lit(1.0)))),
+        F.when(F.col("_dga") >= 0.6, _threat("dga", F.col("_dga"))),
+        F.when(rules.doh_evasion(F.col("remote_ip"), F.col("remote_port"), F.col("name")), _threat("doh_evasion", F.lit(0.8))),
+        F.when(names.suspicious_tld(F.col("domain")), _threat("suspicious_tld", F.lit(0.4))))
+
+
 def dns_alerts(queries: DataFrame, iocs: DataFrame | None = None) -> DataFrame:
     hits = dns_threats(queries, iocs)
     ids = F.coalesce(*[F.when(F.col("threat") == t, F.array(*map(F.lit, m)).cast("array<string>")) for t, (_, m) in fv.DNS_THREATS.items()])
@@ -73,7 +82,7 @@ def encrypted_traffic(events: DataFrame, ja3_blacklist: DataFrame) -> DataFrame:
     contacts = events.where(F.col("event_type").isin("etw.tls_handshake", "etw.http_request")).select(
         "host", F.col("server_name"), F.coalesce("destination", F.when(F.col("url").isNotNull(), http_host)).alias("destination"), "ts_us", "seq")
     beacon = beacon_alerts(contacts).withColumn("title", F.concat(F.lit("C2 beacon detected: "), "dest")).withColumn("engine", F.lit("encrypted_traffic")) \
-        .withColumn("mitre_ids", ids).withColumn("alert_id", F.concat(F.lit("alt-"), F.substring(F.sha2(F.concat_ws("|", "host", "dest", F.lit("beacon")), 256), 1, 16)))
+        .withColumn("mitre_ids", ids).withColumn("alert_id", F.concat(F.lit("alt-"), F.sha2(F.concat_ws("|", "host", "dest", F.lit("beacon")), 256)))
     return union_alerts(ja3, cert, beacon.drop("n_events", "median_interval", "dest"))
 
 
@@ -91,7 +100,7 @@ def fileless(events: DataFrame) -> DataFrame:
     lol = make_alert(found, F.lit("fileless_lolbin_abuse"), F.concat(F.lit("LOLBin abuse: "), "finding"), F.col("finding_severity"), F.col("confidence"),
                      "fileless", F.array("mitre_id"))
     # two checks of one event differ by their rule
-    lol = lol.withColumn("alert_id", F.concat("alert_id", F.lit("-"), F.substring(F.md5("title"), 1, 6)))
+    lol = lol.withColumn("alert_id", F.concat("alert_id", F.lit("-"), F.sha2("title", 256)))
     return union_alerts(script, net, wmi, lol)
 
 
@@ -128,11 +137,8 @@ def chain_alerts(matches: DataFrame, nodes: DataFrame) -> DataFrame:
                       F.round("confidence", 3), "graph_analyzer", F.col("mitre_ids"))
 
 
-def detect(*alert_tables: DataFrame, chains: DataFrame | None = None) -> DataFrame:
-    """All detectors' alerts, with the likely next techniques of the last known one."""
-    alerts = union_alerts(*alert_tables)
-    if chains is None:
-        return alerts
+def with_predictions(alerts: DataFrame, chains: DataFrame) -> DataFrame:
+    """Alerts with the likely next techniques of their last known one."""
     table = prediction_table(chains).groupBy("technique_id").agg(  # at most five per technique
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "next_technique", "probability"))),
                     lambda s: F.struct(s["next_technique"].alias("technique_id"), s["probability"].alias("probability"))).alias("predictions"))
@@ -140,6 +146,137 @@ def detect(*alert_tables: DataFrame, chains: DataFrame | None = None) -> DataFra
     return dimension_join(last, table, ["technique_id"], "left").drop("technique_id")
 
 
+def detect(*alert_tables: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+    """Alert tables as one, with the likely next techniques of the last known one."""
+    alerts = union_alerts(*alert_tables)
+    return alerts if chains is None else with_predictions(alerts, chains)
+
+
+# --- C-06: all stages over one scan -----------------------------------------------------------------
+FINDING = "struct<alert_type:string,title:string,severity:string,confidence:double,engine:string,mitre_ids:array<string>>"
+IMAGE_LOAD = "etw.process_image_load"
+
+
+def _struct(alert_type: Column, title: Column, severity: Column, confidence: Column, engine: Column, mitre: Column | None = None) -> Column:
+    ids = F.array() if mitre is None else mitre
+    return F.struct(alert_type.alias("alert_type"), title.alias("title"), severity.alias("severity"), confidence.cast("double").alias("confidence"),
+                    engine.alias("engine"), ids.cast("array<string>").alias("mitre_ids"))
+
+
+def _known(df: DataFrame, stage: str, key: Column, finding: Column, detail: Column | None = None) -> DataFrame:
+    """Findings that were made elsewhere, to be met by key; ``detail`` tells several of one key apart."""
+    return df.select(F.lit(stage).alias("stage"), key.cast("string").alias("key"), (F.lit("") if detail is None else detail.cast("string")).alias("detail"), finding.alias("known"))
+
+
+def url_findings(predictions: DataFrame) -> DataFrame:
+    """From url, label, confidence (a URL is predicted once)."""
+    return _known(predictions.where("label <> 'benign'"), "url", F.col("url"), _struct(
+        F.concat(F.lit("url_"), "label"), F.concat(F.initcap("label"), F.lit(" URL detected: "), F.col("url")),
+        F.when(F.col("label") == "malicious", "high").otherwise("medium"), F.round("confidence", 3), F.lit("url_classifier")))
+
+
+def memory_alert_findings(findings: DataFrame) -> DataFrame:
+    """From ``memory_findings``; met by image loads of the process."""
+    return _known(findings, "memory", F.col("pid"), _struct(
+        F.col("finding"), F.concat(F.lit("Memory forensics: "), "finding"), F.col("severity"), F.col("confidence"), F.lit("memory_forensics"), F.array("mitre_id")),
+        F.concat_ws(":", "finding", "address", "size"))
+
+
+def content_findings(matches: DataFrame) -> DataFrame:
+    """From signature matches (path, rule, severity, mitre); met by created and modified files."""
+    return _known(matches, "content", F.col("path"), _struct(
+        F.concat(F.lit("yara_"), "rule"), F.concat(F.lit("Content match: "), "rule"), F.coalesce("severity", F.lit("high")), F.lit(0.9), F.lit("yara_scanner"),
+        F.array_compact(F.array("mitre"))), F.col("rule"))
+
+
+def chain_findings(matches: DataFrame) -> DataFrame:
+    """From ``attack_chains``; met by the event of the chain's lead node."""
+    return _known(matches, "chain", F.col("node_id"), _struct(
+        F.concat(F.lit("chain_"), "chain_name"), F.concat(F.lit("Attack chain detected: "), "chain_name"), F.lit("critical"), F.round("confidence", 3),
+        F.lit("graph_analyzer"), F.col("mitre_ids")), F.concat_ws(":", "chain_name", "target_id"))
+
+
+def domain_findings(iocs: DataFrame) -> DataFrame:
+    """From the indicators of any type; met by the queried domain."""
+    severity, ids = fv.DNS_THREATS["known_malicious"]
+    return _known(iocs.select("value").distinct(), "dns", F.col("value"), _struct(
+        F.lit("dns_known_malicious"), F.concat(F.lit("DNS threat: known_malicious — "), "value"), F.lit(severity), F.lit(0.95), F.lit("dns_analyzer"), F.array(*map(F.lit, ids))))
+
+
+def pattern_findings(patterns: DataFrame) -> DataFrame:
+    """From temporal patterns (event_id, description, confidence)."""
+    return _known(patterns, "pattern", F.col("event_id"), _struct(
+        F.lit("temporal_pattern"), F.coalesce("description", F.lit("Temporal pattern detected")), F.lit("high"), F.coalesce("confidence", F.lit(0.75)), F.lit("lstm_analyzer")))
+
+
+def _stages(columns: set[str], rule_set: list[dict] | None, verifier: bool) -> list[Column]:
+    """One struct (stage, key, own) per stage; NULL where an event has no part in it."""
+    stage = lambda name, use, key=None, own=None: F.when(use, F.struct(
+        F.lit(name).alias("stage"), (F.lit(None) if key is None else key).cast("string").alias("key"), (F.lit(None) if own is None else own).cast(FINDING).alias("own")))
+    c = F.col
+    out = []
+    first = rules.first_rule(columns, rule_set)
+    ruled = _struct(F.concat(F.lit("rule_"), first["rule_id"]), first["rule_id"], first["rule_severity"], F.lit(0.95), F.lit("rule_engine"), first["rule_mitre"])
+    out.append(stage("rule", first.isNotNull(), own=ruled))
+    if "score" in columns:
+        anomalous = c("score") >= 0.6
+        confirmed = anomalous & F.coalesce(c("verified"), F.lit(False)) if verifier else F.lit(False)
+        use = ((c("score") >= 0.4) & ~anomalous) | (confirmed if verifier else anomalous)
+        out.append(stage("cascade", F.coalesce(use, F.lit(False)), own=_struct(
+            F.when(confirmed, "confirmed_anomaly").otherwise("statistical_anomaly"),
+            F.when(confirmed, "Confirmed anomaly detected").when(anomalous, "Anomalous activity detected").otherwise("Suspicious activity detected"),
+            F.when(anomalous, "high").otherwise("medium"), F.round(F.when(confirmed, F.least(c("score") + 0.1, F.lit(1.0))).otherwise(c("score")), 3),
+            F.when(confirmed, "autoencoder").otherwise("isolation_forest"))))
+    have = [F.nullif(c(n), F.lit("")) for n in ("url", "domain") if n in columns]
+    if have:
+        out.append(stage("url", F.coalesce(*have).isNotNull(), F.coalesce(*have)))
+    if {"domain", "_tunnel", "_dga"} <= columns:
+        t = _own_dns_threat()
+        ids = F.coalesce(*[F.when(t["threat"] == n, F.array(*map(F.lit, m)).cast("array<string>")) for n, (_, m) in fv.DNS_THREATS.items()])
+        own = F.when(t.isNotNull(), _struct(F.concat(F.lit("dns_"), t["threat"]), F.concat(F.lit("DNS threat: "), t["threat"], F.lit(" — "), c("domain")),
+                                            lookup(t["threat"], {n: v for n, (v, _) in fv.DNS_THREATS.items()}), t["confidence"], F.lit("dns_analyzer"), ids))
+        out.append(stage("dns", (c("event_type") == "dns_query") & c("domain").isNotNull(), c("domain"), own))
+    if "pid" in columns:
+        out.append(stage("memory", c("event_type") == IMAGE_LOAD, c("pid")))
+    if "path" in columns:
+        changed = c("change_type").isin("created", "modified") if "change_type" in columns else F.lit(True)
+        out.append(stage("content", (c("event_type") == "file_change") & changed, c("path")))
+    return [*out, stage("chain", c("event_id").isNotNull(), c("event_id")), stage("pattern", c("event_id").isNotNull(), c("event_id"))]
+
+
+def dispatch(events: DataFrame, *known: DataFrame, rule_set: list[dict] | None = None, verifier: bool = True, chains: DataFrame | None = None) -> DataFrame:
+    """Alerts of all stages over one scan of the events, one row per finding.
+
+    An event is tagged with the stages that concern it and exploded once.  Rules, the anomaly cascade (columns ``score`` and
+    ``verified``) and what a DNS query tells by itself (column ``rate``, 0 if absent) are decided in the row.  URLs, known domains, memory,
+    content, chains and temporal patterns meet ``known`` findings (``url_findings`` and its kind) by stage and key in one join;
+    a stage without given findings costs nothing.  A known domain overrides what the query tells.  With ``chains`` every alert
+    gets the likely next techniques of its last one.
+    """
+    work = events
+    if "domain" in events.columns:
+        base = names.base_domain(F.col("domain"))
+        rate = F.col("rate") if "rate" in events.columns else F.lit(0)
+        asked = F.col("event_type") == "dns_query"
+        work = work.withColumn("_tunnel", F.when(asked, names.tunnel_confidence(F.col("domain"), rate))).withColumn("_dga", F.when(asked, names.dga_confidence(base)))
+    given = sorted({r[0] for k in known for r in k.select("stage").distinct().collect()})  # names of stages, eight at most
+    concerns = lambda x: x["own"].isNotNull() | (x["key"].isNotNull() & x["stage"].isin(given))
+    tags = F.filter(F.array_compact(F.array(*_stages(set(work.columns), rule_set, verifier))), concerns)
+    tagged = work.select("event_id", "ts_us", "seq", "host", "sensor", F.explode(tags).alias("_s"))
+    tagged = tagged.select("event_id", "ts_us", "seq", "host", "sensor", "_s.stage", "_s.key", "_s.own")
+    if known:
+        tagged = dimension_join(tagged, reduce(DataFrame.unionByName, known), ["stage", "key"], "left")
+    else:
+        tagged = tagged.withColumn("known", F.lit(None).cast(FINDING)).withColumn("detail", F.lit(""))
+    found = tagged.withColumn("_f", F.coalesce("known", "own")).where("_f IS NOT NULL").select("*", "_f.*")
+    alerts = found.select(
+        F.concat(F.lit("alt-"), F.sha2(F.concat_ws("|", "event_id", "alert_type", "engine", F.nullif(F.col("detail"), F.lit(""))), 256)).alias("alert_id"),
+        "event_id", "ts_us", "seq", "host", "sensor", "stage", "alert_type", "severity", "title",
+        F.concat(F.lit("Detected by "), "engine", F.lit(" at "), F.round(F.col("ts_us") / 1e6).cast("bigint").cast("string")).alias("description"),
+        "confidence", F.lit("new").alias("status"), "engine", "mitre_ids")
+    return alerts if chains is None else with_predictions(alerts, chains)
+
+
 def process_alerts(alerts: DataFrame) -> DataFrame:
     """Deduplicated alerts with their run size and priority (the batch form of the alert flow)."""
     return dedup_alerts(alerts).withColumn("priority", priority(F.col("severity"), F.col("confidence")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wardline import fixed_values as fv
 from wardline.operators import rules
 from wardline.operators.segmented import salted_join, segmented_scan, time_segment
+from wardline.operators.substrings import containing_pairs
 from wardline.session import checkpoint
 
 NODE_TYPES = {"process": "process", "file": "file", "network": "network"}
@@ -167,22 +168,19 @@ def _procs(nodes: DataFrame, *columns: str) -> DataFrame:
 
 
 def chain_drive_by(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Browser wrote an executable whose name a process then carries.
+    """Browser wrote an executable; a process whose name contains its path or is part of it ran on the host.
 
-    The containment test runs on pairs with equal base names.  Process names are
-    counted per host first, so a common name is one row.
+    File paths and process names are made distinct per host and meet through an index of character runs; the number of
+    processes then comes back to the written files by an equi-join.  The browser itself does not count as an execution.
     """
-    base = lambda c: F.regexp_extract(c, r"([^\\/]*)$", 1)
     files = _far(nodes, edges, "modified", "path").where("dst_type = 'file'").where(rules.is_executable(F.col("path")))
     browsers = _procs(nodes, "name", "exe", "path").where(_name("p_").isin(*fv.GRAPH_BROWSERS))
-    written = salted_join(files, browsers, ["src"], "inner").withColumn("_browser", _name("p_"))
-    written = written.select("host", "src", "dst", "_browser", F.lower("path").alias("_file")).withColumn("_base", base(F.col("_file")))
-    ran = nodes.where("node_type = 'process'").select("host", _name().alias("_exec")).groupBy("host", "_exec").agg(
-        F.count(F.lit(1)).alias("_n")).withColumn("_base", base(F.col("_exec")))
-    hit = salted_join(written, ran, ["host", "_base"], "inner").where(
-        F.col("_exec").contains(F.col("_file")) | F.col("_file").contains(F.col("_exec")))
-    hit = hit.withColumn("executions", F.col("_n") - F.when(F.col("_exec") == F.col("_browser"), 1).otherwise(0)).where("executions > 0")
-    per = hit.groupBy("host", "src", "dst").agg(F.sum("executions").alias("executions"))
+    written = salted_join(files, browsers, ["src"], "inner").select("host", "src", "dst", _name("p_").alias("_browser"), F.lower("path").alias("_file"))
+    ran = nodes.where("node_type = 'process'").select("host", _name().alias("_exec")).groupBy("host", "_exec").agg(F.count(F.lit(1)).alias("_n"))
+    met = containing_pairs(written, ran, ["host"], "_file", "_exec").join(ran, ["host", "_exec"]).groupBy("host", "_file").agg(F.sum("_n").alias("_all"))
+    itself = (F.col("_file").contains(F.col("_browser")) | F.col("_browser").contains(F.col("_file"))).cast("int")
+    per = salted_join(written, met, ["host", "_file"], "inner").withColumn("executions", F.col("_all") - itself).where("executions > 0")
+    per = per.groupBy("host", "src", "dst").agg(F.sum("executions").alias("executions"))
     return _chain(per, "drive_by_download", evidence=["executions"], target=F.col("dst"))
 
 

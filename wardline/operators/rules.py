@@ -72,17 +72,24 @@ def rule_predicate(rule: dict, columns: set[str]) -> Column:
     return F.coalesce(_all(tests), F.lit(False))
 
 
+def _hits(columns: set[str], rules: list[dict] | None) -> list[Column]:
+    return [F.when(rule_predicate(r, columns), F.struct(
+        F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("rule_severity"),
+        F.array(*map(F.lit, r["mitre"])).cast("array<string>").alias("rule_mitre"))) for r in (fv.BEHAVIOUR_RULES if rules is None else rules)]
+
+
+def first_rule(columns: set[str], rules: list[dict] | None = None) -> Column:
+    """The first rule that matches, as a struct (rule_id, rule_severity, rule_mitre) or NULL."""
+    return F.coalesce(*_hits(columns, rules))
+
+
 def apply_rules(events: DataFrame, rules: list[dict] | None = None, first_only: bool = False) -> DataFrame:
     """Rows (event columns + rule_id, rule_severity, rule_mitre) for each matching rule.
 
     All rules are tested in one pass over the events.  ``first_only`` keeps the
     first rule in list order (T-07).
     """
-    rules = fv.BEHAVIOUR_RULES if rules is None else rules
-    columns = set(events.columns)
-    hits = [F.when(rule_predicate(r, columns), F.struct(
-        F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("rule_severity"),
-        F.array(*map(F.lit, r["mitre"])).cast("array<string>").alias("rule_mitre"))) for r in rules]
+    hits = _hits(set(events.columns), rules)
     if first_only:
         found = events.withColumn("_hit", F.coalesce(*hits)).where("_hit IS NOT NULL")
     else:

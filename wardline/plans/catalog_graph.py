@@ -8,6 +8,7 @@ from wardline import fixed_values as fv
 from wardline.operators import correlate, detect, graph, joins, memory
 from wardline.plans.catalog_tables import _BEST, MITRE_LIST, mitre
 from wardline.plans.catalog_text import sql_case, sql_list
+from wardline.plans.catalog_windows import _BEACON, _CH
 from wardline.plans.registry import query
 from wardline.sources import feeds
 
@@ -61,12 +62,22 @@ def _(t):
     return graph.prune_graph(*_graph(t), 1704067200000000 + 30_000_000_000)[1].select("src", "dst", "edge_type")
 
 
+# downloads named after a program with a prefix, files named by their program alone, and processes known by their whole path
+_DRIVE_BY = _GRAPH.replace("SELECT *, event_id AS node_id", r"""SELECT * REPLACE (CASE WHEN sensor = 'file' AND seq % 9 = 6 THEN 'd:\dl\setup_' || name WHEN sensor = 'file' AND seq % 9 = 7 THEN name ELSE path END AS path,
+        CASE WHEN sensor = 'process' AND seq % 4 = 1 THEN 'C:\Windows\System32\' || name ELSE name END AS name), event_id AS node_id""")
+
+
 @query("g01_drive_by", "G-01", f"""
-    WITH {_GRAPH}, f AS (SELECT e.host, e.src, e.dst, lower(p.name) AS br, lower(x.path) AS file FROM e JOIN n x ON e.dst = x.node_id JOIN n p ON e.src = p.node_id
+    WITH {_DRIVE_BY}, f AS (SELECT e.host, e.src, e.dst, lower(p.name) AS br, lower(x.path) AS file FROM e JOIN n x ON e.dst = x.node_id JOIN n p ON e.src = p.node_id
         WHERE e.edge_type = 'modified' AND lower(p.name) IN {sql_list(fv.GRAPH_BROWSERS)} AND regexp_matches(lower(x.path), '\\.(exe|dll|scr|bat|cmd|ps1|vbs|js|hta|msi)$'))
     SELECT f.host, f.src AS node_id, f.dst, count(*) AS executions FROM f JOIN n q ON q.node_type = 'process' AND q.host = f.host AND q.node_id <> f.src AND (contains(file, lower(q.name)) OR contains(lower(q.name), file)) GROUP BY ALL""")
 def _(t):
-    out = graph.chain_drive_by(*_graph(t))
+    s, kind = F.col("seq"), F.col("sensor")
+    tele = t.tele.withColumns({
+        "path": F.when((kind == "file") & (s % 9 == 6), F.concat(F.lit("d:\\dl\\setup_"), "name")).when((kind == "file") & (s % 9 == 7), F.col("name")).otherwise(F.col("path")),
+        "name": F.when((kind == "process") & (s % 4 == 1), F.concat(F.lit("C:\\Windows\\System32\\"), "name")).otherwise(F.col("name"))})
+    nodes = graph.build_nodes(tele)
+    out = graph.chain_drive_by(nodes, graph.build_edges(nodes))
     return out.select("host", "node_id", F.col("target_id").alias("dst"), F.col("evidence")["executions"].alias("executions"))
 
 
@@ -181,18 +192,32 @@ def _(t):
 
 
 def _regions(t):
-    """Documents as memory regions: every third has an image header, every ninth is managed code."""
+    """Documents as memory regions: every thirteenth is random bytes, every third has an image header, every ninth is managed code."""
     k = F.col("doc_id")
     text = F.hex(F.encode("text", "UTF-8"))
     header = F.concat(F.lit("4D5A"), F.repeat(F.lit("00"), F.lit(58)), F.lit("44000000"), F.lit("00000000"), F.lit("50450000"))
-    body = F.when(k % 3 == 0, F.concat(header, F.when(k % 9 == 0, F.lit("42534A42")).otherwise(F.lit("")), text)).otherwise(text)
+    random = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.sha2(F.concat_ws("-", k.cast("string"), i.cast("string")).cast("binary"), 256)), "")
+    body = F.when(k % 13 == 0, random).when(k % 3 == 0, F.concat(header, F.when(k % 9 == 0, F.lit("42534A42")).otherwise(F.lit("")), text)).otherwise(text)
     return t.documents.select((k % 40).alias("pid"), (k * 65536).alias("base"), F.col("n_chars").cast("bigint").alias("size"), F.unhex(body).alias("content"),
                               F.lit(True).alias("is_committed"), (k % 5 > 0).alias("is_executable"), (k % 7 > 0).alias("is_private"), (k % 11 == 0).alias("is_rwx"), "doc_id")
 
 
-@query("j17_unbacked_images", "J-17", """
-    SELECT doc_id, 'reflective_dll' AS kind FROM documents WHERE doc_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM modules m WHERE m.pid = doc_id % 40 AND m.base = doc_id * 65536 AND m.mid % 2 = 0)
-    UNION ALL SELECT doc_id, 'dotnet' FROM documents WHERE doc_id % 9 = 0 AND NOT EXISTS (SELECT 1 FROM modules m WHERE m.pid = doc_id % 40 AND m.base = doc_id * 65536 AND m.mid % 2 = 0)""")
+# regions by kind; random ones hold the 1,024 bytes of 32 digests, and their entropy is summed byte by byte
+_MEMORY = """d AS (SELECT doc_id, doc_id % 40 AS pid, doc_id % 13 = 0 AS random, doc_id % 5 > 0 AND doc_id % 7 > 0 AS live,
+        NOT EXISTS (SELECT 1 FROM modules m WHERE m.pid = doc_id % 40 AND m.base = doc_id * 65536 AND m.mid % 2 = 0) AS free FROM documents),
+    rh AS (SELECT doc_id, array_to_string(list_transform(range(1, 33), lambda i: sha256(doc_id || '-' || i)), '') AS h FROM d WHERE random AND live),
+    rb AS (SELECT doc_id, substr(h, 2 * i + 1, 2) AS b FROM rh, (SELECT unnest(range(1024)) AS i)), rc AS (SELECT doc_id, b, count(*) AS c FROM rb GROUP BY ALL),
+    re AS (SELECT doc_id, sum(-(c / 1024) * log2(c / 1024)) AS e FROM rc GROUP BY doc_id),
+    mf AS (SELECT doc_id AS id, pid, 'reflective_dll' AS finding, 'high' AS severity, 0.85::DOUBLE AS confidence, 'T1620' AS mitre FROM d WHERE doc_id % 3 = 0 AND NOT random AND free AND live
+        UNION ALL SELECT doc_id, pid, 'dotnet_injection', 'high', 0.8, 'T1055' FROM d WHERE doc_id % 9 = 0 AND NOT random AND free AND live
+        UNION ALL SELECT doc_id, pid, 'shellcode', 'high', least(1.0, (e - 6.0) / 2.0), 'T1055' FROM d JOIN re USING (doc_id) WHERE e > 6.0
+        UNION ALL SELECT doc_id, pid, 'rwx_region', 'medium', 0.6, 'T1055.012' FROM d WHERE doc_id % 11 = 0 AND live
+        UNION ALL SELECT thread_id, pid, 'suspicious_thread', 'medium', 0.75, 'T1055.003' FROM threads t WHERE start_address <> 0
+            AND NOT EXISTS (SELECT 1 FROM modules m WHERE m.mid % 2 = 0 AND m.pid = t.pid AND m.base <= t.start_address AND t.start_address < m.base + m.size))"""
+
+
+@query("j17_unbacked_images", "J-17", f"""
+    WITH {_MEMORY} SELECT doc_id, 'reflective_dll' AS kind FROM d WHERE doc_id % 3 = 0 AND NOT random AND free UNION ALL SELECT doc_id, 'dotnet' FROM d WHERE doc_id % 9 = 0 AND NOT random AND free""")
 def _(t):
     r, m = _regions(t), t.modules.where("mid % 2 = 0")
     return memory.unbacked_images(r, m).select("doc_id", F.lit("reflective_dll").alias("kind")).unionByName(
@@ -214,13 +239,11 @@ def _(t):
     return memory.hooked_prologues(mem, disk).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("c04_memory_findings", "C-04", """
-    WITH r AS (SELECT doc_id, NOT EXISTS (SELECT 1 FROM modules m WHERE m.pid = doc_id % 40 AND m.base = doc_id * 65536 AND m.mid % 2 = 0) AS free FROM documents WHERE doc_id % 5 > 0 AND doc_id % 7 > 0)
-    SELECT 'reflective_dll' AS finding, 'high' AS severity, count(*) AS n FROM r WHERE doc_id % 3 = 0 AND free HAVING count(*) > 0 UNION ALL SELECT 'dotnet_injection', 'high', count(*) FROM r WHERE doc_id % 9 = 0 AND free HAVING count(*) > 0
-    UNION ALL SELECT 'rwx_region', 'medium', count(*) FROM r WHERE doc_id % 11 = 0
-    UNION ALL SELECT 'suspicious_thread', 'medium', count(*) FROM threads t WHERE start_address <> 0 AND NOT EXISTS (SELECT 1 FROM modules m WHERE m.mid % 2 = 0 AND m.pid = t.pid AND m.base <= t.start_address AND t.start_address < m.base + m.size)""")
+@query("c04_memory_findings", "C-04", f"""
+    WITH {_MEMORY} SELECT pid, finding, severity, mitre AS mitre_id, count(*) AS n, round(sum(confidence), 6) AS confidence FROM mf GROUP BY ALL""")
 def _(t):
-    return memory.memory_findings(_regions(t), t.modules.where("mid % 2 = 0"), t.threads).where("finding <> 'shellcode'").groupBy("finding", "severity").agg(F.count(F.lit(1)).alias("n"))
+    found = memory.memory_findings(_regions(t), t.modules.where("mid % 2 = 0"), t.threads)
+    return found.groupBy("pid", "finding", "severity", "mitre_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
 
 
 # --- correlation ---------------------------------------------------------------------------------
@@ -276,10 +299,13 @@ def _campaign_input(t):
     o AS (SELECT DISTINCT r FROM l), z AS (SELECT r, row_number() OVER (ORDER BY r) AS q FROM o),
     s(q, seeds) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT z.q, CASE WHEN len(list_intersect(coalesce(m.earlier, []::BIGINT[]), seeds)) = 0 THEN list_append(seeds, z.r) ELSE seeds END FROM s JOIN z ON z.q = s.q + 1 LEFT JOIN m ON m.b = z.r),
     f AS (SELECT seeds FROM s ORDER BY q DESC LIMIT 1), sd AS (SELECT unnest(seeds) AS r FROM f),
-    w AS (SELECT o.r, coalesce(min(sd.r), o.r) AS seed FROM o LEFT JOIN j ON j.b = o.r LEFT JOIN sd ON sd.r = j.a WHERE o.r NOT IN (SELECT r FROM sd) GROUP BY o.r UNION ALL SELECT r, r FROM sd)
-    SELECT x.incident_id AS seed_id, count(*) AS n_incidents, min(i.first_us) AS first_us, max(i.last_us) AS last_us FROM w JOIN i USING (r) JOIN i x ON x.r = w.seed GROUP BY x.incident_id HAVING count(*) >= 2""")
+    w AS (SELECT o.r, coalesce(min(sd.r), o.r) AS seed FROM o LEFT JOIN j ON j.b = o.r LEFT JOIN sd ON sd.r = j.a WHERE o.r NOT IN (SELECT r FROM sd) GROUP BY o.r UNION ALL SELECT r, r FROM sd),
+    sz AS (SELECT seed, count(*) AS n FROM w GROUP BY seed),
+    sh AS (SELECT seed, count(*) AS n_shared FROM (SELECT w.seed, l.entity FROM w JOIN l USING (r) JOIN sz ON sz.seed = w.seed GROUP BY w.seed, l.entity, sz.n HAVING count(*) = sz.n) GROUP BY seed)
+    SELECT x.incident_id AS seed_id, count(*) AS n_incidents, min(i.first_us) AS first_us, max(i.last_us) AS last_us, coalesce(max(n_shared), 0)::BIGINT AS n_shared
+    FROM w JOIN i USING (r) JOIN i x ON x.r = w.seed LEFT JOIN sh ON sh.seed = w.seed GROUP BY x.incident_id HAVING count(*) >= 2""")
 def _(t):
-    return correlate.detect_campaigns(*_campaign_input(t)).select("seed_id", "n_incidents", "first_us", "last_us")
+    return correlate.detect_campaigns(*_campaign_input(t)).select("seed_id", "n_incidents", "first_us", "last_us", "n_shared")
 
 
 # --- composites --------------------------------------------------------------------------------------
@@ -306,34 +332,48 @@ def _(t):
     return detect.dns_threats(t.tele.where("event_type = 'dns_query'"), t.ioc).select("seq", "threat", F.round("confidence", 4).alias("confidence"))
 
 
-def _tls(t):
+def _tls(t, ts_us):
     k = F.col("k")
     return t.tele.where("sensor = 'network'").select(
-        "event_id", "seq", "ts_us", "host", "sensor", F.when(F.col("event_type") == "connection", "etw.tls_handshake").otherwise("etw.http_request").alias("event_type"),
+        "event_id", "seq", ts_us.alias("ts_us"), "host", "sensor", F.when(F.col("event_type") == "connection", "etw.tls_handshake").otherwise("etw.http_request").alias("event_type"),
         F.col("domain").alias("server_name"), F.lit(None).cast("string").alias("destination"), F.concat(F.lit("http://"), "domain", F.lit("/x")).alias("url"),
         F.md5(k.cast("string")).alias("ja3_hash"), F.lit("CN=a").alias("issuer"), F.when(k % 3 == 0, "CN=a").otherwise("CN=b").alias("subject"),
         (k % 60).alias("validity_days"), (k % 4 > 0).alias("has_san"), F.lit("RSA").alias("key_type"), F.when(k % 2 == 0, 1024).otherwise(4096).alias("key_bits"))
 
 
-@query("c02_encrypted_traffic", "C-02", """
-    SELECT seq, 'encrypted_traffic_malicious_ja3' AS alert_type, 0.9::DOUBLE AS confidence FROM tele WHERE event_type = 'connection' AND md5(CAST(k AS VARCHAR)) IN (SELECT value FROM ioc WHERE ioc_type = 'hash')
-    UNION ALL SELECT seq, 'encrypted_traffic_cert_anomaly', s FROM (SELECT seq, round(CASE WHEN k % 3 = 0 THEN 0.25 ELSE 0 END + CASE WHEN k % 60 <= 30 THEN 0.2 ELSE 0 END + CASE WHEN k % 4 = 0 THEN 0.2 ELSE 0 END + CASE WHEN k % 2 = 0 THEN 0.35 ELSE 0 END, 4)::DOUBLE AS s FROM tele WHERE event_type = 'connection') WHERE s > 0.5""")
+# every second server is contacted in steps of 300 s, so that some contacts are beacons
+_STEADY = "CASE WHEN seq % 10 < 5 THEN 1704067200000000 + seq * 30000000 + k % 5 * 1000000 ELSE ts_us END"
+
+
+@query("c02_encrypted_traffic", "C-02 W-04", _BEACON.format(keys="host, dest", src=f"(SELECT host, domain AS dest, {_STEADY} AS ts_us, seq FROM tele WHERE sensor = 'network')", min=15) + """
+    SELECT host, seq, 'encrypted_traffic_malicious_ja3' AS alert_type, 0.9::DOUBLE AS confidence FROM tele WHERE event_type = 'connection' AND md5(CAST(k AS VARCHAR)) IN (SELECT value FROM ioc WHERE ioc_type = 'hash')
+    UNION ALL SELECT host, seq, 'encrypted_traffic_cert_anomaly', s FROM (SELECT host, seq, round(CASE WHEN k % 3 = 0 THEN 0.25 ELSE 0 END + CASE WHEN k % 60 <= 30 THEN 0.2 ELSE 0 END + CASE WHEN k % 4 = 0 THEN 0.2 ELSE 0 END + CASE WHEN k % 2 = 0 THEN 0.35 ELSE 0 END, 4)::DOUBLE AS s FROM tele WHERE event_type = 'connection') WHERE s > 0.5
+    UNION ALL SELECT host, NULL, 'encrypted_traffic_beacon', round(least(score0, 1.0), 6) FROM f WHERE score0 >= 0.5""")
 def _(t):
-    out = detect.encrypted_traffic(_tls(t), t.ioc.where("ioc_type = 'hash'").withColumn("ioc_type", F.lit("ja3")))
-    return out.where("alert_type <> 'encrypted_traffic_beacon'").select("seq", "alert_type", "confidence")
+    steady = F.when(F.col("seq") % 10 < 5, 1704067200000000 + F.col("seq") * 30_000_000 + F.col("k") % 5 * 1_000_000).otherwise(F.col("ts_us"))
+    out = detect.encrypted_traffic(_tls(t, steady), t.ioc.where("ioc_type = 'hash'").withColumn("ioc_type", F.lit("ja3")))
+    return out.select("host", "seq", "alert_type", F.round("confidence", 6).alias("confidence"))
+
+
+# script blocks are the command lines behind a download or two encoded parts
+_SCRIPT = "CASE k % 3 WHEN 0 THEN cmdline WHEN 1 THEN 'IEX ([Convert]::FromBase64String(1)); ' || cmdline ELSE cmdline || md5(cmdline) || upper(md5(domain)) || path END"
 
 
-@query("c03_fileless", "C-03 R-06", """
-    SELECT seq, 'fileless_dotnet_injection' AS alert_type, 0.7::DOUBLE AS confidence FROM tele WHERE sensor = 'eventlog' AND code = 4688 AND k % 2 = 0
+@query("c03_fileless", "C-03 R-06", rf"""
+    WITH z AS (SELECT seq, {_SCRIPT} AS t FROM tele WHERE sensor = 'eventlog' AND code = 4104), zc AS (SELECT seq, length(t) AS n, unnest(regexp_extract_all(t, '.')) AS ch FROM z),
+    zf AS (SELECT seq, n, ch, count(*) AS c FROM zc GROUP BY ALL), zh AS (SELECT seq, round(sum(-(c / n) * log2(c / n)), 4) AS e FROM zf GROUP BY seq),
+    zp AS (SELECT seq, e, CASE WHEN regexp_matches(t, '(?i)-enc\b') THEN 1 ELSE 0 END + CASE WHEN starts_with(t, 'IEX') THEN 2 ELSE 0 END AS np FROM z JOIN zh USING (seq))
+    SELECT seq, 'fileless_powershell_obfuscation' AS alert_type, greatest(0.5, round(least(CASE WHEN e > 5.0 THEN least((e - 5.0) / 2.0, 1.0) * 0.5 ELSE 0.0 END + least(np * 0.15, 0.5), 1.0), 4))::DOUBLE AS confidence FROM zp WHERE e > 5.0 OR np >= 2
+    UNION ALL SELECT seq, 'fileless_dotnet_injection' AS alert_type, 0.7::DOUBLE AS confidence FROM tele WHERE sensor = 'eventlog' AND code = 4688 AND k % 2 = 0
     UNION ALL SELECT seq, 'fileless_wmi_persistence', 0.75 FROM tele WHERE sensor = 'eventlog' AND code = 7045 AND k % 3 = 0
     UNION ALL SELECT seq, 'fileless_lolbin_abuse', 0.8 FROM tele WHERE sensor = 'process' AND lower(parent_name) IN ('winword.exe', 'excel.exe') AND lower(name) IN ('powershell.exe', 'cmd.exe', 'mshta.exe', 'rundll32.exe')
-    UNION ALL SELECT seq, 'fileless_lolbin_abuse', 0.85 FROM tele WHERE sensor = 'process' AND ((lower(name) = 'certutil.exe' AND (regexp_matches(cmdline, 'urlcache.*-f\\s+https?://') OR cmdline LIKE '%-decode%'))
+    UNION ALL SELECT seq, 'fileless_lolbin_abuse', 0.85 FROM tele WHERE sensor = 'process' AND ((lower(name) = 'certutil.exe' AND (regexp_matches(cmdline, 'urlcache.*-f\s+https?://') OR cmdline LIKE '%-decode%'))
         OR (lower(name) = 'mshta.exe' AND regexp_matches(cmdline, 'https?://|vbscript:|javascript:')) OR (lower(name) = 'rundll32.exe' AND regexp_matches(cmdline, 'javascript:|vbscript:')))""")
 def _(t):
     c = F.col("code")
     kind = F.when(F.col("sensor") == "process", "process_new").when(c == 4688, "etw.dotnet_assembly_load").when(c == 7045, "etw.wmi_activity").when(c == 4104, "etw.powershell_scriptblock")
     ev = t.tele.where("sensor IN ('process', 'eventlog')").withColumn("event_type", kind).withColumn("is_dynamic", F.col("k") % 2 == 0).withColumn("module_il_path", F.lit("")) \
-        .withColumn("namespace", F.when(F.col("k") % 3 == 0, "root\\SUBSCRIPTION").otherwise("root\\cimv2")).withColumn("script_text", F.lit("Get-Date"))
+        .withColumn("namespace", F.when(F.col("k") % 3 == 0, "root\\SUBSCRIPTION").otherwise("root\\cimv2")).withColumn("script_text", F.expr(_SCRIPT))
     return detect.fileless(ev).select("seq", "alert_type", "confidence")
 
 
@@ -370,13 +410,54 @@ def _(t):
     return alert_breakdown(detect.process_alerts(_flow(t)))
 
 
-@query("c06_detect", "C-06 S-13")
+# scores, predictions, content matches and temporal patterns are given; the DNS rate is too
+_GIVEN = """ev AS (SELECT * REPLACE (CASE WHEN sensor = 'eventlog' AND code = 4688 THEN 'etw.process_image_load' ELSE event_type END AS event_type), (k % 100) / 100.0::DOUBLE AS score, k % 2 = 0 AS verified FROM tele),
+    up AS (SELECT value AS url, CASE severity WHEN 'low' THEN 'benign' WHEN 'medium' THEN 'suspicious' ELSE 'malicious' END AS label FROM ioc WHERE ioc_type = 'domain'),
+    cm AS (SELECT DISTINCT value AS path, 'listed_' || enabled AS rule FROM whitelist WHERE entry_type = 'file'),
+    mp AS (SELECT pid, finding, severity, mitre, max(confidence) AS confidence FROM mf GROUP BY ALL)"""
+_RULE = """CASE WHEN event_type = 'process_new' AND name = 'powershell.exe' THEN 'eq_case|high|T1' WHEN event_type = 'dns_query' AND domain <> 'www.example.com' AND pid > 90 THEN 'neq|low|T2'
+        WHEN parent_name IN ('winword.exe', 'excel.exe') AND pid <= 12 THEN 'in_list|medium|T3' WHEN sensor = 'network' AND protocol <> 'TCP' AND remote_port >= 1024 AND remote_port < 1500 THEN 'not_in|medium|T4'
+        WHEN name LIKE '%Explorer%' THEN 'contains_case|low|T5' WHEN lower(exe) LIKE '%\\temp\\%' AND value > 100 THEN 'contains_any|low|T6' WHEN regexp_matches(cmdline, '-enc [A-Za-z0-9+/]{20,}') THEN 'regex|high|T7' END"""
+_DNS_STAGE = """CASE WHEN seq IN (SELECT seq FROM sc JOIN ioc ON ioc_type = 'domain' AND sc.domain = ioc.value) THEN 'known_malicious' WHEN tun >= 0.6 THEN 'tunneling' WHEN dga >= 0.6 THEN 'dga'
+        WHEN remote_ip = '8.8.8.8' AND remote_port IN (443, 8443) AND lower(name) <> 'chrome.exe' THEN 'doh_evasion' WHEN domain LIKE '%.xyz' THEN 'suspicious_tld' END"""
+_RATED = _DOM.replace("count(*) OVER (PARTITION BY base ORDER BY ts_us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)", "seq % 40")
+
+
+@query("c06_detect", "C-06 S-13 W-15", f"""
+    WITH {_GRAPH}, {_RATED}, {_MEMORY}, {_GIVEN},
+    u2 AS (SELECT src AS child, count(*) FILTER (edge_type = 'opened') AS connections, count(*) FILTER (edge_type = 'modified') AS files FROM e WHERE edge_type IN ('opened', 'modified') GROUP BY src),
+    al AS (SELECT event_id, 'rule' AS stage, 'rule_' || string_split(h, '|')[1] AS alert_type, string_split(h, '|')[2] AS severity, 0.95::DOUBLE AS confidence, 'rule_engine' AS engine, string_split(h, '|')[3] AS mitre
+            FROM (SELECT *, {_RULE} AS h FROM ev) WHERE h IS NOT NULL
+        UNION ALL SELECT event_id, 'cascade', CASE WHEN score >= 0.6 THEN 'confirmed_anomaly' ELSE 'statistical_anomaly' END, CASE WHEN score >= 0.6 THEN 'high' ELSE 'medium' END,
+            round(CASE WHEN score >= 0.6 THEN least(score + 0.1, 1.0) ELSE score END, 3), CASE WHEN score >= 0.6 THEN 'autoencoder' ELSE 'isolation_forest' END, '' FROM ev WHERE score >= 0.4 AND (score < 0.6 OR verified)
+        UNION ALL SELECT event_id, 'url', 'url_' || label, CASE label WHEN 'malicious' THEN 'high' ELSE 'medium' END, 0.7, 'url_classifier', '' FROM ev JOIN up ON url = domain WHERE label <> 'benign'
+        UNION ALL SELECT event_id, 'dns', 'dns_' || th, {sql_case('th', {k: v for k, (v, _) in fv.DNS_THREATS.items()})},
+            CASE th WHEN 'known_malicious' THEN 0.95 WHEN 'tunneling' THEN least(tun, 1.0) WHEN 'dga' THEN dga WHEN 'doh_evasion' THEN 0.8 ELSE 0.4 END::DOUBLE, 'dns_analyzer', {sql_case('th', {k: ','.join(m) for k, (_, m) in fv.DNS_THREATS.items()})}
+            FROM (SELECT *, {_DNS_STAGE} AS th FROM sc) WHERE th IS NOT NULL
+        UNION ALL SELECT event_id, 'memory', finding, mp.severity, confidence, 'memory_forensics', mp.mitre FROM ev JOIN mp USING (pid) WHERE event_type = 'etw.process_image_load'
+        UNION ALL SELECT event_id, 'content', 'yara_' || rule, 'high', 0.9, 'yara_scanner', '' FROM ev JOIN cm USING (path) WHERE event_type = 'file_change'
+        UNION ALL SELECT e.src, 'chain', 'chain_fileless_attack', 'critical', round(CASE WHEN files > 0 THEN 0.85 * 0.7 ELSE 0.85 END, 3)::DOUBLE, 'graph_analyzer', '{','.join(fv.GRAPH_CHAINS['fileless_attack'][0])}'
+            FROM e JOIN n ON e.dst = node_id JOIN u2 ON child = e.dst WHERE edge_type = 'spawned' AND lower(name) = 'powershell.exe' AND cmdline LIKE '%-enc %' AND connections > 0
+        UNION ALL SELECT event_id, 'pattern', 'temporal_pattern', 'high', 0.75, 'lstm_analyzer', '' FROM tele WHERE sensor = 'eventlog' AND k % 25 = 0),
+    mv AS (SELECT p[j] AS s, p[j + 1] AS d FROM (SELECT p, unnest(range(1, len(p))) AS j FROM (VALUES {_CH}) v(i, p))), nx AS (SELECT s, least(count(DISTINCT d), 5)::INTEGER AS n_predictions FROM mv GROUP BY s)
+    SELECT event_id, stage, alert_type, severity, round(confidence, 6) AS confidence, engine, mitre, coalesce(n_predictions, 0) AS n_predictions FROM al LEFT JOIN nx ON string_split(mitre, ',')[-1] = s""")
 def _(t):
-    dns = detect.dns_alerts(t.tele.where("event_type = 'dns_query'"), t.ioc)
-    nodes, edges = _graph(t)
-    chains = detect.chain_alerts(graph.chain_fileless(nodes, edges), nodes)
-    out = detect.detect(_flow(t), dns, chains, chains=feeds.read_attack_chains(t.spark))
-    return out.select("alert_id", "host", "alert_type", "severity", "confidence", F.array_join("mitre_ids", ",").alias("mitre"), F.size("predictions").alias("n_predictions"))
+    k = F.col("k")
+    kind = F.when((F.col("sensor") == "eventlog") & (F.col("code") == 4688), detect.IMAGE_LOAD).otherwise(F.col("event_type"))
+    events = t.tele.withColumns({"event_type": kind, "score": (k % 100) / 100.0, "verified": k % 2 == 0, "rate": F.col("seq") % 40})
+    domains = t.ioc.where("ioc_type = 'domain'")
+    level = F.col("severity")
+    urls = domains.select(F.col("value").alias("url"), F.when(level == "low", "benign").when(level == "medium", "suspicious").otherwise("malicious").alias("label"), F.lit(0.7).alias("confidence"))
+    found = memory.memory_findings(_regions(t), t.modules.where("mid % 2 = 0"), t.threads).groupBy("pid", "finding", "severity", "mitre_id").agg(
+        F.max("confidence").alias("confidence")).withColumns({"address": F.lit(0), "size": F.lit(0)})
+    content = t.whitelist.where("entry_type = 'file'").select(F.col("value").alias("path"), F.concat(F.lit("listed_"), "enabled").alias("rule"), F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("mitre")).distinct()
+    patterns = t.tele.where("sensor = 'eventlog' AND k % 25 = 0").select("event_id", F.lit(None).cast("string").alias("description"), F.lit(None).cast("double").alias("confidence"))
+    known = [detect.url_findings(urls), detect.domain_findings(domains), detect.memory_alert_findings(found), detect.content_findings(content),
+             detect.chain_findings(graph.chain_fileless(*_graph(t))), detect.pattern_findings(patterns)]
+    from wardline.plans.catalog_rules import DEMO_RULES
+    out = detect.dispatch(events, *known, rule_set=DEMO_RULES, chains=feeds.read_attack_chains(t.spark))
+    return out.select("event_id", "stage", "alert_type", "severity", F.round("confidence", 6).alias("confidence"), "engine",
+                      F.array_join("mitre_ids", ",").alias("mitre"), F.coalesce(F.size(F.coalesce("predictions", F.array().cast("array<struct<technique_id:string,probability:double>>"))), F.lit(0)).alias("n_predictions"))
 
 
 @query("c09_respond", "C-09", """

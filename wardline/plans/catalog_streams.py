@@ -64,8 +64,8 @@ def _(t):
 
 
 @query("s07_dns_rate_stream", "S-07", """
-    SELECT seq, least(count(*) OVER (PARTITION BY base ORDER BY ts_us, seq RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW), 200)::INTEGER AS rate
-    FROM (SELECT seq, ts_us, array_to_string(string_split(domain, '.')[-2:], '.') AS base FROM tele WHERE event_type = 'dns_query')""".replace("ORDER BY ts_us, seq RANGE", "ORDER BY ts_us RANGE"))
+    SELECT seq, (count(*) OVER (PARTITION BY base ORDER BY ts_us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW))::INTEGER AS rate
+    FROM (SELECT seq, ts_us, array_to_string(string_split(domain, '.')[-2:], '.') AS base FROM tele WHERE event_type = 'dns_query')""")
 def _(t):
     q = t.stream("tele").where("event_type = 'dns_query'").withColumn("base", base_domain(F.col("domain")))
     return run_to_table(streams.dns_rate_stream(_timed(q)), "rates").select("seq", "rate")

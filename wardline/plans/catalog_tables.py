@@ -513,8 +513,8 @@ def _dna(t):
 
 @query("a14_process_dna", "A-14", """
     WITH s AS (SELECT md5(name) AS process_hash, * FROM tele WHERE sensor IN ('process', 'network', 'file')),
-    f AS (SELECT process_hash, least(count(DISTINCT path), 500) AS n_files, min(path) AS first_file FROM s WHERE sensor = 'file' GROUP BY 1),
-    e AS (SELECT process_hash, least(count(DISTINCT remote_ip || ':' || remote_port), 500) AS n_endpoints FROM s WHERE sensor = 'network' GROUP BY 1),
+    f AS (SELECT process_hash, count(DISTINCT path) AS n_files, min(path) AS first_file FROM s WHERE sensor = 'file' GROUP BY 1),
+    e AS (SELECT process_hash, count(DISTINCT remote_ip || ':' || remote_port) AS n_endpoints FROM s WHERE sensor = 'network' GROUP BY 1),
     c AS (SELECT process_hash, string_agg(DISTINCT parent_name, ',' ORDER BY parent_name) AS children FROM s WHERE sensor = 'process' GROUP BY 1)
     SELECT s.process_hash, count(*) AS observations, round(1.0 / (1.0 + exp(-0.05 * (count(*) - 50))), 9) AS confidence, any_value(n_files) AS n_files, any_value(first_file) AS first_file,
         any_value(n_endpoints) AS n_endpoints, any_value(children) AS children, 0 AS n_registry FROM s LEFT JOIN f USING (process_hash) LEFT JOIN e USING (process_hash) LEFT JOIN c USING (process_hash) GROUP BY s.process_hash""")
