@@ -34,11 +34,12 @@ def _(t):
 
 
 @query("s03_flow_stats_stream", "S-03", f"""
-    SELECT * FROM (SELECT host, CAST(floor(ts_us / 30000000.0) AS BIGINT) * 30000000 AS window_us, count(*) AS total_connections, count(*) FILTER (protocol = 'UDP') AS udp FROM tele WHERE event_type = 'connection' GROUP BY ALL)
+    SELECT * FROM (SELECT host, CAST(floor(ts_us / 30000000.0) AS BIGINT) * 30000000 AS window_us, count(*) AS total_connections, count(DISTINCT remote_ip) AS unique_remote_ips,
+        count(DISTINCT remote_port) AS unique_remote_ports, count(*) FILTER (protocol = 'TCP') AS tcp, count(*) FILTER (protocol = 'UDP') AS udp FROM tele WHERE event_type = 'connection' GROUP BY ALL)
     WHERE window_us + 30000000 <= {_CUT.format("tele WHERE event_type = 'connection'")}""")
 def _(t):
     out = run_to_table(streams.flow_stats_stream(_timed(t.stream("tele").where("event_type = 'connection'"))), "flow")
-    return out.select("host", F.unix_micros("window_start").alias("window_us"), "total_connections", "udp")
+    return out.select("host", F.unix_micros("window_start").alias("window_us"), "total_connections", "unique_remote_ips", "unique_remote_ports", "tcp", "udp")
 
 
 @query("s04_failed_login_stream", "S-04", f"""
@@ -88,6 +89,19 @@ def _(t):
     return run_to_table(streams.reputation_stream(_timed(o)), "reputation").select("address", "total_connections", "score")
 
 
+# edges join processes of the last 30 minutes; the join lets a minute close once the watermark is as far past it
+@query("s10_graph_window_stream", "S-10 J-15", f"""
+    WITH n AS (SELECT *, CASE sensor WHEN 'eventlog' THEN 'log' ELSE sensor END AS node_type FROM tele),
+    l AS (SELECT event_id AS dst, host, ts_us, seq, 'spawned' AS edge_type, ppid AS lp FROM n WHERE ppid <> 0 UNION ALL
+          SELECT event_id, host, ts_us, seq, CASE node_type WHEN 'file' THEN 'modified' WHEN 'network' THEN 'opened' ELSE 'triggered' END, pid FROM n WHERE node_type <> 'process')
+    SELECT l.host, arg_max(p.event_id, (p.ts_us, p.seq)) AS src, l.dst, l.edge_type FROM l JOIN n p ON p.node_type = 'process' AND p.host = l.host AND p.pid = lp AND (p.ts_us, p.seq) < (l.ts_us, l.seq) AND p.ts_us >= l.ts_us - 1800000000
+    WHERE (l.ts_us // 60000000 + 1) * 60000000 <= {_CUT.format('tele')} - 1800000000 GROUP BY l.host, l.dst, l.edge_type""")
+def _(t):
+    from wardline.operators.graph import build_nodes
+    side = lambda: _timed(build_nodes(t.stream("tele")))
+    return run_to_table(streams.edge_stream(side(), side()), "edges").select("host", "src", "dst", "edge_type")
+
+
 @query("s11_ioc_enrich_stream", "S-11", f"SELECT seq, b.source AS ioc_source FROM tele LEFT JOIN {_BEST.format(chr(39) * 2)} b ON tele.remote_ip = b.value")
 def _(t):
     return run_to_table(streams.ioc_enrich_stream(t.stream("tele"), t.ioc, "remote_ip").select("seq", "ioc_source"), "enriched")

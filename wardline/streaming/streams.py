@@ -40,14 +40,46 @@ def dedup_alert_stream(alerts: DataFrame, keys: list[str] | None = None) -> Data
 
 
 def flow_stats_stream(connections: DataFrame, width: str = "30 seconds") -> DataFrame:
-    """Connection counts per host and window; distinct counts are sketches on a stream."""
-    return connections.groupBy("host", F.window("ts", width)).agg(
-        F.count(F.lit(1)).alias("total_connections"), F.approx_count_distinct("remote_ip").alias("unique_remote_ips"),
-        F.approx_count_distinct("remote_port").alias("unique_remote_ports"),
-        F.count_if(F.col("protocol") == "TCP").alias("tcp"), F.count_if(F.col("protocol") == "UDP").alias("udp"),
+    """Connection counts and exact distinct addresses and ports per host and window.
+
+    Two chained windowed counts: the first holds one row of state per value of a window, the second counts them.
+    """
+    facts = F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value")) for k, v in (
+        ("protocol", F.coalesce("protocol", F.lit(""))), ("ip", F.col("remote_ip")), ("port", F.col("remote_port")))])
+    values = connections.select("host", "ts", F.explode(facts).alias("f")).select("host", "ts", "f.*")
+    values = values.groupBy("host", F.window("ts", width), "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda kind, value=None: (F.col("kind") == kind) & (F.lit(True) if value is None else F.col("value") == value)
+    held = lambda kind: F.count_if(of(kind) & F.col("value").isNotNull())
+    rows = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    return values.groupBy("host", F.window(F.window_time("window"), width)).agg(
+        rows(of("protocol")).alias("total_connections"), held("ip").alias("unique_remote_ips"), held("port").alias("unique_remote_ports"),
+        rows(of("protocol", "TCP")).alias("tcp"), rows(of("protocol", "UDP")).alias("udp"),
     ).select("host", F.col("window.start").alias("window_start"), "total_connections", "unique_remote_ips", "unique_remote_ports", "tcp", "udp")
 
 
+def edge_stream(nodes: DataFrame, processes: DataFrame, window: str = "30 minutes") -> DataFrame:
+    """Typed edges from the latest earlier process event of the pid, at most ``window`` old, on streams.
+
+    A stream-stream join with time bounds on both watermarks holds the process events of the window only; a windowed
+    aggregate then keeps the latest of those that an event met, once the watermark is ``window`` past its minute.  ``nodes`` and ``processes`` come from ``build_nodes`` with
+    a watermarked column ``ts``.
+    """
+    from wardline.operators.graph import EDGE_OF
+
+    pid, ppid = F.coalesce(F.col("pid"), F.lit(0)), F.coalesce(F.col("ppid"), F.lit(0))
+    own = F.coalesce(*[F.when(F.col("node_type") == t, F.lit(e)) for t, e in EDGE_OF.items()])
+    wanted = F.array_compact(F.array(
+        F.when((pid != 0) & (ppid != 0), F.struct(F.lit("spawned").alias("edge_type"), ppid.alias("by"))),
+        F.when((pid != 0) & own.isNotNull(), F.struct(own.alias("edge_type"), pid.alias("by")))))
+    look = nodes.select("host", "ts", "ts_us", "seq", F.col("node_id").alias("dst"), F.inline(wanted)).alias("e")
+    procs = processes.where("node_type = 'process'").select("host", F.col("pid").alias("by"), "ts", "ts_us", "seq", "node_id").alias("p")
+    met = look.join(procs, F.expr(f"""e.host = p.host AND e.by = p.by AND p.ts <= e.ts AND p.ts >= e.ts - INTERVAL {window}
+        AND (p.ts_us < e.ts_us OR (p.ts_us = e.ts_us AND p.seq < e.seq))"""))
+    latest = F.max_by(F.col("p.node_id"), F.struct(F.col("p.ts_us"), F.col("p.seq")))
+    return met.groupBy(F.window(F.col("e.ts"), "1 minute"), F.col("e.host").alias("host"), F.col("e.dst").alias("dst"), F.col("e.edge_type").alias("edge_type"), F.col("e.ts_us").alias("ts_us")).agg(
+        latest.alias("src")).select("host", "src", "dst", "edge_type", "ts_us")
+
+
 def failed_login_stream(log: DataFrame, width: str = "15 seconds", slide: str | None = None, threshold: int = 5) -> DataFrame:
     """Windows with at least ``threshold`` failed logins per host."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
@@ -217,16 +249,26 @@ def correlate_stream(alerts: DataFrame, window_us: int = 300_000_000) -> DataFra
 
 # --- foreachBatch sinks ---------------------------------------------------------------------------
 def graph_batch(events_path: str, matches_path: str, window_us: int = 1_800_000_000):
-    """Sink that stores a batch of events and re-evaluates the chains over the last 30 minutes."""
+    """Sink that stores a batch of events by hour and re-evaluates the chains over the last 30 minutes.
+
+    The window is a range of hours, so a batch opens the folders of its own window only, however long the stream has run.
+    """
+    hour_us = 3_600_000_000
 
     def write(batch: DataFrame, epoch: int) -> None:
         from wardline.operators import graph
 
         if batch.isEmpty():
             return
-        batch.write.mode("overwrite").parquet(f"{events_path}/epoch={epoch}")
+        spark = batch.sparkSession
+        hour = F.floor(F.col("ts_us") / hour_us).cast("bigint")
+        stored = batch.withColumn("hour", hour).withColumn("epoch", F.lit(epoch).cast("bigint"))
+        # a replayed epoch overwrites its own folders and no others
+        stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "epoch").parquet(events_path)
         newest = batch.agg(F.max("ts_us")).first()[0]
-        recent = batch.sparkSession.read.parquet(events_path).where((F.col("ts_us") >= newest - window_us) & (F.col("ts_us") <= newest)).drop("epoch")
+        oldest = newest - window_us
+        hours = F.col("hour").between(oldest // hour_us, newest // hour_us)
+        recent = spark.read.schema(stored.schema).parquet(events_path).where(hours & (F.col("epoch") <= epoch) & F.col("ts_us").between(oldest, newest)).drop("hour", "epoch")
         nodes = graph.build_nodes(recent)
         graph.attack_chains(nodes, graph.build_edges(nodes)).write.mode("overwrite").parquet(f"{matches_path}/epoch={epoch}")
 
