@@ -273,3 +273,26 @@ def rollback_model(spark: SparkSession, registry_path: str) -> int:
     row = [(now["seq"] + 1, *[back[c] for c in ("version", "previous", "model_type", "metrics", "path", "at_us")])]
     spark.createDataFrame(row, REGISTRY).coalesce(1).write.mode("append").parquet(registry_path)
     return back["version"]
+
+
+FOREST = "version INT, tree INT, node INT, feature INT, cut DOUBLE, lo INT, hi INT, size INT"
+
+
+def forest_rows(spark: SparkSession, model: IsolationForest, version: int) -> DataFrame:
+    """The nodes of a forest as rows; a leaf has feature -1, an inner node goes to ``lo`` up to its cut, else to ``hi``."""
+    rows = [(version, t, n, int(f[n]), float(s[n]), int(a[n]), int(b[n]), int(c[n])) for t, (f, s, a, b, c) in enumerate(model.trees) for n in range(len(f))]
+    return spark.createDataFrame(rows, FOREST)
+
+
+def store_forest(nodes: DataFrame, path: str) -> None:
+    """Keep a version's nodes beside those of the others; a version stored again replaces itself."""
+    nodes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+
+
+def load_forest(spark: SparkSession, path: str, version: int, sample: int = 256, offset: float = -0.5, most: int = 1_000_000) -> IsolationForest:
+    """A stored version as a model; trees are small by construction, and more than ``most`` nodes are an error."""
+    nodes = spark.read.schema(FOREST).parquet(path).where(F.col("version") == version).orderBy("tree", "node").limit(most + 1).toPandas()
+    if len(nodes) == 0 or len(nodes) > most:
+        raise ValueError(f"version {version} has {len(nodes)} nodes")
+    trees = [tuple(t[c].to_numpy() for c in ("feature", "cut", "lo", "hi", "size")) for _, t in nodes.groupby("tree", sort=True)]
+    return IsolationForest(trees, sample, offset)

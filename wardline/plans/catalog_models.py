@@ -60,8 +60,47 @@ def _(t):
     # weak label: bait words and odd suffixes in the addresses of pages and queried names
     names = t.tele.select(F.concat(F.lit("http://"), "domain", F.lit("/")).alias("url")).distinct()
     rows = t.pages.select("url").distinct().unionByName(names).withColumn("truth", F.col("url").rlike(r"pills|cheap|\.xyz|zx\.com").cast("int"))
-    model = models.url_classifier_fit(rows, "url", "truth", trees=40, depth=10)
-    return models.url_classifier_predict(model, rows).select("url", "truth", "label", F.round("p", 6).alias("p"), "confidence")
+    rows = rows.where("url IS NOT NULL").withColumn("held_out", F.crc32(F.col("url").cast("binary")) % 5 == 0)
+    model = models.url_classifier_fit(rows.where("NOT held_out"), "url", "truth")
+    return models.url_classifier_predict(model, rows).select("url", "truth", "held_out", "label", F.round("p", 6).alias("p"), "confidence")
+
+
+# a forest of 20 trees of depth 3 by rule: both versions are stored, the second is activated and rolled back
+_NODE = {"feature": "({t} * 7 + {n} * 3) % 64", "cut": "(({t} * 5 + {n} * 11 + {v} * 13) % 21 - 10) / 100.0", "size": "1 + ({t} + {n}) % 9"}
+
+
+def _go(n):
+    """DuckDB: the child that an embedding takes at a node of version 1."""
+    f, c = _NODE["feature"].format(t="t", n=n), _NODE["cut"].format(t="t", n=n, v=1)
+    return f"2 * ({n}) + CASE WHEN e[{f} + 1]::DOUBLE <= ({c})::DOUBLE THEN 1 ELSE 2 END"
+
+
+_PATH = "CASE WHEN {0} <= 1 THEN 0 WHEN {0} = 2 THEN 1 ELSE 2 * (ln({0} - 1) + 0.5772156649015329) - 2 * ({0} - 1) / ({0})::DOUBLE END"
+
+
+@query("m08_model_registry", "M-08 M-04", f"""
+    WITH a AS (SELECT vec_id, embedding AS e, unnest(range(20)) AS t FROM embeddings), b AS (SELECT *, {_go('0')} AS n1 FROM a), c AS (SELECT *, {_go('n1')} AS n2 FROM b),
+    d AS (SELECT *, {_go('n2')} AS n3 FROM c), s AS (SELECT *, {_NODE['size'].format(t='t', n='n3')} AS size FROM d),
+    p AS (SELECT vec_id, avg(3 + {_PATH.format('size')}) AS h FROM s GROUP BY vec_id)
+    SELECT vec_id, 1 AS version, round(greatest(0.0, least(1.0, 0.5 - (0.5 - pow(2.0, -h / ({_PATH.format('256')}))))), 4)::DOUBLE AS score FROM p""")
+def _(t):
+    import uuid
+
+    from wardline.session import checkpoint_folder
+
+    spark, base = t.spark, f"{checkpoint_folder(t.spark)}/registry-{uuid.uuid4().hex}"
+    for version in (1, 2):
+        of = lambda name, v=version: F.expr(_NODE[name].format(t="tree", n="node", v=v))
+        nodes = spark.range(20 * 15).select((F.col("id") % 20).cast("int").alias("tree"), F.floor(F.col("id") / 20).cast("int").alias("node"))
+        inner = F.col("node") < 7
+        nodes = nodes.select(F.lit(version).alias("version"), "tree", "node", F.when(inner, of("feature")).otherwise(-1).cast("int").alias("feature"), of("cut").cast("double").alias("cut"),
+                             (2 * F.col("node") + 1).alias("lo"), (2 * F.col("node") + 2).alias("hi"), F.when(inner, 0).otherwise(of("size")).cast("int").alias("size"))
+        models.store_forest(nodes, f"{base}/nodes")
+        models.register_model(spark, f"{base}/registry", "isolation_forest", {}, f"{base}/nodes", version)
+    models.rollback_model(spark, f"{base}/registry")
+    now = models.active_version(models.read_registry(spark, f"{base}/registry"))
+    model = models.load_forest(spark, now["path"], now["version"])
+    return model.score(t.embeddings, "embedding").select("vec_id", F.lit(now["version"]).alias("version"), "score")
 
 
 @query("m09_anomaly_cascade", "M-09 M-04 M-05")

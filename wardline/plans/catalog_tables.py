@@ -762,3 +762,38 @@ def _register_hunt(name: str, text: str) -> None:
 
 for _name, _text in HUNTS.items():
     _register_hunt(_name, _text)
+
+
+# --- sinks that are read back ----------------------------------------------------------------------
+def _folder(t, name):
+    import uuid
+
+    from wardline.session import checkpoint_folder
+
+    return f"{checkpoint_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("sk01_write_events", "SK-01 SC-01", """
+    SELECT 'event' AS kind, CAST(make_timestamp(ts_us) AS DATE)::VARCHAR AS day, event_id AS id, severity, value AS amount FROM tele
+    UNION ALL SELECT 'alert', CAST(make_timestamp(ts_us) AS DATE)::VARCHAR, alert_id, severity, confidence::DOUBLE FROM alerts""")
+def _(t):
+    from wardline.sources.sinks import write_partitioned
+
+    out = []
+    for kind, df, key, amount in (("event", t.tele, "event_id", "value"), ("alert", t.alerts, "alert_id", "confidence")):
+        path = _folder(t, kind)
+        write_partitioned(df.withColumn("ts", F.timestamp_micros("ts_us")), path)
+        back = t.spark.read.parquet(path)  # the day comes from the folders
+        out.append(back.select(F.lit(kind).alias("kind"), F.col("day").cast("string").alias("day"), F.col(key).alias("id"), "severity", F.col(amount).cast("double").alias("amount")))
+    return out[0].unionByName(out[1])
+
+
+@query("sk05_export_csv", "SK-05", """
+    SELECT alert_id, host, severity, title || ', "quoted"' AS title, nullif(mitre, '') AS mitre, ts_us, a_pid FROM alerts""")
+def _(t):
+    from wardline.sources.sinks import export_csv
+
+    path = _folder(t, "csv")
+    columns = ["alert_id", "host", "severity", "title", "mitre", "ts_us", "a_pid"]
+    export_csv(t.alerts.withColumn("title", F.concat("title", F.lit(', "quoted"'))), path, columns)
+    return t.spark.read.option("header", True).schema("alert_id string, host string, severity string, title string, mitre string, ts_us bigint, a_pid bigint").csv(path)
