@@ -36,6 +36,35 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((sig[0] == sig[1]).mean() - bagminhash.overlap(bags[0].as_py(), bags[1].as_py())) < 0.03
 
 
+@pytest.mark.parametrize("widths", [bagminhash.WIDTHS, (1, 2, 4)])
+def test_a_hot_bucket_of_near_and_stray_copies(spark, widths):
+    """One text in many versions: some near it, some only near each other, most of them near nothing though they share buckets."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(240)]
+    other = base[:170] + [f"v{k}" for k in range(70)]
+    rows = []
+    for n in range(120):
+        w = list(other if n % 4 == 3 else base)
+        for _ in range(rng.choice([1, 2, 5, 9, 14])):
+            w[rng.randrange(len(w))] = f"x{n}y{rng.randrange(100)}"
+        rows.append((n, " ".join(w)))
+    bags = [bag(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values()):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), widths).collect()}
+    assert got == {i: find(i) for i in range(len(rows))} and 10 < len(set(got.values())) < 110
+
+
 def test_near_duplicates_match_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").toPandas()
     rng, extra = random.Random(1), []

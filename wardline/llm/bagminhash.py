@@ -10,9 +10,11 @@ to the weighted Jaccard similarity of their shingle counts.  Points later than a
 cannot matter once all registers are filled; rows with an open register double it.
 
 Texts are compared by their words in lower case (runs of letters and digits).  Texts with equal words form one
-node.  In each band bucket pivots are compared with all members of other components, a
-bounded number of pivots a round (at first one, the member that shares most buckets), until no bucket holds an uncompared pair of different
-components; links that would join a component to itself are not needed for the classes.
+node.  In each band bucket pivots are compared with all members of other components, until no bucket holds an uncompared pair of
+different components; links that would join a component to itself are not needed for the classes.  The first round has one
+pivot a bucket, the member that shares most buckets, the second ``WIDTHS[1]``, all later ones up to ``WIDTHS[2]``: by then few buckets have more
+members outside their largest component, and one round ends them.  Members and pivots move once a bucket, pairs are never rows: a task
+holds the pivots' bags, streams the members past them and emits the links that join what it has not joined yet.
 
 Rows without words or with a null doc_id are alone in a class of their own.  Repeated rows
 share a class.  An empty table gives an empty result.  Columns other than doc_id and text are not read.
@@ -30,11 +32,13 @@ from pyspark.sql import functions as F
 from wardline.llm.arrays import blocks, lowered, mix, powers, shingles, words
 from wardline.llm.components import components
 from wardline.llm.registry import query
-from wardline.llm.tables import scalar, table, written
+from wardline.llm.tables import forget, scalar, table, written
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 BROADCAST_PAIRS = 100_000
 PART = 256  # members that meet one copy of the pivots' texts
+WIDTHS = (1, 8, 1024)  # pivots a bucket in the first, second and later rounds
+WIDE_PART = 2048
 SALT = np.uint64(0xD1B54A32D192ED03)
 SHINGLE_BITS = np.uint64(48)
 
@@ -131,45 +135,74 @@ def overlap(a: bytes, b: bytes) -> float:
 class Pivots:
     """The bags of some texts, joined into one list sorted by shingle."""
 
-    def __init__(self, names: list[bytes], held: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.names = names
+    def __init__(self, names: list[bytes], roots: list[bytes | None], held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.names, self.roots = names, roots
         shingle = np.concatenate([s for s, _ in held])
         order = np.argsort(shingle, kind="stable")
         self.shingle, self.weight = shingle[order], np.concatenate([w for _, w in held])[order]
         self.owner = np.repeat(np.arange(len(held)), [len(s) for s, _ in held])[order]
         self.total = np.array([w.sum() for _, w in held])
+        self.joined: dict[bytes, bytes] = {}
 
-    def near(self, shingle: np.ndarray, weight: np.ndarray) -> list[bytes]:
-        """Names of the texts whose weighted Jaccard similarity with the bag is high enough."""
+    def near(self, shingle: np.ndarray, weight: np.ndarray) -> list[int]:
+        """The texts whose weighted Jaccard similarity with the bag is high enough."""
         low = np.searchsorted(self.shingle, shingle, "left")
         many = np.searchsorted(self.shingle, shingle, "right") - low
         at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         both = np.bincount(self.owner[at], np.minimum(self.weight[at], np.repeat(weight, many)), minlength=len(self.total))
-        return [self.names[i] for i in np.flatnonzero(both / np.maximum(self.total + weight.sum() - both, 1) >= SIMILARITY).tolist()]
+        return np.flatnonzero(both / np.maximum(self.total + weight.sum() - both, 1) >= SIMILARITY).tolist()
+
+    def find(self, x: bytes) -> bytes:
+        while (up := self.joined.get(x, x)) != x:
+            self.joined[x] = x = self.joined.get(up, up)
+        return x
+
+    def joins(self, a: bytes, b: bytes) -> bool:
+        """Whether a link of two components joins what this task has not joined yet."""
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.joined[max(a, b)] = min(a, b)
+        return a != b
 
 
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (group, part, member): the group's pivots lead each part, and their bags are all that is held."""
-    at, names, held, pivots = None, [], [], None
+    """Rows in order of (group, part, member): the group's pivots lead each part, and their bags are all that is held.
+
+    A member asks for the pivots it names, or for all of other components if it names none (null).
+    """
+    at, names, roots, held, pivots = None, [], [], [], None
     for b in blocks(batches, "text"):
         row, shingle, weight, _ = bags(b.column("text"))
         cut = np.searchsorted(row, np.arange(b.num_rows + 1)).tolist()
         found: tuple[list[bytes], list[bytes]] = ([], [])
-        here = zip(*(b.column(c).to_pylist() for c in ("group", "part", "member", "node", "pivots")))
-        for (group, part, member, node, asked), i, j in zip(here, cut, cut[1:]):
+        here = zip(*(b.column(c).to_pylist() for c in ("group", "part", "member", "node", "root", "pivots")))
+        for (group, part, member, node, root, asked), i, j in zip(here, cut, cut[1:]):
             if at != (group, part):
-                at, names, held, pivots = (group, part), [], [], None
+                at, names, roots, held, pivots = (group, part), [], [], [], None
             if not member:
                 names.append(node)
+                roots.append(root)
                 held.append((shingle[i:j].copy(), weight[i:j].copy()))
                 continue
-            pivots = pivots or Pivots(names, held)
-            for name in set(asked).intersection(pivots.near(shingle[i:j], weight[i:j])):
-                found[0].append(name)
-                found[1].append(node)
+            pivots = pivots or Pivots(names, roots, held)
+            for p in pivots.near(shingle[i:j], weight[i:j]):
+                if names[p] in asked if asked is not None else pivots.joins(root, roots[p]):
+                    found[0].append(names[p])
+                    found[1].append(node)
         yield pa.record_batch([pa.array(c, pa.binary()) for c in found], ["a", "b"])
 
 
+def _compared(state: DataFrame, chosen: DataFrame, texts_of: DataFrame) -> DataFrame:
+    """Links (a, b) between the pivots ``chosen`` (key, pivot, pivot_root) of each bucket and its members of other components."""
+    parts = state.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / WIDE_PART).cast("int").alias("parts"))
+    none = F.lit(None).cast("array<binary>").alias("pivots")
+    members = state.join(parts, "key").select(F.col("key").alias("group"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), "node", "root", none)
+    leads = chosen.join(parts, "key").select(F.col("key").alias("group"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"),
+                                             F.col("pivot").alias("node"), F.col("pivot_root").alias("root"), none)
+    rows = texts_of.join(members.union(leads), "node").select("group", "part", "member", "node", "root", "pivots", "text")
+    return rows.repartition("group", "part").sortWithinPartitions("group", "part", "member").mapInArrow(_verify, "a binary, b binary")
+
+
 def _linked(pairs: DataFrame, texts_of: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``pairs`` (group, pivot, node; few pivots a group) whose bags overlap enough.
 
@@ -184,11 +217,11 @@ def _linked(pairs: DataFrame, texts_of: DataFrame) -> DataFrame:
     leads = pairs.select("group", "pivot").distinct().join(parts, "group").select(
         "group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("pivot").alias("node"), F.array().cast("array<binary>").alias("pivots"))
     todo = written(dealt.union(leads), "comparisons")
-    rows = texts_of.join(F.broadcast(todo) if few else todo, "node").select("group", "part", "member", "node", "pivots", "text")
+    rows = texts_of.join(F.broadcast(todo) if few else todo, "node").select("group", "part", "member", "node", F.lit(None).cast("binary").alias("root"), "pivots", "text")
     return rows.repartition("group", "part").sortWithinPartitions("group", "part", "member").mapInArrow(_verify, "a binary, b binary")
 
 
-def classes(docs: DataFrame, pivots: int = 64) -> DataFrame:
+def classes(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """One row (doc_id, text_hash, class_id, first) for each row of ``docs``.
 
     class_id is the least doc_id of the class; ``first`` marks the rows that may stand for it, which
@@ -209,33 +242,41 @@ def classes(docs: DataFrame, pivots: int = 64) -> DataFrame:
     texts_of = written(texts.join(chosen, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
     roots = None  # (node, root) of the nodes that have links
-    width = 1
+    widths = iter(widths)
+    width = next(widths)
     while True:
         if roots is None:
             state = active.withColumn("root", F.col("node"))
         else:
             state = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         counts = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members")).where("roots > 1").drop("roots")
+        mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("members"), F.max(F.struct("n", "root"))["root"].alias("main")).where("roots > 1").drop("roots")
         state = written(state.join(mixed, "key").join(counts, ["key", "root"]), "bucket-state")
         if state.isEmpty():
             break
-        # pivots: members of the smallest components, of the highest degree first, at most ``width`` a bucket
-        chosen = (state.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(width)).alias("class"))
+        # pivots: members of the smallest components, of the highest degree first, at most ``width`` a bucket; the
+        # largest component has none once all others can be pivots
+        lead = state if width == 1 else state.where("root != main")
+        chosen = (lead.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(width)).alias("class"))
                   .agg(F.min(F.struct("n", (-F.col("degree")).alias("d"), "node", "root", "size")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.size").alias("pivot_size")))
         chosen = written(chosen, "pivots")
-        # a pair is compared in one group: that of its pivot at first, then that of its largest bucket
-        group = F.struct(F.lit(0).alias("rank"), F.xxhash64("pivot").alias("group")) if width == 1 else F.struct((-F.col("members")).alias("rank"), F.col("key").alias("group"))
-        # sizes further apart than the similarity cannot reach it; a pair of two pivots comes up from both sides
-        pairs = (state.join(chosen, "key").where(f"root != pivot_root AND least(size, pivot_size) >= {SIMILARITY}D * greatest(size, pivot_size) - 1e-6D")
-                 .groupBy(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
-                 .agg(F.min(F.struct(group.alias("group"), "pivot", "node")).alias("m")).select("m.group.group", "m.pivot", "m.node"))
-        new = written(_linked(written(pairs, "pairs"), texts_of), "new-links")
+        if width == 1:
+            # a pair is compared in the group of its pivot; a pair of two pivots comes up from both sides
+            pairs = (state.join(chosen, "key").where(f"root != pivot_root AND least(size, pivot_size) >= {SIMILARITY}D * greatest(size, pivot_size) - 1e-6D")
+                     .groupBy(F.least("node", "pivot").alias("x"), F.greatest("node", "pivot").alias("y"))
+                     .agg(F.min(F.struct(F.xxhash64("pivot").alias("group"), "pivot", "node")).alias("m")).select("m.group", "m.pivot", "m.node"))
+            pairs = written(pairs, "pairs")
+            new = written(_linked(pairs, texts_of), "new-links")
+            forget(pairs)
+        else:
+            new = written(_compared(state.select("key", "node", "root"), chosen, texts_of), "new-links")
         if not new.isEmpty():
             edges = new if roots is None else new.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a != b"))
-            roots = written(components(edges), "roots")
-        active = written(state.select("key", "node", "size", "degree").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), "buckets")
-        width = pivots
+            old, roots = roots, written(components(edges), "roots")
+            forget(old)
+        old, active = active, written(state.select("key", "node", "size", "degree").join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti"), "buckets")
+        forget(old, state, chosen, new)
+        width = next(widths, width)
     member = named.select("node", "least")
     if roots is not None:
         member = member.join(roots, "node", "left")

@@ -257,4 +257,5 @@ SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE
 @query("op13_son_phrases", _SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of each language of the documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # whole texts: smaller batches, less memory
     return collocations(table(spark, sf_dir, "documents"))

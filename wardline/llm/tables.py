@@ -21,7 +21,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    back = spark.read.schema(df.schema).parquet(folder)
+    back._folder = folder
+    return back
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Remove the folders of ``written`` tables that nothing will read any more."""
+    for df in frames:
+        if df is not None and hasattr(df, "_folder"):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(df._folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold(column: Column, n: int) -> Column:
