@@ -94,3 +94,28 @@ def test_vectors(spark):
     assert [got[i] for i in range(2000, 2005)] == [(0, i) for i in range(2000, 2005)]
     assert got[2005] == (1, 2005) and got[2006] == (1, 2005)
     assert pivots.near_vectors(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("dim, block", [(32, 64), (64, 1024)])
+def test_large_clusters_at_four_noises(spark, monkeypatch, dim, block):
+    monkeypatch.setattr(pivots, "BLOCK", block)
+    rng = np.random.default_rng(dim)
+    noises = [0.1, 0.2, 0.3, 0.34]
+    v = np.vstack([c + n * np.linalg.norm(c) / np.sqrt(dim) * rng.normal(size=(125, dim)) for n in noises for c in rng.normal(size=(3, dim))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in pivots.near_vectors(df).collect()}
+    x = v / np.linalg.norm(v, axis=1)[:, None]
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    assert all(got[i] <= n for i, n in enumerate(want))
+    for i in range(4):
+        part = range(375 * i, 375 * (i + 1))
+        assert sum(got[j] for j in part) >= 0.9 * sum(want[j] for j in part) > 10_000, noises[i]
+
+
+def test_reference_points_are_apart_and_many():
+    rng = np.random.default_rng(1)
+    sample = np.repeat(rng.normal(size=(5, 16)), 40, axis=0) + 0.01 * rng.normal(size=(200, 16))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    p = pivots.reference_points(sample, 64)
+    cosine = p[:5] @ p[:5].T - np.eye(5)
+    assert p.shape == (64, 16) and cosine.max() < pivots.APART and np.allclose(np.linalg.norm(p, axis=1), 1)

@@ -1,13 +1,17 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Reference points are ``PIVOTS`` vectors of the table (those with the least content hash: a bounded sample;
-every row is indexed).  A vector is described by its ``NEAREST`` nearest reference points.  Inverted
+Reference points are vectors of a bounded sample (those with the least content hash) that are ``APART``, so that a cluster
+holds one of them however large it is; random directions fill up their number.  It is ``PIVOTS`` up to ``BASE_ROWS`` rows and grows with the
+cube root of the rows, as does the number of lists with the rows, up to ``MOST_PIVOTS``.  Every row is indexed.  A vector is described by its ``NEAREST`` nearest reference points.  Inverted
 lists are kept per set of ``SHARED`` reference points, so two vectors meet in a list exactly if they
 share at least that many; lists of one member are dropped before any vector is moved.  A pair that
 meets in several lists is judged in one: the list of its lowest shared points.  Inside a list all
 members are compared by cosine in double precision, lists longer than ``BLOCK`` in blocks, each
 pair of blocks its own group, and only counts per vector and spanning links leave the task.
 
+Recall is that of sharing ``SHARED`` of ``NEAREST`` points: 0.94 to 1 of all linked pairs in clusters at cosines near the
+threshold, more for closer ones (tests measure it against brute force).
+
 Equal vectors are one node with a multiplicity.  Null and zero vectors and those with null or non-finite
 components link with nothing.  Vectors of different lengths never meet.  Rows with a
 null vec_id are compared and get a null id; an empty table gives an empty result.
@@ -28,6 +32,7 @@ from wardline.llm.registry import query
 from wardline.llm.tables import table, written
 
 PIVOTS, NEAREST, SHARED, BLOCK = 256, 7, 3, 1024
+APART, BASE_ROWS, MOST_PIVOTS, SAMPLE = 0.8, 100_000, 2048, 4  # SAMPLE: rows looked at per reference point
 COSINE = 0.9
 _SUBSETS = np.array(list(combinations(range(NEAREST), SHARED)))
 
@@ -41,6 +46,21 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
+def reference_points(sample: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` rows of a sample of unit vectors whose cosines are all below ``APART``, and random directions up to ``n``."""
+    kept = np.zeros((n, sample.shape[1]))
+    have = 0
+    for v in sample:
+        if have == n:
+            break
+        if not have or (kept[:have] @ v).max() < APART:
+            kept[have] = v
+            have += 1
+    more = np.random.default_rng(8).normal(size=(n - have, sample.shape[1]))
+    kept[have:] = more / np.linalg.norm(more, axis=1, keepdims=True)
+    return kept
+
+
 def nearest(x: np.ndarray, reference: np.ndarray, k: int = NEAREST) -> np.ndarray:
     """The ``k`` nearest reference points of each row as ascending numbers (-1: fewer exist)."""
     out = np.full((len(x), k), -1, dtype=np.int64)
@@ -54,7 +74,7 @@ def list_keys(points: np.ndarray) -> np.ndarray:
     """The keys of all lists of each row."""
     key = np.zeros((len(points), len(_SUBSETS)), dtype=np.int64)
     for j in range(SHARED):
-        key = key * (PIVOTS + 1) + points[:, _SUBSETS[:, j]] + 1
+        key = key * (MOST_PIVOTS + 1) + points[:, _SUBSETS[:, j]] + 1
     return key
 
 
@@ -65,7 +85,7 @@ def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     key = np.zeros(len(a), dtype=np.int64)
     for j in range(SHARED):
         at = np.argmax(both & (rank == j + 1), axis=1)
-        key = key * (PIVOTS + 1) + a[np.arange(len(a)), at] + 1
+        key = key * (MOST_PIVOTS + 1) + a[np.arange(len(a)), at] + 1
     return key
 
 
@@ -91,9 +111,15 @@ def _pairs(group: np.ndarray, block: np.ndarray, one: np.ndarray, key: np.ndarra
             break
         for c in range(0, len(a), 50_000):
             judge(a[c : c + 50_000], a[c : c + 50_000] + lag)
+    lowest = list_keys(points)[:, 0]
     for f, s in zip(first[size > 32].tolist(), size[size > 32].tolist()):
+        # rows that share all their points are judged in the list of the lowest ones
+        same = np.unique(points[f : f + s], axis=0, return_inverse=True)[1].ravel()
+        elsewhere = lowest[f : f + s] != key[f]
         for r in range(f, f + s, 256):
+            rows = slice(r - f, min(r + 256, f + s) - f)
             near = x[r : min(r + 256, f + s)] @ x[f : f + s].T >= COSINE - 1e-9
+            near &= ~((same[rows][:, None] == same[None, :]) & elsewhere[rows][:, None])
             a, b = np.nonzero(near)
             a, b = a + r, b + f
             judge(a[a < b], b[a < b])
@@ -162,10 +188,12 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     unique = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
     unique = written(unique.withColumn("dim", F.size("embedding")), "vectors")
     edges, counts = [], []
-    for dim in [r["dim"] for r in unique.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("dim").collect()]:
+    rows_of = {r["dim"]: r["n"] for r in unique.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").collect()}
+    for dim in sorted(rows_of):
         part = unique.where(F.col("dim") == dim)
-        sample = part.orderBy(F.xxhash64("node"), "node").limit(PIVOTS).select("embedding").toArrow()
-        reference = spark.sparkContext.broadcast(matrix(sample.column("embedding")))
+        many = min(MOST_PIVOTS, int(np.ceil(PIVOTS * max(1.0, rows_of[dim] / BASE_ROWS) ** (1 / 3))))
+        sample = part.orderBy(F.xxhash64("node"), "node").limit(SAMPLE * many).select("embedding").toArrow()
+        reference = spark.sparkContext.broadcast(reference_points(matrix(sample.column("embedding")), many))
 
         described = part.withColumn("d", _describe(reference)(F.col("embedding")))
         described = written(described.select("node", "embedding", "copies", "d.points", F.array_distinct("d.keys").alias("keys")), "described")
