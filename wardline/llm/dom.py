@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -34,7 +36,8 @@ FAMILIES = {
     "hidden": "hidden none invisible",
 }
 _FAMILY = {token: i for i, tokens in enumerate(FAMILIES.values()) for token in tokens.split()}
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG_AT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_NAME_END = re.compile(r"[\s/>]")
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-label|itemprop|data-y)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+")
 N_OWN = 6
@@ -45,6 +48,65 @@ _ONE_HOT = np.eye(len(TAGS) + 1)[:, : len(TAGS)]
 _AREA = [TAGS.index(name) for name in AREAS]
 
 
+class _Ends:
+    """Which tags of a page end, found in one pass from its end: a tag does not if one of its quotes is never closed."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.name_end = source, 0
+        self.at = [m.start() for m in re.finditer("[>\"']", source)]
+        self.ok = [False] * (len(self.at) + 1)
+        later: dict[str, int] = {}
+        for n in range(len(self.at) - 1, -1, -1):
+            char = source[self.at[n]]
+            self.ok[n] = char == ">" or (char in later and self.ok[later[char] + 1])
+            later[char] = n
+
+    def tag(self, start: int) -> bool:
+        """Whether the tag that begins at ``start`` (growing from call to call) ends."""
+        name = start + (2 if self.source[start + 1] != "/" else 3)
+        if self.name_end < name:  # names of tags in one run of letters end together
+            m = _NAME_END.search(self.source, name)
+            self.name_end = m.start() if m else len(self.source)
+        return self.ok[bisect_left(self.at, self.name_end)]
+
+
+def tokens(source: str) -> Iterator[tuple[int, int, str | None, re.Match | None]]:
+    """(start, end, text, tag) of the markup of a page: comments and declarations (neither), CDATA (text) and tags.
+
+    Every character is looked at a bounded number of times, however broken the page: what cannot end is found out once.
+    A consumer that skips ahead sends the place to go on from.
+    """
+    last, ends, at, cdata = source.rfind(">"), None, 0, True
+    while (at := source.find("<", at)) >= 0:
+        token, text, tag = -1, None, None
+        if source.startswith("<!--", at):
+            token = source.find("-->", at + 4)
+            token = len(source) if token < 0 else token + 3
+        elif at > last:  # nothing but a comment can end
+            at = source.find("<!--", at)
+            if at < 0:
+                return
+            continue
+        elif source[at + 1] in "!?":
+            close = source.find("]]>", at + 9) if cdata and source.startswith("<![CDATA[", at) else -1
+            if close >= 0:
+                token, text = close + 3, source[at + 9 : close]
+            else:
+                cdata = cdata and not source.startswith("<![CDATA[", at)
+                token = source.find(">", at) + 1
+        elif (c := source[at + 1 : at + 3].lstrip("/")[:1]) and c.isascii() and c.isalpha() and source[at + 1 : at + 3] != "//" and (ends is None or ends.tag(at)):
+            tag = _TAG_AT.match(source, at)
+            if tag:
+                token = tag.end()
+            elif ends is None:
+                ends = _Ends(source)
+        if token < 0:
+            at += 1
+            continue
+        ahead = yield at, token, text, tag
+        at = token if ahead is None else ahead
+
+
 class Page:
     """Nodes in page order: tag, parent, depth, families, own text pieces and link letters, label of training pages (if ``labels``)."""
 
@@ -65,22 +127,28 @@ class Page:
             if linked:
                 self.links[node] += len(text.strip())
 
-        while at < end:
-            m = _TOKEN.search(source, at)
-            if m is None:
+        reader, ahead, open_ended = tokens(source), None, set()
+        while True:
+            try:
+                start, stop, piece, m = reader.send(ahead)
+            except StopIteration:
                 add(source[at:])
                 break
-            add(source[at : m.start()])
-            at = m.end()
-            if m.group(2) is None:
-                if m.group(0).startswith("<![CDATA["):
-                    add(m.group(0)[9:-3])
+            ahead = None
+            add(source[at:start])
+            at = stop
+            if m is None:
+                add(piece or "")
                 continue
             closing, tag, rest = m.group(1) == "/", m.group(2).lower(), m.group(3)
             if tag in DROPPED and tag != "head":
                 if not closing and not rest.endswith("/"):
-                    close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                    at = close.end() if close else (end if tag in ("script", "style", "textarea", "title") else at)
+                    close = None if tag in open_ended else re.compile(rf"</{tag}\b", re.I).search(source, at)
+                    stop = source.find(">", close.end()) if close else -1
+                    if stop < 0:
+                        open_ended.add(tag)  # nor does a later one end
+                        stop = end if tag in ("script", "style", "textarea", "title") else at - 1
+                    at = ahead = min(stop + 1, end)
                 continue
             if tag in ("html", "head") or tag in MATH:
                 continue
