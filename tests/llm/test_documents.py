@@ -333,3 +333,23 @@ def test_pipeline_runs(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = corpus_pipeline.run(spark, small).toPandas()
     assert 0 < rows.doc_id.nunique() <= docs.count() and rows.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_narrowed_contexts_keep_every_shared_window():
+    rng = np.random.default_rng(7)
+    length, gram = suffix_arrays.LENGTH, suffix_arrays.GRAM
+    core = rng.integers(97, 123, 1200, dtype=np.uint8)
+    texts = []
+    for k in range(14):  # copies cut and edited at different places, and texts that share one gram only
+        t = core[rng.integers(0, 300): rng.integers(700, 1200)].copy()
+        t[rng.integers(0, len(t), 3)] = 35
+        texts += [t, np.concatenate([rng.integers(97, 123, 300, dtype=np.uint8), core[500:540], rng.integers(97, 123, 300, dtype=np.uint8)])]
+    data, offsets = np.concatenate(texts), np.r_[0, np.cumsum([len(t) for t in texts])]
+    row, anchor, name, start, end = suffix_arrays.contexts(data, offsets)
+    _, keep = np.unique(np.stack([anchor, name]), axis=1, return_index=True)
+    pieces = [data[offsets[row[i]] + start[i]: offsets[row[i]] + end[i]].tobytes() for i in keep]
+    begin, end = suffix_arrays.narrowed(pieces, anchor[keep], length, gram)
+    seen = Counter(p[i: i + length] for p in pieces for i in range(len(p) - length + 1))
+    left = Counter(p[a:b][i: i + length] for p, a, b in zip(pieces, begin, end) for i in range(b - a - length + 1))
+    assert {w: n for w, n in seen.items() if n > 1} == {w: n for w, n in left.items() if n > 1} != {}
+    assert sum(end - begin) < sum(map(len, pieces)) and (end - begin == 0).any()

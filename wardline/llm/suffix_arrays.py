@@ -9,7 +9,10 @@ A byte is removed if a string of ``length`` bytes that covers it also starts els
    repeated.  That needs 64-bit hashes only and loses nothing.
 2. *Shards.* What is left, contexts that differ near edges and edits with one copy of every
    other context of the same anchor, goes by anchor to shards of bounded size; an anchor
-   with many different contexts is split over several.  Each shard builds a suffix array by
+   with many different contexts is split over several.  A shard first drops what no window can share: two windows
+   that are equal have their anchor at the same offset, so their contexts agree on the bytes that every window with
+   its anchor in that range of offsets holds; contexts that agree with no other in a range lose its windows
+   (``narrowed``; not for split anchors).  Of the rest it builds a suffix array by
    Larsson-Sadakane refinement (groups not yet sorted are re-sorted by the rank ``h`` bytes on) and
    the common prefixes of neighbours by Kasai's walk in lanes.  Neighbours that share ``length``
    bytes are repeats.
@@ -32,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.arrays import Spans, mix, moving_min, utf8
+from wardline.llm.arrays import BASE, Spans, mix, moving_min, utf8
 from wardline.llm.registry import query
 from wardline.llm.tables import scalar, table, written
 
 LENGTH, GRAM = 200, 32
 SHARD_BYTES, SPLIT = 1 << 20, 1000  # text of a shard; contexts of one anchor in a shard
-RANGES = 256
+OFFSETS = 8  # of an anchor in a window, taken together when contexts are narrowed
+LANE = 64
+RANGE_BYTES = 1 << 18  # text of split contexts for each digest range
 PLACE_BITS = 26  # of a place in one piece of a block; a longer block is read in pieces that overlap
 
 
@@ -197,7 +202,7 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndar
     body[offset + sizes] = False  # an end mark of 0 after each piece
     text[body] = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64) + 1
     order = suffix_array(text)
-    prefix = common_prefixes(text, order, length)
+    prefix = common_prefixes(text, order, length, LANE)
     piece = np.searchsorted(offset, order, side="right") - 1
     place = order - offset[piece]
     window = place + length <= sizes[piece]
@@ -215,12 +220,50 @@ def _cover(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + length).tolist()))
 
 
-def _shard(rows: pa.Table) -> pa.Table:
+def narrowed(pieces: list[bytes], anchor: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the part of each context whose windows another context of the same anchor may hold (0, 0: none).
+
+    The anchor of a context is its leftmost gram of that hash.  All contexts of an anchor have to be among ``pieces``.
+    """
+    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+    offset = np.r_[0, np.cumsum(sizes)]
+    spans = Spans(np.frombuffer(b"".join(pieces), dtype=np.uint8))
+    keys = spans.fixed(gram).view(np.int64)
+    owner = np.repeat(np.arange(len(pieces)), sizes)[: len(keys)]
+    hit = np.flatnonzero(keys == anchor[owner])
+    which, first = np.unique(owner[hit], return_index=True)
+    if len(which) != len(pieces):
+        raise ValueError("a context does not hold its anchor")
+    at = hit[first]
+    left, right = at - offset[:-1], offset[1:] - at - gram
+    most = length - gram
+    low, high = np.full(len(pieces), length), np.full(len(pieces), -1)
+    for a in range(0, most + 1, OFFSETS):
+        b = min(a + OFFSETS - 1, most)
+        have = np.flatnonzero((left >= a) & (right >= most - b))
+        core = mix(spans.hash(at[have] - a, at[have] + gram + most - b) + anchor[have].view(np.uint64) * BASE)
+        _, name, n = np.unique(core, return_inverse=True, return_counts=True)
+        shared = have[n[name] > 1]
+        low[shared] = np.minimum(low[shared], a)
+        high[shared] = b
+    begin = np.maximum(left - high, 0)
+    end = np.minimum(left + gram + most - low, sizes)
+    keep = (high >= 0) & (end - begin >= length)
+    return np.where(keep, begin, 0), np.where(keep, end, 0)
+
+
+def _shard(rows: pa.Table, ranges: int) -> pa.Table:
     """One shard: repeated spans (digest, start, end), and for split anchors the digests of its classes."""
     pieces = rows.column("bytes").to_pylist()
-    start = rows.column("start").to_numpy()
+    start = rows.column("start").to_numpy().copy()
     split = rows.column("split").to_numpy(zero_copy_only=False)
     digest = rows.column("digest")
+    whole = np.flatnonzero(~split)
+    if len(whole):
+        begin, end = narrowed([pieces[i] for i in whole], rows.column("anchor").to_numpy()[whole])
+        for i, a, b in zip(whole.tolist(), begin.tolist(), end.tolist()):
+            pieces[i] = pieces[i][a:b]
+        start[whole] += begin.astype(np.int32)
     piece, place, cls, repeated = repeated_windows(pieces)
     out_digest, out_start, out_end, runs = [], [], [], []
     again = np.flatnonzero(repeated)
@@ -244,7 +287,7 @@ def _shard(rows: pa.Table) -> pa.Table:
         keys = sorted((name, c) for c, name in names.items())
         by_range: dict[int, list[tuple[bytes, int]]] = {}
         for name, c in keys:
-            by_range.setdefault(name[0] * RANGES // 256, []).append((name, c))
+            by_range.setdefault(int.from_bytes(name[:4], "big") * ranges >> 32, []).append((name, c))
         for r, items in by_range.items():
             owners = []
             for _, c in items:
@@ -302,16 +345,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     need = state.where("single > 0").select("anchor", "ctx", "kinds", "one.digest", "one.start", "one.end")
     need = need.groupBy("digest").agg(F.collect_list(F.struct("anchor", "ctx", "kinds", "start", "end")).alias("need"))  # at most the contexts of one text
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
-    texts = docs.select(digest.alias("digest"), F.col("text").cast("binary").alias("bytes")).join(need, "digest")
+    # one copy of each text, by partial aggregates before the exchange that the join needs too
+    texts = docs.select(digest.alias("digest"), F.col("text").cast("binary").alias("bytes")).dropDuplicates(["digest"]).join(need, "digest")
     cut = texts.select("digest", "bytes", F.explode("need").alias("w")).select(
-        "digest", "w.*", F.substring("bytes", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("bytes")).dropDuplicates(["anchor", "ctx"])
+        "digest", "w.*", F.substring("bytes", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("bytes"))
     cut = written(cut, "context-bytes")
-    size = cut.agg(F.sum(F.length("bytes")).alias("s")).first()["s"] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
+    size = F.length("bytes")
+    sizes = cut.agg(F.sum(size).alias("all"), F.sum(F.when(F.col("kinds") > SPLIT, size)).alias("split")).first()
+    shards = max(1, -(-(sizes["all"] or 0) // SHARD_BYTES))
+    ranges = 1 + (sizes["split"] or 0) // RANGE_BYTES
     parts = F.ceil(F.col("kinds") / SPLIT)
     keyed = cut.withColumn("split", F.col("kinds") > SPLIT).withColumn("part", F.when(F.col("split"), F.pmod(F.xxhash64("ctx"), parts)).otherwise(0))
     keyed = keyed.withColumn("shard", F.when(F.col("split"), F.xxhash64("anchor", "part")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
-    ends = written(keyed.select("shard", "digest", "start", "bytes", "split").groupBy("shard").applyInArrow(_shard, _SHARD_KIND), "shard-results")
+    ends = written(keyed.select("shard", "anchor", "digest", "start", "bytes", "split").groupBy("shard").applyInArrow(lambda rows: _shard(rows, ranges), _SHARD_KIND), "shard-results")
     across = ends.where("run IS NOT NULL").select("range", "run", "owners").groupBy("range").applyInArrow(_merge, "digest binary, start int, end int")
     return full.union(ends.where("digest IS NOT NULL").select("digest", "start", "end")).union(across)
 
