@@ -126,3 +126,39 @@ def test_alert_and_graph_sinks(spark, tmp_path):
     df = spark.createDataFrame(ev, "event_id string, host string, ts_us bigint, seq bigint, sensor string, event_type string, pid int, ppid int, name string, exe string, path string, cmdline string, remote_ip string, code int, bytes_sent bigint")
     streams.graph_batch(str(tmp_path / "ge"), str(tmp_path / "gm"))(df, 0)
     assert {r.chain_name for r in spark.read.parquet(str(tmp_path / "gm")).collect()} == {"fileless_attack"}
+
+
+def test_keyed_streams_read_chunks_of_a_key_in_order(spark, tmp_path):
+    r = random.Random(11)
+    times = [r.randrange(900) * S for _ in range(300)]  # one key, shuffled, in many chunks of one batch
+    data = [("k", t, i, r.choice([-30.0, -7.0, 9.0, 25.0])) for i, t in enumerate(times)]
+    df = spark.createDataFrame(data, "address string, ts_us bigint, seq bigint, delta double").withColumn("ts", F.timestamp_micros("ts_us"))
+    df.coalesce(1).write.parquet(str(tmp_path / "k"))
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "7")
+    try:
+        s = streams.with_event_time(spark.readStream.schema(df.schema).parquet(str(tmp_path / "k")))
+        got = {x.seq: (x.score, x.total_connections) for x in run_to_table(streams.reputation_stream(s), "chunks").collect()}
+    finally:
+        spark.conf.set(option, before)
+    want, score = {}, 50.0
+    for n, (_, _, i, d) in enumerate(sorted(data, key=lambda x: (x[1], x[2])), 1):
+        score = min(100.0, max(0.0, score + d))
+        want[i] = (score, n)
+    assert got == want
+
+
+def test_open_incidents_are_dropped_by_a_timer(spark, tmp_path):
+    """Of four batches far apart each opens its own incident, and the state holds no incident of those before."""
+    kind = "host string, ts_us bigint, seq bigint, alert_id string, sensor string, mitre_ids array<string>, entities array<string>"
+    for i in range(4):
+        part = spark.createDataFrame([(f"h{i}", i * 7200 * S, i, f"a{i}", "s", ["T1059"], ["ip:1"])], kind).withColumn("ts", F.timestamp_micros("ts_us"))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+    schema = part.schema
+    s = streams.with_event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "a")))
+    query = (streams.correlate_stream(s).writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "c"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", "memory").load(str(tmp_path / "c"))
+    assert held.select("key.host").distinct().count() == 1

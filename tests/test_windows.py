@@ -159,6 +159,12 @@ def test_reputation(spark):
     for s in steps:
         score = min(100.0, max(0.0, score + s[3]))
     assert agg.reputation_fold(rows(spark, steps, "address string, ts_us bigint, seq bigint, delta double")).first()["score"] == score
+    # a busy address in one minute, dealt over tasks, in blocks of two
+    hot = [("c", i, i % 3, s[3]) for i, s in enumerate(steps)] + [(None, 5, 0, 10.0)]
+    many = rows(spark, hot, "address string, ts_us bigint, seq bigint, delta double")
+    got = {x.address: x for x in agg.reputation_fold(many, block_bits=1).collect()}
+    assert (got["c"].score, got["c"].total_connections, got["c"].first_us, got["c"].last_us) == (score, 200, 0, 199)
+    assert (got[None].score, got[None].total_connections) == (60.0, 1)
 
 
 def test_feedback_and_feeds(spark):

@@ -259,24 +259,28 @@ def _clamp_fold(steps: Column) -> Column:
     return F.aggregate(steps, start, then)
 
 
-def reputation_fold(observations: DataFrame, start: float = 50.0, segment_us: int = 60_000_000) -> DataFrame:
+def reputation_fold(observations: DataFrame, start: float = 50.0, block_bits: int = 10) -> DataFrame:
     """Running score per address, clamped to [0, 100] at every observation in time order.
 
-    Clamped additions compose, so each (address, minute) becomes one map and an
-    address folds over its minutes: no address is collected whole.
+    Clamped additions compose.  Rows are dealt in order of (address, time), so a busy address is spread over tasks, and
+    numbered there; blocks of ``2**block_bits`` neighbours become one map, blocks of those another, and so on.  No
+    array is longer than a block, but for the last: at most eight maps from each task that holds the address.
     """
     step = F.struct(F.col("delta").alias("d"), F.lit(0.0).alias("lo"), F.lit(100.0).alias("hi"))
-    seg = F.floor(F.col("ts_us") / segment_us).cast("bigint")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ts_us", "seq", step.alias("f")))), lambda s: s["f"])
-    minutes = observations.withColumn("_seg", seg).groupBy("address", "_seg").agg(
-        _clamp_fold(ordered).alias("f"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b"),
-        F.count(F.lit(1)).alias("n"))
-    over = F.transform(F.sort_array(F.collect_list(F.struct("_seg", "f"))), lambda s: s["f"])
-    whole = minutes.groupBy("address").agg(_clamp_fold(over).alias("f"), F.min("a").alias("first_us"),
-                                           F.max("b").alias("last_us"), F.sum("n").alias("total_connections"))
+    order = ["address", "ts_us", "seq"]
+    # the number is (task, place in it), so neighbours in number are neighbours in time
+    level = observations.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "address", F.monotonically_increasing_id().alias("at"), step.alias("f"),
+        F.col("ts_us").alias("a"), F.col("ts_us").alias("b"), F.lit(1).cast("bigint").alias("n"))
+    composed = _clamp_fold(F.transform(F.sort_array(F.collect_list(F.struct("at", "f"))), lambda s: s["f"])).alias("f")
+    outer = [F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n")]
+    for _ in range(-(-30 // block_bits)):  # until a block holds 2**30 of the at most 2**33 rows of a task
+        level = level.withColumn("block", F.shiftright("at", block_bits)).groupBy("address", "block").agg(
+            composed, *outer).withColumnRenamed("block", "at")
+    whole = level.groupBy("address").agg(composed, *outer)
     f = F.col("f")
     return whole.select("address", F.least(f["hi"], F.greatest(f["lo"], F.lit(start) + f["d"])).alias("score"),
-                        "first_us", "last_us", "total_connections")
+                        F.col("a").alias("first_us"), F.col("b").alias("last_us"), F.col("n").alias("total_connections"))
 
 
 def feedback_multiplier(feedback: DataFrame) -> DataFrame:

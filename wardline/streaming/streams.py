@@ -1,24 +1,20 @@
 """Structured Streaming forms (S-*).
 
 Stateless and windowed operators are the batch expressions on a watermarked
-stream.  Keyed automata use grouped state: one small state per key, rows of a
-batch in event-time order.  On a cluster set
-``spark.sql.streaming.stateStore.providerClass`` to the RocksDB provider.
+stream.  Keyed automata hold typed state on the RocksDB store and read the rows
+of a batch in event-time order (:mod:`wardline.streaming.keyed`).
 """
 
 from __future__ import annotations
 
-import json
 import math
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardline import fixed_values as fv
+from wardline.streaming.keyed import in_order
 
 
 def with_event_time(df: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
@@ -106,58 +102,35 @@ def prediction_enrich(alerts: DataFrame, predictions: DataFrame) -> DataFrame:
     return alerts.withColumn("technique_id", F.try_element_at("mitre_ids", F.lit(-1))).join(predictions, "technique_id", "left")
 
 
-# --- grouped state ---------------------------------------------------------------------------
-def _stateful(df: DataFrame, keys: list[str], out: str, step, drop_after_ms: int | None = None) -> DataFrame:
-    """``step(key, state_dict, rows) -> list of tuples`` with a JSON state per key.
-
-    With ``drop_after_ms`` the state goes once the watermark is that far past the
-    newest row of the key.
-    """
-    names = [c.strip().split(" ")[0] for c in out.split(",")]
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "seq"])
-        memory = json.loads(state.get[0]) if state.exists else {}
-        result = step(key, memory, rows)
-        state.update((json.dumps(memory),))
-        if drop_after_ms is not None:
-            state.setTimeoutTimestamp(max(int(rows["ts_us"].max() // 1000) + drop_after_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(result, columns=names)
-
-    timeout = GroupStateTimeout.EventTimeTimeout if drop_after_ms is not None else GroupStateTimeout.NoTimeout
-    return df.groupBy(*keys).applyInPandasWithState(run, out, "memory string", "append", timeout)
-
-
+# --- keyed state ---------------------------------------------------------------------------
 def chain_stream(log: DataFrame, window_us: int = 300_000_000) -> DataFrame:
     """Log-code chains per host; the state is one position and time per pattern."""
     from wardline.operators.windows import step_pattern
 
     patterns = {k: v[0] for k, v in fv.LOG_CHAINS.items()}
 
-    def step(key, memory, rows):
-        out = []
+    def fold(key, memory, rows):
+        at, out = {name: (idx, first) for name, idx, first in memory}, []
         for code, ts in zip(rows["code"], rows["ts_us"]):
             for name, pattern in patterns.items():
-                idx, first = memory.get(name, (0, None))
+                idx, first = at.get(name, (0, None))
                 idx, first, begun = step_pattern(pattern, idx, first, int(code), int(ts))
-                memory[name] = (idx, first)
+                at[name] = (idx, first)
                 if begun is not None and ts - begun <= window_us:
                     out.append((key[0], name, int(begun), int(ts)))
-        return out
+        return [(name, idx, first) for name, (idx, first) in at.items() if idx], out
 
-    return _stateful(log.select("host", "ts", "ts_us", "seq", "code"), ["host"], "host string, chain string, first_us bigint, last_us bigint", step)
+    return in_order(log, ["host"], "ts_us bigint, seq bigint, code bigint", "pattern string, position int, first_us bigint",
+                    "host string, chain string, first_us bigint, last_us bigint", fold)
 
 
 def beacon_stream(contacts: DataFrame, min_events: int = 15, threshold: float = 0.5) -> DataFrame:
     """Beacon alert per destination on the first crossing; all contact times are held until then."""
 
-    def step(key, memory, rows):
-        if memory.get("alerted"):
-            return []
-        times = memory.get("times", [])
+    def fold(key, memory, rows):
+        if memory and memory[0][1]:
+            return memory, []
+        times = [ts for ts, _ in memory]
         gaps = sorted(b - a for a, b in zip(times, times[1:]))
         total, squares = sum(gaps), sum(g * g for g in gaps)
         for ts in (int(x) for x in rows["ts_us"]):
@@ -181,70 +154,66 @@ def beacon_stream(contacts: DataFrame, min_events: int = 15, threshold: float =
             spread = math.sqrt(n * squares - total * total) / n
             score = 0.4 * (1.0 - min(spread / median, 1.0)) + 0.6 * share
             if score >= threshold:
-                memory.pop("times", None)
-                memory["alerted"] = True
-                return [(key[0], key[1], ts, score, len(times))]
-        memory["times"] = times
-        return []
+                return [(ts, True)], [(key[0], key[1], ts, score, len(times))]
+        return [(ts, False) for ts in times], []
 
-    return _stateful(contacts.select("host", "dest", "ts", "ts_us", "seq"), ["host", "dest"],
-                     "host string, dest string, ts_us bigint, score double, n_events int", step, 86_400_000)
+    return in_order(contacts, ["host", "dest"], "ts_us bigint, seq bigint", "ts_us bigint, alerted boolean",
+                    "host string, dest string, ts_us bigint, score double, n_events int", fold, 86_400_000)
 
 
 def dns_rate_stream(queries: DataFrame) -> DataFrame:
     """Exact trailing 60 s query rate per base domain; all times of the last 60 s are held."""
 
-    def step(key, memory, rows):
-        times, out = memory.get("times", []), []
+    def fold(key, memory, rows):
+        times, out = [ts for ts, in memory], []
         for ts, seq in zip(rows["ts_us"], rows["seq"]):
             del times[:bisect_right(times, int(ts) - 60_000_000)]
             insort(times, int(ts))
             out.append((key[0], int(seq), int(ts), len(times)))
-        memory["times"] = times
-        return out
+        return [(ts,) for ts in times], out
 
-    return _stateful(queries.select("base", "ts", "ts_us", "seq"), ["base"], "base string, seq bigint, ts_us bigint, rate int", step, 120_000)
+    return in_order(queries, ["base"], "ts_us bigint, seq bigint", "ts_us bigint",
+                    "base string, seq bigint, ts_us bigint, rate int", fold, 120_000)
 
 
 def reputation_stream(observations: DataFrame, start: float = 50.0) -> DataFrame:
     """Running clamped score per address, one row per observation."""
 
-    def step(key, memory, rows):
-        score, n, out = memory.get("score", start), memory.get("n", 0), []
+    def fold(key, memory, rows):
+        (score, n), out = memory[0] if memory else (start, 0), []
         for ts, seq, delta in zip(rows["ts_us"], rows["seq"], rows["delta"]):
             score, n = min(100.0, max(0.0, score + float(delta))), n + 1
             out.append((key[0], int(ts), int(seq), score, n))
-        memory.update(score=score, n=n)
-        return out
+        return [(score, n)], out
 
-    return _stateful(observations.select("address", "ts", "ts_us", "seq", "delta"), ["address"],
-                     "address string, ts_us bigint, seq bigint, score double, total_connections bigint", step)
+    return in_order(observations, ["address"], "ts_us bigint, seq bigint, delta double", "score double, n bigint",
+                    "address string, ts_us bigint, seq bigint, score double, total_connections bigint", fold)
 
 
 def correlate_stream(alerts: DataFrame, window_us: int = 300_000_000) -> DataFrame:
-    """Incident of each alert per host by the ordered rules; incidents close after the window."""
+    """Incident of each alert per host by the ordered rules; a timer drops what is open once the window is past."""
     tactic_of = dict(fv.TECHNIQUE_TACTIC)
 
-    def step(key, memory, rows):
-        live, out = memory.get("open", []), []
+    def fold(key, memory, rows):
+        live, out = [tuple(m) for m in memory], []
         for alert, ts, sensor, mitre, entities in zip(rows["alert_id"], rows["ts_us"], rows["sensor"], rows["mitre_ids"], rows["entities"]):
             tags, tactics = set(entities), {tactic_of[m] for m in mitre if m in tactic_of}
-            live = [i for i in live if ts - i["last"] <= window_us]
-            tests = (("entity", lambda i: not tags.isdisjoint(i["tags"])), ("tactic", lambda i: bool(tactics - set(i["tactics"]))),
-                     ("sensor", lambda i: i["sensor"] == sensor))
-            rule, home = next(((r, i) for r, test in tests for i in live if test(i)), ("new", None))
-            if home is None:
-                home = {"id": f"inc-{alert}", "tags": [], "tactics": []}
-                live.append(home)
-            home["tags"] = sorted(set(home["tags"]) | tags)
-            home["tactics"] = sorted(set(home["tactics"]) | tactics)
-            home.update(last=int(ts), sensor=sensor)
-            out.append((key[0], alert, home["id"], rule))
-        memory["open"] = live
-        return out
-
-    return _stateful(alerts.select("host", "ts", "ts_us", "seq", "alert_id", "sensor", "mitre_ids", "entities"), ["host"],
-                     "host string, alert_id string, incident_id string, rule string", step, 600_000)
+            live = [i for i in live if ts - i[4] <= window_us]
+            tests = (("entity", lambda i: not tags.isdisjoint(i[1])), ("tactic", lambda i: bool(tactics - set(i[2]))),
+                     ("sensor", lambda i: i[3] == sensor))
+            rule, k = next(((r, k) for r, test in tests for k, i in enumerate(live) if test(i)), ("new", None))
+            home = (f"inc-{alert}", [], [], sensor, 0) if k is None else live[k]
+            grown = (home[0], sorted(tags.union(home[1])), sorted(tactics.union(home[2])), sensor, int(ts))
+            if k is None:
+                live.append(grown)
+            else:
+                live[k] = grown
+            out.append((key[0], alert, home[0], rule))
+        return live, out
+
+    return in_order(alerts, ["host"], "ts_us bigint, seq bigint, alert_id string, sensor string, mitre_ids array<string>, entities array<string>",
+                    "incident_id string, tags array<string>, tactics array<string>, sensor string, last_us bigint",
+                    "host string, alert_id string, incident_id string, rule string", fold, window_us // 1000 + 1)
 
 
 # --- foreachBatch sinks ---------------------------------------------------------------------------
