@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from wardline.functions.names import base_domain
 from wardline.operators import correlate
+from wardline.operators.windows import prediction_table
 from wardline.plans.catalog_rules import _DEMO_SQL, DEMO_RULES
 from wardline.plans.catalog_graph import FOLD_SQL
-from wardline.plans.catalog_tables import _BEST, mitre
-from wardline.plans.catalog_windows import CHAIN_SQL
+from wardline.plans.catalog_tables import _BEST, MITRE_LIST, mitre
+from wardline.plans.catalog_windows import CHAIN_SQL, NEXT_CTE
 from wardline.plans.registry import query
+from wardline.sources import feeds
 from wardline.streaming import streams
 from wardline.streaming.replay import run_to_table
 
@@ -112,3 +114,10 @@ def _(t):
     return run_to_table(streams.rule_stream(t.stream("tele"), DEMO_RULES).select("seq", "rule_id"), "rules")
 
 
+@query("s13_prediction_enrich_stream", "S-13 W-15", f"""{NEXT_CTE}
+    SELECT alert_id, last AS technique_id, d AS next_technique, probability, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT alert_id, {MITRE_LIST}[-1] AS last FROM alerts) LEFT JOIN (SELECT * FROM r WHERE rank <= 5) ON last = s""")
+def _(t):
+    alerts = t.stream("alerts").withColumn("mitre_ids", mitre()).select("alert_id", "mitre_ids")
+    out = run_to_table(streams.prediction_enrich(alerts, prediction_table(feeds.read_attack_chains(t.spark))), "predicted")
+    return out.select("alert_id", "technique_id", "next_technique", F.round("probability", 9).alias("probability"), "rank")

@@ -162,10 +162,13 @@ def _(t):
 _CH = ", ".join(f"({i}, {c})" for i, c in enumerate(fv.ATTACK_CHAINS))
 
 
-@query("w15_next_technique", "W-15 SC-15 S-13", f"""
+NEXT_CTE = f"""
     WITH c AS (SELECT i, p FROM (VALUES {_CH}) v(i, p)), m AS (SELECT p[j] AS s, p[j + 1] AS d FROM (SELECT p, unnest(range(1, len(p))) AS j FROM c)),
     n AS (SELECT s, d, count(*) AS k, sum(count(*)) OVER (PARTITION BY s) AS t FROM m GROUP BY s, d),
-    r AS (SELECT s, d, round(1.0 / (1.0 + exp(-4.0 * (k / t) + 2.0)), 9) AS probability, row_number() OVER (PARTITION BY s ORDER BY k DESC, d) AS rank FROM n)
+    r AS (SELECT s, d, round(1.0 / (1.0 + exp(-4.0 * (k / t) + 2.0)), 9) AS probability, row_number() OVER (PARTITION BY s ORDER BY k DESC, d) AS rank FROM n)"""
+
+
+@query("w15_next_technique", "W-15 SC-15 S-13", f"""{NEXT_CTE}
     SELECT alert_id, s AS technique_id, d AS next_technique, probability, CAST(rank AS INTEGER) AS rank FROM (SELECT alert_id, {MITRE_LIST}[-1] AS last FROM alerts) JOIN r ON last = s WHERE rank <= 5""")
 def _(t):
     out = win.next_technique(t.alerts.withColumn("mitre_ids", mitre()), feeds.read_attack_chains(t.spark))
