@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators import joins
 from wardline.operators.graph import process_tree
-from wardline.operators.segmented import trailing_count
+from wardline.operators.segmented import salted_join, trailing_count
 
 
 def test_indicator_hits_do_not_depend_on_the_table_size(spark, monkeypatch):
@@ -42,3 +42,25 @@ def test_process_tree_with_repeated_pids(spark):
     rows = [("h", 1, 0, 1), ("h", 2, 1, 2), ("h", 2, 3, 5), ("h", 3, 1, 3), ("h", 3, 1, 4), ("h", 4, 2, 6)]
     got = sorted((r.pid, r.depth) for r in process_tree(spark.createDataFrame(rows, "host string, pid long, ppid long, ts_us long")).collect())
     assert got == [(1, 0), (2, 2), (2, 2), (3, 1), (3, 1), (4, 3)]
+
+
+def test_copies_of_a_salted_side_are_never_broadcast(spark):
+    """The estimate of a side leaves out that it is repeated once a salt."""
+    left, right = spark.range(50).withColumnRenamed("id", "k"), spark.range(50).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    joined = salted_join(left, right, ["k"])
+    assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
+    assert joined.count() == 50
+
+
+def test_registered_queries_broadcast_by_measured_sizes_only(spark, tmp_path):
+    from wardline.plans.registry import Query
+
+    spark.range(3).write.parquet(str(tmp_path / "part.parquet"))
+    plan = lambda t: t.part.join(t.part.groupBy("id").agg(F.count("*").alias("n")), "id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        joined = Query("x", (), plan, None)(spark, str(tmp_path))
+        assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
+        assert joined.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

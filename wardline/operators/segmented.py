@@ -142,13 +142,15 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 
     ``left`` rows get one of ``salts`` numbers from the hash of the whole row and
     ``right`` is repeated once per number.  Results are those of the plain join.
+    The copies are always shuffled: Spark's size estimate leaves out their repetition
+    and would have the driver collect a large side for a broadcast.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(how)
     hashable = [f.name for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return spread.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> tuple[DataFrame, bool]:

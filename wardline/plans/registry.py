@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.plans.telemetry import Tables, duckdb_text
-from wardline.session import configure
+from wardline.session import MEASURED_BROADCASTS, SETTINGS, configure
 
 
 @dataclass(frozen=True)
@@ -19,7 +19,7 @@ class Query:
     sql: str | None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.build(Tables(configure(spark), sf_dir))
+        return self.build(Tables(configure(spark, SETTINGS | MEASURED_BROADCASTS), sf_dir))
 
 
 QUERIES: dict[str, Query] = {}

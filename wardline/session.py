@@ -19,10 +19,17 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# file sizes say little about rows (compression, explode, checkpoints), so a broadcast without a hint is
+# decided by sizes measured at run time, not by the planner's estimates
+MEASURED_BROADCASTS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
+}
+
 
-def configure(spark: SparkSession) -> SparkSession:
+def configure(spark: SparkSession, settings: dict[str, str] = SETTINGS) -> SparkSession:
     """Apply the runtime settings the operators rely on to an existing session."""
-    for key, value in SETTINGS.items():
+    for key, value in settings.items():
         spark.conf.set(key, value)
     return spark
 
