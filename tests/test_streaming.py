@@ -1,6 +1,7 @@
 """Streams over split files give the batch result."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -162,3 +163,78 @@ def test_open_incidents_are_dropped_by_a_timer(spark, tmp_path):
     query.awaitTermination()
     held = spark.read.format("statestore").option("stateVarName", "memory").load(str(tmp_path / "c"))
     assert held.select("key.host").distinct().count() == 1
+
+
+class HeldMap(dict):
+    """A map state in memory that counts its writes."""
+
+    writes = 0
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+    getValue, removeKey = dict.__getitem__, dict.__delitem__
+
+
+def test_a_sparse_key_is_merged_in_few_parts():
+    """Every row in a minute of its own: neither the writes nor the parts grow with the minutes."""
+    import pandas as pd
+
+    from wardline.streaming.keyed import InOrder
+
+    r = random.Random(3)
+    rows = [(k * 60 * S, k) for k in range(60_000)] + [(5 * S, -1), (5 * S, -2)]
+    r.shuffle(rows)
+    chunks = [pd.DataFrame(rows[i:i + 3_000], columns=["ts_us", "seq"]) for i in range(0, len(rows), 3_000)]
+    keyed = InOrder(None, "n bigint", "ts_us bigint, seq bigint", ["n"], None)
+    keyed.aside = HeldMap()
+    parts = list(keyed._merged(iter(chunks)))
+    assert [x for p in parts for x in zip(p["ts_us"], p["seq"])] == sorted(rows)
+    assert keyed.aside.writes <= 63 and len(parts) <= 8 and not keyed.aside
+
+
+def test_an_incident_of_many_entities_grows_in_place(spark, tmp_path):
+    n = 25_000
+    df = spark.range(n).select(F.lit("h").alias("host"), (S + F.col("id") * 1000).alias("ts_us"), F.col("id").alias("seq"), F.concat(F.lit("a"), "id").alias("alert_id"), F.lit("s").alias("sensor"),
+                               F.array(F.lit("T1059")).alias("mitre_ids"), F.array(F.concat(F.lit("file:"), "id"), F.concat(F.lit("ip:"), F.col("id") % 5)).alias("entities"))
+    df = df.withColumn("ts", F.timestamp_micros("ts_us"))
+    df.coalesce(1).write.parquet(str(tmp_path / "a"))
+    s = streams.with_event_time(spark.readStream.schema(df.schema).parquet(str(tmp_path / "a")))
+    start = time.time()
+    out = run_to_table(streams.correlate_stream(s), "grow")
+    assert out.count() == n and out.select("incident_id").distinct().count() == 1
+    assert time.time() - start < 60
+
+
+def test_edges_of_a_busy_pid_need_no_pairs(spark, tmp_path):
+    """One hot pid over several files, processes that come a file late, repeated events, the bound of the window."""
+    r = random.Random(8)
+    kind = "event_id string, host string, ts_us bigint, seq bigint, sensor string, pid bigint, ppid bigint"
+    data = [(f"e{i}", "h", r.randrange(7200) * S, i, "process" if i % 40 == 0 else r.choice(["file", "network", "eventlog"]), 1 if i % 3 else 2, r.choice([0, 1])) for i in range(3000)]
+    data += [("far", "h", 9100 * S, 5000, "process", 9, 0), ("on", "h", 10900 * S, 5001, "file", 9, 0), ("off", "h", 10901 * S, 5002, "file", 9, 0), ("end", "g", 20000 * S, 5003, "process", 3, 0)]
+    data += data[:50] + [("e1", "h", data[1][2], 1, "file", 2, 0)]
+    parts = [[], [], []]
+    for row in data:  # up to four minutes out of order, which the delay allows
+        parts[min(2, max(0, (row[2] // S + r.randrange(240)) // 3600))].append(row)
+    for rows in parts:
+        df = spark.createDataFrame(rows, kind).withColumn("ts", F.timestamp_micros("ts_us"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+        time.sleep(1)
+    from wardline.operators.graph import EDGE_OF, build_nodes
+
+    side = lambda: build_nodes(streams.with_event_time(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))))
+    edges = streams.edge_stream(side(), side())
+    assert "StreamingSymmetricHashJoin" not in edges._jdf.queryExecution().analyzed().toString() and "Join" not in edges._jdf.queryExecution().analyzed().toString()
+    got = {(x.host, x.dst, x.edge_type, x.ts_us): x.src for x in streams.latest_edges(run_to_table(edges, "edges")).collect()}
+    want = {}
+    cut = (20000 - 600 - 1800) * S
+    for event, host, ts, seq, sensor, pid, ppid in data:
+        own = EDGE_OF.get("log" if sensor == "eventlog" else sensor)
+        for edge, by in [("spawned", ppid)] * bool(ppid) + [(own, pid)] * bool(own):
+            near = [(p[2], p[3], p[0]) for p in data if p[4] == "process" and p[1] == host and p[5] == by and (p[2], p[3]) < (ts, seq) and p[2] >= ts - 1800 * S]
+            if near and (ts // (60 * S) + 1) * 60 * S <= cut:
+                key = (host, event, edge, ts)
+                want[key] = max(near + [want[key]] if key in want else near)
+    assert got == {k: v[2] for k, v in want.items()} and len(got) > 2000
+    assert ("h", "on", "modified", 10900 * S) in got and ("h", "off", "modified", 10901 * S) not in got

@@ -91,7 +91,7 @@ def _(t):
     return run_to_table(streams.reputation_stream(_timed(o)), "reputation").select("address", "total_connections", "score")
 
 
-# edges join processes of the last 30 minutes; the join lets a minute close once the watermark is as far past it
+# edges meet the latest process of the last 30 minutes; a minute closes once the watermark is as far past it
 @query("s10_graph_window_stream", "S-10 J-15", f"""
     WITH n AS (SELECT *, CASE sensor WHEN 'eventlog' THEN 'log' ELSE sensor END AS node_type FROM tele),
     l AS (SELECT event_id AS dst, host, ts_us, seq, 'spawned' AS edge_type, ppid AS lp FROM n WHERE ppid <> 0 UNION ALL
@@ -101,7 +101,8 @@ def _(t):
 def _(t):
     from wardline.operators.graph import build_nodes
     side = lambda: _timed(build_nodes(t.stream("tele")))
-    return run_to_table(streams.edge_stream(side(), side()), "edges").select("host", "src", "dst", "edge_type")
+    edges = run_to_table(streams.edge_stream(side(), side()), "edges")
+    return streams.latest_edges(edges).select("host", "src", "dst", "edge_type")
 
 
 @query("s11_ioc_enrich_stream", "S-11", f"SELECT seq, b.source AS ioc_source FROM tele LEFT JOIN {_BEST.format(chr(39) * 2)} b ON tele.remote_ip = b.value")

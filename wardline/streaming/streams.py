@@ -10,11 +10,12 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, bisect_right, insort
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline import fixed_values as fv
-from wardline.streaming.keyed import in_order
+from wardline.streaming.keyed import as_of, in_order
 
 
 def with_event_time(df: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
@@ -56,24 +57,29 @@ def flow_stats_stream(connections: DataFrame, width: str = "30 seconds") -> Data
 def edge_stream(nodes: DataFrame, processes: DataFrame, window: str = "30 minutes") -> DataFrame:
     """Typed edges from the latest earlier process event of the pid, at most ``window`` old, on streams.
 
-    A stream-stream join with time bounds on both watermarks holds the process events of the window only; a windowed
-    aggregate then keeps the latest of those that an event met, once the watermark is ``window`` past its minute.  ``nodes`` and ``processes`` come from ``build_nodes`` with
-    a watermarked column ``ts``.
+    Keyed by host and pid, events and processes wait until the watermark is ``window`` past the event's minute; then each
+    event takes one process, so no pairs arise however busy a pid is.  ``nodes`` and ``processes`` come from
+    ``build_nodes`` with a watermarked column ``ts``.  A repeated event has its edge as often: see ``latest_edges``.
     """
     from wardline.operators.graph import EDGE_OF
 
     pid, ppid = F.coalesce(F.col("pid"), F.lit(0)), F.coalesce(F.col("ppid"), F.lit(0))
     own = F.coalesce(*[F.when(F.col("node_type") == t, F.lit(e)) for t, e in EDGE_OF.items()])
     wanted = F.array_compact(F.array(
-        F.when((pid != 0) & (ppid != 0), F.struct(F.lit("spawned").alias("edge_type"), ppid.alias("by"))),
-        F.when((pid != 0) & own.isNotNull(), F.struct(own.alias("edge_type"), pid.alias("by")))))
-    look = nodes.select("host", "ts", "ts_us", "seq", F.col("node_id").alias("dst"), F.inline(wanted)).alias("e")
-    procs = processes.where("node_type = 'process'").select("host", F.col("pid").alias("by"), "ts", "ts_us", "seq", "node_id").alias("p")
-    met = look.join(procs, F.expr(f"""e.host = p.host AND e.by = p.by AND p.ts <= e.ts AND p.ts >= e.ts - INTERVAL {window}
-        AND (p.ts_us < e.ts_us OR (p.ts_us = e.ts_us AND p.seq < e.seq))"""))
-    latest = F.max_by(F.col("p.node_id"), F.struct(F.col("p.ts_us"), F.col("p.seq")))
-    return met.groupBy(F.window(F.col("e.ts"), "1 minute"), F.col("e.host").alias("host"), F.col("e.dst").alias("dst"), F.col("e.edge_type").alias("edge_type"), F.col("e.ts_us").alias("ts_us")).agg(
-        latest.alias("src")).select("host", "src", "dst", "edge_type", "ts_us")
+        F.when((pid != 0) & (ppid != 0), F.struct(F.lit("spawned").alias("edge_type"), ppid.cast("bigint").alias("by"))),
+        F.when((pid != 0) & own.isNotNull(), F.struct(own.alias("edge_type"), pid.cast("bigint").alias("by")))))
+    time = ["ts", F.col("ts_us").cast("bigint").alias("ts_us"), F.col("seq").cast("bigint").alias("seq")]
+    look = nodes.select("host", *time, "node_id", F.inline(wanted)).withColumnRenamed("by", "pid")
+    procs = processes.where("node_type = 'process'").select(
+        "host", *time, "node_id", F.lit(None).cast("string").alias("edge_type"), F.col("pid").cast("bigint").alias("pid"))
+    rows = look.unionByName(procs).where("host IS NOT NULL AND pid IS NOT NULL AND ts IS NOT NULL")
+    return as_of(rows, pd.Timedelta(window) // pd.Timedelta(microseconds=1)).drop("pid")
+
+
+def latest_edges(edges: DataFrame) -> DataFrame:
+    """One edge per event and type from what ``edge_stream`` wrote, by the latest process if the event was repeated."""
+    return edges.groupBy("host", "dst", "edge_type", "ts_us").agg(F.max_by("src", F.struct("src_us", "src_seq")).alias("src")).select(
+        "host", "src", "dst", "edge_type", "ts_us")
 
 
 def failed_login_stream(log: DataFrame, width: str = "15 seconds", slide: str | None = None, threshold: int = 5) -> DataFrame:
@@ -195,21 +201,22 @@ def correlate_stream(alerts: DataFrame, window_us: int = 300_000_000) -> DataFra
     tactic_of = dict(fv.TECHNIQUE_TACTIC)
 
     def fold(key, memory, rows):
-        live, out = [tuple(m) for m in memory], []
+        # tags and tactics grow in place as sets and become lists once a part
+        live, out = [[m[0], set(m[1]), set(m[2]), m[3], m[4]] for m in memory], []
         for alert, ts, sensor, mitre, entities in zip(rows["alert_id"], rows["ts_us"], rows["sensor"], rows["mitre_ids"], rows["entities"]):
             tags, tactics = set(entities), {tactic_of[m] for m in mitre if m in tactic_of}
             live = [i for i in live if ts - i[4] <= window_us]
-            tests = (("entity", lambda i: not tags.isdisjoint(i[1])), ("tactic", lambda i: bool(tactics - set(i[2]))),
+            tests = (("entity", lambda i: not tags.isdisjoint(i[1])), ("tactic", lambda i: bool(tactics - i[2])),
                      ("sensor", lambda i: i[3] == sensor))
-            rule, k = next(((r, k) for r, test in tests for k, i in enumerate(live) if test(i)), ("new", None))
-            home = (f"inc-{alert}", [], [], sensor, 0) if k is None else live[k]
-            grown = (home[0], sorted(tags.union(home[1])), sorted(tactics.union(home[2])), sensor, int(ts))
-            if k is None:
-                live.append(grown)
-            else:
-                live[k] = grown
+            rule, home = next(((r, i) for r, test in tests for i in live if test(i)), ("new", None))
+            if home is None:
+                home = [f"inc-{alert}", set(), set(), sensor, 0]
+                live.append(home)
+            home[1] |= tags
+            home[2] |= tactics
+            home[3], home[4] = sensor, int(ts)
             out.append((key[0], alert, home[0], rule))
-        return live, out
+        return [(name, sorted(tags), sorted(tactics), sensor, last) for name, tags, tactics, sensor, last in live], out
 
     return in_order(alerts, ["host"], "ts_us bigint, seq bigint, alert_id string, sensor string, mitre_ids array<string>, entities array<string>",
                     "incident_id string, tags array<string>, tactics array<string>, sensor string, last_us bigint",
