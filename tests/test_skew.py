@@ -64,3 +64,41 @@ def test_registered_queries_broadcast_by_measured_sizes_only(spark, tmp_path):
         assert joined.count() == 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_estimates_of_checkpoints_do_not_multiply(spark):
+    """A loop that joins a checkpoint with itself must not square the planner's estimate every round."""
+    from wardline.session import checkpoint
+
+    df = checkpoint(spark.range(10))
+    for _ in range(6):
+        df = checkpoint(df.join(df.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1_000_000
+    assert df.count() == 10
+
+
+def test_incidents_along_a_long_chain(spark):
+    """Alerts a second apart share an entity with the next one only: one incident, found in few rounds."""
+    from wardline.operators.correlate import connected_components, correlate_alerts
+
+    n = 3000
+    shared = F.transform(F.sequence(F.col("id"), F.col("id") + 1), lambda i: F.concat(F.lit("ip:"), i.cast("string")))
+    rows = spark.range(n).select(F.lit("h").alias("host"), F.concat(F.lit("a"), (F.col("id") * 7919 % n).cast("string")).alias("alert_id"), (F.col("id") * 1_000_000).alias("ts_us"),
+                                 F.col("id").alias("seq"), F.lit("s").alias("sensor"), F.array().cast("array<string>").alias("mitre_ids"), shared.alias("entities"))
+    start = time.time()
+    got = correlate_alerts(rows, "components").groupBy("incident_id").count().collect()
+    assert [(r.incident_id, r["count"]) for r in got] == [("inc-a0", n)]
+    assert time.time() - start < 90
+    lone = connected_components(spark.range(4), spark.createDataFrame([(1, 2), (2, 2), (None, 3)], "a long, b long"))
+    assert sorted((r.id, r.component) for r in lone.collect()) == [(0, 0), (1, 1), (2, 1), (3, 3)]
+
+
+def test_incidents_with_ties_gaps_and_nulls(spark):
+    """Runs are cut by gaps above the window, ties meet, and rows without time, host or id link as before."""
+    from wardline.operators.correlate import correlate_alerts
+
+    w = 300_000_000
+    rows = [("h", "a", 0), ("h", "b", 0), ("h", "c", w), ("h", "d", 2 * w + 1), ("h", "e", None), ("h", None, 2 * w + 2), ("h", "f", 2 * w + 3), (None, "g", 5), (None, "i", 6), ("h", "b", 0)]
+    df = spark.createDataFrame([(*r, 1, "s", [], ["x"]) for r in rows], "host string, alert_id string, ts_us long, seq long, sensor string, mitre_ids array<string>, entities array<string>")
+    got = sorted((r.alert_id, r.incident_id) for r in correlate_alerts(df, "components").collect())
+    assert got == [("a", "inc-a"), ("b", "inc-a"), ("c", "inc-a"), ("d", "inc-d"), ("e", "inc-e"), ("f", "inc-f"), ("g", "inc-g"), ("i", "inc-g")]

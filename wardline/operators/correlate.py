@@ -95,39 +95,48 @@ def correlate_alerts(alerts: DataFrame, mode: str = "exact", window_us: int = WI
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) with the least id of each component.
+    """(id, component) with the least id of each component, by alternating large-star and small-star rounds.
 
-    Each round takes the least label of the neighbours and then follows the label
-    of the label, so long paths shrink quickly; labels are checkpointed per round.
+    Every round moves neighbours to the least neighbour, until all edges are stars around the least ids; the rounds
+    grow with the logarithm of a component, not with its diameter.  Hot stars are salted, edges are checkpointed per round.
     """
     from wardline.operators.segmented import salted_join
-    from wardline.session import checkpoint
+    from wardline.session import checkpoint, forget
 
-    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(vertices.select("id", F.col("id").alias("component")))
+    stars, mark = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("_near"))
-        low = labels.join(near, "id", "left").select("id", F.col("component").alias("_old"), F.least("component", F.coalesce("_near", "component")).alias("component"))
-        jump = salted_join(low, low.select(F.col("id").alias("component"), F.col("component").alias("_far")), ["component"], "left")
-        labels_next = checkpoint(jump.select("id", "_old", F.least("component", F.coalesce("_far", "component")).alias("component")))
-        changed = labels_next.where("component <> _old").limit(1).count()
-        labels = labels_next.drop("_old")
-        if changed == 0:
-            return labels
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = checkpoint(salted_join(both, least, ["u"], "inner").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = salted_join(large, least, ["u"], "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        last, stars = stars, checkpoint(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        forget(last, large)
+        now = tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == mark:
+            break
+        mark = now
+    return vertices.select("id").join(stars.select(F.col("u").alias("id"), F.col("v").alias("_root")), "id", "left").select(
+        "id", F.coalesce("_root", "id").alias("component"))
 
 
 def _correlate_components(alerts: DataFrame, window_us: int, keys: list[str]) -> DataFrame:
-    from wardline.operators.segmented import segmented_scan, time_segment
+    """A run of alerts of one entity without a gap above the window meets at its first alert, so no long paths arise."""
+    from wardline.operators.segmented import salted_join, segmented_scan, time_segment
+    from wardline.session import checkpoint
 
-    rows = alerts.select(*keys, "alert_id", "ts_us", "seq", F.explode("entities").alias("entity"))
-    near = segmented_scan(rows, [*keys, "entity"], time_segment(F.col("ts_us")), ["ts_us", "seq"], {
-        "_prev": ("lag", F.col("alert_id")), "_prev_us": ("lag", F.col("ts_us"))})
-    edges = near.where(F.col("ts_us") - F.col("_prev_us") <= window_us).select(F.col("alert_id").alias("a"), F.col("_prev").alias("b"))
-    comp = connected_components(alerts.select(F.col("alert_id").alias("id")), edges)
+    group, segment, order = [*keys, "entity"], time_segment(F.col("ts_us")), ["ts_us", "seq", "alert_id"]
+    rows = checkpoint(alerts.select(*keys, "alert_id", "ts_us", "seq", F.explode("entities").alias("entity")))
+    near = segmented_scan(rows, group, segment, order, {"_prev": ("lag", F.col("alert_id")), "_prev_us": ("lag", F.col("ts_us"))})
+    linked = F.coalesce((F.col("ts_us") - F.col("_prev_us") <= window_us) & F.col("_prev").isNotNull(), F.lit(False))
+    near = checkpoint(near.select(*group, *order, linked.alias("_linked")))
+    runs = segmented_scan(near, group, segment, [*order, "_linked"], {"_first": ("last", F.when(~F.col("_linked"), F.col("alert_id")))})
+    edges = runs.where("_linked").select(F.col("alert_id").alias("a"), F.col("_first").alias("b"))
+    comp = checkpoint(connected_components(alerts.select(F.col("alert_id").alias("id")).distinct(), edges))
     first = alerts.join(comp, alerts["alert_id"] == comp["id"]).groupBy("component").agg(
         F.min(F.struct("ts_us", "seq", "alert_id"))["alert_id"].alias("_first"))
-    return comp.join(first, "component").select(F.col("id").alias("alert_id"), F.concat(F.lit("inc-"), "_first").alias("incident_id"),
-                                                F.lit("component").alias("rule"))
+    return salted_join(comp, first, ["component"], "inner").select(F.col("id").alias("alert_id"), F.concat(F.lit("inc-"), "_first").alias("incident_id"),
+                                                                   F.lit("component").alias("rule"))
 
 
 # --- A-12 -------------------------------------------------------------------------------------
@@ -165,7 +174,7 @@ def _forced(undecided: DataFrame) -> DataFrame:
     Such an incident is a seed exactly if that neighbour is none, so a chain is settled by pointer doubling.
     """
     from wardline.operators.segmented import salted_join
-    from wardline.session import checkpoint
+    from wardline.session import checkpoint, forget
 
     least = undecided.groupBy("entity").agg(F.min("o").alias("_first"))
     marked = salted_join(undecided, least, ["entity"], "inner")
@@ -177,12 +186,13 @@ def _forced(undecided: DataFrame) -> DataFrame:
         F.bool_and(~later | ((F.col("o") == F.col("_second")))).alias("_second_only"),
         F.count_distinct(F.when(later, F.col("_first.incident_id"))).alias("_n")))
     first = told.where("_n = 0").select("incident_id")
-    links = checkpoint(told.where("_n = 1 AND _second_only").select("incident_id", "up", F.lit(True).alias("odd")))
+    last = links = checkpoint(told.where("_n = 1 AND _second_only").select("incident_id", "up", F.lit(True).alias("odd")))
     while True:
         far = links.select(F.col("incident_id").alias("up"), F.col("up").alias("_up"), F.col("odd").alias("_odd"))
         longer = checkpoint(links.join(far, "up", "left").select(
             "incident_id", F.coalesce("_up", "up").alias("up"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"), F.col("_up").isNotNull().alias("_moved")))
-        links, moved = longer.drop("_moved"), longer.where("_moved").limit(1).count()
+        forget(last)
+        last, links, moved = longer, longer.drop("_moved"), longer.where("_moved").limit(1).count()
         if moved == 0:
             break
     even = links.where("NOT odd").join(first.select(F.col("incident_id").alias("up")), "up", "left_semi").select("incident_id")
@@ -199,7 +209,7 @@ def campaign_members(incidents: DataFrame, entities: DataFrame, replay_rows: int
     Once a count proves that at most ``replay_rows`` links are left, one task replays them in order.
     """
     from wardline.operators.segmented import salted_join
-    from wardline.session import checkpoint
+    from wardline.session import checkpoint, forget
 
     closed = incidents.where("status = 'closed'").select("incident_id", F.struct("ord", "incident_id").alias("o"))
     links = checkpoint(salted_join(entities, closed, ["incident_id"], "inner").select("incident_id", "entity", "o").distinct())
@@ -216,7 +226,9 @@ def campaign_members(incidents: DataFrame, entities: DataFrame, replay_rows: int
         if settled:
             break
         touched = salted_join(undecided, new_links.select("entity").distinct(), ["entity"], "left_semi").select("incident_id").distinct()
-        undecided = checkpoint(undecided.join(touched, "incident_id", "left_anti"))
+        last, undecided = undecided, checkpoint(undecided.join(touched, "incident_id", "left_anti"))
+        if last is not links:
+            forget(last)
     seeds = checkpoint(seeds)
     owner = seeds.select("entity", F.col("o").alias("_owner"))  # one seed at most per entity
     return salted_join(links, owner, ["entity"], "inner").groupBy("incident_id").agg(F.min("_owner").alias("_s")).select(

@@ -11,7 +11,7 @@ from wardline import fixed_values as fv
 from wardline.operators import rules
 from wardline.operators.segmented import salted_join, segmented_scan, time_segment
 from wardline.operators.substrings import containing_pairs
-from wardline.session import checkpoint
+from wardline.session import checkpoint, forget
 
 NODE_TYPES = {"process": "process", "file": "file", "network": "network"}
 EDGE_OF = {"file": "modified", "network": "opened", "log": "triggered"}
@@ -104,9 +104,11 @@ def hierarchy(procs: DataFrame, scope: list[str] | None = None, pid: str = "pid"
                         F.when(is_root, 0).otherwise(1).cast("bigint").alias("dist"), is_root.alias("root"))
 
     def resolve(ptr):
-        previous = None
+        first, previous = ptr, None
         while True:
-            ptr = checkpoint(_double(ptr, scope))
+            last, ptr = ptr, checkpoint(_double(ptr, scope))
+            if last is not first:
+                forget(last)
             open_rows = ptr.where("NOT root")
             state = open_rows.agg(F.count(F.lit(1)), F.count_distinct(F.struct(*scope, "ptr"))).first()
             if state[0] == 0 or tuple(state) == previous:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +70,22 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut lineage: write ``df`` to the shared folder and read it back.
+
+    ``DataFrame.checkpoint`` hands on the size estimate of the plan it cuts.  In a loop that joins a table with
+    itself that number is squared every round, until the digits alone fill the driver.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/checkpoint-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    back = spark.read.schema(df.schema).parquet(folder)
+    back._folder = folder
+    return back
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove the files of ``checkpoint`` tables that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
