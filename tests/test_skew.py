@@ -102,3 +102,31 @@ def test_incidents_with_ties_gaps_and_nulls(spark):
     df = spark.createDataFrame([(*r, 1, "s", [], ["x"]) for r in rows], "host string, alert_id string, ts_us long, seq long, sensor string, mitre_ids array<string>, entities array<string>")
     got = sorted((r.alert_id, r.incident_id) for r in correlate_alerts(df, "components").collect())
     assert got == [("a", "inc-a"), ("b", "inc-a"), ("c", "inc-a"), ("d", "inc-d"), ("e", "inc-e"), ("f", "inc-f"), ("g", "inc-g"), ("i", "inc-g")]
+
+
+def test_few_but_wide_rows_are_not_broadcast(spark):
+    from wardline.operators.segmented import bounded_broadcast, dimension_join
+
+    dim = spark.range(300).select(F.col("id").alias("k"), F.struct(F.repeat(F.lit("x"), F.lit(100)).alias("v")).alias("s"))
+    assert bounded_broadcast(dim, max_bytes=100_000)[1] and bounded_broadcast(dim.limit(0))[1]
+    assert not bounded_broadcast(dim, max_bytes=20_000)[1] and not bounded_broadcast(dim, 299)[1]
+    assert dimension_join(spark.range(400).withColumnRenamed("id", "k"), dim, ["k"], "left").where("s IS NOT NULL").count() == 300
+
+
+def test_known_findings_are_made_once(spark):
+    """However often ``dispatch`` reads them, the plans that find them run once."""
+    from wardline.operators import detect
+
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    events = spark.createDataFrame([("e1", 1, 1, "h", "s", "x"), ("e2", 2, 2, "h", "s", "x")], "event_id string, ts_us long, seq long, host string, sensor string, event_type string")
+    patterns = spark.createDataFrame([("e1", None, None), ("e9", "d", 0.5)], "event_id string, description string, confidence double").mapInArrow(seen, "event_id string, description string, confidence double")
+    rule = dict(id="none", severity="low", mitre=["T1"], sensor="", event_type="none", conditions=[("host", "eq", "none")])
+    out = detect.dispatch(events, detect.pattern_findings(patterns), rule_set=[rule])
+    assert [(r.event_id, r.stage, r.severity) for r in out.collect()] == [("e1", "pattern", "high")]
+    assert runs.value == 2

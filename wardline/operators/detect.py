@@ -15,6 +15,7 @@ from wardline.operators.joins import ioc_lookup, ja3_blacklist_hits, playbook_st
 from wardline.operators.snapshots import union_alerts
 from wardline.operators.windows import beacon_alerts, dedup_alerts, prediction_table, query_rate_60s
 from wardline.operators.segmented import dimension_join
+from wardline.session import checkpoint
 
 
 def make_alert(df: DataFrame, alert_type: Column, title: Column, severity: Column, confidence: Column, engine: str,
@@ -259,13 +260,15 @@ def dispatch(events: DataFrame, *known: DataFrame, rule_set: list[dict] | None =
         rate = F.col("rate") if "rate" in events.columns else F.lit(0)
         asked = F.col("event_type") == "dns_query"
         work = work.withColumn("_tunnel", F.when(asked, names.tunnel_confidence(F.col("domain"), rate))).withColumn("_dga", F.when(asked, names.dga_confidence(base)))
-    given = sorted({r[0] for k in known for r in k.select("stage").distinct().collect()})  # names of stages, eight at most
+    # the findings come from large plans of their own: made once, then read three times
+    facts = checkpoint(reduce(DataFrame.unionByName, known)) if known else None
+    given = sorted(r[0] for r in facts.select("stage").distinct().collect()) if known else []  # names of stages, eight at most
     concerns = lambda x: x["own"].isNotNull() | (x["key"].isNotNull() & x["stage"].isin(given))
     tags = F.filter(F.array_compact(F.array(*_stages(set(work.columns), rule_set, verifier))), concerns)
     tagged = work.select("event_id", "ts_us", "seq", "host", "sensor", F.explode(tags).alias("_s"))
     tagged = tagged.select("event_id", "ts_us", "seq", "host", "sensor", "_s.stage", "_s.key", "_s.own")
     if known:
-        tagged = dimension_join(tagged, reduce(DataFrame.unionByName, known), ["stage", "key"], "left")
+        tagged = dimension_join(tagged, facts, ["stage", "key"], "left")
     else:
         tagged = tagged.withColumn("known", F.lit(None).cast(FINDING)).withColumn("detail", F.lit(""))
     found = tagged.withColumn("_f", F.coalesce("known", "own")).where("_f IS NOT NULL").select("*", "_f.*")

@@ -153,9 +153,11 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return spread.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> tuple[DataFrame, bool]:
-    """Broadcast hint if a count proves the table holds at most ``max_rows`` rows."""
-    small = df.count() <= max_rows
+def bounded_broadcast(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 10 << 20) -> tuple[DataFrame, bool]:
+    """Broadcast hint if a count proves the table holds at most ``max_rows`` rows and ``max_bytes`` of values as text."""
+    width = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("bigint") for c in df.columns])
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    small = rows <= max_rows and (size or 0) <= max_bytes
     return (F.broadcast(df) if small else df), small
 
 
