@@ -15,7 +15,7 @@ from wardline.operators.joins import ioc_lookup, ja3_blacklist_hits, playbook_st
 from wardline.operators.snapshots import union_alerts
 from wardline.operators.windows import beacon_alerts, dedup_alerts, prediction_table, query_rate_60s
 from wardline.operators.segmented import dimension_join
-from wardline.session import checkpoint
+from wardline.session import checkpoint_folder
 
 
 def make_alert(df: DataFrame, alert_type: Column, title: Column, severity: Column, confidence: Column, engine: str,
@@ -261,7 +261,8 @@ def dispatch(events: DataFrame, *known: DataFrame, rule_set: list[dict] | None =
         asked = F.col("event_type") == "dns_query"
         work = work.withColumn("_tunnel", F.when(asked, names.tunnel_confidence(F.col("domain"), rate))).withColumn("_dga", F.when(asked, names.dga_confidence(base)))
     # the findings come from large plans of their own: made once, then read three times
-    facts = checkpoint(reduce(DataFrame.unionByName, known)) if known else None
+    checkpoint_folder(events.sparkSession)
+    facts = reduce(DataFrame.unionByName, known).checkpoint() if known else None
     given = sorted(r[0] for r in facts.select("stage").distinct().collect()) if known else []  # names of stages, eight at most
     concerns = lambda x: x["own"].isNotNull() | (x["key"].isNotNull() & x["stage"].isin(given))
     tags = F.filter(F.array_compact(F.array(*_stages(set(work.columns), rule_set, verifier))), concerns)
