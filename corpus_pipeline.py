@@ -16,28 +16,34 @@ from wardline.llm.tables import table, written
 from wardline.session import configure
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _ready(spark: SparkSession) -> None:
+    """Rows are whole texts: smaller Arrow batches, so that a batch of every task fits beside the executor's heap."""
     configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _ready(spark)
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
+    _ready(spark)
     return bagminhash.one_of_each(docs)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
+    _ready(spark)
     return suffix_arrays.without_repeats(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
+    _ready(spark)
     return leaks.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
+    _ready(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
