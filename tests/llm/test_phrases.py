@@ -84,3 +84,24 @@ def test_phrases_of_one_hash_stay_apart(monkeypatch):
     batch = pa.record_batch([pa.array(["a b a b c", "a b"]), pa.array(["en", "de"])], ["text", "lang"])
     rows = [r for b in phrases._count(None)([batch]) for r in b.to_pylist() if r["k"] == 2]
     assert sorted((r["lang"], r["phrase"], r["n"]) for r in rows) == [("de", "a b", 1), ("en", "a b", 2), ("en", "b a", 1), ("en", "b c", 1)]
+
+
+def test_blocks_of_a_task_give_a_phrase_once(monkeypatch):
+    monkeypatch.setattr(phrases, "BLOCK", 8)
+    batch = pa.record_batch([pa.array(["a  b a b", "A b", None, "b a b"]), pa.array(["en", "en", "de", "de"])], ["text", "lang"])
+    want = [("de", None, 3), ("de", "a b", 1), ("de", "b a", 1), ("en", None, 6), ("en", "a b", 3), ("en", "b a", 1)]
+    got = [r for b in phrases._count(None)([batch, batch.slice(0, 0)]) for r in b.to_pylist() if r["k"] in (0, 2)]
+    assert sorted(((r["lang"], r["phrase"], r["n"]) for r in got), key=str) == sorted(want, key=str)
+    monkeypatch.setattr(phrases, "HELD", 1)  # each block by itself
+    got = [r for b in phrases._count(None)([batch]) for r in b.to_pylist() if r["k"] == 2]
+    assert sum(r["n"] for r in got) == 6
+
+
+@pytest.mark.parametrize("keys", [[], [0], [2**64 - 1], [0, 5, 2**63, 2**64 - 1], list(range(1000)), [k * 2**54 for k in range(1000)]])
+def test_members(keys):
+    import pickle
+
+    asked = np.array([*keys, 0, 1, 5, 999, 1000, 2**54, 2**54 + 1, 2**63 - 1, 2**64 - 2, 2**64 - 1], dtype=np.uint64)
+    held = pickle.loads(pickle.dumps(phrases.Members(np.array(keys, dtype=np.uint64))))
+    assert held.has(asked).tolist() == [int(k) in set(keys) for k in asked]
+    assert len(pickle.dumps(held)) < 8 * len(keys) + 500  # only the keys are sent

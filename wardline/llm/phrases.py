@@ -9,8 +9,8 @@ Per language (null: ``und``) every phrase of 1 to ``WORDS`` words with ``SUPPORT
    by 64-bit hashes, and a shuffle by (language and shard, hash) adds them up.  First words, then pairs of locally frequent words,
    then longer phrases of locally frequent pairs (a set of more than ``BROADCAST`` is not sent to the tasks; then all are counted).
 2. The hashes that are locally frequent anywhere are the candidates; two phrases of one hash only make one more candidate.
-3. All candidates are counted in all documents by their text, again block by block (more than ``BROADCAST`` candidates
-   meet the counts by a join instead).  Within a block, a second hash tells phrases of one hash apart.
+3. All candidates are counted in all documents by their text, the blocks of a task together (more than ``BROADCAST`` candidates
+   meet the counts by a join instead).  Within a task, a second hash tells phrases of one hash apart.
 
 ``collocations`` scores the frequent phrases of two words or more by their worst cut and drops those that mostly occur inside a longer one.
 
@@ -34,6 +34,7 @@ from wardline.llm.tables import table, written
 
 WORDS, SUPPORT, COVER, TOP = 4, 30, 80, 2000
 SHARDS, BROADCAST, BLOCK, HELD = 4, 4_000_000, 1 << 20, 1_000_000
+STEPS = 64  # from the place that a hash points to; a less even set is searched by halves
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER[9] = 32  # a tab parts words as a blank does
@@ -82,6 +83,12 @@ class Words:
             out = mix(out + self.sums[self.end[at + j]] - self.sums[self.start[at + j]])
         return out
 
+    def only_texts(self) -> None:
+        """Let go of all that ``texts`` does not need."""
+        self.start, self.end = self.start.astype(np.int32), self.end.astype(np.int32)
+        del self.word, self.row, self.joined
+        self.__dict__.pop("sums", None)
+
 
 class Members:
     """A set of 64-bit hashes."""
@@ -92,12 +99,29 @@ class Members:
         self.mask = np.uint64((1 << bits) - 1)
         self.filter = np.zeros(1 << bits, dtype=bool)
         self.filter[(self.keys & self.mask).astype(np.int64)] = True
+        # hashes are spread evenly, so the first bits of one lead to its place but for a few steps
+        top = max(len(self.keys).bit_length(), 1)
+        self.shift = np.uint64(64 - top)
+        self.first = np.searchsorted(self.keys, np.arange(1 << top, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.even = int(np.diff(self.first, append=len(self.keys)).max()) <= STEPS
+        self.ended = np.append(self.keys, np.uint64(2**64 - 1))
+
+    def __reduce__(self) -> tuple:
+        return Members, (self.keys,)  # the rest is made again where it is used
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         out = self.filter[(keys & self.mask).astype(np.int64)]
         some = np.flatnonzero(out)
-        at = np.searchsorted(self.keys, keys[some])
-        out[some] = self.keys[np.minimum(at, len(self.keys) - 1)] == keys[some] if len(self.keys) else False
+        keys = keys[some]
+        if self.even:
+            at = self.first[(keys >> self.shift).astype(np.int64)].astype(np.int64)
+            low = np.flatnonzero(self.ended[at] < keys)
+            while len(low):
+                at[low] += 1
+                low = low[self.ended[at[low]] < keys[low]]
+        else:
+            at = np.searchsorted(self.keys, keys)
+        out[some] = (self.ended[at] == keys) & (at < len(self.keys))
         return out
 
 
@@ -134,32 +158,65 @@ def _mine(lengths: tuple[int, ...], parts: int, known: Broadcast | None) -> Call
     return mine
 
 
+def _summed(gram: np.ndarray, lang: np.ndarray, check: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and sum of ``n`` of every (gram, lang, check)."""
+    key = mix(gram + mix(lang.astype(np.uint64) + np.uint64(1)))
+    _, first, group = np.unique(key, return_index=True, return_inverse=True)
+    known = np.stack([check, lang.astype(np.uint64)])
+    if (known != known[:, first][:, group]).any():  # two phrases of one hash: count by all that is known of them
+        _, first, group = np.unique(np.concatenate([key[None], known]), axis=1, return_index=True, return_inverse=True)
+    total = np.zeros(len(first), dtype=np.int64)
+    np.add.at(total, group.reshape(-1), n)
+    return first, total
+
+
 def _count(candidates: Broadcast | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(lang, gram, phrase, k, n) of the candidates in each block (null: of all phrases), and k = 0 with the words of each language."""
+    """(lang, gram, phrase, k, n) of the candidates in the blocks of a task (null: of all phrases), and k = 0 with the words of each language.
+
+    A phrase is a row once for up to ``HELD`` counts of blocks, which also hold their texts until then.
+    """
+
+    def batch(names: list, lang: np.ndarray, gram: np.ndarray, phrase: list, k: int, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()).take(pa.array(lang)), pa.array(gram.view(np.int64)), pa.array(phrase, pa.binary()).cast(pa.string()),
+             pa.array(np.full(len(n), k, dtype=np.int32)), pa.array(n)], ["lang", "gram", "phrase", "k", "n"])
+
+    def counts(names: list, held: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
+        for k, parts in held.items():
+            gram, lang, check, n = (np.concatenate(c) for c in list(zip(*parts))[2:])
+            first, n = _summed(gram, lang, check, n)
+            order = np.argsort(first)
+            first, n, phrase, begin = first[order], n[order], [], 0
+            for w, at, *_ in parts:
+                mine = first[np.searchsorted(first, begin) : np.searchsorted(first, begin + len(at))] - begin
+                phrase += w.texts(at[mine], k)
+                begin += len(at)
+            yield batch(names, lang[first], gram[first], phrase, k, n)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[str, int] = {}
+        held, many, total = {}, 0, np.zeros(0, dtype=np.int64)
         for b in blocks(batches, "text", BLOCK):
             w = Words(b.column("text"))
             code = b.column("lang").dictionary_encode()
-            names, lang = code.dictionary, code.indices.to_numpy(zero_copy_only=False).astype(np.int64)[w.row]
-
-            def batch(at: np.ndarray, gram: np.ndarray, phrase: list, k: int, n: np.ndarray, names=names, lang=lang) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(lang[at])), pa.array(gram.view(np.int64)), pa.array(phrase, pa.binary()).cast(pa.string()),
-                     pa.array(np.full(len(n), k, dtype=np.int32)), pa.array(n.astype(np.int64))], ["lang", "gram", "phrase", "k", "n"])
-
-            _, first, n = np.unique(lang, return_index=True, return_counts=True)
-            yield batch(first, np.zeros(len(first), dtype=np.uint64), [None] * len(first), 0, n)
+            own = np.array([codes.setdefault(x, len(codes)) for x in code.dictionary.to_pylist()], dtype=np.int64)
+            lang = own[code.indices.to_numpy(zero_copy_only=False)][w.row]
+            total = np.bincount(lang, minlength=len(codes)) + np.pad(total, (0, len(codes) - len(total)))
             for k, at, gram in w.grams(WORDS):
                 if candidates is not None:
                     use = candidates.value.has(gram)
                     at, gram = at[use], gram[use]
-                key = mix(gram + mix(lang[at].astype(np.uint64) + np.uint64(1)))
-                _, first, group, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                check = np.stack([w.checks(at, k), lang[at].astype(np.uint64)])
-                if (check != check[:, first][:, group]).any():  # two phrases of one hash: count by all that is known of them
-                    _, first, n = np.unique(np.concatenate([key[None], check]), axis=1, return_index=True, return_counts=True)
-                yield batch(at[first], gram[first], w.texts(at[first], k), k, n)
+                check = w.checks(at, k)
+                first, n = _summed(gram, lang[at], check, np.ones(len(at), dtype=np.int64))
+                held.setdefault(k, []).append((w, at[first], gram[first], lang[at[first]], check[first], n))
+                many += len(n)
+            w.only_texts()
+            if many >= HELD:
+                yield from counts(list(codes), held)
+                held, many = {}, 0
+        yield from counts(list(codes), held)
+        some = np.flatnonzero(total)
+        yield batch(list(codes), some, np.zeros(len(some), dtype=np.uint64), [None] * len(some), 0, total[some].astype(np.int64))
 
     return count
 
