@@ -19,6 +19,7 @@ from wardline import fixed_values as fv
 from wardline.functions.names import url_features
 from wardline.functions.scoring import payload_get, severity_weight
 from wardline.functions.text import char_entropy
+from wardline.session import checkpoint, forget
 
 
 # --- features ----------------------------------------------------------------------------
@@ -212,19 +213,30 @@ def url_feature_table(df: DataFrame, url: str = "url") -> DataFrame:
     return df.select("*", F.array(*f.values()).alias("_v")).withColumn("features", array_to_vector("_v")).drop("_v")
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def url_classifier_fit(labelled: DataFrame, url: str = "url", label: str = "label", trees: int = 200, depth: int = 20, min_rows: int = 100):
-    """Random forest on the 22 lexical features."""
-    n = labelled.count()
+    """Random forest on the 22 lexical features.
+
+    Rows are few bytes and much work, so they are dealt by number, not by size.  Features are made once.
+    """
+    dealt = checkpoint(labelled.select(url, label).repartition(_tasks(labelled)))
+    n = dealt.count()
     if n < min_rows:
         raise ValueError(f"need at least {min_rows} rows, got {n}")
-    rows = url_feature_table(labelled, url).select("features", F.col(label).cast("double").alias("label"))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42, featuresCol="features", labelCol="label").fit(rows)
+    rows = checkpoint(url_feature_table(dealt, url).select("features", F.col(label).cast("double").alias("label")))
+    parts = max(min(-(-n // 1000), 64), -(-n // 50_000))
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=42, featuresCol="features", labelCol="label").fit(rows.repartition(parts))
+    forget(dealt, rows)
+    return model
 
 
 def url_classifier_predict(model, df: DataFrame, url: str = "url") -> DataFrame:
     """Probability, label (malicious ≥ 0.7, suspicious ≥ 0.5) and confidence."""
     p = vector_to_array("probability")[1]
-    out = model.transform(url_feature_table(df, url)).withColumn("p", p)
+    out = model.transform(url_feature_table(df.repartition(_tasks(df)), url)).withColumn("p", p)
     label = F.when(F.col("p") >= 0.7, "malicious").when(F.col("p") >= 0.5, "suspicious").otherwise("benign")
     return out.select(*df.columns, "p", label.alias("label"), F.round(F.greatest("p", 1 - F.col("p")), 4).alias("confidence"))
 

@@ -9,6 +9,7 @@ from wardline.operators import detect, models
 from wardline.operators.windows import sequence_features
 from wardline.plans.catalog_text import sql_case
 from wardline.plans.registry import query
+from wardline.session import checkpoint
 
 
 def _payload(t):
@@ -60,7 +61,7 @@ def _(t):
     # weak label: bait words and odd suffixes in the addresses of pages and queried names
     names = t.tele.select(F.concat(F.lit("http://"), "domain", F.lit("/")).alias("url")).distinct()
     rows = t.pages.select("url").distinct().unionByName(names).withColumn("truth", F.col("url").rlike(r"pills|cheap|\.xyz|zx\.com").cast("int"))
-    rows = rows.where("url IS NOT NULL").withColumn("held_out", F.crc32(F.col("url").cast("binary")) % 5 == 0)
+    rows = checkpoint(rows.where("url IS NOT NULL").withColumn("held_out", F.crc32(F.col("url").cast("binary")) % 5 == 0))
     model = models.url_classifier_fit(rows.where("NOT held_out"), "url", "truth")
     return models.url_classifier_predict(model, rows).select("url", "truth", "held_out", "label", F.round("p", 6).alias("p"), "confidence")
 
