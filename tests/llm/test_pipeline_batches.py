@@ -13,3 +13,23 @@ def test_stages_use_small_batches(spark):
         assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
     finally:
         spark.conf.set(key, before)
+
+
+def test_a_block_of_text_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from wardline.llm import arrays, suffix_arrays
+
+    text = pa.record_batch([pa.array([" ".join(str(i * j % 9973) for j in range(2000)) for i in range(600)])], ["text"])
+    assert text.nbytes > 4 << 20
+    for b in arrays.blocks([text], "text"):
+        suffix_arrays._contexts(b.column("text"))  # tables of powers are made once
+    tracemalloc.start()
+    try:
+        for b in arrays.blocks([text], "text"):
+            suffix_arrays._contexts(b.column("text"))
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10  # some arrays of eight bytes a byte each, in every worker of an executor
 _RNG = np.random.Generator(np.random.PCG64(20260101))
 BYTE_HASH = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
