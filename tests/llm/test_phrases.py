@@ -97,6 +97,35 @@ def test_blocks_of_a_task_give_a_phrase_once(monkeypatch):
     assert sum(r["n"] for r in got) == 6
 
 
+def test_a_phrase_is_a_row_once_for_a_task(monkeypatch):
+    """The rows of a task are its different phrases, however many blocks and counts it reads (before: one for each ``HELD`` counts)."""
+    monkeypatch.setattr(phrases, "BLOCK", 40)
+    monkeypatch.setattr(phrases, "HELD", 300)  # there are 240 different phrases
+    words = [f"w{i}" for i in range(6)]
+    rng = random.Random(3)
+    rows = [(i, "  ".join(rng.choices(words[:3] if i % 2 else words[3:], k=12)) + ".", "en") for i in range(200)]
+    batches = [pa.record_batch([pa.array([t for _, t, _ in rows[i : i + 50]]), pa.array(["en"] * 50)], ["text", "lang"]) for i in range(0, 200, 50)]
+    for most in (64 << 20, 500):  # in few bytes a task gives out what it holds, and no count is lost
+        monkeypatch.setattr(phrases, "TEXTS", most)
+        got = [r for b in phrases._count(None)(batches) for r in b.to_pylist() if r["k"]]
+        total = Counter()
+        for r in got:
+            total[r["lang"], tuple(r["phrase"].split(" "))] += r["n"]
+        assert total == counted(rows)[0]
+        assert (len(got) == len(total)) == (most > 500)
+
+
+def test_rows_do_not_grow_with_splits_times_phrases(spark, monkeypatch):
+    """Many splits of the same phrases are counted in few tasks (before: a row of each phrase from every split)."""
+    made, real = [], phrases._few_tasks
+    monkeypatch.setattr(phrases, "_few_tasks", lambda df: made.append((df, real(df))) or made[-1][1])
+    docs = frame(spark, [(i, "red fox runs home", "en") for i in range(200)]).repartition(40)
+    assert {r.n for r in phrases.frequent_phrases(docs).where("k > 0").collect()} == {200}
+    (before, after), = made
+    assert before.rdd.getNumPartitions() == 40 and after.rdd.getNumPartitions() == phrases.WAVES * spark.sparkContext.defaultParallelism < 40
+    assert after.count() == 200
+
+
 @pytest.mark.parametrize("keys", [[], [0], [2**64 - 1], [0, 5, 2**63, 2**64 - 1], list(range(1000)), [k * 2**54 for k in range(1000)]])
 def test_members(keys):
     import pickle

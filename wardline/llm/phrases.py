@@ -9,8 +9,8 @@ Per language (null: ``und``) every phrase of 1 to ``WORDS`` words with ``SUPPORT
    by 64-bit hashes, and a shuffle by (language and shard, hash) adds them up.  First words, then pairs of locally frequent words,
    then longer phrases of locally frequent pairs (a set of more than ``BROADCAST`` is not sent to the tasks; then all are counted).
 2. The hashes that are locally frequent anywhere are the candidates; two phrases of one hash only make one more candidate.
-3. All candidates are counted in all documents by their text, the blocks of a task together (more than ``BROADCAST`` candidates
-   meet the counts by a join instead).  Within a task, a second hash tells phrases of one hash apart.
+3. All candidates are counted in all documents by their text, a phrase once for a task, in few tasks (more than ``BROADCAST``
+   candidates meet the counts by a join instead).  Within a task, a second hash tells phrases of one hash apart.
 
 ``collocations`` scores the frequent phrases of two words or more by their worst cut and drops those that mostly occur inside a longer one.
 
@@ -33,7 +33,8 @@ from wardline.llm.registry import query
 from wardline.llm.tables import table, written
 
 WORDS, SUPPORT, COVER, TOP = 4, 30, 80, 2000
-SHARDS, BROADCAST, BLOCK, HELD = 4, 4_000_000, 1 << 20, 1_000_000
+SHARDS, BROADCAST, BLOCK, HELD, TEXTS = 4, 4_000_000, 1 << 20, 1_000_000, 64 << 20
+WAVES = 2  # tasks a core that count candidates
 STEPS = 64  # from the place that a hash points to; a less even set is searched by halves
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -173,29 +174,43 @@ def _summed(gram: np.ndarray, lang: np.ndarray, check: np.ndarray, n: np.ndarray
 def _count(candidates: Broadcast | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(lang, gram, phrase, k, n) of the candidates in the blocks of a task (null: of all phrases), and k = 0 with the words of each language.
 
-    A phrase is a row once for up to ``HELD`` counts of blocks, which also hold their texts until then.
+    A phrase is a row once for a task, unless the task has more than ``HELD`` different ones or ``TEXTS`` bytes of them;
+    then those found so far are given out.  Blocks are held until ``HELD / 2`` counts are to be added.
     """
 
-    def batch(names: list, lang: np.ndarray, gram: np.ndarray, phrase: list, k: int, n: np.ndarray) -> pa.RecordBatch:
+    def batch(names: list, k: int, gram: np.ndarray, lang: np.ndarray, n: np.ndarray, phrase: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()).take(pa.array(lang)), pa.array(gram.view(np.int64)), pa.array(phrase, pa.binary()).cast(pa.string()),
+            [pa.array(names, pa.string()).take(pa.array(lang)), pa.array(gram.view(np.int64)), phrase.cast(pa.string()),
              pa.array(np.full(len(n), k, dtype=np.int32)), pa.array(n)], ["lang", "gram", "phrase", "k", "n"])
 
-    def counts(names: list, held: dict[int, list[tuple]]) -> Iterator[pa.RecordBatch]:
-        for k, parts in held.items():
-            gram, lang, check, n = (np.concatenate(c) for c in list(zip(*parts))[2:])
-            first, n = _summed(gram, lang, check, n)
-            order = np.argsort(first)
-            first, n, phrase, begin = first[order], n[order], [], 0
-            for w, at, *_ in parts:
-                mine = first[np.searchsorted(first, begin) : np.searchsorted(first, begin + len(at))] - begin
-                phrase += w.texts(at[mine], k)
-                begin += len(at)
-            yield batch(names, lang[first], gram[first], phrase, k, n)
+    def added(k: int, known: tuple | None, parts: list[tuple]) -> tuple:
+        """gram, lang, check, n and phrase of ``known`` and the counts of blocks together; only new phrases are read from their block."""
+        gram, lang, check, n = (np.concatenate(c) for c in zip(*([known[:4]] if known else []), *(p[2:] for p in parts)))
+        first, n = _summed(gram, lang, check, n)
+        order = np.argsort(first)
+        first, n, begin, phrase = first[order], n[order], 0, []
+        if known:
+            begin = len(known[0])
+            phrase = [known[4].take(pa.array(first[: np.searchsorted(first, begin)]))]
+        for w, at, *_ in parts:
+            mine = first[np.searchsorted(first, begin) : np.searchsorted(first, begin + len(at))] - begin
+            phrase.append(pa.array(w.texts(at[mine], k), pa.large_binary()))
+            begin += len(at)
+        return gram[first], lang[first], check[first], n, pa.concat_arrays(phrase)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[str, int] = {}
-        held, many, total = {}, 0, np.zeros(0, dtype=np.int64)
+        known, held, many, total = {}, {}, 0, np.zeros(0, dtype=np.int64)
+
+        def add() -> None:
+            for k in list(held):
+                known[k] = added(k, known.get(k), held.pop(k))
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for k in list(known):
+                gram, lang, _, n, phrase = known.pop(k)
+                yield batch(list(codes), k, gram, lang, n, phrase)
+
         for b in blocks(batches, "text", BLOCK):
             w = Words(b.column("text"))
             code = b.column("lang").dictionary_encode()
@@ -211,12 +226,15 @@ def _count(candidates: Broadcast | None) -> Callable[[Iterable[pa.RecordBatch]],
                 held.setdefault(k, []).append((w, at[first], gram[first], lang[at[first]], check[first], n))
                 many += len(n)
             w.only_texts()
-            if many >= HELD:
-                yield from counts(list(codes), held)
-                held, many = {}, 0
-        yield from counts(list(codes), held)
+            if 2 * many >= HELD:
+                add()
+                many = 0
+                if sum(len(x[3]) for x in known.values()) > HELD or sum(x[4].nbytes for x in known.values()) > TEXTS:
+                    yield from rows()
+        add()
+        yield from rows()
         some = np.flatnonzero(total)
-        yield batch(list(codes), some, np.zeros(len(some), dtype=np.uint64), [None] * len(some), 0, total[some].astype(np.int64))
+        yield batch(list(codes), 0, np.zeros(len(some), dtype=np.uint64), some, total[some].astype(np.int64), pa.nulls(len(some), pa.large_binary()))
 
     return count
 
@@ -224,6 +242,12 @@ def _count(candidates: Broadcast | None) -> Callable[[Iterable[pa.RecordBatch]],
 COUNTED = "lang string, gram long, phrase string, k int, n long"
 
 
+def _few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in ``WAVES`` tasks a core at most: every task gives out each candidate that it meets, so with one task for each
+    16 MB, say, the rows would grow with the tasks times the candidates."""
+    return df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _sent(hashes: DataFrame, most: int) -> pa.Table | None:
     """The rows if they are ``most`` or fewer."""
     return hashes.toArrow() if hashes.count() <= most else None
@@ -256,7 +280,8 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     few = _sent(candidates, broadcast)
     if few is not None:
         few = spark.sparkContext.broadcast(Members(few.column("gram").to_numpy()))
-    counted = rows.select("text", "lang").mapInArrow(_count(few), COUNTED)
+    read = rows.select("text", "lang")
+    counted = (read if few is None else _few_tasks(read)).mapInArrow(_count(few), COUNTED)
     counted = counted.groupBy("lang", "gram", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= support))
     if few is None:
         counted = counted.join(candidates.union(spark.createDataFrame([(0,)], "gram long")).distinct(), "gram", "left_semi")
