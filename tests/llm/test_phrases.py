@@ -134,3 +134,83 @@ def test_members(keys):
     held = pickle.loads(pickle.dumps(phrases.Members(np.array(keys, dtype=np.uint64))))
     assert held.has(asked).tolist() == [int(k) in set(keys) for k in asked]
     assert len(pickle.dumps(held)) < 8 * len(keys) + 500  # only the keys are sent
+
+
+def test_large_sets_still_exclude(spark, texts, monkeypatch):
+    """More hashes than are sent as they are: tasks still leave out what holds no frequent part (before: all phrases were counted)."""
+    known, made, real = [], [], phrases._mine
+    monkeypatch.setattr(phrases, "_mine", lambda *a: known.append(a[2]) or real(*a))
+    monkeypatch.setattr(phrases, "_count", lambda *a: made.append(a))
+    f, n = counted(texts)
+    got = {(r.lang, r.k, r.phrase): r.n for r in phrases.frequent_phrases(frame(spark, texts), 20, broadcast=0).collect()}
+    assert got == {(lang, len(w), " ".join(w)): a for (lang, w), a in f.items() if a >= 20} | {(lang, 0, None): a for lang, a in n.items() if a}
+    assert [x is None for x in known] == [True, False, False] and not made
+    assert all(isinstance(x.value, phrases.Filter) for x in known[1:])
+
+
+@pytest.mark.parametrize("most", [1 << 29, 1 << 12])
+def test_filter(monkeypatch, most):
+    monkeypatch.setattr(phrases, "FILTER", most)
+    keys = np.random.Generator(np.random.PCG64(1)).integers(0, 2**64, 40_000, dtype=np.uint64)
+    keys[:2] = 0, 2**64 - 1
+    held, others = keys[::2], keys[1::2]
+    for found in (phrases.Filter.of(np.sort(held)), phrases.Members(held).filter):
+        assert found.has(held).all() and 8 * len(found.bits) == min(1 << 19, most)
+        assert most < 1 << 19 or found.has(others).mean() < 0.02
+    assert not phrases.Filter.of(held[:0]).has(keys).any()
+
+
+def mined(text, known, ranges=3, parts=1, lengths=(2,)):
+    class Sent:
+        value = phrases.Members(known)
+
+    n = len(text)
+    batch = pa.record_batch([pa.array(text), pa.array([7, 9] * (n // 2)), pa.array([2, 3] * (n // 2))], ["text", "cell", "need"])
+    return list(phrases._mine(lengths, parts, Sent, ranges)([batch]))
+
+
+def test_a_cell_has_its_own_support_and_counts():
+    one = phrases.Words(pa.array(["a b c"]))
+    gram = {k: dict(zip(at.tolist(), g)) for k, at, g in one.grams(2)}
+    known = phrases.mix(np.array([gram[1][i] ^ np.uint64(cell) for cell in (7, 9) for i in (0, 1)]))  # "a" and "b"
+    rows = mined(["a b. b c", "a b", "a c", "a  b", *["a b"] * 600], known)
+    got = {(r["cell"], g): n for b in rows for r in b.to_pylist() for g, n in zip(np.frombuffer(r["grams"], np.uint64).tolist(), phrases._numbers(r["few"], r["many"]).tolist())}
+    assert got == {(7, int(gram[2][0])): 301, (9, int(gram[2][0])): 302}
+    rows = mined(["a b", "a b", "a", "a b"], known) + mined(["a b", "x"], known)
+    found = [r for b in phrases._locally_frequent(rows) for r in b.to_pylist()]
+    assert found == [{"cell": 7, "gram": int(gram[2][0].view(np.int64))}]  # 2 of 2 in cell 7, 2 of 3 in cell 9
+
+
+def test_phrases_of_one_hash_are_counted_apart(monkeypatch):
+    class Sent:
+        value = phrases.Filter(np.full(512, 255, dtype=np.uint8))  # holds all
+
+    monkeypatch.setattr(phrases, "mix", lambda x: np.zeros_like(x))  # every first hash is the same
+    monkeypatch.setattr(phrases.Words, "checks", lambda self, at, k: np.array([zlib.crc32(t) << 2 for t in self.texts(at, k)], dtype=np.uint64))
+    batches = [pa.record_batch([pa.array(["a b a b c", "a b"]), pa.array(["en", "de"]), pa.array([doc, doc + 1])], ["text", "lang", "doc"]) for doc in (5, 3)]
+    found = [r for b in phrases._added(2)([r for b in batches for r in phrases._tally(Sent, 4)([b])]) for r in b.to_pylist()]
+    told = [r for x in batches for b in phrases._texts(Sent, Sent)([x]) for r in b.to_pylist()]
+    text = {(r["lang"], r["check"]): r["phrase"] for r in told}
+    got = {(r["lang"], r["k"], text.get((r["lang"], r["check"]))): (r["n"], r["doc"]) for r in found}
+    assert {x: n for x, n in got.items() if x[1] == 2} == {("en", 2, "a b"): (4, 3), ("en", 2, "b a"): (2, 3), ("en", 2, "b c"): (2, 3), ("de", 2, "a b"): (2, 4)}
+    assert {(x, n[0]) for x, n in got.items() if x[1] == 0} == {(("en", 0, None), 10), (("de", 0, None), 4)}
+
+
+def test_one_document_in_two_languages(spark):
+    """Rows that differ in their language alone have one mark, and each language gets its phrases."""
+    rows = [(i % 3, "red fox", lang) for i in range(90) for lang in ("en", None, "de")]
+    got = phrases.frequent_phrases(frame(spark, rows).coalesce(1), broadcast=0).where("k = 2").collect()
+    assert sorted(tuple(r) for r in got) == [(lang, "red fox", 2, 90) for lang in ("de", "en", "und")]
+
+
+def test_a_frequent_phrase_is_told_about_once(spark):
+    docs = frame(spark, [(i, "red fox runs home", "en") for i in range(200)]).repartition(40)
+    made = []
+    real = phrases._texts
+    phrases._texts = lambda *a: made.append(a) or real(*a)
+    try:
+        assert {r.n for r in phrases.frequent_phrases(docs, broadcast=5).where("k > 0").collect()} == {200}
+    finally:
+        phrases._texts = real
+    (marked, chosen), = made
+    assert len(marked.value.keys) == 1  # of 200 documents one tells all phrases

@@ -5,12 +5,16 @@ Per language (null: ``und``) every phrase of 1 to ``WORDS`` words with ``SUPPORT
 
 1. A document belongs to one of ``SHARDS`` shards by its id.  A shard's local support is ``SUPPORT`` times the shard's share of the
    language's bytes, rounded up; a phrase below it in every shard is below ``SUPPORT`` in all.  With a fixed support a shard must be
-   large to exclude anything, so there are few, and each is mined by many tasks: a task counts the phrases of a block of text
-   by 64-bit hashes, and a shuffle by (language and shard, hash) adds them up.  First words, then pairs of locally frequent words,
-   then longer phrases of locally frequent pairs (a set of more than ``BROADCAST`` is not sent to the tasks; then all are counted).
+   large to exclude anything, so there are few, and each is mined by many tasks: a task counts the phrases of its texts by 64-bit
+   hashes and gives them out as sorted arrays, one for each cell (language and shard) and range of hashes; a range is added up by one
+   task.  First words, then pairs of locally frequent words, then longer phrases of locally frequent pairs.
 2. The hashes that are locally frequent anywhere are the candidates; two phrases of one hash only make one more candidate.
-3. All candidates are counted in all documents by their text, a phrase once for a task, in few tasks (more than ``BROADCAST``
-   candidates meet the counts by a join instead).  Within a task, a second hash tells phrases of one hash apart.
+3. All candidates are counted in all documents.  Up to ``BROADCAST`` of them are counted by their text, a phrase once for a task, in
+   few tasks.  More are counted as they are mined, by their hash and a second hash that tells phrases of one hash apart; the frequent
+   ones then get their text from a document that has them.
+
+A set of up to ``BROADCAST`` hashes is sent to the tasks as it is, a larger one as a bit filter of ``FILTER`` bits at most.  What a filter
+lets through besides the set is counted too and falls under the support, so a full filter costs time and no result.
 
 ``collocations`` scores the frequent phrases of two words or more by their worst cut and drops those that mostly occur inside a longer one.
 
@@ -33,7 +37,10 @@ from wardline.llm.registry import query
 from wardline.llm.tables import table, written
 
 WORDS, SUPPORT, COVER, TOP = 4, 30, 80, 2000
-SHARDS, BROADCAST, BLOCK, HELD, TEXTS = 4, 4_000_000, 1 << 20, 1_000_000, 64 << 20
+SHARDS, BROADCAST, BLOCK, HELD, TEXTS = 4, 500_000, 512 << 10, 1_000_000, 64 << 20
+GATHERED = 4_000_000  # hashes that a task sorts at once
+RANGE = 16 << 20  # bytes of text for each range of hashes
+FILTER, SLICES = 1 << 29, 64
 WAVES = 2  # tasks a core that count candidates
 STEPS = 64  # from the place that a hash points to; a less even set is searched by halves
 LOWER = np.arange(256, dtype=np.uint8)
@@ -58,12 +65,18 @@ class Words:
         self.joined = np.zeros(len(self.start), dtype=bool)  # whether the next word is of the same piece
         self.joined[:-1] = (self.row[1:] == self.row[:-1]) & (piece[1:] == piece[:-1])
 
-    def grams(self, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(k, number of the first word, hash) of all phrases of k words, k ascending."""
+    def grams(self, most: int, live: np.ndarray | None = None, part: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, number of the first word, hash) of all phrases of k words, k ascending.
+
+        With ``live``: of those with all their phrases of ``part`` words (0: of one word less) at live places, which the
+        caller marks as it gets them.
+        """
         at, gram = np.arange(len(self.word)), mix(self.word)
         yield 1, at, gram
         for k in range(2, most + 1):
             inside = self.joined[at + k - 2]
+            if live is not None and k > part:
+                inside &= live[at] & live[at + (k - part if part else 1)]
             at = at[inside]
             gram = mix(gram[inside] * BASE + self.word[at + k - 1])
             yield k, at, gram
@@ -91,27 +104,68 @@ class Words:
         self.__dict__.pop("sums", None)
 
 
+class Filter:
+    """A set of 64-bit hashes in two bits each, both in the slice that a hash's first bits tell.  It may seem to hold others too."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    @staticmethod
+    def size(n: int) -> int:
+        return min(1 << max((16 * n).bit_length(), 12), FILTER)
+
+    @staticmethod
+    def places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        one = keys >> np.uint64(65 - size.bit_length())
+        low = np.uint64(size // SLICES - 1)
+        return one, (one & ~low) | (mix(keys) & low)
+
+    @classmethod
+    def slice(cls, keys: np.ndarray, size: int) -> np.ndarray:
+        """The bits of the slice that all ``keys`` belong to."""
+        bits, low = np.zeros(size // SLICES // 8, dtype=np.uint8), np.uint64(size // SLICES - 1)
+        for place in cls.places(keys, size):
+            place = (place & low).astype(np.int64)
+            np.bitwise_or.at(bits, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
+        return bits
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> Filter:
+        """From sorted hashes."""
+        size, at = cls.size(len(keys)), np.append(np.searchsorted(keys, _edges(SLICES)), len(keys))
+        return cls(np.concatenate([cls.slice(keys[a:b], size) for a, b in zip(at, at[1:])]))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        def test(place: np.ndarray) -> np.ndarray:
+            place = place.astype(np.int64)
+            return (self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+        size = 8 * len(self.bits)
+        out = test(keys >> np.uint64(65 - size.bit_length()))
+        some = np.flatnonzero(out)
+        out[some] = test(self.places(keys[some], size)[1])
+        return out
+
+
 class Members:
     """A set of 64-bit hashes."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.keys = np.unique(keys.astype(np.uint64))
-        bits = max(int(8 * len(self.keys)).bit_length(), 10)
-        self.mask = np.uint64((1 << bits) - 1)
-        self.filter = np.zeros(1 << bits, dtype=bool)
-        self.filter[(self.keys & self.mask).astype(np.int64)] = True
+        keys = np.unique(keys.astype(np.uint64))
+        self.ended = np.append(keys, np.uint64(2**64 - 1))
+        self.keys = keys = self.ended[:-1]
+        self.filter = Filter.of(keys)
         # hashes are spread evenly, so the first bits of one lead to its place but for a few steps
-        top = max(len(self.keys).bit_length(), 1)
+        top = max(len(keys).bit_length() - 2, 1)
         self.shift = np.uint64(64 - top)
-        self.first = np.searchsorted(self.keys, np.arange(1 << top, dtype=np.uint64) << self.shift).astype(np.int32)
-        self.even = int(np.diff(self.first, append=len(self.keys)).max()) <= STEPS
-        self.ended = np.append(self.keys, np.uint64(2**64 - 1))
+        self.first = np.searchsorted(keys, np.arange(1 << top, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.even = int(np.diff(self.first, append=len(keys)).max()) <= STEPS
 
     def __reduce__(self) -> tuple:
         return Members, (self.keys,)  # the rest is made again where it is used
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        out = self.filter[(keys & self.mask).astype(np.int64)]
+        out = self.filter.has(keys)
         some = np.flatnonzero(out)
         keys = keys[some]
         if self.even:
@@ -126,39 +180,117 @@ class Members:
         return out
 
 
-def _mine(lengths: tuple[int, ...], parts: int, known: Broadcast | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of the phrases of ``lengths`` words whose parts of ``parts`` words are all in ``known`` (null: of all phrases)."""
+def _edges(ranges: int) -> np.ndarray:
+    """The first hash of each range."""
+    return np.array([(i << 64) // ranges for i in range(ranges)], dtype=np.uint64)
 
-    def counts(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        cell, gram = (np.concatenate(c) for c in zip(*held))
-        _, first, n = np.unique(mix(gram ^ cell), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(cell[first].view(np.int64)), pa.array(gram[first].view(np.int64)), pa.array(n.astype(np.int64))], ["cell", "gram", "n"])
+
+def _dealt(gram: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that sorted hashes fall into, and where each begins; at the end where the last ends."""
+    at = np.append(np.searchsorted(gram, edges), len(gram))
+    part = np.flatnonzero(np.diff(at))
+    return part, np.append(at[part], len(gram))
+
+
+def _bytes(column: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The pieces of ``column`` between the places ``at``."""
+    offsets = (at * column.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(column))])
+
+
+def _number_bytes(n: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """A byte for each number; those from 255 on are in the second column."""
+    large = n >= 255
+    return [_bytes(np.minimum(n, 255).astype(np.uint8), at), _bytes(n[large].astype(np.int64), np.append(0, np.cumsum(large))[at])]
+
+
+def _numbers(few: bytes, many: bytes) -> np.ndarray:
+    n = np.frombuffer(few, dtype=np.uint8).astype(np.int64)
+    n[n == 255] = np.frombuffer(many, dtype=np.int64)
+    return n
+
+
+def _together(block: pa.RecordBatch, column: str) -> tuple[pa.RecordBatch, list, np.ndarray]:
+    """The block with equal values of ``column`` together, these values, and the first row of each."""
+    code = block.column(column).dictionary_encode()
+    index = code.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(index, kind="stable")
+    return block.take(pa.array(order)), code.dictionary.to_pylist(), np.searchsorted(index[order], np.arange(len(code.dictionary)))
+
+
+def _groups(gram: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by hash in which equal (hash, second hash) are together, and where each such group begins."""
+    order = np.argsort(gram)
+    g, c = gram[order], check[order]
+    new, other = np.append(True, g[1:] != g[:-1])[: len(g)], np.append(True, c[1:] != c[:-1])[: len(g)]
+    if (other & ~new).any():  # two phrases of one hash
+        order = np.lexsort((check, gram))
+        g, c = gram[order], check[order]
+        new = np.append(True, (g[1:] != g[:-1]) | (c[1:] != c[:-1]))[: len(g)]
+    return order, np.flatnonzero(new)
+
+
+def _mine(lengths: tuple[int, ...], parts: int, known: Broadcast | None, ranges: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the phrases of ``lengths`` words whose parts of ``parts`` words are all in ``known`` (null: of all phrases).
+
+    A row has the hashes of one cell and range, sorted, and their numbers.
+    """
+
+    def rows(held: dict[tuple[int, int], list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        edges = _edges(ranges)
+        for cell, need in list(held):
+            gram = np.concatenate(held.pop((cell, need)))
+            gram.sort()
+            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            n = np.diff(first, append=len(gram))
+            gram = gram[first]
+            part, at = _dealt(gram, edges)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part.astype(np.int32)), pa.array(np.full(len(part), cell)), pa.array(np.full(len(part), need)), _bytes(gram, at), *_number_bytes(n, at)],
+                ["part", "cell", "need", "grams", "few", "many"])
 
     def mine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many = [], 0
+        held, many = {}, 0
         for b in blocks(batches, "text", BLOCK):
-            w = Words(b.column("text"))
+            b, cells, row = _together(b, "cell")
+            w, need = Words(b.column("text")), b.column("need").to_pylist()
             cell = b.column("cell").to_numpy().view(np.uint64)[w.row]
-            frequent = np.zeros(len(w.word) + WORDS, dtype=bool)
-            for k, at, gram in w.grams(max(lengths)):
+            begin = np.searchsorted(w.row, row)
+            frequent = None if known is None else np.zeros(len(w.word) + WORDS, dtype=bool)
+            for k, at, gram in w.grams(max(lengths), frequent, parts):
                 if k == parts and known is not None:
                     frequent[at[known.value.has(mix(gram ^ cell[at]))]] = True
                 if k not in lengths:
                     continue
-                if known is not None:
-                    use = np.logical_and.reduce([frequent[at + j] for j in range(k - parts + 1)])
-                    at, gram = at[use], gram[use]
-                held.append((cell[at], gram))
+                cut = np.append(np.searchsorted(at, begin), len(at))
+                for i in np.flatnonzero(np.diff(cut)).tolist():
+                    held.setdefault((cells[i], need[row[i]]), []).append(gram[cut[i] : cut[i + 1]])
                 many += len(at)
-            if many >= HELD:
-                yield counts(held)
-                held, many = [], 0
-        if held:
-            yield counts(held)
+            if many >= GATHERED:
+                yield from rows(held)
+                many = 0
+        yield from rows(held)
 
     return mine
 
 
+def _locally_frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, gram) of the hashes that reach their cell's local support, from all rows of some ranges."""
+    held: dict[tuple[int, int], list[tuple[bytes, ...]]] = {}
+    for b in batches:
+        cell, need, *counts = (b.column(c).to_pylist() for c in ("cell", "need", "grams", "few", "many"))
+        for key, *x in zip(zip(cell, need), *counts):
+            held.setdefault(key, []).append(x)
+    for cell, need in list(held):
+        found = held.pop((cell, need))
+        gram = np.frombuffer(b"".join(x[0] for x in found), dtype=np.uint64)
+        order = np.argsort(gram)
+        gram, n = gram[order], np.concatenate([_numbers(*x[1:]) for x in found])[order]
+        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        use = first[np.add.reduceat(n, first) >= need]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(use), cell)), pa.array(gram[use].view(np.int64))], ["cell", "gram"])
+
+
 def _summed(gram: np.ndarray, lang: np.ndarray, check: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place and sum of ``n`` of every (gram, lang, check)."""
     key = mix(gram + mix(lang.astype(np.uint64) + np.uint64(1)))
@@ -242,50 +374,226 @@ def _count(candidates: Broadcast | None) -> Callable[[Iterable[pa.RecordBatch]],
 COUNTED = "lang string, gram long, phrase string, k int, n long"
 
 
+def _tally(candidates: Broadcast, ranges: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the candidates by both hashes; a row has those of one language and range.
+
+    The last two bits of a second hash tell the words of the phrase; ``docs`` has the least mark of the documents with it.
+    A phrase can be frequent only if those of one word less inside it are candidates as well.
+    The words of each language are a row of the first range.
+    """
+    names = ["part", "lang", "words", "grams", "checks", "docs", "few", "many"]
+
+    def rows(held: dict[str, list[tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+        edges = _edges(ranges)
+        for lang in list(held):
+            gram, check, doc = (np.concatenate(c) for c in zip(*held.pop(lang)))
+            order, first = _groups(gram, check)
+            n, doc = np.diff(first, append=len(order)), np.minimum.reduceat(doc[order], first)
+            order = order[first]
+            gram = gram[order]
+            part, at = _dealt(gram, edges)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part.astype(np.int32)), pa.array([lang] * len(part), pa.string()), pa.nulls(len(part), pa.int64()), _bytes(gram, at),
+                 _bytes(check[order], at), _bytes(doc, at), *_number_bytes(n, at)], names)
+
+    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, many = {}, {}, 0
+        for b in blocks(batches, "text", BLOCK):
+            b, langs, row = _together(b, "lang")
+            w, doc = Words(b.column("text")), b.column("doc").to_numpy().astype(np.uint32)
+            begin = np.searchsorted(w.row, row)
+            for lang, n in zip(langs, np.diff(begin, append=len(w.row)).tolist()):
+                total[lang] = total.get(lang, 0) + n
+            live = np.zeros(len(w.word) + WORDS, dtype=bool)
+            for k, at, gram in w.grams(WORDS, live):
+                use = candidates.value.has(gram)
+                at, gram = at[use], gram[use]
+                live[:] = False
+                live[at] = True
+                check = w.checks(at, k) & ~np.uint64(3) | np.uint64(k - 1)
+                mark = doc[w.row[at]]
+                cut = np.append(np.searchsorted(at, begin), len(at))
+                for i in np.flatnonzero(np.diff(cut)).tolist():
+                    held.setdefault(langs[i], []).append(tuple(c[cut[i] : cut[i + 1]] for c in (gram, check, mark)))
+                many += len(at)
+            if 2 * many >= GATHERED:
+                yield from rows(held)
+                many = 0
+        yield from rows(held)
+        total = {lang: n for lang, n in total.items() if n}
+        none = pa.array([b""] * len(total), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(total), dtype=np.int32)), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), *[none] * 5], names)
+
+    return tally
+
+
+def _added(support: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(lang, gram, check, k, n, doc) of the phrases that reach the support, from all rows of some ranges; k = 0: the words of a language."""
+
+    def batch(lang: list[str], gram: np.ndarray, check: np.ndarray, k: np.ndarray, n: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(lang, pa.string()), pa.array(gram.view(np.int64)), pa.array(check.view(np.int64)), pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64)),
+             pa.array(doc.astype(np.int64))], ["lang", "gram", "check", "k", "n", "doc"])
+
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[bytes, ...]]] = {}
+        words: dict[str, int] = {}
+        for b in batches:
+            for lang, total, *x in zip(*(b.column(c).to_pylist() for c in ("lang", "words", "grams", "checks", "docs", "few", "many"))):
+                if total is None:
+                    held.setdefault(lang, []).append(x)
+                else:
+                    words[lang] = words.get(lang, 0) + total
+        for lang in list(held):
+            found = held.pop(lang)
+            gram, check, doc = (np.frombuffer(b"".join(x[i] for x in found), dtype=kind) for i, kind in enumerate((np.uint64, np.uint64, np.uint32)))
+            n = np.concatenate([_numbers(*x[3:]) for x in found])
+            order, first = _groups(gram, check)
+            n = np.add.reduceat(n[order], first)
+            use = n >= support
+            at = order[first[use]]
+            yield batch([lang] * len(at), gram[at], check[at], (check[at] & np.uint64(3)) + np.uint64(1), n[use], np.minimum.reduceat(doc[order], first)[use])
+        none = np.zeros(len(words), dtype=np.uint64)
+        yield batch(list(words), none, none, none, np.array(list(words.values()), dtype=np.int64), none)
+
+    return added
+
+
+def _texts(marked: Broadcast, chosen: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(lang, gram, check, phrase) of the phrases whose hash is in ``chosen`` with the mark of the document; ``marked`` has all those marks."""
+
+    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            use = marked.value.has(mix(whole.column("doc").to_numpy().view(np.uint64)))
+            for b in blocks([whole.filter(pa.array(use))], "text", BLOCK):
+                b, langs, row = _together(b, "lang")
+                w, doc = Words(b.column("text")), b.column("doc").to_numpy().view(np.uint64)
+                begin = np.searchsorted(w.row, row)
+                for k, at, gram in w.grams(WORDS):
+                    use = chosen.value.has(mix(gram ^ doc[w.row[at]]))
+                    at, gram = at[use], gram[use]
+                    check = w.checks(at, k) & ~np.uint64(3) | np.uint64(k - 1)
+                    cut = np.append(np.searchsorted(at, begin), len(at))
+                    for i in np.flatnonzero(np.diff(cut)).tolist():
+                        mine = [c[cut[i] : cut[i + 1]] for c in (at, gram, check)]
+                        order, first = _groups(*mine[1:])
+                        place, *hashes = (c[order[first]] for c in mine)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([langs[i]] * len(place), pa.string()), *(pa.array(c.view(np.int64)) for c in hashes),
+                             pa.array(w.texts(place, k), pa.binary()).cast(pa.string())], ["lang", "gram", "check", "phrase"])
+
+    return texts
+
+
 def _few_tasks(df: DataFrame) -> DataFrame:
     """``df`` in ``WAVES`` tasks a core at most: every task gives out each candidate that it meets, so with one task for each
     16 MB, say, the rows would grow with the tasks times the candidates."""
     return df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _sent(hashes: DataFrame, most: int) -> pa.Table | None:
-    """The rows if they are ``most`` or fewer."""
-    return hashes.toArrow() if hashes.count() <= most else None
+def _keys(columns: list[pa.Array]) -> np.ndarray:
+    """The hashes of one column, or of two together."""
+    one, *two = (c.to_numpy().view(np.uint64) for c in columns)
+    return mix(one ^ two[0]) if two else one
+
+
+def _cut_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of a task by slices of a filter."""
+
+    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(held))
+        part, at = _dealt(keys, _edges(SLICES))
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), _bytes(keys, at)], ["part", "keys"])
+
+    held, many = [], 0
+    for b in batches:
+        held.append(_keys(b.columns))
+        many += b.num_rows
+        if many >= GATHERED:
+            yield rows(held)
+            held, many = [], 0
+    if many:
+        yield rows(held)
+
+
+def _slices(size: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, keys in zip(*(c.to_pylist() for c in b.columns)):
+                found = Filter.slice(np.frombuffer(keys, dtype=np.uint64), size)
+                bits[part] = found | bits[part] if part in bits else found
+        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([x.tobytes() for x in bits.values()], pa.binary())], ["part", "bits"])
+
+    return slices
+
+
+def _sent(hashes: DataFrame, most: int) -> Broadcast:
+    """The set of the rows' hashes (of the two columns together, if there are two): as it is if they are ``most`` or fewer, else as a filter."""
+    n = hashes.count()
+    if n <= most:
+        found = Members(_keys([c.combine_chunks() for c in hashes.toArrow().columns]))
+    else:
+        size = Filter.size(n)
+        rows = hashes.mapInArrow(_cut_keys, "part int, keys binary").repartitionById(SLICES, "part").mapInArrow(_slices(size), "part int, bits binary").toArrow()
+        found = Filter(np.zeros(size // 8, dtype=np.uint8))
+        for part, bits in zip(rows.column("part").to_pylist(), rows.column("bits")):
+            found.bits[part * len(found.bits) // SLICES :][: len(found.bits) // SLICES] = np.frombuffer(bits.as_buffer(), dtype=np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(found)
+
+
+def _counted_by_text(rows: DataFrame, candidates: Broadcast, support: int) -> DataFrame:
+    """lang, phrase, k, n of the candidates with ``support`` or more occurrences, and of k = 0."""
+    counted = _few_tasks(rows.select("text", "lang")).mapInArrow(_count(candidates), COUNTED)
+    counted = counted.groupBy("lang", "gram", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= support))
+    return written(counted.select("lang", "phrase", "k", "n"), "phrases")
+
+
+def _counted_by_hash(rows: DataFrame, candidates: Broadcast, support: int, broadcast: int, ranges: int) -> DataFrame:
+    """The same for any number of candidates.  The text of a frequent phrase is told by the document with the least mark, so
+    few documents are read for that, and a text is given out about once."""
+    read = rows.select("text", "lang", "doc")
+    tally = read.mapInArrow(_tally(candidates, ranges), "part int, lang string, words long, grams binary, checks binary, docs binary, few binary, many binary")
+    added = tally.repartitionById(ranges, "part").mapInArrow(_added(support), "lang string, gram long, check long, k int, n long, doc long")
+    found = written(added, "phrase-counts")
+    told = found.where("k > 0")
+    marked, chosen = (_sent(x, broadcast) for x in (told.select("doc", F.lit(0).cast("long")).distinct(), told.select("gram", "doc")))
+    told = read.mapInArrow(_texts(marked, chosen), "lang string, gram long, check long, phrase string")
+    both = found.select("lang", "gram", "check", "k", "n", F.lit(None).cast("string").alias("phrase")).unionByName(
+        told.select("lang", "gram", "check", F.lit(None).cast("int").alias("k"), F.lit(None).cast("long").alias("n"), "phrase"))
+    both = both.groupBy("lang", "gram", "check").agg(*(F.max(c).alias(c) for c in ("phrase", "k", "n"))).where("k IS NOT NULL")
+    phrase = F.when((F.col("k") > 0) & F.col("phrase").isNull(), F.raise_error(F.lit("a frequent phrase has no text"))).otherwise(F.col("phrase"))
+    return written(both.select("lang", phrase.alias("phrase"), "k", "n"), "phrases")
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, broadcast: int = BROADCAST) -> DataFrame:
     """lang, phrase, k, n of all phrases of 1 to ``WORDS`` words with ``support`` or more occurrences, and per
     language a row of k = 0 with the number of its words (in a table of the shared folder)."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    rows = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)).alias("doc"))
     rows = rows.withColumn("cell", F.xxhash64("lang", "shard"))
     share = rows.groupBy("lang", "cell").agg(F.sum(F.octet_length("text").cast("long") + 1).alias("m"))
     whole = F.sum("m").over(Window.partitionBy("lang"))
-    need = share.select("cell", F.floor((F.lit(support).cast("decimal(20,0)") * F.col("m") + whole - 1) / whole).cast("long").alias("need"))
-    need = written(need.groupBy("cell").agg(F.min("need").alias("need")), "phrase-supports")
+    need = share.select("cell", "m", F.floor((F.lit(support).cast("decimal(20,0)") * F.col("m") + whole - 1) / whole).cast("long").alias("need"))
+    need = written(need.groupBy("cell").agg(F.min("need").alias("need"), F.sum("m").alias("m")), "phrase-supports")
+    size = need.agg(F.sum("m")).first()[0] or 0
+    ranges = max(spark.sparkContext.defaultParallelism, -(-size // RANGE))
+    celled = rows.join(need, "cell").select("text", "cell", "need")
 
     def frequent(lengths: tuple[int, ...], parts: int, known: DataFrame | None) -> DataFrame:
         sent = None if known is None else _sent(known, broadcast)
-        if sent is not None:
-            cell, gram = (sent.column(c).to_numpy().view(np.uint64) for c in ("cell", "gram"))
-            sent = spark.sparkContext.broadcast(Members(mix(gram ^ cell)))
-        found = rows.select("text", "cell").mapInArrow(_mine(lengths, parts, sent), "cell long, gram long, n long")
-        found = found.groupBy("cell", "gram").agg(F.sum("n").alias("n"))
-        return written(found.join(need, "cell").where("n >= need").select("cell", "gram"), "phrase-candidates")
+        mined = celled.mapInArrow(_mine(lengths, parts, sent, ranges), "part int, cell long, need long, grams binary, few binary, many binary")
+        return written(mined.repartitionById(ranges, "part").mapInArrow(_locally_frequent, "cell long, gram long"), "phrase-candidates")
 
     words = frequent((1,), 0, None)
     pairs = frequent((2,), 1, words)
     longer = frequent(tuple(range(3, WORDS + 1)), 2, pairs)
     candidates = written(words.union(pairs).union(longer).select("gram").distinct(), "phrase-union")
-    few = _sent(candidates, broadcast)
-    if few is not None:
-        few = spark.sparkContext.broadcast(Members(few.column("gram").to_numpy()))
-    read = rows.select("text", "lang")
-    counted = (read if few is None else _few_tasks(read)).mapInArrow(_count(few), COUNTED)
-    counted = counted.groupBy("lang", "gram", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= support))
-    if few is None:
-        counted = counted.join(candidates.union(spark.createDataFrame([(0,)], "gram long")).distinct(), "gram", "left_semi")
-    return written(counted.select("lang", "phrase", "k", "n"), "phrases")
+    sent = _sent(candidates, broadcast)
+    if candidates.count() <= broadcast:
+        return _counted_by_text(rows, sent, support)
+    return _counted_by_hash(rows, sent, support, broadcast, ranges)
 
 
 def collocations(docs: DataFrame, top: int = TOP, cover: int = COVER, **more) -> DataFrame:
@@ -340,4 +648,5 @@ SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 best phrases of each language of the documents."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # whole texts: smaller batches, less memory
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return collocations(table(spark, sf_dir, "documents"))
