@@ -186,7 +186,7 @@ def test_phrases_of_one_hash_are_counted_apart(monkeypatch):
         value = phrases.Filter(np.full(512, 255, dtype=np.uint8))  # holds all
 
     monkeypatch.setattr(phrases, "mix", lambda x: np.zeros_like(x))  # every first hash is the same
-    monkeypatch.setattr(phrases.Words, "checks", lambda self, at, k: np.array([zlib.crc32(t) << 2 for t in self.texts(at, k)], dtype=np.uint64))
+    monkeypatch.setattr(phrases.Words, "checks", lambda self, at, k: np.array([zlib.crc32(t) << 32 for t in self.texts(at, k)], dtype=np.uint64))
     batches = [pa.record_batch([pa.array(["a b a b c", "a b"]), pa.array(["en", "de"]), pa.array([doc, doc + 1])], ["text", "lang", "doc"]) for doc in (5, 3)]
     found = [r for b in phrases._added(2)([r for b in batches for r in phrases._tally(Sent, 4)([b])]) for r in b.to_pylist()]
     told = [r for x in batches for b in phrases._texts(Sent, Sent)([x]) for r in b.to_pylist()]
@@ -196,6 +196,25 @@ def test_phrases_of_one_hash_are_counted_apart(monkeypatch):
     assert {(x, n[0]) for x, n in got.items() if x[1] == 0} == {(("en", 0, None), 10), (("de", 0, None), 4)}
 
 
+def test_a_candidate_is_counted_once_for_a_task(monkeypatch):
+    """However many blocks and sorts a task needs; in little room it gives out what it has and no count is lost."""
+    class Sent:
+        value = phrases.Filter(np.full(512, 255, dtype=np.uint8))
+
+    monkeypatch.setattr(phrases, "BLOCK", 40)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcd", k=12)) for _ in range(100)]
+    batch = pa.record_batch([pa.array(texts), pa.array(["en"] * 100), pa.array(range(100))], ["text", "lang", "doc"])
+    f, _ = counted([(0, t, "en") for t in texts])
+    for room, once in ((2000, True), (40, False)):
+        monkeypatch.setattr(phrases, "GATHERED", room)
+        rows = list(phrases._tally(Sent, 3)([batch]))
+        made = sum(len(r["grams"]) // 8 for b in rows for r in b.to_pylist())
+        assert (made == len(f)) == once
+        found = [r for b in phrases._added(2)(rows) for r in b.to_pylist() if r["k"]]
+        assert sorted((r["k"], r["n"]) for r in found) == sorted((len(w), n) for (_, w), n in f.items() if n >= 2)
+
+
 def test_one_document_in_two_languages(spark):
     """Rows that differ in their language alone have one mark, and each language gets its phrases."""
     rows = [(i % 3, "red fox", lang) for i in range(90) for lang in ("en", None, "de")]

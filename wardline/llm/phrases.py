@@ -97,6 +97,10 @@ class Words:
             out = mix(out + self.sums[self.end[at + j]] - self.sums[self.start[at + j]])
         return out
 
+    def marks(self, at: np.ndarray, k: int) -> np.ndarray:
+        """30 bits of the second hash and two that tell ``k``: with the first hash, 94 bits for a phrase of a language."""
+        return (self.checks(at, k) >> np.uint64(32)).astype(np.uint32) & np.uint32(2**32 - 4) | np.uint32(k - 1)
+
     def only_texts(self) -> None:
         """Let go of all that ``texts`` does not need."""
         self.start, self.end = self.start.astype(np.int32), self.end.astype(np.int32)
@@ -374,30 +378,40 @@ def _count(candidates: Broadcast | None) -> Callable[[Iterable[pa.RecordBatch]],
 COUNTED = "lang string, gram long, phrase string, k int, n long"
 
 
+def _merged(gram: np.ndarray, check: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each (hash, second hash) once, by hash: the least mark and the sum of the numbers."""
+    order, first = _groups(gram, check)
+    doc, n = np.minimum.reduceat(doc[order], first), np.add.reduceat(n[order], first, dtype=np.int64)
+    order = order[first]
+    return gram[order], check[order], doc, n
+
+
 def _tally(candidates: Broadcast, ranges: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of the candidates by both hashes; a row has those of one language and range.
+    """Counts of the candidates by both hashes, each once for a task unless it has many; a row has those of one language and range.
 
-    The last two bits of a second hash tell the words of the phrase; ``docs`` has the least mark of the documents with it.
+    ``docs`` has the least mark of the documents with it.
     A phrase can be frequent only if those of one word less inside it are candidates as well.
     The words of each language are a row of the first range.
     """
     names = ["part", "lang", "words", "grams", "checks", "docs", "few", "many"]
 
-    def rows(held: dict[str, list[tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+    def rows(known: dict[str, tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         edges = _edges(ranges)
-        for lang in list(held):
-            gram, check, doc = (np.concatenate(c) for c in zip(*held.pop(lang)))
-            order, first = _groups(gram, check)
-            n, doc = np.diff(first, append=len(order)), np.minimum.reduceat(doc[order], first)
-            order = order[first]
-            gram = gram[order]
+        for lang in list(known):
+            gram, check, doc, n = known.pop(lang)
             part, at = _dealt(gram, edges)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array([lang] * len(part), pa.string()), pa.nulls(len(part), pa.int64()), _bytes(gram, at),
-                 _bytes(check[order], at), _bytes(doc, at), *_number_bytes(n, at)], names)
+                [pa.array(part.astype(np.int32)), pa.array([lang] * len(part), pa.string()), pa.nulls(len(part), pa.int64()), *(_bytes(c, at) for c in (gram, check, doc)),
+                 *_number_bytes(n, at)], names)
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, many = {}, {}, 0
+        held, known, total, many = {}, {}, {}, 0
+
+        def add() -> None:
+            for lang in list(held):
+                parts = [*held.pop(lang), *([known[lang]] if lang in known else [])]
+                known[lang] = _merged(*(np.concatenate(c) for c in zip(*parts)))
+
         for b in blocks(batches, "text", BLOCK):
             b, langs, row = _together(b, "lang")
             w, doc = Words(b.column("text")), b.column("doc").to_numpy().astype(np.uint32)
@@ -410,16 +424,18 @@ def _tally(candidates: Broadcast, ranges: int) -> Callable[[Iterable[pa.RecordBa
                 at, gram = at[use], gram[use]
                 live[:] = False
                 live[at] = True
-                check = w.checks(at, k) & ~np.uint64(3) | np.uint64(k - 1)
-                mark = doc[w.row[at]]
+                counts = gram, w.marks(at, k), doc[w.row[at]], np.ones(len(at), dtype=np.int32)
                 cut = np.append(np.searchsorted(at, begin), len(at))
                 for i in np.flatnonzero(np.diff(cut)).tolist():
-                    held.setdefault(langs[i], []).append(tuple(c[cut[i] : cut[i + 1]] for c in (gram, check, mark)))
+                    held.setdefault(langs[i], []).append(tuple(c[cut[i] : cut[i + 1]] for c in counts))
                 many += len(at)
-            if 2 * many >= GATHERED:
-                yield from rows(held)
+            if 4 * many >= GATHERED:
+                add()
                 many = 0
-        yield from rows(held)
+                if 2 * sum(len(x[0]) for x in known.values()) >= GATHERED:
+                    yield from rows(known)
+        add()
+        yield from rows(known)
         total = {lang: n for lang, n in total.items() if n}
         none = pa.array([b""] * len(total), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(total), dtype=np.int32)), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), *[none] * 5], names)
@@ -432,7 +448,7 @@ def _added(support: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
 
     def batch(lang: list[str], gram: np.ndarray, check: np.ndarray, k: np.ndarray, n: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(gram.view(np.int64)), pa.array(check.view(np.int64)), pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64)),
+            [pa.array(lang, pa.string()), pa.array(gram.view(np.int64)), pa.array(check.astype(np.int64)), pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64)),
              pa.array(doc.astype(np.int64))], ["lang", "gram", "check", "k", "n", "doc"])
 
     def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,13 +462,11 @@ def _added(support: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
                     words[lang] = words.get(lang, 0) + total
         for lang in list(held):
             found = held.pop(lang)
-            gram, check, doc = (np.frombuffer(b"".join(x[i] for x in found), dtype=kind) for i, kind in enumerate((np.uint64, np.uint64, np.uint32)))
-            n = np.concatenate([_numbers(*x[3:]) for x in found])
-            order, first = _groups(gram, check)
-            n = np.add.reduceat(n[order], first)
+            gram, check, doc = (np.frombuffer(b"".join(x[i] for x in found), dtype=kind) for i, kind in enumerate((np.uint64, np.uint32, np.uint32)))
+            gram, check, doc, n = _merged(gram, check, doc, np.concatenate([_numbers(*x[3:]) for x in found]))
             use = n >= support
-            at = order[first[use]]
-            yield batch([lang] * len(at), gram[at], check[at], (check[at] & np.uint64(3)) + np.uint64(1), n[use], np.minimum.reduceat(doc[order], first)[use])
+            gram, check, doc, n = (c[use] for c in (gram, check, doc, n))
+            yield batch([lang] * len(n), gram, check, (check & 3) + 1, n, doc)
         none = np.zeros(len(words), dtype=np.uint64)
         yield batch(list(words), none, none, none, np.array(list(words.values()), dtype=np.int64), none)
 
@@ -472,14 +486,14 @@ def _texts(marked: Broadcast, chosen: Broadcast) -> Callable[[Iterable[pa.Record
                 for k, at, gram in w.grams(WORDS):
                     use = chosen.value.has(mix(gram ^ doc[w.row[at]]))
                     at, gram = at[use], gram[use]
-                    check = w.checks(at, k) & ~np.uint64(3) | np.uint64(k - 1)
+                    check = w.marks(at, k)
                     cut = np.append(np.searchsorted(at, begin), len(at))
                     for i in np.flatnonzero(np.diff(cut)).tolist():
                         mine = [c[cut[i] : cut[i + 1]] for c in (at, gram, check)]
                         order, first = _groups(*mine[1:])
                         place, *hashes = (c[order[first]] for c in mine)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([langs[i]] * len(place), pa.string()), *(pa.array(c.view(np.int64)) for c in hashes),
+                            [pa.array([langs[i]] * len(place), pa.string()), *(pa.array(c.astype(np.int64)) for c in hashes),
                              pa.array(w.texts(place, k), pa.binary()).cast(pa.string())], ["lang", "gram", "check", "phrase"])
 
     return texts
